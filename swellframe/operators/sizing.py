@@ -1,0 +1,25 @@
+"""Broadcasts that are allowed only for a checked size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+# Rows a dimension may have to be sent whole to every executor: with the name
+# lengths below at most some 20 MB.
+BROADCAST_ROWS = 100_000
+BROADCAST_NAME_CHARS = 200
+
+
+def checked_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``small`` with a broadcast hint if it is within the bounds, else unhinted.
+
+    Counting stops one row past the bound, so a large table is not read through.
+    Without the hint the join shuffles, and adaptive execution splits hot keys.
+    """
+    texts = [name for name, kind in small.dtypes if kind == "string"]
+    widest = F.greatest(F.lit(0), F.lit(0), *[F.coalesce(F.length(t), F.lit(0)) for t in texts])
+    seen = small.select(widest.alias("chars")).limit(rows + 1)
+    count, chars = seen.agg(F.count("*"), F.coalesce(F.max("chars"), F.lit(0))).first()
+    if count > rows or chars > BROADCAST_NAME_CHARS:
+        return small
+    return F.broadcast(small)
