@@ -6,9 +6,9 @@ from pyspark.sql import Column, functions as F
 
 from swellframe.functions.numbers import round_half_away
 
-# Grid resolution in decimals, and the range of both coordinates.
+# Grid resolution in decimals, and the limit of both coordinates.
 CELL_DECIMALS = 2
-COORDINATE_RANGE = (-180.0, 180.0)
+COORDINATE_LIMIT = 180.0
 
 
 def grid_cell(coordinate: Column) -> Column:
@@ -18,7 +18,7 @@ def grid_cell(coordinate: Column) -> Column:
 
 def valid_coordinate(value: Column) -> Column:
     """Both latitude and longitude run from -180 to 180; NaN is outside."""
-    return value.between(*COORDINATE_RANGE)
+    return F.abs(value) <= COORDINATE_LIMIT
 
 
 def countable_location(status_code: Column, lat: Column, lng: Column) -> Column:

@@ -2,39 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-
-def query_pairs(query: Column) -> Column:
-    """Decoded ``ARRAY<STRUCT<name, value>>`` of a raw query, in input order.
-
-    Pairs with a bad escape or a semicolon are left out, as URL decoding does.
+from pyspark.sql import Column, DataFrame, functions as F
+
+# The query parameters that the routes read.
+QUERY_NAMES = (
+    "lat",
+    "lng",
+    "latitude",
+    "longitude",
+    "params",
+    "source",
+    "start",
+    "end",
+    "datum",
+    "units",
+    "app_id",
+    "key",
+)
+
+
+def with_query_values(rows: DataFrame, query: str = "query", name: str = "q") -> DataFrame:
+    """``rows`` with the decoded parameters of a raw query in a struct column.
+
+    A parameter that does not occur is null, one that is given without a value is '',
+    and of one given more than once the first counts. Pairs with a bad escape or a
+    semicolon are left out, as URL decoding does.
+
+    The query is split and decoded once per row; each parameter is then a lookup by
+    position. The one-element explode makes the struct a plain attribute, which filters
+    pushed down do not evaluate again.
     """
-    def decode(pair: Column) -> Column:
-        name = F.substring_index(pair, "=", 1)
-        value = F.substr(pair, F.length(name) + 2)
-        return F.struct(
-            F.try_url_decode(name).alias("name"),
-            F.try_url_decode(value).alias("value"),
-        )
-
-    pairs = F.filter(
-        F.split(query, "&"), lambda pair: (pair != "") & ~F.contains(pair, F.lit(";"))
-    )
-    return F.filter(
-        F.transform(pairs, decode),
-        lambda pair: pair["name"].isNotNull() & pair["value"].isNotNull(),
+    pair_name = "substring_index(pair, '=', 1)"
+    pairs = f"""
+      transform(split({query}, '&'), pair -> named_struct(
+        'name', if(contains(pair, ';'), NULL, try_url_decode({pair_name})),
+        'value', try_url_decode(substr(pair, length({pair_name}) + 2))))"""
+    columns = f"""
+      transform(array({pairs}), pairs -> named_struct(
+        'names', transform(pairs, pair -> if(pair.value IS NULL, NULL, pair.name)),
+        'values', pairs.value))"""
+    values = ", ".join(
+        f"'{wanted}', get(found.values, array_position(found.names, '{wanted}') - 1)"
+        for wanted in QUERY_NAMES
     )
+    decoded = F.expr(f"transform({columns}, found -> named_struct({values}))")
+    return rows.select("*", F.explode_outer(decoded).alias(name))
 
 
-def query_value(pairs: Column, name: str) -> Column:
-    """First value given for ``name``; null where the name does not occur."""
-    return F.get(F.filter(pairs, lambda pair: pair["name"] == name), F.lit(0))["value"]
+def given(value: Column) -> Column:
+    """A parameter's value, '' where it does not occur."""
+    return F.coalesce(value, F.lit(""))
 
 
-def either_value(pairs: Column, first: str, second: str) -> Column:
-    """Value of ``first``, or of ``second`` where that is missing or empty."""
-    return F.coalesce(
-        F.nullif(query_value(pairs, first), F.lit("")),
-        F.nullif(query_value(pairs, second), F.lit("")),
-    )
+def either_value(first: Column, second: Column) -> Column:
+    """The first value, or the second where that is missing or empty, else null."""
+    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit("")))

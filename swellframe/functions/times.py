@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 # Time text pattern, epoch of the zero time, and window lengths.
 RFC3339 = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"
-    r"([.,][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
+    r"(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
 )
 WHOLE_NUMBER = r"^[+-]?[0-9]+$"
 ZERO_TIME_EPOCH = -62135596800
@@ -20,9 +20,15 @@ RETENTION_DAYS = 30
 
 
 def _instant(text: Column) -> Column:
-    """Instant of RFC 3339 text, null for any other text."""
-    dotted = F.translate(text, ",", ".")
-    return F.when(text.rlike(RFC3339), dotted.try_cast("timestamp"))
+    """Instant of RFC 3339 text, null for any other text.
+
+    The pattern comes first because a cast alone also takes dates and other forms. A
+    comma before the fraction is rare, so the text is rewritten only where it has one.
+    """
+    dotted = F.replace(text, F.lit(","), F.lit("."))
+    return F.when(text.rlike(RFC3339), text.try_cast("timestamp")).when(
+        F.contains(text, F.lit(",")) & dotted.rlike(RFC3339), dotted.try_cast("timestamp")
+    )
 
 
 def to_epoch(text: Column) -> Column:

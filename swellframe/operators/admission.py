@@ -6,44 +6,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from swellframe.functions.query_text import query_pairs, query_value
+from swellframe.functions.query_text import either_value, with_query_values
 from swellframe.operators.sizing import checked_broadcast
 
 
-def app_id(header: Column, pairs: Column) -> Column:
+def app_id(header: Column, q: Column) -> Column:
     """App id of a request: the header, else the ``app_id`` query value, else ''."""
-    return F.coalesce(F.nullif(header, F.lit("")), query_value(pairs, "app_id"), F.lit(""))
+    return F.coalesce(F.nullif(header, F.lit("")), q["app_id"], F.lit(""))
 
 
-def app_allowed(header: Column, pairs: Column, allowed: Sequence[str]) -> Column:
+def app_allowed(header: Column, q: Column, allowed: Sequence[str]) -> Column:
     """Whether the app id is in ``allowed``; an empty list admits everyone.
 
     An empty element in the list admits requests without an id.
     """
     if not allowed:
         return F.lit(True)
-    return app_id(header, pairs).isin([name.strip() for name in allowed])
+    return app_id(header, q).isin([name.strip() for name in allowed])
 
 
-def has_api_key(header: Column, pairs: Column, default_key: str) -> Column:
+def has_api_key(header: Column, q: Column, default_key: str) -> Column:
     """Whether a key comes with the request or a default one is configured.
 
     Only the flag leaves this function, so that no key is stored.
     """
     if default_key:
         return F.lit(True)
-    return F.coalesce(
-        F.nullif(header, F.lit("")), F.nullif(query_value(pairs, "key"), F.lit(""))
-    ).isNotNull()
+    return either_value(header, q["key"]).isNotNull()
 
 
 def authorize_app(access_log: DataFrame, allowed: Sequence[str]) -> DataFrame:
     """Access log with ``app_id`` and ``authorized``."""
     return (
-        access_log.withColumn("_pairs", query_pairs(F.col("query")))
-        .withColumn("app_id", app_id(F.col("app_id_header"), F.col("_pairs")))
-        .withColumn("authorized", app_allowed(F.col("app_id_header"), F.col("_pairs"), allowed))
-        .drop("_pairs")
+        with_query_values(access_log)
+        .withColumn("app_id", app_id(F.col("app_id_header"), F.col("q")))
+        .withColumn("authorized", app_allowed(F.col("app_id_header"), F.col("q"), allowed))
+        .drop("q")
     )
 
 
@@ -59,8 +57,10 @@ def authorize_app_by_table(access_log: DataFrame, allowed: DataFrame) -> DataFra
     )
     if allowed.isEmpty():
         return authorize_app(access_log, [])
-    with_id = access_log.withColumn(
-        "app_id", app_id(F.col("app_id_header"), query_pairs(F.col("query")))
+    with_id = (
+        with_query_values(access_log)
+        .withColumn("app_id", app_id(F.col("app_id_header"), F.col("q")))
+        .drop("q")
     )
     return with_id.join(checked_broadcast(ids), "app_id", "left").withColumn(
         "authorized", F.coalesce("authorized", F.lit(False))
@@ -69,7 +69,5 @@ def authorize_app_by_table(access_log: DataFrame, allowed: DataFrame) -> DataFra
 
 def resolve_api_key(access_log: DataFrame, default_key: str = "") -> DataFrame:
     """Access log with ``has_key``."""
-    return access_log.withColumn(
-        "has_key",
-        has_api_key(F.col("authorization_header"), query_pairs(F.col("query")), default_key),
-    )
+    has_key = has_api_key(F.col("authorization_header"), F.col("q"), default_key)
+    return with_query_values(access_log).withColumn("has_key", has_key).drop("q")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from swellframe.functions.grid import countable_location, grid_cell
 from swellframe.functions.numbers import parse_float_lenient
-from swellframe.functions.query_text import either_value, query_pairs
+from swellframe.functions.query_text import either_value, with_query_values
 from swellframe.operators.admission import app_allowed, has_api_key
 from swellframe.operators.payloads import decodable
 from swellframe.operators.upstream import BIGDATACLOUD, OPENWATERS, STORMGLASS, classify_upstream
@@ -50,10 +50,10 @@ def with_route(access_log: DataFrame) -> DataFrame:
     return access_log.join(F.broadcast(route_table(access_log.sparkSession)), "path")
 
 
-def request_coordinates(pairs: Column) -> tuple[Column, Column]:
+def request_coordinates(q: Column) -> tuple[Column, Column]:
     """(lat, lng) of any route's query; both 0.0 unless both are given."""
-    lat_text = either_value(pairs, "lat", "latitude")
-    lng_text = either_value(pairs, "lng", "longitude")
+    lat_text = either_value(q["lat"], q["latitude"])
+    lng_text = either_value(q["lng"], q["longitude"])
     both = lat_text.isNotNull() & lng_text.isNotNull()
     return (
         F.when(both, parse_float_lenient(lat_text)).otherwise(F.lit(0.0)),
@@ -63,16 +63,16 @@ def request_coordinates(pairs: Column) -> tuple[Column, Column]:
 
 def extract_coords(access_log: DataFrame) -> DataFrame:
     """Access log with ``lat`` and ``lng`` read from the raw query."""
-    lat, lng = request_coordinates(query_pairs(F.col("query")))
-    return access_log.withColumns({"lat": lat, "lng": lng})
+    lat, lng = request_coordinates(F.col("q"))
+    return with_query_values(access_log).withColumns({"lat": lat, "lng": lng}).drop("q")
 
 
-def _validate(kind: Column, pairs: Column) -> Column:
+def _validate(kind: Column, q: Column) -> Column:
     return (
-        F.when(kind == "weather", validate_weather(pairs))
-        .when(kind.isin("tide_extremes", "sea_level"), validate_tide(pairs))
-        .when(kind.isin("ow_extremes", "ow_timeline"), validate_openwaters(pairs))
-        .when(kind == "geocode", validate_geocode(pairs))
+        F.when(kind == "weather", validate_weather(q))
+        .when(kind.isin("tide_extremes", "sea_level"), validate_tide(q))
+        .when(kind.isin("ow_extremes", "ow_timeline"), validate_openwaters(q))
+        .when(kind == "geocode", validate_geocode(q))
     )
 
 
@@ -86,13 +86,13 @@ def classify(
     the upstream call. ``passed_on`` marks a failed answer handed on from upstream.
     ``lat`` and ``lng`` are the raw coordinates, 0.0 where missing.
     """
-    pairs = F.col("_pairs")
+    q = F.col("q")
     admitted = F.coalesce(
         F.when(
-            ~app_allowed(F.col("app_id_header"), pairs, allowed_apps), rejection(*UNAUTHORIZED_APP)
+            ~app_allowed(F.col("app_id_header"), q, allowed_apps), rejection(*UNAUTHORIZED_APP)
         ),
         F.when(
-            F.col("needs_key") & ~has_api_key(F.col("authorization_header"), pairs, default_key),
+            F.col("needs_key") & ~has_api_key(F.col("authorization_header"), q, default_key),
             rejection(*MISSING_KEY),
         ),
     )
@@ -100,16 +100,15 @@ def classify(
         F.col("upstream_body"), F.col("kind"), {kind: kind for _, _, kind, _ in ROUTES}
     )
     answered = classify_upstream(F.col("route_backend"), F.col("upstream_status"), body_ok)
-    lat, lng = request_coordinates(pairs)
+    lat, lng = request_coordinates(q)
     refusal = F.struct(
         F.col("_admitted").isNull().alias("reached"),
-        F.coalesce("_admitted", _validate(F.col("kind"), pairs)).alias("refused"),
+        F.coalesce("_admitted", _validate(F.col("kind"), q)).alias("refused"),
     )
-    # The explodes of one element turn the split query and the outcome into plain
-    # attributes, so that no filter pushed down evaluates them a second time.
+    # The one-element explode makes the outcome a plain attribute, so that no filter
+    # pushed down decodes the body a second time.
     return (
-        with_route(access_log)
-        .select("*", F.explode_outer(F.array(query_pairs(F.col("query")))).alias("_pairs"))
+        with_query_values(with_route(access_log))
         .withColumn("_admitted", admitted)
         .withColumn("_refusal", refusal)
         .select("*", F.explode_outer(_outcome(answered)).alias("_outcome"))
@@ -129,7 +128,7 @@ def classify(
                 "lng": lng,
             }
         )
-        .drop("_pairs", "_admitted", "_refusal", "_outcome")
+        .drop("q", "_admitted", "_refusal", "_outcome")
     )
 
 

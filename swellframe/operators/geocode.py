@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from swellframe.functions.grid import grid_cell
 from swellframe.functions.numbers import parse_float_lenient
-from swellframe.functions.query_text import query_value
+from swellframe.functions.query_text import given
 from swellframe.operators.sizing import checked_broadcast
 
 PLACE = ("locality", "city", "countryName", "countryCode")
 CELL = ["lat_cell", "lng_cell"]
 
 
-def geocode_coordinates(pairs: Column) -> tuple[Column, Column]:
+def geocode_coordinates(q: Column) -> tuple[Column, Column]:
     """(lat, lng) that a geocode request asks for; text that is no number counts as 0."""
-    return tuple(
-        parse_float_lenient(F.coalesce(query_value(pairs, name), F.lit("")))
-        for name in ("latitude", "longitude")
+    return (
+        parse_float_lenient(given(q["latitude"])),
+        parse_float_lenient(given(q["longitude"])),
     )
 
 

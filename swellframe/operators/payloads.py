@@ -39,6 +39,7 @@ class Payload:
     array: str | None = None
     texts: tuple[str, ...] = ()
     numbers: tuple[str, ...] = ()
+    flags: tuple[str, ...] = ()
 
     @property
     def schema(self) -> str:
@@ -59,7 +60,7 @@ PAYLOADS = {
     ),
     "sea_level": Payload("sg: DOUBLE, time: VARIANT", "data", ("time",), ("sg",)),
     "ow_extremes": Payload(
-        "time: VARIANT, level: DOUBLE, high: BOOLEAN", "extremes", ("time",), ("level",)
+        "time: VARIANT, level: DOUBLE, high: BOOLEAN", "extremes", ("time",), ("level",), ("high",)
     ),
     "ow_timeline": Payload("time: VARIANT, level: DOUBLE", "timeline", ("time",), ("level",)),
     "geocode": Payload(
@@ -148,26 +149,33 @@ def decode(payloads: DataFrame, kind: str, body: str = "body") -> DataFrame:
 
 
 def _records(kind: str) -> Column:
-    """Records of the decoded ``doc``, an empty array where there are none."""
-    name = PAYLOADS[kind].array
-    return F.coalesce(F.col(f"doc.{name}"), F.array().cast(f"ARRAY<STRUCT<{PAYLOADS[kind].record}>>"))
+    """Records of the decoded ``doc`` with plain leaves, an empty array if there are none.
 
+    Text leaves become strings and missing numbers 0.0. That is a step of its own
+    because an expression in a lambda is evaluated anew for each use.
+    """
+    payload = PAYLOADS[kind]
+    records = F.coalesce(
+        F.col(f"doc.{payload.array}"), F.array().cast(f"ARRAY<STRUCT<{payload.record}>>")
+    )
 
-def _text(leaf: Column) -> Column:
-    return leaf.cast("string")
-
+    def plain(record: Column) -> Column:
+        leaves = [record[name].cast("string").alias(name) for name in payload.texts]
+        for path in payload.numbers:
+            number = F.coalesce(_field(record, path), F.lit(0.0))
+            leaves.append(number.alias(path.split(".")[0]))
+        return F.struct(*leaves, *[record[name].alias(name) for name in payload.flags])
 
-def _number(leaf: Column) -> Column:
-    return F.coalesce(leaf, F.lit(0.0))
+    return F.transform(records, plain)
 
 
 def _weather_points(params: Column) -> Column:
     def point(hour: Column) -> Column:
         values = [
-            F.when(F.array_contains(params, field), _number(hour[field]["noaa"])).alias(short)
+            F.when(F.array_contains(params, field), hour[field]).alias(short)
             for field, short in WEATHER_FIELDS.items()
         ]
-        return F.struct(to_epoch(_text(hour["time"])).alias("ts"), *values)
+        return F.struct(to_epoch(hour["time"]).alias("ts"), *values)
 
     return F.transform(_records("weather"), point)
 
@@ -175,8 +183,8 @@ def _weather_points(params: Column) -> Column:
 def _tide_points(kind: str, height: str, label) -> Column:
     def point(record: Column) -> Column:
         return F.struct(
-            to_epoch(_text(record["time"])).alias("ts"),
-            _number(record[height]).alias("h"),
+            to_epoch(record["time"]).alias("ts"),
+            record[height].alias("h"),
             label(record).alias("t"),
         )
 
@@ -189,20 +197,16 @@ NO_LABEL = lambda record: F.lit(None).cast("string")
 def _timeline_candidates() -> Column:
     """Points on the hour of their own offset; unreadable times count as such."""
 
-    def candidate(record: Column) -> Column:
-        time = _text(record["time"])
-        seconds = to_epoch(time)
-        on_hour = (seconds == ZERO_TIME_EPOCH) | (F.substring(time, 15, 5) == "00:00")
+    def timed(record: Column) -> Column:
         return F.struct(
-            seconds.alias("ts"),
-            _number(record["level"]).alias("h"),
-            F.lit(None).cast("string").alias("t"),
-            F.floor(seconds / HOUR_SECONDS).alias("hour"),
-            on_hour.alias("on_hour"),
+            to_epoch(record["time"]).alias("ts"),
+            record["level"].alias("h"),
+            F.substring(record["time"], 15, 5).alias("past_hour"),
         )
 
     return F.filter(
-        F.transform(_records("ow_timeline"), candidate), lambda point: point["on_hour"]
+        F.transform(_records("ow_timeline"), timed),
+        lambda point: (point["ts"] == ZERO_TIME_EPOCH) | (point["past_hour"] == "00:00"),
     )
 
 
@@ -216,7 +220,7 @@ def points(payloads: DataFrame, kind: str, params: str = "params") -> DataFrame:
         wanted = good.withColumn("_wanted", wanted_params(F.col(params)))
         dense = wanted.withColumn("points", _weather_points(F.col("_wanted"))).drop("_wanted")
     elif kind == "tide_extremes":
-        kept = lambda record: F.nullif(_text(record["type"]), F.lit(""))
+        kept = lambda record: F.nullif(record["type"], F.lit(""))
         dense = good.withColumn("points", _tide_points(kind, "height", kept))
     elif kind == "sea_level":
         dense = good.withColumn("points", _tide_points(kind, "sg", NO_LABEL))
@@ -226,6 +230,7 @@ def points(payloads: DataFrame, kind: str, params: str = "params") -> DataFrame:
     elif kind == "ow_timeline":
         # A point is dropped when it falls in the hour of the last one kept. A dropped
         # point always shares that hour, so looking one candidate back is enough.
+        hour = lambda point: F.floor(point["ts"] / HOUR_SECONDS)
         zero_hour = F.lit(ZERO_TIME_EPOCH // HOUR_SECONDS)
         candidates = good.withColumn("_on_hour", _timeline_candidates())
         dense = candidates.withColumn(
@@ -233,10 +238,12 @@ def points(payloads: DataFrame, kind: str, params: str = "params") -> DataFrame:
             F.transform(
                 F.filter(
                     F.col("_on_hour"),
-                    lambda point, i: point["hour"]
-                    != F.coalesce(F.get(F.col("_on_hour"), i - 1)["hour"], zero_hour),
+                    lambda point, i: hour(point)
+                    != F.coalesce(hour(F.get(F.col("_on_hour"), i - 1)), zero_hour),
+                ),
+                lambda point: F.struct(
+                    point["ts"], point["h"], F.lit(None).cast("string").alias("t")
                 ),
-                lambda point: F.struct(point["ts"], point["h"], point["t"]),
             ),
         ).drop("_on_hour")
     else:

@@ -1,6 +1,6 @@
 """Request validation per kind of route.
 
-Each check returns ``STRUCT<status_code, error_type, message>`` for the first rule a
+``q`` is the struct of query values of ``with_query_values``. Each check returns ``STRUCT<status_code, error_type, message>`` for the first rule a
 request breaks, and null for a request that may go on.
 """
 
@@ -10,8 +10,8 @@ from pyspark.sql import Column, functions as F
 
 from swellframe.functions.grid import valid_coordinate
 from swellframe.functions.numbers import parse_float_strict
-from swellframe.functions.query_text import query_value
-from swellframe.functions.request_text import filter_params
+from swellframe.functions.query_text import given
+from swellframe.functions.request_text import wanted_params
 
 # Error types, messages, and the accepted source and datums.
 INVALID_COORDINATES = "Invalid Coordinates"
@@ -41,10 +41,9 @@ def _bad_request(error_type: str, message: str) -> Column:
     return rejection(400, error_type, message)
 
 
-def _numeric_coordinates(pairs: Column) -> Column:
+def _numeric_coordinates(q: Column) -> Column:
     """The two checks shared by the routes that parse coordinates strictly."""
-    lat = parse_float_strict(F.coalesce(query_value(pairs, "lat"), F.lit("")))
-    lng = parse_float_strict(F.coalesce(query_value(pairs, "lng"), F.lit("")))
+    lat, lng = parse_float_strict(q["lat"]), parse_float_strict(q["lng"])
     return F.when(
         lat.isNull() | lng.isNull(), _bad_request(INVALID_COORDINATES, NOT_NUMBERS)
     ).when(
@@ -53,49 +52,44 @@ def _numeric_coordinates(pairs: Column) -> Column:
     )
 
 
-def _coordinates_given(pairs: Column) -> Column:
+def _coordinates_given(q: Column) -> Column:
     """The presence check of the routes that pass coordinates on as text."""
-    lat = F.coalesce(query_value(pairs, "latitude"), F.lit(""))
-    lng = F.coalesce(query_value(pairs, "longitude"), F.lit(""))
-    return F.when(
-        (lat == "") | (lng == ""), _bad_request(INVALID_COORDINATES, COORDINATES_REQUIRED)
-    )
+    missing = (given(q["latitude"]) == "") | (given(q["longitude"]) == "")
+    return F.when(missing, _bad_request(INVALID_COORDINATES, COORDINATES_REQUIRED))
 
 
-def weather_source(pairs: Column) -> Column:
+def weather_source(q: Column) -> Column:
     """Requested source. Only an absent one gets the default: '' stays ''."""
-    return F.coalesce(query_value(pairs, "source"), F.lit(ONLY_SOURCE))
+    return F.coalesce(q["source"], F.lit(ONLY_SOURCE))
 
 
-def validate_weather(pairs: Column) -> Column:
+def validate_weather(q: Column) -> Column:
     """Numbers, then range, then source, then at least one known parameter."""
-    params = filter_params(query_value(pairs, "params"))
     return F.coalesce(
-        _numeric_coordinates(pairs),
-        F.when(weather_source(pairs) != ONLY_SOURCE, _bad_request(*UNSUPPORTED_SOURCE)),
-        F.when(params == "", _bad_request(*NO_VALID_PARAMS)),
+        _numeric_coordinates(q),
+        F.when(weather_source(q) != ONLY_SOURCE, _bad_request(*UNSUPPORTED_SOURCE)),
+        F.when(F.size(wanted_params(q["params"])) == 0, _bad_request(*NO_VALID_PARAMS)),
     )
 
 
-def validate_tide(pairs: Column) -> Column:
+def validate_tide(q: Column) -> Column:
     """Numbers, then range. The datum is passed on unchecked."""
-    return _numeric_coordinates(pairs)
+    return _numeric_coordinates(q)
 
 
-def validate_openwaters(pairs: Column) -> Column:
+def validate_openwaters(q: Column) -> Column:
     """Coordinates present, then a known datum (case matters)."""
-    datum = F.coalesce(query_value(pairs, "datum"), F.lit(""))
     return F.coalesce(
-        _coordinates_given(pairs),
-        F.when(~datum.isin(*DATUMS), _bad_request(*INVALID_DATUM)),
+        _coordinates_given(q),
+        F.when(~given(q["datum"]).isin(*DATUMS), _bad_request(*INVALID_DATUM)),
     )
 
 
-def openwaters_units(pairs: Column) -> Column:
+def openwaters_units(q: Column) -> Column:
     """Requested units, metres where the name is absent."""
-    return F.coalesce(query_value(pairs, "units"), F.lit("meters"))
+    return F.coalesce(q["units"], F.lit("meters"))
 
 
-def validate_geocode(pairs: Column) -> Column:
+def validate_geocode(q: Column) -> Column:
     """Coordinates present; text that is no number counts as 0 later on."""
-    return _coordinates_given(pairs)
+    return _coordinates_given(q)

@@ -55,14 +55,10 @@ def override_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return custom_locations.override_table(mapping.overrides(spark, sf_dir))
 
 
-def pairs_of(df: DataFrame) -> DataFrame:
-    return df.withColumn("pairs", query_text.query_pairs(F.col("query")))
-
-
 def on_route(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    """Access log rows of some kinds of route, with their query pairs."""
+    """Access log rows of some kinds of route, with their query values."""
     routed = facts.with_route(mapping.access_log(spark, sf_dir))
-    return pairs_of(routed.filter(F.col("kind").isin(*kinds)))
+    return query_text.with_query_values(routed.filter(F.col("kind").isin(*kinds)))
 
 
 # ---- sources and sinks -------------------------------------------------------
@@ -178,32 +174,25 @@ def extract_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = on_route(spark, sf_dir, "weather")
-    wanted = request_text.filter_params(query_text.query_value(F.col("pairs"), "params"))
+    wanted = request_text.filter_params(F.col("q.params"))
     return rows.select("id", wanted.alias("params"))
 
 
 def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of the requests that reach the cache: those that pass validation."""
     rows = on_route(spark, sf_dir, "weather", "tide_extremes", "sea_level")
-    pairs, kind = F.col("pairs"), F.col("kind")
+    q, kind = F.col("q"), F.col("kind")
     valid = rows.filter(
-        F.when(kind == "weather", validation.validate_weather(pairs))
-        .otherwise(validation.validate_tide(pairs))
+        F.when(kind == "weather", validation.validate_weather(q))
+        .otherwise(validation.validate_tide(q))
         .isNull()
     )
-    start, end = times.aligned_window(
-        query_text.query_value(pairs, "start"), query_text.query_value(pairs, "end"), F.col("ts")
-    )
-    lat = numbers.parse_float_strict(query_text.query_value(pairs, "lat"))
-    lng = numbers.parse_float_strict(query_text.query_value(pairs, "lng"))
-    params = request_text.filter_params(query_text.query_value(pairs, "params"))
-    weather = request_text.weather_key(
-        lat, lng, params, validation.weather_source(pairs), start, end
-    )
+    start, end = times.aligned_window(q["start"], q["end"], F.col("ts"))
+    lat, lng = numbers.parse_float_strict(q["lat"]), numbers.parse_float_strict(q["lng"])
+    params = request_text.filter_params(q["params"])
+    weather = request_text.weather_key(lat, lng, params, validation.weather_source(q), start, end)
     prefix = F.when(kind == "sea_level", "sealevel").otherwise("tides")
-    tide = request_text.tide_key(
-        prefix, lat, lng, start, end, query_text.query_value(pairs, "datum")
-    )
+    tide = request_text.tide_key(prefix, lat, lng, start, end, q["datum"])
     return valid.select("id", F.when(kind == "weather", weather).otherwise(tide).alias("cache_key"))
 
 
@@ -258,7 +247,7 @@ def resolve_api_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _verdicts(rows: DataFrame, check) -> DataFrame:
-    return rows.withColumn("verdict", check(F.col("pairs"))).select("id", "verdict.*")
+    return rows.withColumn("verdict", check(F.col("q"))).select("id", "verdict.*")
 
 
 def validate_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,13 +322,13 @@ def route_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _geocode_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geocode requests that pass their checks, with the coordinates asked for."""
-    lat, lng = geocode.geocode_coordinates(F.col("pairs"))
+    lat, lng = geocode.geocode_coordinates(F.col("q"))
     passed = classified(spark, sf_dir).filter(
         (F.col("kind") == "geocode")
         & (F.col("backend") == upstream.BIGDATACLOUD)
         & (F.col("status_code") != 400)
     )
-    return pairs_of(passed).withColumns({"lat": lat, "lng": lng})
+    return query_text.with_query_values(passed).withColumns({"lat": lat, "lng": lng})
 
 
 def custom_location_join(spark: SparkSession, sf_dir: str) -> DataFrame:
