@@ -96,9 +96,7 @@ def classify(
             rejection(*MISSING_KEY),
         ),
     )
-    body_ok = decodable(
-        F.col("upstream_body"), F.col("kind"), {kind: kind for _, _, kind, _ in ROUTES}
-    )
+    body_ok = decodable("upstream_body", "kind")
     answered = classify_upstream(F.col("route_backend"), F.col("upstream_status"), body_ok)
     lat, lng = request_coordinates(q)
     refusal = F.struct(

@@ -6,6 +6,7 @@ none of this shuffles; rows are only multiplied at the end by ``posexplode``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -70,67 +71,50 @@ PAYLOADS = {
     ),
 }
 
-STRICT_JSON = {
-    "columnNameOfCorruptRecord": "_bad",
-    "allowNonNumericNumbers": "false",
-    "allowSingleQuotes": "false",
-}
+STRICT_JSON = (
+    "map('columnNameOfCorruptRecord', '_bad', 'allowNonNumericNumbers', 'false', "
+    "'allowSingleQuotes', 'false')"
+)
 
 
-def parsed(body: Column, kind: str) -> Column:
-    """Body as ``STRUCT<d: ARRAY<document>, _bad>``.
+def _parsed(body: str, kind: str) -> str:
+    """SQL for a body as ``STRUCT<d: ARRAY<document>, _bad>``.
 
     The body is put into an array inside an object. That way text after the document
     is an error, an empty body gives no element, and a bare null gives a null one.
     """
-    wrapped = F.concat(F.lit('{"d":['), body, F.lit("]}"))
-    return F.from_json(wrapped, f"d ARRAY<{PAYLOADS[kind].schema}>, _bad STRING", STRICT_JSON)
-
-
-def _field(record: Column, path: str) -> Column:
-    for name in path.split("."):
-        record = record[name]
-    return record
+    schema = f"d ARRAY<{PAYLOADS[kind].schema}>, _bad STRING"
+    return f"""from_json(concat('{{"d":[', {body}, ']}}'), '{schema}', {STRICT_JSON})"""
 
 
-def _spoiled(record: Column, payload: Payload) -> Column:
-    """Whether a record holds text that is not text, or a number past the range."""
-    checks = [
-        ~F.schema_of_variant(_field(record, path)).isin("STRING", "VOID") for path in payload.texts
-    ] + [F.abs(_field(record, path)) == float("inf") for path in payload.numbers]
-    spoiled = F.lit(False)
-    for check in checks:
-        spoiled = spoiled | F.coalesce(check, F.lit(False))
-    return spoiled
-
+def _accepted(document: str, kind: str) -> str:
+    """SQL for whether a parsed body is one whole document of the right types.
 
-def _accepted(document: Column, kind: str) -> Column:
-    """Whether a parsed body is one whole document of the right types."""
+    A record is spoiled by a text leaf that is not text, or a number past the range.
+    """
     payload = PAYLOADS[kind]
-    first = F.get(document["d"], F.lit(0))
-    if payload.array:
-        spoiled = F.exists(first[payload.array], lambda record: _spoiled(record, payload))
-    else:
-        spoiled = _spoiled(first, payload)
-    one = document["_bad"].isNull() & (F.size(document["d"]) == 1)
-    return F.coalesce(one & ~F.coalesce(spoiled, F.lit(False)), F.lit(False))
-
-
-def _check(kind: str):
-    return lambda document: _accepted(document, kind)
+    checks = [
+        f"coalesce(schema_of_variant(record.{path}) NOT IN ('STRING', 'VOID'), false)"
+        for path in payload.texts
+    ] + [f"coalesce(abs(record.{path}) = double('inf'), false)" for path in payload.numbers]
+    first, spoiled = f"get({document}.d, 0)", " OR ".join(checks)
+    records = f"{first}.{payload.array}" if payload.array else f"array({first})"
+    return f"""coalesce({document}._bad IS NULL AND size({document}.d) = 1
+      AND NOT coalesce(exists({records}, record -> {spoiled}), false), false)"""
 
 
-def decodable(body: Column, kind: Column, kinds: dict[str, str]) -> Column:
-    """Whether ``body`` decodes as the payload of its ``kind``.
+def decodable(body: str, kind: str, kinds: Sequence[str] = tuple(PAYLOADS)) -> Column:
+    """Whether the column ``body`` decodes as the payload named in the column ``kind``.
 
-    ``kinds`` maps values of the kind column to payload names. Each branch wraps the
-    parsed value in a one-element array so that the body is parsed only once.
+    Each branch puts the parsed value into a one-element array, so that the body is
+    parsed only once.
     """
-    verdict = F.lit(None).cast("boolean")
-    for value, payload in kinds.items():
-        once = F.transform(F.array(parsed(body, payload)), _check(payload))
-        verdict = F.when(kind == value, F.get(once, F.lit(0))).otherwise(verdict)
-    return F.coalesce(verdict, F.lit(False))
+    branches = " ".join(
+        f"WHEN '{name}' THEN get(transform(array({_parsed(body, name)}), "
+        f"document -> {_accepted('document', name)}), 0)"
+        for name in kinds
+    )
+    return F.expr(f"coalesce(CASE {kind} {branches} END, false)")
 
 
 def decode(payloads: DataFrame, kind: str, body: str = "body") -> DataFrame:
@@ -141,8 +125,8 @@ def decode(payloads: DataFrame, kind: str, body: str = "body") -> DataFrame:
     pushed below it and the body parsed again for each use.
     """
     return (
-        payloads.select("*", F.explode_outer(F.array(parsed(F.col(body), kind))).alias("_parsed"))
-        .withColumn("decoded", _accepted(F.col("_parsed"), kind))
+        payloads.select("*", F.explode_outer(F.array(F.expr(_parsed(body, kind)))).alias("_parsed"))
+        .withColumn("decoded", F.expr(_accepted("_parsed", kind)))
         .withColumn("doc", F.get(F.col("_parsed.d"), F.lit(0)))
         .drop("_parsed")
     )
@@ -162,8 +146,9 @@ def _records(kind: str) -> Column:
     def plain(record: Column) -> Column:
         leaves = [record[name].cast("string").alias(name) for name in payload.texts]
         for path in payload.numbers:
-            number = F.coalesce(_field(record, path), F.lit(0.0))
-            leaves.append(number.alias(path.split(".")[0]))
+            name, *inner = path.split(".")
+            leaf = record[name][inner[0]] if inner else record[name]
+            leaves.append(F.coalesce(leaf, F.lit(0.0)).alias(name))
         return F.struct(*leaves, *[record[name].alias(name) for name in payload.flags])
 
     return F.transform(records, plain)

@@ -270,9 +270,7 @@ def validate_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classify_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts.with_route(mapping.access_log(spark, sf_dir))
-    body_ok = payloads.decodable(
-        F.col("upstream_body"), F.col("kind"), {kind: kind for kind in payloads.PAYLOADS}
-    )
+    body_ok = payloads.decodable("upstream_body", "kind")
     failure = upstream.classify_upstream(F.col("route_backend"), F.col("upstream_status"), body_ok)
     return rows.select("id", failure.alias("failure")).select("id", "failure.*")
 
@@ -465,10 +463,10 @@ def evolve_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streams -----------------------------------------------------------------
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events of ``sf_dir`` as a file stream."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return reader.option("maxBytesPerTrigger", 2**30).parquet(sf_dir)
+    """The events of ``sf_dir`` as a file stream, spread like the table."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    reader = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet")
+    return mapping.spread(reader.option("maxBytesPerTrigger", 2**30).parquet(sf_dir), table)
 
 
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,7 +497,7 @@ def stream_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = request_streams.stream_locations(log_stream(spark, sf_dir), ALLOWED_APPS)
     folder = _finished(changes, "stream-locations")
     return request_streams.current_locations(
-        spark.read.schema("lat DOUBLE, lng DOUBLE, part BIGINT, count BIGINT").parquet(folder)
+        spark.read.schema(tables.LOCATIONS).parquet(folder)
     )
 
 

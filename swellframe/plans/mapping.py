@@ -106,14 +106,18 @@ access_log AS (
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events, spread over all cores where the files have too few splits for that.
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(table, table)
+
+
+def spread(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` over all cores where the files of ``table`` have too few splits for that.
 
     A table of many files has splits enough and is read as it is. Filters and column
     pruning reach the scan through the repartition.
     """
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return rows if table.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def mapped(source: DataFrame) -> DataFrame:

@@ -16,9 +16,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from swellframe.operators.facts import classify, countable, error_rows, request_facts
 from swellframe.operators.reports import backend_stats
 
-# A cell's count is kept in this many parts, so that a hot cell has several tasks.
-COUNT_PARTS = 16
-
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str, by_day: bool = False) -> StreamingQuery:
     """Start a query that appends a stream to Parquet until all given input is read."""
@@ -51,29 +48,35 @@ def stream_backend_stats(facts: DataFrame) -> DataFrame:
     return backend_stats(facts, None)
 
 
+def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.groupby(["lat", "lng"], as_index=False).size().rename(columns={"size": "count"})
+
+
 def _add_up(
     key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    total = (state.get[0] if state.exists else 0) + sum(len(chunk) for chunk in chunks)
+    before = state.get[0] if state.exists else 0
+    total = before + sum(int(chunk["count"].sum()) for chunk in chunks)
     state.update((total,))
-    lat, lng, part = key
-    yield pd.DataFrame({"lat": [lat], "lng": [lng], "part": [part], "count": [total]})
+    yield pd.DataFrame({"lat": [key[0]], "lng": [key[1]], "count": [total]})
 
 
 def stream_locations(
     access_log: DataFrame, allowed_apps: Sequence[str] = (), default_key: str = ""
 ) -> DataFrame:
-    """Access log stream as a stream of running counts per cell and part.
+    """Access log stream as a stream of running counts per cell.
 
     An aggregate in update mode has no file sink, so the counts are kept in state here
-    and every change is appended. Counts only grow: the current count of a cell is
-    the sum over its parts of the largest value seen, see :func:`current_locations`.
+    and every change is appended. Counts only grow: the current count of a cell is the
+    largest one written, see :func:`current_locations`. Cells are counted per Arrow
+    batch before the shuffle, so a hot cell sends one row per batch.
     """
-    cells = countable(classify(access_log, allowed_apps, default_key))
-    parts = cells.select("lat", "lng", F.pmod(F.xxhash64("id"), F.lit(COUNT_PARTS)).alias("part"))
-    return parts.groupBy("lat", "lng", "part").applyInPandasWithState(
+    cells = countable(classify(access_log, allowed_apps, default_key)).select("lat", "lng")
+    counted = cells.mapInPandas(_count_batches, "lat DOUBLE, lng DOUBLE, count BIGINT")
+    return counted.groupBy("lat", "lng").applyInPandasWithState(
         _add_up,
-        "lat DOUBLE, lng DOUBLE, part BIGINT, count BIGINT",
+        "lat DOUBLE, lng DOUBLE, count BIGINT",
         "total BIGINT",
         "append",
         GroupStateTimeout.NoTimeout,
@@ -82,9 +85,4 @@ def stream_locations(
 
 def current_locations(changes: DataFrame) -> DataFrame:
     """Current count per cell from the changes written by :func:`stream_locations`."""
-    return (
-        changes.groupBy("lat", "lng", "part")
-        .agg(F.max("count").alias("count"))
-        .groupBy("lat", "lng")
-        .agg(F.sum("count").alias("count"))
-    )
+    return changes.groupBy("lat", "lng").agg(F.max("count").alias("count"))
