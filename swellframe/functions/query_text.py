@@ -32,11 +32,13 @@ def with_query_values(rows: DataFrame, query: str = "query", name: str = "q") ->
     position. The one-element explode makes the struct a plain attribute, which filters
     pushed down do not evaluate again.
     """
+    # Decoding is left out for plain pairs; a null name never matches.
+    decode = "if(contains(pair, '%') OR contains(pair, '+'), try_url_decode({0}), {0})".format
     pair_name = "substring_index(pair, '=', 1)"
     pairs = f"""
       transform(split({query}, '&'), pair -> named_struct(
-        'name', if(contains(pair, ';'), NULL, try_url_decode({pair_name})),
-        'value', try_url_decode(substr(pair, length({pair_name}) + 2))))"""
+        'name', if(contains(pair, ';'), NULL, {decode(pair_name)}),
+        'value', {decode(f"substr(pair, length({pair_name}) + 2)")}))"""
     columns = f"""
       transform(array({pairs}), pairs -> named_struct(
         'names', transform(pairs, pair -> if(pair.value IS NULL, NULL, pair.name)),
