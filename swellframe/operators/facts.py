@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from swellframe.functions.grid import countable_location, grid_cell
-from swellframe.functions.numbers import parse_float_lenient
+from swellframe.functions.numbers import parse_float_lenient, parse_float_strict
 from swellframe.functions.query_text import either_value, with_query_values
+from swellframe.functions.request_text import filter_params, tide_key, weather_key
+from swellframe.functions.times import aligned_window
 from swellframe.operators.admission import app_allowed, has_api_key
 from swellframe.operators.payloads import decodable
 from swellframe.operators.upstream import BIGDATACLOUD, OPENWATERS, STORMGLASS, classify_upstream
@@ -18,6 +20,7 @@ from swellframe.operators.validation import (
     validate_openwaters,
     validate_tide,
     validate_weather,
+    weather_source,
 )
 
 # Route paths with their backend, payload kind and need of an API key.
@@ -29,10 +32,13 @@ ROUTES = (
     ("/tides/timeline", OPENWATERS, "ow_timeline", False),
     ("/data/reverse-geocode-client", BIGDATACLOUD, "geocode", False),
 )
+ROUTE_METHOD = "GET"
 # Outcomes of the checks made before a handler runs.
 UNAUTHORIZED_APP = (401, "Unauthorized App ID", "Unauthorized: invalid or missing App ID")
 MISSING_KEY = (403, "Missing API Key", "No API key provided")
 UNKNOWN_BACKEND = "Unknown"
+# Kinds of request whose responses are cached.
+CACHED_KINDS = ("weather", "tide_extremes", "sea_level")
 UNKNOWN_ERROR = "Unknown Error"
 
 
@@ -46,8 +52,9 @@ def route_table(spark: SparkSession) -> DataFrame:
 
 
 def with_route(access_log: DataFrame) -> DataFrame:
-    """Access log rows on a known route. Other paths are not logged at all."""
-    return access_log.join(F.broadcast(route_table(access_log.sparkSession)), "path")
+    """Access log rows on a known route. Other paths and methods are not logged at all."""
+    routes = F.broadcast(route_table(access_log.sparkSession))
+    return access_log.filter(F.col("method") == ROUTE_METHOD).join(routes, "path")
 
 
 def request_coordinates(q: Column) -> tuple[Column, Column]:
@@ -187,6 +194,35 @@ def error_rows(classified: DataFrame) -> DataFrame:
     )
 
 
+def cache_requests(classified: DataFrame) -> DataFrame:
+    """Requests that reach the response cache: ``id, ts, cache_key, success``.
+
+    Those are the requests of one backend that pass the checks made before and in the
+    handler. Only an answer that could be decoded is stored.
+    """
+    reaching = with_query_values(
+        classified.filter(
+            F.col("kind").isin(*CACHED_KINDS)
+            & (F.col("backend") != UNKNOWN_BACKEND)
+            & (F.col("status_code") != 400)
+        )
+    )
+    key = request_key(F.col("kind"), F.col("q"), F.col("ts"))
+    return reaching.select(
+        "id", "ts", key.alias("cache_key"), (F.col("status_code") == 200).alias("success")
+    )
+
+
+def request_key(kind: Column, q: Column, ts: Column) -> Column:
+    """Cache key of a valid request of one of the ``CACHED_KINDS``."""
+    start, end = aligned_window(q["start"], q["end"], ts)
+    lat, lng = parse_float_strict(q["lat"]), parse_float_strict(q["lng"])
+    weather = weather_key(lat, lng, filter_params(q["params"]), weather_source(q), start, end)
+    prefix = F.when(kind == "sea_level", "sealevel").otherwise("tides")
+    tide = tide_key(prefix, lat, lng, start, end, q["datum"])
+    return F.when(kind == "weather", weather).otherwise(tide)
+
+
 def countable(classified: DataFrame) -> DataFrame:
     """Cells of the requests that add to the lifetime counters."""
     return classified.filter(

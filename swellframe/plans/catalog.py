@@ -180,20 +180,14 @@ def filter_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of the requests that reach the cache: those that pass validation."""
-    rows = on_route(spark, sf_dir, "weather", "tide_extremes", "sea_level")
+    rows = on_route(spark, sf_dir, *facts.CACHED_KINDS)
     q, kind = F.col("q"), F.col("kind")
     valid = rows.filter(
         F.when(kind == "weather", validation.validate_weather(q))
         .otherwise(validation.validate_tide(q))
         .isNull()
     )
-    start, end = times.aligned_window(q["start"], q["end"], F.col("ts"))
-    lat, lng = numbers.parse_float_strict(q["lat"]), numbers.parse_float_strict(q["lng"])
-    params = request_text.filter_params(q["params"])
-    weather = request_text.weather_key(lat, lng, params, validation.weather_source(q), start, end)
-    prefix = F.when(kind == "sea_level", "sealevel").otherwise("tides")
-    tide = request_text.tide_key(prefix, lat, lng, start, end, q["datum"])
-    return valid.select("id", F.when(kind == "weather", weather).otherwise(tide).alias("cache_key"))
+    return valid.select("id", facts.request_key(kind, q, F.col("ts")).alias("cache_key"))
 
 
 def to_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,6 +376,11 @@ def ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return response_cache.ttl_labels(cache_requests(parts(spark, sf_dir)))
 
 
+def ttl_dedup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels from the raw access log, with the keys that the requests really have."""
+    return response_cache.ttl_labels(facts.cache_requests(classified(spark, sf_dir)))
+
+
 def ttl_upstream_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return response_cache.upstream_calls(ttl_dedup(spark, sf_dir))
 
@@ -567,6 +566,7 @@ QUERIES: dict[str, Query] = {
         geocode_resolve,
         route_backend_join,
         ttl_dedup,
+        ttl_dedup_requests,
         ttl_upstream_calls,
         first_seen_cell,
         lifetime_locations,

@@ -36,7 +36,7 @@ named AS (
     CASE WHEN regexp_full_match(lat_text, {FLOAT}) THEN TRY_CAST(lat_text AS DOUBLE) END AS lat_num,
     CASE WHEN regexp_full_match(lng_text, {FLOAT}) THEN TRY_CAST(lng_text AS DOUBLE) END AS lng_num,
     k NOT IN (61, 62, 63) AND upstream_status = 200 AS decodable
-  FROM access_log WHERE family <> 'none'),
+  FROM access_log WHERE family <> 'none' AND method = 'GET'),
 checked AS (
   SELECT *,
     CASE WHEN family = 'stormglass' THEN
@@ -161,6 +161,15 @@ PARAMS_SQL = """CASE WHEN k % 5 = 0 THEN 'swellHeight,swellPeriod'
   WHEN k % 5 = 2 THEN 'windDirection,secondarySwellHeight,secondarySwellPeriod'
   WHEN params = 'bogus,' THEN '' ELSE params END"""
 
+# Keys of the valid requests whose responses are cached.
+KEYS_SQL = f"""SELECT a.id, CASE o.kind WHEN 'weather' THEN 'weather' WHEN 'sea_level' THEN 'sealevel' ELSE 'tides' END
+        || ':' || printf('%.2f', o.lat_num) || ':' || printf('%.2f', o.lng_num) || ':'
+        || CASE WHEN o.kind = 'weather' THEN wanted || ':noaa:' ELSE '' END
+        || a.start_s || ':' || least(a.end_hour_s, a.start_s + 604800)
+        || CASE WHEN o.kind = 'weather' THEN '' ELSE ':' || COALESCE(o.datum, '') END AS cache_key
+      FROM aligned a JOIN (SELECT *, {PARAMS_SQL} AS wanted FROM checked) o ON a.id = o.id
+      WHERE o.family = 'stormglass' AND o.flaw IS NULL"""
+
 # ---- payloads ----------------------------------------------------------------
 
 # One row per step of a body, without the bodies that do not decode.
@@ -243,12 +252,9 @@ FIRST_SQL = """SELECT * FROM (
 # ---- response lifetimes ------------------------------------------------------
 
 # One request at a time per key, carrying the time of the last stored response.
-TTL_SQL = f"""RECURSIVE {ACCESS_LOG_SQL},
+CHAIN_SQL = """
 arrivals AS (
-  SELECT id, ts, event_type || ':' || u % 6 AS cache_key, k % 10 NOT IN (6, 8) AS success,
-    row_number() OVER (PARTITION BY event_type, u % 6 ORDER BY ts, id) AS n
-  FROM access_log
-  WHERE event_type IN ('view', 'click', 'purchase') AND k % 10 <> 9 AND k NOT IN (2, 3)),
+  SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY ts, id) AS n FROM reaching),
 chain AS (
   SELECT id, ts, cache_key, success, n, FALSE AS hit,
     CASE WHEN success THEN ts END AS written
@@ -262,6 +268,12 @@ chain AS (
 labelled AS (
   SELECT id, ts, cache_key, success, CASE WHEN hit THEN 'HIT' ELSE 'MISS' END AS cache FROM chain)
 """
+TTL_SQL = f"""RECURSIVE {ACCESS_LOG_SQL},
+reaching AS (
+  SELECT id, ts, event_type || ':' || u % 6 AS cache_key, k % 10 NOT IN (6, 8) AS success
+  FROM access_log
+  WHERE event_type IN ('view', 'click', 'purchase') AND k % 10 <> 9 AND k NOT IN (2, 3)),
+{CHAIN_SQL}"""
 
 NUMBER_TEXT_SQL = f"""{ACCESS_LOG_SQL},
 texts AS (
@@ -322,18 +334,13 @@ CHECKS: dict[str, str] = {
     "extract_coords": f"""WITH {FACTS_SQL}
       SELECT id, raw_lat AS lat, raw_lng AS lng FROM outcomes
       UNION ALL
-      SELECT id, CAST(lat_text AS DOUBLE), CAST(lng_text AS DOUBLE) FROM access_log WHERE family = 'none'""",
+      SELECT id, CAST(lat_text AS DOUBLE), CAST(lng_text AS DOUBLE) FROM access_log
+      WHERE family = 'none' OR method <> 'GET'""",
     "filter_params": _on_facts(
         f"SELECT id, {PARAMS_SQL} AS params FROM named WHERE kind = 'weather'"
     ),
     "cache_key": f"""WITH {FACTS_SQL}, {WINDOW_STEPS}
-      SELECT a.id, CASE o.kind WHEN 'weather' THEN 'weather' WHEN 'sea_level' THEN 'sealevel' ELSE 'tides' END
-        || ':' || printf('%.2f', o.lat_num) || ':' || printf('%.2f', o.lng_num) || ':'
-        || CASE WHEN o.kind = 'weather' THEN wanted || ':noaa:' ELSE '' END
-        || a.start_s || ':' || least(a.end_hour_s, a.start_s + 604800)
-        || CASE WHEN o.kind = 'weather' THEN '' ELSE ':' || COALESCE(o.datum, '') END AS cache_key
-      FROM aligned a JOIN (SELECT *, {PARAMS_SQL} AS wanted FROM checked) o ON a.id = o.id
-      WHERE o.family = 'stormglass' AND o.flaw IS NULL""",
+      {KEYS_SQL}""",
     "to_epoch": _on_parts(
         f"SELECT id, {_epoch('start_text')} AS start_s, {_epoch('end_text')} AS end_s FROM access_log"
     ),
@@ -432,6 +439,12 @@ CHECKS: dict[str, str] = {
         "SELECT id, path, route_backend AS backend, kind, family = 'stormglass' AS needs_key FROM named"
     ),
     "ttl_dedup": f"WITH {TTL_SQL} SELECT * FROM labelled",
+    "ttl_dedup_requests": f"""WITH RECURSIVE {FACTS_SQL}, {WINDOW_STEPS},
+      keys AS ({KEYS_SQL}),
+      reaching AS (
+        SELECT o.id, o.ts, keys.cache_key, o.status_code = 200 AS success
+        FROM outcomes o JOIN keys ON o.id = keys.id WHERE o.status_code <> 400 AND o.backend <> 'Unknown'),
+      {CHAIN_SQL} SELECT * FROM labelled""",
     "ttl_upstream_calls": f"""WITH {TTL_SQL}
       SELECT cache_key, count(*) AS requests, count(*) FILTER (WHERE cache = 'HIT') AS hits,
         count(*) FILTER (WHERE cache = 'MISS') AS upstream_calls

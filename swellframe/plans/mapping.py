@@ -78,7 +78,7 @@ parts AS (
       WHEN k = 53 THEN NULL WHEN k = 54 THEN 302 ELSE 200 END AS upstream_status
   FROM placed),
 access_log AS (
-  SELECT *, 'GET' AS method,
+  SELECT *, CASE WHEN k = 78 THEN 'POST' ELSE 'GET' END AS method,
     COALESCE(CASE WHEN family = 'stormglass' THEN 'lat=' ELSE 'latitude=' END
         || replace(lat_text, ' ', '%20') || '&', '')
       || COALESCE(CASE WHEN family = 'stormglass' THEN 'lng=' ELSE 'longitude=' END || lng_text, '')

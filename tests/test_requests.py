@@ -184,3 +184,20 @@ def test_day_limit_reaches_the_scan(spark, tmp_path):
     plan = report._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dt" in plan
     assert "GreaterThanOrEqual(ts,2024-02-27T10:30)" in plan
+
+
+def test_requests_that_reach_the_cache(log_rows):
+    base = {"ts": TS, "path": TIDES, "authorization_header": "k", "upstream_status": 200,
+            "upstream_body": "{}"}
+    rows = log_rows(
+        {**base, "query": "lat=1.015&lng=2&start=1709632800&end=1709636400&datum=MSL"},
+        {**base, "query": "lat=1&lng=2", "upstream_status": 503},
+        {**base, "query": "lat=1&lng=2", "upstream_body": "["},
+        {**base, "query": "lat=200&lng=2"},
+        {**base, "query": "lat=1&lng=2", "authorization_header": None},
+        {**base, "path": GEOCODE, "query": "latitude=1&longitude=2"},
+        {**base, "query": "lat=1&lng=2", "method": "POST"},
+    )
+    reaching = facts.cache_requests(facts.classify(rows)).orderBy("id").collect()
+    assert [(row.id, row.success) for row in reaching] == [(0, True), (1, False), (2, False)]
+    assert reaching[0].cache_key == "tides:1.01:2.00:1709632800:1709636400:MSL"
