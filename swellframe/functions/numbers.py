@@ -10,8 +10,9 @@ HEX_FLOAT = r"[+-]?0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[0-
 NAMED_FLOAT = r"[+-]?(?i:inf|infinity)|(?i:nan)"
 FLOAT_TEXT = f"^({DECIMAL_FLOAT}|{HEX_FLOAT}|{NAMED_FLOAT})$"
 
-# From 2^52 on every double is a whole number, so rounding leaves it as it is.
-WHOLE_DOUBLES_FROM = float(2**52)
+# The largest double below 0.5. Adding it and cutting off the fraction rounds half up
+# for every positive double; adding 0.5 itself would raise 0.49999999999999994 to 1.
+BELOW_HALF = 0.49999999999999994
 
 
 def round_half_away(value: Column, precision: int = 0) -> Column:
@@ -21,14 +22,11 @@ def round_half_away(value: Column, precision: int = 0) -> Column:
     1.01. Scaling first gives 1.00. Plain arithmetic stays in generated code,
     where ``F.round`` allocates a BigDecimal per row.
     """
-    ratio = float(10**precision)
-    scaled = F.abs(value * F.lit(ratio))
-    whole = F.floor(scaled).cast("double")
-    rounded = F.when(
-        scaled < WHOLE_DOUBLES_FROM,
-        whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0),
-    ).otherwise(scaled)
-    return F.signum(value) * rounded / F.lit(ratio) + F.lit(0.0)
+    ratio = F.lit(float(10**precision))
+    raised = F.abs(value * ratio) + F.lit(BELOW_HALF)
+    rounded = F.signum(value) * (raised - raised % F.lit(1.0)) / ratio
+    # An infinity has no fraction to cut off and stays as it is.
+    return F.nanvl(rounded, value) + F.lit(0.0)
 
 
 def parse_float_lenient(text: Column) -> Column:

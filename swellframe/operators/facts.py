@@ -88,7 +88,8 @@ def classify(
 ) -> DataFrame:
     """Access log rows on known routes with the outcome of each request.
 
-    Adds ``backend, status_code, error_type, message, passed_on, lat, lng``. The checks
+    Adds ``backend, status_code, error_type, message, passed_on, lat, lng`` and the
+    query values ``q``. The checks
     run in order and the first that fails decides: app id, API key, validation, then
     the upstream call. ``passed_on`` marks a failed answer handed on from upstream.
     ``lat`` and ``lng`` are the raw coordinates, 0.0 where missing.
@@ -133,7 +134,7 @@ def classify(
                 "lng": lng,
             }
         )
-        .drop("q", "_admitted", "_refusal", "_outcome")
+        .drop("_admitted", "_refusal", "_outcome")
     )
 
 
@@ -200,12 +201,10 @@ def cache_requests(classified: DataFrame) -> DataFrame:
     Those are the requests of one backend that pass the checks made before and in the
     handler. Only an answer that could be decoded is stored.
     """
-    reaching = with_query_values(
-        classified.filter(
-            F.col("kind").isin(*CACHED_KINDS)
-            & (F.col("backend") != UNKNOWN_BACKEND)
-            & (F.col("status_code") != 400)
-        )
+    reaching = classified.filter(
+        F.col("kind").isin(*CACHED_KINDS)
+        & (F.col("backend") != UNKNOWN_BACKEND)
+        & (F.col("status_code") != 400)
     )
     key = request_key(F.col("kind"), F.col("q"), F.col("ts"))
     return reaching.select(

@@ -320,7 +320,7 @@ def _geocode_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         & (F.col("backend") == upstream.BIGDATACLOUD)
         & (F.col("status_code") != 400)
     )
-    return query_text.with_query_values(passed).withColumns({"lat": lat, "lng": lng})
+    return passed.withColumns({"lat": lat, "lng": lng})
 
 
 def custom_location_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 from datetime import datetime
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ def one(spark, *columns):
         (1.005, 2, 1.0),
         (0.49999999999999994, 0, 0.0),
         (1e300, 2, 1e300),
+        (float("-inf"), 2, float("-inf")),
     ],
 )
 def test_round_half_away(spark, value, precision, want):
@@ -36,6 +39,22 @@ def test_round_half_away(spark, value, precision, want):
     assert got == pytest.approx(want, rel=1e-15)
 
 
+def test_round_equals_exact_arithmetic(spark):
+    pick = random.Random(7)
+    values = [pick.uniform(-200, 200) for _ in range(500)]
+    values += [n / 200 for n in range(-300, 300)] + [2.0**e + d for e in range(45, 54) for d in (0.25, 0.5, 1.5)]
+    rows = spark.createDataFrame([(v,) for v in values], "v DOUBLE").select(
+        "v", numbers.round_half_away(F.col("v"), 2).alias("cents"), numbers.round_half_away(F.col("v")).alias("whole")
+    )
+
+    def exact(scaled):
+        return float(Decimal(scaled).quantize(Decimal(1), ROUND_HALF_UP))
+
+    for row in rows.collect():
+        assert row.cents == exact(row.v * 100) / 100
+        assert row.whole == exact(row.v)
+
+
 def test_round_gives_no_negative_zero_and_keeps_nan(spark):
     zero, nan = one(
         spark,
