@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from swellframe.functions.times import HOUR_SECONDS, epoch_micros
-from swellframe.sources.workspace import ensure_checkpoint_dir
+from swellframe.sources.workspace import written
 
 # Fixed value: lifetime of a stored response.
 LIFETIME_SECONDS = HOUR_SECONDS
@@ -48,7 +48,6 @@ def ttl_labels(
     ``requests`` has ``id, ts, cache_key, success`` and holds only requests that reach
     the cache. Requests of a key are taken in order of ``ts, id``.
     """
-    ensure_checkpoint_dir(requests.sparkSession)
     lifetime = lifetime_seconds * 1_000_000
     timed = requests.withColumn("_at", epoch_micros(F.col("ts"))).withColumn(
         "_bucket", F.floor(F.col("_at") / lifetime)
@@ -83,7 +82,7 @@ def _writes(timed: DataFrame, lifetime: int, folded_run: int) -> DataFrame:
         .agg(F.min("id").alias("write_id"))
     )
     # Written out once: the size of the runs decides how they are solved.
-    runs = _runs(successes, lifetime).checkpoint()
+    runs = written(_runs(successes, lifetime), "cache-runs")
     short = runs.filter(F.col("run_size") <= folded_run)
     long = runs.filter(F.col("run_size") > folded_run)
     member = ["cache_key", "bucket"]
@@ -221,15 +220,12 @@ def _long_run_writes(in_run: DataFrame, last_bucket: int, lifetime: int) -> Data
     """
     levels = int(last_bucket).bit_length()
     first = F.col("at") == F.col("first_at")
-    base = in_run.withColumn("bucket_first", first).checkpoint()
+    base = written(in_run.withColumn("bucket_first", first), "cache-times")
     place = [*RUN, "at"]
-    hops = [
-        _successors(base, lifetime)
-        .join(base.select(*place, "run_bucket", "bucket_first"), place)
-        .checkpoint()
-    ]
+    known = base.select(*place, "run_bucket", "bucket_first")
+    hops = [written(_successors(base, lifetime).join(known, place), "cache-hops")]
     for level in range(levels - 1):
-        hops.append(_joined_hops(hops[level], level).checkpoint())
+        hops.append(written(_joined_hops(hops[level], level), "cache-hops"))
     entries = base.filter((F.col("run_bucket") == 0) & F.col("bucket_first")).select(
         *place, "run_bucket"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,13 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure that ``DataFrame.checkpoint`` has a folder to write to."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-
-
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder."""
     return f"{shared_folder(spark)}/swellframe/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written as a table under the shared folder and read back.
+
+    This cuts the lineage, survives lost executors, and tells the planner the true size.
+    """
+    folder = fresh_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
