@@ -13,7 +13,13 @@ from swellframe.functions.request_text import filter_params, tide_key, weather_k
 from swellframe.functions.times import aligned_window
 from swellframe.operators.admission import app_allowed, has_api_key
 from swellframe.operators.payloads import decodable
-from swellframe.operators.upstream import BIGDATACLOUD, OPENWATERS, STORMGLASS, classify_upstream
+from swellframe.operators.upstream import (
+    BIGDATACLOUD,
+    OPENWATERS,
+    PARSE_ERROR,
+    STORMGLASS,
+    classify_upstream,
+)
 from swellframe.operators.validation import (
     rejection,
     validate_geocode,
@@ -89,10 +95,10 @@ def classify(
     """Access log rows on known routes with the outcome of each request.
 
     Adds ``backend, status_code, error_type, message, passed_on, lat, lng`` and the
-    query values ``q``. The checks
-    run in order and the first that fails decides: app id, API key, validation, then
-    the upstream call. ``passed_on`` marks a failed answer handed on from upstream.
-    ``lat`` and ``lng`` are the raw coordinates, 0.0 where missing.
+    query values ``q``. The checks run in order and the first that fails decides: app
+    id, API key, validation, then the upstream call. ``passed_on`` marks a failed answer
+    handed on from upstream. ``lat`` and ``lng`` are the raw coordinates, 0.0 where
+    missing.
     """
     q = F.col("q")
     admitted = F.coalesce(
@@ -175,7 +181,7 @@ def error_rows(classified: DataFrame) -> DataFrame:
     message otherwise. The upstream body is also kept apart for failed calls, and for
     geocode bodies that could not be read.
     """
-    unreadable_geocode = (F.col("kind") == "geocode") & (F.col("error_type") == "Parse Error")
+    unreadable_geocode = (F.col("kind") == "geocode") & (F.col("error_type") == PARSE_ERROR)
     kept_body = F.when(F.col("passed_on") | unreadable_geocode, F.col("upstream_body"))
     return classified.filter(F.col("status_code") >= 400).select(
         "id",

@@ -50,7 +50,7 @@ def ttl_labels(
     """
     lifetime = lifetime_seconds * 1_000_000
     timed = requests.withColumn("_at", epoch_micros(F.col("ts"))).withColumn(
-        "_bucket", F.floor(F.col("_at") / lifetime)
+        "_bucket", _whole(F.col("_at"), lifetime)
     )
     writes = _writes(timed, lifetime, folded_run)
     covers = _covers(writes, lifetime)
@@ -65,6 +65,11 @@ def ttl_labels(
     )
 
 
+def _whole(at: Column, length: int) -> Column:
+    """Number of whole lengths in a time. Only multiples are divided, so this is exact."""
+    return ((at - F.pmod(at, F.lit(length))) / length).cast("bigint")
+
+
 def upstream_calls(labelled: DataFrame) -> DataFrame:
     """Requests, hits and needed upstream calls per cache key."""
     return labelled.groupBy("cache_key").agg(
@@ -143,7 +148,7 @@ def _fold(successes: DataFrame, lifetime: int) -> DataFrame:
 
 def _covers(writes: DataFrame, lifetime: int) -> DataFrame:
     """Per key and bucket, the write in it and the write in the bucket before."""
-    bucket = F.floor(F.col("at") / lifetime)
+    bucket = _whole(F.col("at"), lifetime)
     here = F.struct(
         bucket.alias("_bucket"),
         F.col("at").alias("write_at"),
@@ -181,7 +186,7 @@ def _successors(in_run: DataFrame, lifetime: int) -> DataFrame:
         F.col("at").alias("asks"),
     )
     points = in_run.select(*RUN, F.inline(F.array(success, question))).withColumn(
-        "slot", F.floor(F.col("point") / slot_length)
+        "slot", _whole(F.col("point"), slot_length)
     )
     # Downwards in time, a success before a question at the same time.
     seen = (

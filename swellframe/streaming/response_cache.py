@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from swellframe.functions.times import epoch_micros
 from swellframe.operators.response_cache import LIFETIME_SECONDS
 
+# Rows handed back to Spark at once.
+OUTPUT_ROWS = 100_000
+
 OUTPUT = "id BIGINT, cache_key STRING, at BIGINT, success BOOLEAN, cache STRING"
 
 
@@ -22,13 +25,19 @@ def _labeller(lifetime: int):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(chunks)).sort_values(["at", "id"], ignore_index=True)
-        at = rows["at"].to_numpy()
-        stored_at = np.flatnonzero(rows["success"].to_numpy())
-        hit = np.zeros(len(rows), dtype=bool)
+        # Of every Arrow chunk only three narrow columns are kept.
+        columns = [
+            (chunk["at"].to_numpy(), chunk["id"].to_numpy(), (chunk["success"] == True).to_numpy())  # noqa: E712
+            for chunk in chunks
+        ]
+        at, ids, success = (np.concatenate(parts) for parts in zip(*columns))
+        order = np.lexsort((ids, at))
+        at, ids, success = at[order], ids[order], success[order]
+        stored_at = np.flatnonzero(success)
+        hit = np.zeros(len(at), dtype=bool)
         written = state.get[0] if state.exists else None
         position = 0
-        while position < len(rows):
+        while position < len(at):
             if written is not None:
                 fresh = np.searchsorted(at, written + lifetime, side="left")
                 hit[position:fresh] = True
@@ -47,14 +56,23 @@ def _labeller(lifetime: int):
                 state.setTimeoutTimestamp(expires)
             else:
                 state.remove()
-        rows["cache"] = np.where(hit, "HIT", "MISS")
-        yield rows[["id", "cache_key", "at", "success", "cache"]]
+        for start in range(0, len(at), OUTPUT_ROWS):
+            part = slice(start, start + OUTPUT_ROWS)
+            yield pd.DataFrame(
+                {
+                    "id": ids[part],
+                    "cache_key": key[0],
+                    "at": at[part],
+                    "success": success[part],
+                    "cache": np.where(hit[part], "HIT", "MISS"),
+                }
+            )
 
     return label
 
 
 def stream_ttl_labels(
-    requests: DataFrame, lifetime_seconds: int = LIFETIME_SECONDS, late: str = "1 hour"
+    requests: DataFrame, lifetime_seconds: int = LIFETIME_SECONDS, late: str = "1 day"
 ) -> DataFrame:
     """Stream of ``id, ts, cache_key, success`` labelled HIT or MISS.
 
