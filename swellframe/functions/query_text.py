@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from swellframe.functions.plain import with_plain_column
+
 # The query parameters that the routes read.
 QUERY_NAMES = (
     "lat",
@@ -29,8 +31,7 @@ def with_query_values(rows: DataFrame, query: str = "query", name: str = "q") ->
     semicolon are left out, as URL decoding does.
 
     The query is split and decoded once per row; each parameter is then a lookup by
-    position. The one-element explode makes the struct a plain attribute, which filters
-    pushed down do not evaluate again.
+    position.
     """
     # Decoding is left out for plain pairs; a null name never matches.
     decode = "if(contains(pair, '%') OR contains(pair, '+'), try_url_decode({0}), {0})".format
@@ -39,16 +40,16 @@ def with_query_values(rows: DataFrame, query: str = "query", name: str = "q") ->
       transform(split({query}, '&'), pair -> named_struct(
         'name', if(contains(pair, ';'), NULL, {decode(pair_name)}),
         'value', {decode(f"substr(pair, length({pair_name}) + 2)")}))"""
-    columns = f"""
-      transform(array({pairs}), pairs -> named_struct(
+    found = f"""
+      get(transform(array({pairs}), pairs -> named_struct(
         'names', transform(pairs, pair -> if(pair.value IS NULL, NULL, pair.name)),
-        'values', pairs.value))"""
+        'values', pairs.value)), 0)"""
     values = ", ".join(
-        f"'{wanted}', get(found.values, array_position(found.names, '{wanted}') - 1)"
+        f"'{wanted}', get(_found.values, array_position(_found.names, '{wanted}') - 1)"
         for wanted in QUERY_NAMES
     )
-    decoded = F.expr(f"transform({columns}, found -> named_struct({values}))")
-    return rows.select("*", F.explode_outer(decoded).alias(name))
+    decoded = with_plain_column(rows, "_found", F.expr(found))
+    return decoded.withColumn(name, F.expr(f"named_struct({values})")).drop("_found")
 
 
 def given(value: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from swellframe.functions.grid import countable_location, grid_cell
 from swellframe.functions.numbers import parse_float_lenient, parse_float_strict
+from swellframe.functions.plain import with_plain_column
 from swellframe.functions.query_text import either_value, with_query_values
 from swellframe.functions.request_text import filter_params, tide_key, weather_key
 from swellframe.functions.times import aligned_window
@@ -117,13 +118,13 @@ def classify(
         F.col("_admitted").isNull().alias("reached"),
         F.coalesce("_admitted", _validate(F.col("kind"), q)).alias("refused"),
     )
-    # The one-element explode makes the outcome a plain attribute, so that no filter
-    # pushed down decodes the body a second time.
-    return (
+    checked = (
         with_query_values(with_route(access_log))
         .withColumn("_admitted", admitted)
         .withColumn("_refusal", refusal)
-        .select("*", F.explode_outer(_outcome(answered)).alias("_outcome"))
+    )
+    return (
+        with_plain_column(checked, "_outcome", _outcome(answered))
         .withColumns(
             {
                 "backend": F.when(F.col("_outcome.reached"), F.col("route_backend")).otherwise(
@@ -145,9 +146,12 @@ def classify(
 
 
 def _outcome(answered: Column) -> Column:
-    """One-element array with the refusal or upstream outcome; 200 if neither is set."""
+    """The refusal or upstream outcome; 200 if neither is set.
+
+    The lambda binds the outcome, so that the body is decoded once.
+    """
     failed = F.coalesce("_refusal.refused", answered)
-    return F.transform(
+    outcomes = F.transform(
         F.array(failed),
         lambda failure: F.struct(
             F.col("_refusal.reached").alias("reached"),
@@ -157,6 +161,7 @@ def _outcome(answered: Column) -> Column:
             (failure.isNotNull() & failure["message"].isNull()).alias("passed_on"),
         ),
     )
+    return F.get(outcomes, F.lit(0))
 
 
 def request_facts(classified: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from swellframe.functions.plain import with_plain_column
 from swellframe.functions.request_text import tide_label, wanted_params
 from swellframe.functions.times import HOUR_SECONDS, ZERO_TIME_EPOCH, to_epoch
 from swellframe.operators.upstream import PARSE_ERROR
@@ -118,14 +119,9 @@ def decodable(body: str, kind: str, kinds: Sequence[str] = tuple(PAYLOADS)) -> C
 
 
 def decode(payloads: DataFrame, kind: str, body: str = "body") -> DataFrame:
-    """``payloads`` with the parsed ``doc`` and the flag ``decoded``.
-
-    The parsed value passes through a one-element explode, so that it is a plain
-    attribute from there on. As a projection it would be inlined into every filter
-    pushed below it and the body parsed again for each use.
-    """
+    """``payloads`` with the parsed ``doc`` and the flag ``decoded``."""
     return (
-        payloads.select("*", F.explode_outer(F.array(F.expr(_parsed(body, kind)))).alias("_parsed"))
+        with_plain_column(payloads, "_parsed", F.expr(_parsed(body, kind)))
         .withColumn("decoded", F.expr(_accepted("_parsed", kind)))
         .withColumn("doc", F.get(F.col("_parsed.d"), F.lit(0)))
         .drop("_parsed")
