@@ -46,7 +46,8 @@ def ttl_labels(
     """``requests`` with ``cache`` set to HIT or MISS.
 
     ``requests`` has ``id, ts, cache_key, success`` and holds only requests that reach
-    the cache. Requests of a key are taken in order of ``ts, id``.
+    the cache. Requests of a key are taken in order of ``ts, id``. They are read three
+    times, so rows that are costly to compute should be stored first.
     """
     lifetime = lifetime_seconds * 1_000_000
     timed = requests.withColumn("_at", epoch_micros(F.col("ts"))).withColumn(

@@ -22,7 +22,7 @@ from swellframe.plans import mapping
 from swellframe.plans.mapping import ALLOWED_APPS, AS_OF
 from swellframe.sources import access_log as log_source
 from swellframe.sources import custom_locations, tables
-from swellframe.sources.workspace import fresh_folder
+from swellframe.sources.workspace import fresh_folder, written
 from swellframe.streaming import requests as request_streams
 from swellframe.streaming import response_cache as cache_stream
 
@@ -377,8 +377,12 @@ def ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ttl_dedup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels from the raw access log, with the keys that the requests really have."""
-    return response_cache.ttl_labels(facts.cache_requests(classified(spark, sf_dir)))
+    """Labels from the raw access log, with the keys that the requests really have.
+
+    The narrow requests are stored first, so that the log is classified only once.
+    """
+    requests = written(facts.cache_requests(classified(spark, sf_dir)), "cache-requests")
+    return response_cache.ttl_labels(requests)
 
 
 def ttl_upstream_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
