@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that every executor can reach, from ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """Folder that every executor can reach.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    ``folder`` if given, else ``spark.checkpoint.dir``. Where neither is set, a folder
+    under ``spark.sql.warehouse.dir``, which a cluster keeps on shared storage.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="swellframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
+def fresh_folder(spark: SparkSession, name: str, folder: str | None = None) -> str:
     """A new, unused path under the shared folder."""
-    return f"{shared_folder(spark)}/swellframe/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark, folder)}/swellframe/{name}-{uuid.uuid4().hex}"
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
@@ -36,3 +33,10 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     folder = fresh_folder(rows.sparkSession, name)
     rows.write.parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a working table that this library has written, on any file system."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
