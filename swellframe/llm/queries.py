@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from swellframe.llm import byte_bpe, chat, rules, warc
+from swellframe.llm import byte_bpe, chat, language, mixing, rules, secrets, topk, warc
 from swellframe.sources.workspace import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(statistics, forest, ["doc_id"])
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.stored_sizes(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(sized, mixing.source_plan(sized))
+
+
 # The planted conversation whose texts look like the marks of a template.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -58,6 +63,46 @@ FROM ranked
 """
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    fitted = language.fit(documents)
+    held_out = documents.select("doc_id", language.held_out().alias("held_out"), "text")
+    return language.predict(held_out, fitted, ["doc_id", "held_out"])
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.stored_spans(table(spark, sf_dir, "documents"))
+    return secrets.span_digests(secrets.reported(spans))
+
+
+# One vector in so many is a query.
+QUERY_STEP, BEST = 20, 20
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % QUERY_STEP == 0), BEST)
+
+
+CHECK_OP8 = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS place, vec_id,
+    list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.place, q.vec_id AS query_id, c.vec_id,
+    CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.place <> c.place),
+ranked AS (
+  SELECT query_id, vec_id, score,
+    CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def vocabulary() -> tuple[str, str]:
     """Rank file and pre-token pattern of the public byte-level vocabulary."""
     import public_tokenizers
@@ -78,9 +123,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_mix_sources": op2_mix_sources,
     "op3_chat_windows": op3_chat_windows,
     "op5_warc": op5_warc,
+    "op6_language": op6_language,
+    "op7_secrets": op7_secrets,
+    "op8_top_k": op8_top_k,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-CHECKS: dict[str, str] = {"op5_warc": CHECK_OP5}
+CHECKS: dict[str, str] = {"op5_warc": CHECK_OP5, "op8_top_k": CHECK_OP8}
