@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from swellframe.llm import byte_bpe, chat, language, mixing, rules, secrets, topk, warc
+from swellframe.llm import byte_bpe, chat, jaccard, language, mixing, rules, secrets, topk, warc
 from swellframe.sources.workspace import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,47 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted_windows(turns))
 
 
+WORD_TRIPLES = jaccard.Link(words=3, num=90, den=100)
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), WORD_TRIPLES)
+
+
+CHECK_OP4 = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS place, doc_id,
+    list_filter(
+      regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'),
+      lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT place, doc_id, CASE
+      WHEN len(w) = 0 THEN []
+      WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct([concat_ws(' ', w[i], w[i + 1], w[i + 2]) FOR i IN range(1, len(w) - 1)])
+    END AS s
+  FROM words),
+flat AS (SELECT place, unnest(s) AS shingle FROM sets),
+shared AS (
+  SELECT a.place AS a, b.place AS b, count(*) AS n
+  FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.place <> b.place
+  GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sets x ON x.place = a JOIN sets y ON y.place = b
+  WHERE 100 * n >= 90 * (len(x.s) + len(y.s) - n)),
+reach AS (
+  SELECT place AS a, place AS b FROM sets
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT x.doc_id, len(x.s) AS n_shingles, min(y.doc_id) AS component_id
+FROM reach JOIN sets x ON x.place = reach.a JOIN sets y ON y.place = reach.b
+GROUP BY x.place, x.doc_id, len(x.s)
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archived(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -125,6 +166,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
     "op3_chat_windows": op3_chat_windows,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_warc": op5_warc,
     "op6_language": op6_language,
     "op7_secrets": op7_secrets,
@@ -132,4 +174,4 @@ QUERIES: dict[str, Query] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-CHECKS: dict[str, str] = {"op5_warc": CHECK_OP5, "op8_top_k": CHECK_OP8}
+CHECKS: dict[str, str] = {"op4_jaccard_join": CHECK_OP4, "op5_warc": CHECK_OP5, "op8_top_k": CHECK_OP8}
