@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from swellframe.llm import byte_bpe, chat, jaccard, language, mixing, rules, secrets, topk, warc
+from swellframe.llm import (
+    byte_bpe,
+    chat,
+    jaccard,
+    language,
+    mixing,
+    repeats,
+    rules,
+    secrets,
+    topk,
+    warc,
+)
 from swellframe.sources.workspace import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +155,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def vocabulary() -> tuple[str, str]:
     """Rank file and pre-token pattern of the public byte-level vocabulary."""
     import public_tokenizers
@@ -171,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "op6_language": op6_language,
     "op7_secrets": op7_secrets,
     "op8_top_k": op8_top_k,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
