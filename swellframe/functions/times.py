@@ -6,12 +6,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, functions as F
 
-# Time text pattern, epoch of the zero time, and window lengths.
+# Time text pattern (up to the very end: "$" would allow a line break), epoch of the zero time, and window lengths.
 RFC3339 = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"
-    r"(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
+    r"(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})\z"
 )
-WHOLE_NUMBER = r"^[+-]?[0-9]+$"
+WHOLE_NUMBER = r"^[+-]?[0-9]+\z"
 ZERO_TIME_EPOCH = -62135596800
 HOUR_SECONDS = 3600
 DEFAULT_WINDOW_SECONDS = 24 * 3600

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from swellframe.functions.query_text import either_value, with_query_values
-from swellframe.operators.sizing import checked_broadcast
 
 
 def app_id(header: Column, q: Column) -> Column:
@@ -62,7 +61,8 @@ def authorize_app_by_table(access_log: DataFrame, allowed: DataFrame) -> DataFra
         .withColumn("app_id", app_id(F.col("app_id_header"), F.col("q")))
         .drop("q")
     )
-    return with_id.join(checked_broadcast(ids), "app_id", "left").withColumn(
+    # No hint: adaptive execution broadcasts the list if its measured size allows that.
+    return with_id.join(ids, "app_id", "left").withColumn(
         "authorized", F.coalesce("authorized", F.lit(False))
     )
 

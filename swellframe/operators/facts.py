@@ -165,16 +165,21 @@ def _outcome(answered: Column) -> Column:
 
 
 def request_facts(classified: DataFrame) -> DataFrame:
-    """One fact row per request: cells for coordinates, null where both are 0."""
+    """One fact row per request: cells for coordinates, null where both are 0.
+
+    A coordinate that is not a number is stored as null.
+    """
     located = (F.col("lat") != 0) | (F.col("lng") != 0)
+    none = F.lit(None).cast("double")
+    cell = lambda name: F.nanvl(grid_cell(F.col(name)), none)
     return classified.select(
         "id",
         "ts",
         "backend",
         "status_code",
         "error_type",
-        F.when(located, grid_cell(F.col("lat"))).alias("lat"),
-        F.when(located, grid_cell(F.col("lng"))).alias("lng"),
+        F.when(located, cell("lat")).alias("lat"),
+        F.when(located, cell("lng")).alias("lng"),
         F.col("ts").cast("date").alias("dt"),
     )
 

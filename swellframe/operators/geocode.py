@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from swellframe.functions.grid import grid_cell
 from swellframe.functions.numbers import parse_float_lenient
 from swellframe.functions.query_text import given
-from swellframe.operators.sizing import checked_broadcast
 
 PLACE = ("locality", "city", "countryName", "countryCode")
 CELL = ["lat_cell", "lng_cell"]
@@ -39,22 +38,24 @@ def custom_location_join(points: DataFrame, overrides: DataFrame) -> DataFrame:
     named = overrides.select(*CELL, F.col("name").alias("locality"))
     nothing = {name: F.lit(None).cast("string") for name in PLACE[1:]}
     return (
-        with_cell(points).join(checked_broadcast(named), CELL, "left").withColumns(nothing)
+        with_cell(points).join(named, CELL, "left").withColumns(nothing)
     )
 
 
 def first_seen_cell(answers: DataFrame) -> DataFrame:
     """Per cell, its first successful upstream answer in order of ``ts, id``.
 
-    ``answers`` holds successful answers only. The partial aggregate keeps one answer
-    per cell and task, so a hot cell sends little through the shuffle.
+    ``answers`` holds successful answers only and is read twice: the first time of each
+    cell comes from a hash aggregate over all of them, and only the answers of that time
+    are then put in order of their ids. A hot cell sends one row per task.
     """
-    order = F.struct("ts", "id")
-    first = F.min_by(F.struct(order.alias("seen"), F.struct(*PLACE).alias("place")), order)
-    return answers.groupBy(*CELL).agg(first.alias("first")).select(
+    first_ts = answers.groupBy(*CELL).agg(F.min("ts").alias("first_ts"))
+    tied = answers.join(first_ts, CELL).filter(F.col("ts") == F.col("first_ts"))
+    first = F.min_by(F.struct("id", F.struct(*PLACE).alias("place")), "id")
+    return tied.groupBy(*CELL, "first_ts").agg(first.alias("first")).select(
         *CELL,
-        F.col("first.seen.ts").alias("first_ts"),
-        F.col("first.seen.id").alias("first_id"),
+        "first_ts",
+        F.col("first.id").alias("first_id"),
         *[F.col(f"first.place.{name}").alias(name) for name in PLACE],
     )
 
@@ -72,9 +73,7 @@ def geocode_resolve(requests: DataFrame, overrides: DataFrame) -> DataFrame:
     any answer has none.
     """
     cells = with_cell(requests)
-    named = checked_broadcast(
-        overrides.select(*CELL, F.col("name").alias("override_name"))
-    )
+    named = overrides.select(*CELL, F.col("name").alias("override_name"))
     marked = cells.join(named, CELL, "left")
     # Cells with an override never reach the upstream service.
     first = first_seen_cell(marked.filter("answered AND override_name IS NULL")).select(

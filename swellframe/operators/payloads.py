@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from swellframe.functions.numbers import json_number
 from swellframe.functions.plain import with_plain_column
 from swellframe.functions.request_text import tide_label, wanted_params
 from swellframe.functions.times import HOUR_SECONDS, ZERO_TIME_EPOCH, to_epoch
@@ -78,6 +79,10 @@ STRICT_JSON = (
 )
 
 
+def _wrapped(body: str) -> str:
+    return f"""concat('{{"d":[', {body}, ']}}')"""
+
+
 def _parsed(body: str, kind: str) -> str:
     """SQL for a body as ``STRUCT<d: ARRAY<document>, _bad>``.
 
@@ -85,13 +90,14 @@ def _parsed(body: str, kind: str) -> str:
     is an error, an empty body gives no element, and a bare null gives a null one.
     """
     schema = f"d ARRAY<{PAYLOADS[kind].schema}>, _bad STRING"
-    return f"""from_json(concat('{{"d":[', {body}, ']}}'), '{schema}', {STRICT_JSON})"""
+    return f"""from_json({_wrapped(body)}, '{schema}', {STRICT_JSON})"""
 
 
-def _accepted(document: str, kind: str) -> str:
+def _accepted(document: str, kind: str, body: str) -> str:
     """SQL for whether a parsed body is one whole document of the right types.
 
-    A record is spoiled by a text leaf that is not text, or a number past the range.
+    A body that closes the array itself and goes on has more than the one key. A record
+    is spoiled by a text leaf that is not text, or a number past the range.
     """
     payload = PAYLOADS[kind]
     checks = [
@@ -101,6 +107,7 @@ def _accepted(document: str, kind: str) -> str:
     first, spoiled = f"get({document}.d, 0)", " OR ".join(checks)
     records = f"{first}.{payload.array}" if payload.array else f"array({first})"
     return f"""coalesce({document}._bad IS NULL AND size({document}.d) = 1
+      AND size(json_object_keys({_wrapped(body)})) = 1
       AND NOT coalesce(exists({records}, record -> {spoiled}), false), false)"""
 
 
@@ -112,7 +119,7 @@ def decodable(body: str, kind: str, kinds: Sequence[str] = tuple(PAYLOADS)) -> C
     """
     branches = " ".join(
         f"WHEN '{name}' THEN get(transform(array({_parsed(body, name)}), "
-        f"document -> {_accepted('document', name)}), 0)"
+        f"document -> {_accepted('document', name, body)}), 0)"
         for name in kinds
     )
     return F.expr(f"coalesce(CASE {kind} {branches} END, false)")
@@ -122,7 +129,7 @@ def decode(payloads: DataFrame, kind: str, body: str = "body") -> DataFrame:
     """``payloads`` with the parsed ``doc`` and the flag ``decoded``."""
     return (
         with_plain_column(payloads, "_parsed", F.expr(_parsed(body, kind)))
-        .withColumn("decoded", F.expr(_accepted("_parsed", kind)))
+        .withColumn("decoded", F.expr(_accepted("_parsed", kind, body)))
         .withColumn("doc", F.get(F.col("_parsed.d"), F.lit(0)))
         .drop("_parsed")
     )
@@ -246,8 +253,23 @@ def pack_dense(payloads: DataFrame, kind: str, keys: list[str], params: str = "p
 
     Missing values are left out of a point, and no points give an empty array.
     """
-    packed = F.to_json(F.struct(F.col("points").alias("data")))
-    return points(payloads, kind, params).select(*keys, packed.alias("document"))
+    numeric = list(WEATHER_FIELDS.values()) if kind == "weather" else ["h"]
+    others = ["ts"] if kind == "weather" else ["ts", "t"]
+    order = ["ts", *numeric, *others[1:]]
+    texts = F.transform(
+        "points",
+        lambda point: F.struct(
+            *[
+                (json_number(point[name]) if name in numeric else point[name]).alias(name)
+                for name in order
+            ]
+        ),
+    )
+    packed = F.to_json(F.struct(texts.alias("data")))
+    # Number texts lose their quotes; quotes inside a text field are escaped and stay.
+    quoted = rf'"({"|".join(numeric)})":"([^"]*)"'
+    document = F.regexp_replace(packed, F.lit(quoted), F.lit('"$1":$2'))
+    return points(payloads, kind, params).select(*keys, document.alias("document"))
 
 
 def geocode_rows(payloads: DataFrame, keys: list[str]) -> DataFrame:
@@ -265,6 +287,21 @@ def geocode_rows(payloads: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def corrupt_payloads(payloads: DataFrame, keys: list[str]) -> DataFrame:
+    """Payloads of any ``kind`` that do not decode, as failed requests, in one pass.
+
+    Only the geocode route keeps the body that could not be read.
+    """
+    kept = F.when(F.col("kind") == "geocode", F.col("body")).otherwise("")
+    return payloads.filter(~decodable("body", "kind")).select(
+        *keys,
+        "kind",
+        F.lit(500).alias("status_code"),
+        F.lit(PARSE_ERROR).alias("error_type"),
+        kept.alias("upstream_response"),
+    )
+
+
 def corrupt_rows(payloads: DataFrame, kind: str, keys: list[str]) -> DataFrame:
     """Payloads that do not decode, as failed requests.
 

@@ -6,6 +6,7 @@ means no time limit.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
@@ -20,10 +21,8 @@ RECENT_ERRORS = 50
 
 def days_requested(text: str | None) -> int:
     """Days from a report request; text that is no number means no limit."""
-    try:
-        return int(text or "0")
-    except ValueError:
-        return 0
+    # Python's int() would also take blanks, underscores and digits of other scripts.
+    return int(text) if re.fullmatch("[+-]?[0-9]+", text or "") else 0
 
 
 def last_n_days(rows: DataFrame, as_of: datetime, days: int) -> DataFrame:

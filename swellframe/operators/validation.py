@@ -85,11 +85,6 @@ def validate_openwaters(q: Column) -> Column:
     )
 
 
-def openwaters_units(q: Column) -> Column:
-    """Requested units, metres where the name is absent."""
-    return F.coalesce(q["units"], F.lit("meters"))
-
-
 def validate_geocode(q: Column) -> Column:
     """Coordinates present; text that is no number counts as 0 later on."""
     return _coordinates_given(q)

@@ -88,7 +88,7 @@ def src_access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "payloads")
     rows = mapping.payloads(spark, sf_dir, "geocode")
-    rows.select("id", F.lit("geocode").alias("kind"), "params", "body").write.parquet(folder)
+    rows.select("id", "kind", "params", "body").write.parquet(folder)
     return payloads.decode(log_source.read_payloads(spark, folder), "geocode").select(
         "id", "decoded", F.col("doc.locality").cast("string").alias("locality")
     )
@@ -229,9 +229,9 @@ def authorize_app(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def authorize_app_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The allow list as a table: 'app' and a nation's number, up to app2."""
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey IN (1, 2)")
-    allowed = nations.select(F.concat(F.lit(" app"), F.col("n_nationkey")).alias("app_id"))
+    """The allow list as a table: 'app' and the number of a region."""
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet")
+    allowed = regions.select(F.concat(F.lit(" app"), F.col("r_regionkey")).alias("app_id"))
     log = mapping.access_log(spark, sf_dir)
     return admission.authorize_app_by_table(log, allowed).select("id", "app_id", "authorized")
 
@@ -298,16 +298,7 @@ def pack_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undecodable bodies of every kind of payload."""
-    found = [
-        payloads.corrupt_rows(mapping.payloads(spark, sf_dir, kind), kind, ["id"]).withColumn(
-            "kind", F.lit(kind)
-        )
-        for kind in payloads.PAYLOADS
-    ]
-    union = found[0]
-    for more in found[1:]:
-        union = union.unionByName(more)
-    return union
+    return payloads.corrupt_payloads(mapping.payloads(spark, sf_dir, *payloads.PAYLOADS), ["id"])
 
 
 # ---- joins and cache ---------------------------------------------------------
@@ -343,12 +334,14 @@ def _geocode_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geocode_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = _geocode_answers(spark, sf_dir)
+    # The narrow answers are stored, so that the log is classified only once.
+    answers = written(_geocode_answers(spark, sf_dir), "geocode-answers")
     return geocode.geocode_resolve(answers, override_names(spark, sf_dir))
 
 
 def first_seen_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = geocode.with_cell(_geocode_answers(spark, sf_dir).filter("answered"))
+    answers = written(answers, "geocode-answers")
     return geocode.first_seen_cell(answers)
 
 
@@ -466,10 +459,10 @@ def evolve_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streams -----------------------------------------------------------------
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events of ``sf_dir`` as a file stream, spread like the table."""
+    """The events of ``sf_dir`` as a file stream."""
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     reader = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet")
-    return mapping.spread(reader.option("maxBytesPerTrigger", 2**30).parquet(sf_dir), table)
+    return reader.option("maxBytesPerTrigger", 2**30).parquet(sf_dir)
 
 
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -408,7 +408,9 @@ CHECKS: dict[str, str] = {
     "pack_dense": f"""WITH {STEPS_SQL}
       SELECT a.id, '{{"data":[' || COALESCE(p.points, '') || ']}}' AS document
       FROM access_log a LEFT JOIN (
-        SELECT id, string_agg('{{"ts":' || step_s || ',"h":' || CAST(value + i AS VARCHAR)
+        SELECT id, string_agg('{{"ts":' || step_s || ',"h":'
+          || CASE WHEN value + i = floor(value + i) THEN CAST(CAST(value + i AS BIGINT) AS VARCHAR)
+            ELSE CAST(value + i AS VARCHAR) END
           || ',"t":"' || CASE WHEN i % 2 = 1 THEN 'high' ELSE 'low' END || '"}}', ',' ORDER BY i) AS points
         FROM timed GROUP BY id) p ON a.id = p.id
       WHERE a.k % 25 NOT IN (22, 24)""",

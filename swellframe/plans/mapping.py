@@ -106,26 +106,14 @@ access_log AS (
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return spread(table, table)
-
-
-def spread(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """``rows`` over all cores where the files of ``table`` have too few splits for that.
-
-    A table of many files has splits enough and is read as it is. Filters and column
-    pruning reach the scan through the repartition.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return rows if table.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
 def mapped(source: DataFrame) -> DataFrame:
     """Events, batch or stream, as access log rows with the parts they are made of."""
-    name = "swellframe_events"
-    source.createOrReplaceTempView(name)
-    text = ACCESS_LOG_SQL.replace("FROM events)", f"FROM {name})")
-    return source.sparkSession.sql(f"WITH {text} SELECT * FROM access_log")
+    text = ACCESS_LOG_SQL.replace("{", "{{").replace("}", "}}")
+    text = text.replace("FROM events)", "FROM {events})")
+    return source.sparkSession.sql(f"WITH {text} SELECT * FROM access_log", events=source)
 
 
 LOG_COLUMNS = (
@@ -190,9 +178,8 @@ def _up_to(count: Column) -> Column:
     )
 
 
-def payloads(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """One body of ``kind`` per event: ``id, k, value, epoch_s, params, body``."""
-    rows = mapped(events(spark, sf_dir)).select("id", "k", "u", "value", "epoch_s")
+def _body(kind: str) -> Column:
+    """The body of one kind of payload, made from the parts of an event."""
     k, value, epoch = F.col("k"), F.col("value"), F.col("epoch_s")
     steps = _up_to(k % 4)
     if kind == "weather":
@@ -254,12 +241,21 @@ def payloads(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             F.lit("ID").alias("countryCode"),
         )
         wrong = '{"city":7}'
-    return rows.select(
+    return _spoil(F.to_json(body), k, wrong)
+
+
+def payloads(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """A body of each of ``kinds`` per event: ``id, k, params, kind, body``."""
+    k = F.col("k")
+    rows = mapped(events(spark, sf_dir)).select("id", "k", "u", "value", "epoch_s")
+    bodies = [F.struct(F.lit(kind).alias("kind"), _body(kind).alias("body")) for kind in kinds]
+    each = bodies[0].alias("each") if len(kinds) == 1 else F.explode(F.array(*bodies)).alias("each")
+    return rows.select("id", "k", each).select(
         "id",
         "k",
         F.when(k % 2 == 0, "swellHeight, windSpeed,swellPeriod")
         .otherwise("secondarySwellDirection,secondarySwellHeight,secondarySwellPeriod,"
                    "swellDirection,windDirection,none")
         .alias("params"),
-        _spoil(F.to_json(body), k, wrong).alias("body"),
+        "each.*",
     )

@@ -39,8 +39,10 @@ def read_custom_locations(spark: SparkSession, path: str) -> DataFrame:
         return override_table(spark.createDataFrame([], f"{schema}, line BIGINT"))
     rows = (
         spark.read.schema(f"{schema}, _ragged STRING")
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
+        # Quotes are doubled inside quoted names, which may go over several lines. White
+        # space is trimmed after that, so it can stand between quotes.
+        .option("escape", '"')
+        .option("multiLine", True)
         .option("columnNameOfCorruptRecord", "_ragged")
         .csv(path)
     )

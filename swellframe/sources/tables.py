@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -89,7 +89,7 @@ def drop_expired(
             kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
                 "dt"
             ).parquet(path)
-    bound = spark.range(1).select(cutoff_date(as_of, days).cast("string")).first()[0]
+    bound = (as_of.replace(microsecond=0) - timedelta(days=days)).strftime("%Y-%m-%d")
     for folder, day in _day_folders(spark, path):
         if day < bound or (day == bound and not rewritten):
             _delete_folder(spark, folder)

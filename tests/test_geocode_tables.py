@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from swellframe.operators import geocode
-from swellframe.operators.sizing import checked_broadcast
 from swellframe.sources import custom_locations, tables
 from swellframe.streaming import requests as streams
 
@@ -17,15 +14,18 @@ TS = datetime(2024, 3, 5, 10, 30)
 def test_custom_locations_file(spark, tmp_path):
     path = tmp_path / "places.csv"
     path.write_text(
-        "-8.652125, 115.121654, Pererenan\n-8.655088, 115.125230, Canggu\n"
-        "1.0, 2.0\nsouth, 3.0, Nowhere \n-8.651, 115.118, Later\n4, 5,\n"
+        "12.341, 45.679, Old Pier\n12.3551, 45.6812, North Cove\n"
+        '1.0, 2.0\nsouth, 3.0, Nowhere \n12.342, 45.68, Later\n4, 5,\n'
+        '6,7,"Joe ""Big"" Bay"\n8,9," Two\nLines "\n'
     )
     rows = custom_locations.read_custom_locations(spark, str(path)).collect()
     assert {(r.lat_cell, r.lng_cell): r.name for r in rows} == {
-        (-8.65, 115.12): "Later",
-        (-8.66, 115.13): "Canggu",
+        (12.34, 45.68): "Later",
+        (12.36, 45.68): "North Cove",
         (0.0, 3.0): "Nowhere",
         (4.0, 5.0): "",
+        (6.0, 7.0): 'Joe "Big" Bay',
+        (8.0, 9.0): "Two\nLines",
     }
 
 
@@ -67,12 +67,10 @@ def test_geocode_priority(spark):
     }
 
 
-def test_broadcast_only_within_bounds(spark):
-    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
-    small = spark.range(5).withColumn("name", F.lit("n"))
-    assert hinted(checked_broadcast(small))
-    assert not hinted(checked_broadcast(small, rows=4))
-    assert not hinted(checked_broadcast(spark.range(1).withColumn("name", F.repeat(F.lit("n"), 500))))
+def test_first_answers_come_from_a_hash_aggregate(spark):
+    rows = spark.createDataFrame([(1, TS, 1.0, 2.0, True, "a", None, None, None)], PLACES)
+    plan = geocode.first_seen_cell(geocode.with_cell(rows))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[lat_cell" in plan.replace("knownfloatingpointnormalized(normalizenanandzero(", "")
 
 
 def fact_rows(spark, *times):
