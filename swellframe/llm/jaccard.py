@@ -31,6 +31,7 @@ from pyspark.sql.types import LongType, StructField
 
 from swellframe.llm.batches import map_batches, slices
 from swellframe.llm.graph import components
+from swellframe.llm.wanted import Seen, is_wanted, wanted_table
 from swellframe.sources.workspace import written
 
 # Sizes in one class differ by this factor at most. Sets of a class are cut alike.
@@ -40,10 +41,6 @@ CUTS = 8
 # Members of a leader that one task compares, and sets and shingles of a block of the grid.
 LEADER_ROWS = 4096
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
-# Classes whose sets a task does not send again.
-REMEMBERED = 500_000
-# Bits of the table that tells a scan which sets are wanted; more sets only filter less.
-WANTED_BITS = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -160,21 +157,6 @@ def signatures(link: Link, shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-class _Seen:
-    """Remembers the last classes of a task; forgetting some only sends a set twice."""
-
-    def __init__(self):
-        self.names: set[int] = set()
-
-    def first(self, name: int) -> bool:
-        if name in self.names:
-            return False
-        if len(self.names) >= REMEMBERED:
-            self.names.clear()
-        self.names.add(name)
-        return True
-
-
 def sized_documents(docs: DataFrame, link: Link, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_shingles`` and ``class`` (null for empty sets)."""
 
@@ -194,7 +176,7 @@ def index_rows(docs: DataFrame, link: Link, text: str = "text") -> DataFrame:
     """``list`` and ``class``: the lists that each class is in, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
+        seen = Seen()
         for batch in batches:
             for part in slices(batch):
                 names, lists = [], [np.zeros(0, np.int64)]
@@ -241,26 +223,15 @@ def shared_lists(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "list long, class long")
 
 
-def _wanted_table(names: DataFrame) -> np.ndarray:
-    """A bit table of fixed size in which the wanted classes are marked."""
-    bit = F.pmod(F.col("class"), F.lit(WANTED_BITS))
-    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")))
-    rows = names.groupBy(F.floor(bit / 64).alias("word")).agg(word.alias("bits")).collect()
-    table = np.zeros(WANTED_BITS // 64, np.uint64)
-    if rows:
-        table[[row["word"] for row in rows]] = np.array([row["bits"] for row in rows], np.int64).view(np.uint64)
-    return table
-
-
 def wanted_sets(docs: DataFrame, names: DataFrame, link: Link, text: str = "text") -> DataFrame:
     """``class`` and ``shingles`` of all documents whose class is in ``names``, perhaps more.
 
     Equal sets are sent once per task. The sets are computed again rather than kept.
     """
-    table = _wanted_table(names)
+    table = wanted_table(names, "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
+        seen = Seen()
         for batch in batches:
             for part in slices(batch):
                 found = []
@@ -269,8 +240,7 @@ def wanted_sets(docs: DataFrame, names: DataFrame, link: Link, text: str = "text
                     if not len(shingles):
                         continue
                     name = fingerprint(shingles)
-                    bit = name % WANTED_BITS
-                    if int(table[bit >> 6]) >> (bit & 63) & 1 and seen.first(name):
+                    if is_wanted(table, name) and seen.first(name):
                         found.append((name, shingles.tobytes()))
                 if found:
                     columns = zip(*found, strict=True)
@@ -436,6 +406,22 @@ def linked_in_blocks(docs: DataFrame, led: DataFrame, labels: DataFrame, link: L
     return bodies.groupBy("family", "low", "high").applyInArrow(run, "a long, b long")
 
 
+def labelled_classes(docs: DataFrame, sizes: DataFrame, link: Link, text: str = "text") -> DataFrame:
+    """``node`` and ``label`` of all classes that link with another one.
+
+    ``sizes`` has ``class`` and ``n_shingles`` of all classes of ``docs``.
+    """
+    lists = written(shared_lists(index_rows(docs, link, text)), "index-lists")
+    led = written(leaders(lists, sizes.select("class", "n_shingles")), "index-leaders")
+    edges = written(linked_to_leaders(docs, led, link, text), "leader-links")
+    labels = written(components(edges), "leader-components")
+    more = written(linked_in_blocks(docs, led, labels, link, text), "block-links")
+    if more.isEmpty():
+        return labels
+    stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return written(components(stars.unionByName(more)), "components")
+
+
 def similar_documents(docs: DataFrame, link: Link | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` as ``key``, ``n_shingles`` and ``component_id``.
 
@@ -450,14 +436,7 @@ def similar_documents(docs: DataFrame, link: Link | None = None, key: str = "doc
         F.max("n_shingles").alias("n_shingles"), F.min(key).alias("smallest")
     )
     sizes = written(sizes, "set-classes")
-    lists = written(shared_lists(index_rows(docs, link, text)), "index-lists")
-    led = written(leaders(lists, sizes.select("class", "n_shingles")), "index-leaders")
-    edges = written(linked_to_leaders(docs, led, link, text), "leader-links")
-    labels = written(components(edges), "leader-components")
-    more = written(linked_in_blocks(docs, led, labels, link, text), "block-links")
-    if not more.isEmpty():
-        stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = written(components(stars.unionByName(more)), "components")
+    labels = labelled_classes(docs, sizes, link, text)
     named = sizes.join(labels.withColumnRenamed("node", "class"), "class", "left")
     named = named.select("class", "smallest", F.coalesce("label", "class").alias("label"))
     smallest = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
@@ -465,3 +444,49 @@ def similar_documents(docs: DataFrame, link: Link | None = None, key: str = "doc
     joined = documents.join(by_class, "class", "left")
     own = F.when(F.col("class").isNull(), F.col(key)).otherwise(F.col("component_id"))
     return joined.select(key, "n_shingles", own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, link: Link | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked rows, that with the smallest key.
+
+    Null keys come last; of several rows with that key, one of those whose set has the
+    smallest fingerprint stays. Rows without words all stay. Only rows that have a copy or a
+    link are moved; the others pass straight through.
+    """
+    link = link or Link()
+    documents = written(sized_documents(docs, link, key, text), "shingle-sets")
+    sets = documents.filter(F.col("class").isNotNull())
+    order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col("class").alias("class"))
+    sizes = written(
+        sets.groupBy("class").agg(
+            F.max("n_shingles").alias("n_shingles"), F.min(order).alias("first"), F.count("*").alias("n")
+        ),
+        "set-classes",
+    )
+    labels = labelled_classes(docs, sizes, link, text).withColumnRenamed("node", "class")
+    named = sizes.join(labels, "class", "left").filter((F.col("n") > 1) | F.col("label").isNotNull())
+    named = written(named.withColumn("label", F.coalesce("label", "class")), "set-groups")
+    stay = named.groupBy("label").agg(F.min("first").alias("first"))
+    stay = stay.select(
+        F.col("first.class").alias("_class"), F.col("first.key").alias("_key"), F.lit(True).alias("_stays")
+    )
+    table = wanted_table(named, "class")
+    columns = docs.columns
+
+    def make():
+        def work(texts):
+            sets = [shingle_set(body, link.words) for body in texts]
+            names = [fingerprint(x) if len(x) else None for x in sets]
+            found = [name if name is not None and is_wanted(table, name) else None for name in names]
+            return (pa.array(found, pa.int64()),)
+
+        return work
+
+    added = [StructField("_class", LongType())]
+    marked = map_batches(docs, columns, [text], added, make)
+    # Names that only share a bit with a wanted one belong to rows without copies.
+    grouped = named.select(F.col("class").alias("_class"), F.lit(True).alias("_grouped"))
+    moved = marked.filter(F.col("_class").isNotNull()).join(grouped.join(stay, "_class", "left"), "_class", "left")
+    stays = F.col("_stays") & F.col(key).eqNullSafe(F.col("_key"))
+    moved = moved.filter(F.col("_grouped").isNull() | stays).dropDuplicates(["_class"])
+    return marked.filter(F.col("_class").isNull()).select(*columns).unionByName(moved.select(*columns))

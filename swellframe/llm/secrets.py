@@ -70,9 +70,12 @@ def _hits(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), hits)
 
 
-def candidate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def candidate_spans(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None
+) -> DataFrame:
     """``row``, ``key``, ``kind``, ``start`` and ``end`` of all strong and weak matches.
 
+    ``row`` may name a column that numbers the rows of ``docs``; else they are numbered here.
     Every document also has one line with a null kind. Gaps and matches are summed up in the
     order of a kind's matches, so no expression walks a text more than once per kind.
     """
@@ -88,7 +91,8 @@ def candidate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     empty = F.filter(none, lambda x: F.lit(False))
     hits = F.concat(none, *[F.coalesce(_hits(body, kind), empty) for kind in KINDS])
     # Numbered before the lines of a document are spread out, so that they share its number.
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias(key), hits.alias("hits"))
+    number = docs[row] if row else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), docs[key].alias(key), hits.alias("hits"))
     rows = rows.select("row", key, F.explode("hits").alias("hit")).select("row", key, "hit.*")
     rows = rows.filter(F.col("kind").isNull() | F.col("match").isNotNull())
     length = F.char_length("match")
@@ -173,3 +177,45 @@ def span_digests(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def stored_spans(docs: DataFrame) -> DataFrame:
     return written(candidate_spans(docs), "secret-spans")
+
+
+REDACTED = "[REDACTED]"
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """``row`` and ``spans``: the stretches of a document that reported spans cover, in order."""
+    found = spans.filter(F.col("kind").isNotNull()).select("row", "start", "end")
+    order = Window.partitionBy("row").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = found.withColumn("fresh", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    stretches = fresh.withColumn("stretch", F.sum("fresh").over(upto)).groupBy("row", "stretch")
+    edges = stretches.agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return edges.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the same columns, reported spans replaced by ``REDACTED``.
+
+    ``n_chars``, if there, becomes the new length where a text changed.
+    """
+    columns = docs.columns
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "secret-documents")
+    found = written(candidate_spans(keyed, key, text, "_row"), "secret-spans")
+    spans = merged_spans(reported(found)).withColumnRenamed("row", "_row").withColumnRenamed("spans", "_spans")
+    body, edges = F.col(text), F.col("_spans")
+    pieces = F.transform(
+        edges,
+        lambda span, i: F.concat(
+            F.substring(body, F.coalesce(F.get(edges, i - 1)["end"], F.lit(0)) + 1,
+                        span["start"] - F.coalesce(F.get(edges, i - 1)["end"], F.lit(0))),
+            F.lit(REDACTED),
+        ),
+    )
+    rest = F.substring(body, F.element_at(edges, -1)["end"] + 1, F.char_length(body).cast("long"))
+    joined = keyed.join(spans, "_row", "left")
+    out = joined.withColumn(text, F.when(edges.isNull(), body).otherwise(F.concat(F.array_join(pieces, ""), rest)))
+    if "n_chars" in columns:
+        length = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(edges.isNull(), F.col("n_chars")).otherwise(length))
+    return out.select(*columns)

@@ -151,3 +151,26 @@ def test_components(spark):
             label[b] = a
     assert {r.node: r.label for r in out} == {x: find(x) for x in list(label)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_one_of_each(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (4, text, 1), (2, text + " more", 2), (2, text + " more", 2), (None, text + " end", 3), (9, "alone in the corpus", 4),
+        (None, "x y", 5), (None, "X Y", 6), (7, None, 7), (8, "", 8), (8, "", 8), (5, "x y z", 9),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    out = [(r.doc_id, r.n_chars) for r in jaccard.one_of_each(df).collect()]
+    fixed = [(2, 2), (5, 9), (7, 7), (8, 8), (8, 8), (9, 4)]
+    assert sorted(x for x in out if x[0] is not None) == fixed
+    assert [x for x in out if x[0] is None] in ([(None, 5)], [(None, 6)])
+    assert jaccard.one_of_each(df.limit(0)).collect() == []
+
+
+def test_one_of_each_on_documents(spark):
+    link = jaccard.Link()
+    docs = queries.table(spark, SF_DIR, "documents")
+    groups = {r.doc_id: r.component_id for r in jaccard.similar_documents(docs, link).collect()}
+    kept = jaccard.one_of_each(docs, link)
+    assert kept.schema == docs.schema
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(groups.values()))

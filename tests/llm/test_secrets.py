@@ -80,3 +80,21 @@ def test_main_path_has_no_python(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     for rows in (secrets.candidate_spans(df), secrets.span_digests(secrets.reported(secrets.stored_spans(df)))):
         assert not re.search("Python|Arrow|Pandas", rows._jdf.queryExecution().toString())
+
+
+def test_redaction(spark):
+    rows = [
+        (1, None, 0), (2, "plain", 5), (3, f"é🙂 {KEY} x token=abcdefgh12 end", 1), (None, "password: hunter2", 9),
+        (4, f"secret={KEY}{'0a' * 14}!", 1), (4, f"secret={KEY}{'0a' * 14}!", 1),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    out = secrets.redacted(df)
+    assert out.columns == df.columns
+    mark = secrets.REDACTED
+    assert sorted(map(str, out.collect())) == sorted(
+        f"Row(doc_id={k}, text={t!r}, n_chars={n})" for k, t, n in [
+            (1, None, 0), (2, "plain", 5), (3, f"é🙂 {mark} x {mark} end", 30), (None, mark, 10),
+            (4, f"{mark}!", 11), (4, f"{mark}!", 11),
+        ]
+    )
+    assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().toString())
