@@ -97,7 +97,9 @@ def classify(
 
     Adds ``backend, status_code, error_type, message, passed_on, lat, lng`` and the
     query values ``q``. The checks run in order and the first that fails decides: app
-    id, API key, validation, then the upstream call. ``passed_on`` marks a failed answer
+    id, API key, validation, then the upstream call. A log may have a column
+    ``upstream_called`` that tells requests which never asked upstream from those without
+    an answer. ``passed_on`` marks a failed answer
     handed on from upstream. ``lat`` and ``lng`` are the raw coordinates, 0.0 where
     missing.
     """
@@ -113,6 +115,10 @@ def classify(
     )
     body_ok = decodable("upstream_body", "kind")
     answered = classify_upstream(F.col("route_backend"), F.col("upstream_status"), body_ok)
+    if "upstream_called" in access_log.columns:
+        # Not called is no failed call: such requests were served from what is stored.
+        called = F.coalesce(F.col("upstream_called"), F.lit(True))
+        answered = F.when(called, answered)
     lat, lng = request_coordinates(q)
     refusal = F.struct(
         F.col("_admitted").isNull().alias("reached"),

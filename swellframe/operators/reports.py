@@ -62,6 +62,14 @@ def location_report(
     return source.select("lat", "lng", "count", marker_radius(F.col("count")).alias("radius"))
 
 
+def backend_days(facts: DataFrame) -> DataFrame:
+    """Successes and failures per day and backend, to be added up over the days."""
+    return facts.groupBy("dt", "backend").agg(
+        F.count_if(F.col("status_code") < 400).alias("success"),
+        F.count_if(F.col("status_code") >= 400).alias("failed"),
+    )
+
+
 def backend_stats(facts: DataFrame, as_of: datetime, days: int = 0) -> DataFrame:
     """Successful and failed requests per backend."""
     return (

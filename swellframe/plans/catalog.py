@@ -15,6 +15,7 @@ from swellframe.operators import (
     payloads,
     reports,
     response_cache,
+    served,
     upstream,
     validation,
 )
@@ -23,6 +24,7 @@ from swellframe.plans.mapping import ALLOWED_APPS, AS_OF
 from swellframe.sources import access_log as log_source
 from swellframe.sources import custom_locations, tables
 from swellframe.sources.workspace import fresh_folder, written
+from swellframe.streaming import landing
 from swellframe.streaming import requests as request_streams
 from swellframe.streaming import response_cache as cache_stream
 
@@ -107,13 +109,17 @@ def sink_error_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sink_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of the first half of the month, written, then merged with the rest."""
-    counted = cells(spark, sf_dir)
+    """Stored counters of the first half of the month, then merged with the rest."""
+    counted = written(cells(spark, sf_dir), "cells")
     half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     folder = fresh_folder(spark, "locations")
-    reports.lifetime_locations(counted.filter(F.col("ts") < half)).write.parquet(folder)
-    stored = spark.read.schema(tables.LOCATIONS).parquet(folder)
-    return tables.merge_locations(stored, counted.filter(F.col("ts") >= half))
+    for source, part in (("first", F.col("ts") < half), ("rest", F.col("ts") >= half)):
+        batch = counted.filter(part)
+        tables.merge_version(
+            spark, folder, tables.LOCATIONS, source,
+            lambda counters, batch=batch: tables.merge_locations(counters, batch),
+        )
+    return tables.read_version(spark, folder, tables.LOCATIONS)
 
 
 # ---- scalar expressions ------------------------------------------------------
@@ -169,7 +175,9 @@ def time_window_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.extract_coords(mapping.access_log(spark, sf_dir)).select("id", "lat", "lng")
+    rows = facts.extract_coords(mapping.access_log(spark, sf_dir))
+    lat = F.nanvl("lat", F.lit(None).cast("double"))
+    return rows.select("id", lat.alias("lat"), "lng")
 
 
 def filter_params(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,49 +306,26 @@ def pack_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undecodable bodies of every kind of payload."""
-    return payloads.corrupt_payloads(mapping.payloads(spark, sf_dir, *payloads.PAYLOADS), ["id"])
+    bodies = written(mapping.payloads(spark, sf_dir, *payloads.PAYLOADS), "bodies")
+    return payloads.corrupt_payloads(bodies, ["id"])
 
 
 # ---- joins and cache ---------------------------------------------------------
 
-def _geocode_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Geocode requests that pass their checks, with the coordinates asked for."""
-    lat, lng = geocode.geocode_coordinates(F.col("q"))
-    passed = classified(spark, sf_dir).filter(
-        (F.col("kind") == "geocode")
-        & (F.col("backend") == upstream.BIGDATACLOUD)
-        & (F.col("status_code") != 400)
-    )
-    return passed.withColumns({"lat": lat, "lng": lng})
-
-
 def custom_location_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _geocode_points(spark, sf_dir).select("id", "lat", "lng")
+    points = served.geocode_points(classified(spark, sf_dir)).select("id", "lat", "lng")
     joined = geocode.custom_location_join(points, override_names(spark, sf_dir))
     return joined.select("id", "lat_cell", "lng_cell", *geocode.PLACE)
 
 
-def _geocode_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Geocode requests with what upstream answers, or would answer, to each."""
-    requests = _geocode_points(spark, sf_dir).withColumn(
-        "body", F.when(F.col("upstream_status") == 200, F.col("upstream_body"))
-    )
-    decoded = payloads.decode(requests, "geocode")
-    place = [
-        F.nullif(F.col(f"doc.{name}").cast("string"), F.lit("")).alias(name)
-        for name in geocode.PLACE
-    ]
-    return decoded.select("id", "ts", "lat", "lng", F.col("decoded").alias("answered"), *place)
-
-
 def geocode_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The narrow answers are stored, so that the log is classified only once.
-    answers = written(_geocode_answers(spark, sf_dir), "geocode-answers")
+    answers = written(served.geocode_answers(classified(spark, sf_dir)), "geocode-answers")
     return geocode.geocode_resolve(answers, override_names(spark, sf_dir))
 
 
 def first_seen_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = geocode.with_cell(_geocode_answers(spark, sf_dir).filter("answered"))
+    answers = geocode.with_cell(served.geocode_answers(classified(spark, sf_dir)).filter("answered"))
     answers = written(answers, "geocode-answers")
     return geocode.first_seen_cell(answers)
 
@@ -350,38 +335,38 @@ def route_backend_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.select("id", "path", F.col("route_backend").alias("backend"), "kind", "needs_key")
 
 
-def cache_requests(log: DataFrame) -> DataFrame:
-    """Requests that reach the response cache, keyed by route and sixth of the users."""
-    k = F.col("k") % 10
-    return log.filter(
-        F.col("event_type").isin("view", "click", "purchase")
-        & (k != 9)
-        & ~F.col("k").isin(2, 3)
-    ).select(
-        "id",
-        "ts",
-        F.concat(F.col("event_type"), F.lit(":"), F.col("u") % 6).alias("cache_key"),
-        ((k != 6) & (k != 8)).alias("success"),
-    )
+def stored_cache_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrow requests that reach the cache, stored: the log is classified only once."""
+    return written(facts.cache_requests(classified(spark, sf_dir)), "cache-requests")
 
 
 def ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return response_cache.ttl_labels(cache_requests(parts(spark, sf_dir)))
+    return response_cache.ttl_labels(stored_cache_requests(spark, sf_dir))
 
 
 def ttl_dedup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels from the raw access log, with the keys that the requests really have.
-
-    The narrow requests are stored first, so that the log is classified only once.
-    """
-    requests = written(facts.cache_requests(classified(spark, sf_dir)), "cache-requests")
-    return response_cache.ttl_labels(requests)
+    """The same labels, with all but the shortest runs solved by joins, as for a hot key."""
+    return response_cache.ttl_labels(stored_cache_requests(spark, sf_dir), folded_run=2)
 
 
 def ttl_upstream_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return response_cache.upstream_calls(ttl_dedup(spark, sf_dir))
 
 
+def served_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(classified(spark, sf_dir), "classified")
+    return served.service_facts(rows, override_names(spark, sf_dir))
+
+
+def served_request_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts in which requests answered from what is stored are successes."""
+    return served_rows(spark, sf_dir).drop("dt")
+
+
+def served_backend_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.backend_stats(served_rows(spark, sf_dir), AS_OF)
+
+
 # ---- reports, retention, schema ----------------------------------------------
 
 def lifetime_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,7 +409,7 @@ def recent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both logs after retention: what is left, by table and day."""
-    both = classified(spark, sf_dir)
+    both = written(classified(spark, sf_dir), "classified")
     left = []
     for name, rows, schema in (
         ("requests", facts.request_facts(both), tables.REQUESTS),
@@ -447,7 +432,7 @@ def backfill_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evolve_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of three ages: without place, without time and place, and as today."""
-    rows = request_rows(spark, sf_dir).drop("dt")
+    rows = written(request_rows(spark, sf_dir).drop("dt"), "requests-of-ages")
     age = F.col("id") % 3
     return tables.evolve_schema(
         rows.filter(age == 0),
@@ -458,69 +443,78 @@ def evolve_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- streams -----------------------------------------------------------------
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events of ``sf_dir`` as a file stream."""
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The access log of ``sf_dir`` as a file stream."""
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     reader = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet")
-    return reader.option("maxBytesPerTrigger", 2**30).parquet(sf_dir)
-
-
-def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.mapped(event_stream(spark, sf_dir)).select(*mapping.LOG_COLUMNS)
+    events = reader.option("maxBytesPerTrigger", 2**30).parquet(sf_dir)
+    return mapping.mapped(events).select(*mapping.LOG_COLUMNS)
 
 
-def _finished(rows: DataFrame, name: str, by_day: bool = False) -> str:
-    """Run an append stream over all given input; the folder it wrote."""
+def _loaded(rows: DataFrame, name: str, load) -> str:
+    """Run a stream over all given input and load it; the folder of its table."""
     spark = rows.sparkSession
-    folder, checkpoint = fresh_folder(spark, name), fresh_folder(spark, f"{name}-state")
-    request_streams.append_stream(rows, folder, checkpoint, by_day).awaitTermination()
+    folder = fresh_folder(spark, name)
+    landing.load_stream(
+        rows, f"{folder}-landing", f"{folder}-state", lambda landed, source: load(landed, folder, source)
+    )
     return folder
 
 
 def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = request_streams.stream_requests(log_stream(spark, sf_dir), ALLOWED_APPS)
-    folder = _finished(rows, "stream-requests", by_day=True)
+    rows = request_streams.classified_stream(log_stream(spark, sf_dir), ALLOWED_APPS)
+    load = lambda landed, folder, source: request_streams.load_requests(landed, folder)
+    folder = _loaded(rows, "stream-requests", load)
     return tables.read_by_day(spark, folder, tables.REQUESTS).drop("dt")
 
 
+def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed requests after retention."""
+    rows = request_streams.classified_stream(log_stream(spark, sf_dir), ALLOWED_APPS)
+    load = lambda landed, folder, source: request_streams.load_requests(landed, folder)
+    folder = _loaded(rows, "stream-retention", load)
+    tables.drop_expired(spark, folder, tables.REQUESTS, RETENTION_AS_OF)
+    return tables.read_by_day(spark, folder, tables.REQUESTS).select("id", "ts", "status_code")
+
+
 def stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = request_streams.stream_errors(log_stream(spark, sf_dir), ALLOWED_APPS)
-    folder = _finished(rows, "stream-errors", by_day=True)
+    rows = request_streams.classified_stream(log_stream(spark, sf_dir), ALLOWED_APPS)
+    load = lambda landed, folder, source: request_streams.load_errors(landed, folder)
+    folder = _loaded(rows, "stream-errors", load)
     return tables.read_by_day(spark, folder, tables.ERROR_LOGS).drop("dt")
 
 
 def stream_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = request_streams.stream_locations(log_stream(spark, sf_dir), ALLOWED_APPS)
-    folder = _finished(changes, "stream-locations")
-    return request_streams.current_locations(
-        spark.read.schema(tables.LOCATIONS).parquet(folder)
-    )
+    rows = request_streams.classified_stream(log_stream(spark, sf_dir), ALLOWED_APPS)
+    folder = _loaded(rows, "stream-locations", request_streams.load_locations)
+    return tables.read_version(spark, folder, tables.LOCATIONS)
 
 
 def stream_ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = cache_requests(mapping.mapped(event_stream(spark, sf_dir)))
-    folder = _finished(cache_stream.stream_ttl_labels(requests), "stream-cache")
-    return spark.read.schema(cache_stream.OUTPUT).parquet(folder).select(
+    """An access log of several files that arrives in two parts, each in micro-batches."""
+    log = written(mapping.access_log(spark, sf_dir), "arriving-log")
+    half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    source, labels = fresh_folder(spark, "log-files"), fresh_folder(spark, "stream-labels")
+    for part in (F.col("ts") < half, F.col("ts") >= half):
+        log.filter(part).repartition(2).write.mode("append").parquet(source)
+        files = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        landing.load_stream(
+            cache_stream.cache_request_stream(files, ALLOWED_APPS),
+            f"{labels}-landing",
+            f"{labels}-state",
+            lambda landed, name: cache_stream.label_arrivals(landed, labels),
+        )
+    return tables.read_by_day(spark, labels, cache_stream.LABELS).select(
         "id", "cache_key", "success", "cache"
     )
 
 
 def stream_backend_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete mode into memory: one row per backend, of which the routes name three."""
-    rows = request_streams.stream_requests(log_stream(spark, sf_dir), ALLOWED_APPS)
-    checkpoint = fresh_folder(spark, "stream-stats-state")
-    name = "backend_stats_" + checkpoint[-12:]
-    (
-        request_streams.stream_backend_stats(rows)
-        .writeStream.format("memory")
-        .queryName(name)
-        .outputMode("complete")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.table(name)
+    """Stored counts per day and backend, added up over the days."""
+    rows = request_streams.classified_stream(log_stream(spark, sf_dir), ALLOWED_APPS)
+    folder = _loaded(rows, "stream-backend-days", request_streams.load_backend_days)
+    days = tables.read_version(spark, folder, tables.BACKEND_DAYS)
+    return days.groupBy("backend").agg(F.sum("success").alias("success"), F.sum("failed").alias("failed"))
 
 
 QUERIES: dict[str, Query] = {
@@ -564,6 +558,8 @@ QUERIES: dict[str, Query] = {
         route_backend_join,
         ttl_dedup,
         ttl_dedup_requests,
+        served_request_fact,
+        served_backend_stats,
         ttl_upstream_calls,
         first_seen_cell,
         lifetime_locations,
@@ -579,6 +575,7 @@ QUERIES: dict[str, Query] = {
         backfill_timestamp,
         evolve_schema,
         stream_requests,
+        stream_retention,
         stream_errors,
         stream_locations,
         stream_ttl_dedup,

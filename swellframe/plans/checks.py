@@ -33,9 +33,10 @@ named AS (
       WHEN '/tides/timeline' THEN 'ow_timeline' ELSE 'geocode' END AS kind,
     COALESCE(NULLIF(app_id_header, ''), app_id_query, '') AS app_id,
     COALESCE(authorization_header, '') <> '' OR COALESCE(key_query, '') <> '' AS has_key,
-    CASE WHEN regexp_full_match(lat_text, {FLOAT}) THEN TRY_CAST(lat_text AS DOUBLE) END AS lat_num,
+    CASE WHEN regexp_full_match(lat_text, {FLOAT}) OR lat_text = 'nan'
+      THEN TRY_CAST(lat_text AS DOUBLE) END AS lat_num,
     CASE WHEN regexp_full_match(lng_text, {FLOAT}) THEN TRY_CAST(lng_text AS DOUBLE) END AS lng_num,
-    k NOT IN (61, 62, 63) AND upstream_status = 200 AS decodable
+    k NOT IN (61, 62, 63, 65) AND upstream_status = 200 AS decodable
   FROM access_log WHERE family <> 'none' AND method = 'GET'),
 checked AS (
   SELECT *,
@@ -95,7 +96,7 @@ outcomes AS (
   FROM reasons),
 requests AS (
   SELECT id, ts, backend, status_code, error_type,
-    CASE WHEN raw_lat <> 0 OR raw_lng <> 0 THEN {_cell('raw_lat')} END AS lat,
+    CASE WHEN NOT isnan(raw_lat) AND (raw_lat <> 0 OR raw_lng <> 0) THEN {_cell('raw_lat')} END AS lat,
     CASE WHEN raw_lat <> 0 OR raw_lng <> 0 THEN {_cell('raw_lng')} END AS lng
   FROM outcomes),
 errors AS (
@@ -137,15 +138,15 @@ WINDOW_STEPS = f"""
 begun AS (
   SELECT *,
     CASE WHEN start_text IS NULL THEN epoch_us(ts)
-      WHEN k % 4 = 1 THEN epoch_s * 1000000
-      WHEN k % 4 = 2 THEN epoch_s * 1000000 + 500000
+      WHEN kt % 4 = 1 THEN epoch_s * 1000000
+      WHEN kt % 4 = 2 THEN epoch_s * 1000000 + 500000
       ELSE {ZERO_TIME} * 1000000 END AS start_us
   FROM access_log),
 ended AS (
   SELECT *,
     CASE WHEN end_text IS NULL THEN start_us + 86400000000
-      WHEN k % 6 = 1 THEN (epoch_s + 18000) * 1000000 WHEN k % 6 = 2 THEN (epoch_s + 864000) * 1000000
-      WHEN k % 6 = 3 THEN (epoch_s + 9000) * 1000000 WHEN k % 6 = 4 THEN {ZERO_TIME} * 1000000
+      WHEN kt % 6 = 1 THEN (epoch_s + 18000) * 1000000 WHEN kt % 6 = 2 THEN (epoch_s + 864000) * 1000000
+      WHEN kt % 6 = 3 THEN (epoch_s + 9000) * 1000000 WHEN kt % 6 = 4 THEN {ZERO_TIME} * 1000000
       ELSE (epoch_s - 7200) * 1000000 END AS end_us
   FROM begun),
 aligned AS (
@@ -156,9 +157,9 @@ aligned AS (
 """
 WINDOW_SQL = f"{ACCESS_LOG_SQL}, {WINDOW_STEPS}"
 
-PARAMS_SQL = """CASE WHEN k % 5 = 0 THEN 'swellHeight,swellPeriod'
-  WHEN k % 5 = 1 THEN 'swellHeight,windSpeed'
-  WHEN k % 5 = 2 THEN 'windDirection,secondarySwellHeight,secondarySwellPeriod'
+PARAMS_SQL = """CASE WHEN kt % 5 = 0 THEN 'swellHeight,swellPeriod'
+  WHEN kt % 5 = 1 THEN 'swellHeight,windSpeed'
+  WHEN kt % 5 = 2 THEN 'windDirection,secondarySwellHeight,secondarySwellPeriod'
   WHEN params = 'bogus,' THEN '' ELSE params END"""
 
 # Keys of the valid requests whose responses are cached.
@@ -268,12 +269,32 @@ chain AS (
 labelled AS (
   SELECT id, ts, cache_key, success, CASE WHEN hit THEN 'HIT' ELSE 'MISS' END AS cache FROM chain)
 """
-TTL_SQL = f"""RECURSIVE {ACCESS_LOG_SQL},
+REACHING_SQL = f"""keys AS ({KEYS_SQL}),
 reaching AS (
-  SELECT id, ts, event_type || ':' || u % 6 AS cache_key, k % 10 NOT IN (6, 8) AS success
-  FROM access_log
-  WHERE event_type IN ('view', 'click', 'purchase') AND k % 10 <> 9 AND k NOT IN (2, 3)),
+  SELECT o.id, o.ts, keys.cache_key, o.status_code = 200 AS success
+  FROM outcomes o JOIN keys ON o.id = keys.id WHERE o.status_code <> 400 AND o.backend <> 'Unknown'),
 {CHAIN_SQL}"""
+TTL_SQL = f"RECURSIVE {FACTS_SQL}, {WINDOW_STEPS}, {REACHING_SQL}"
+
+# Where the place of each geocode request comes from.
+SOURCED_SQL = f"""named_points AS (
+  SELECT p.*, o.name FROM points p
+  LEFT JOIN overrides o ON p.lat_cell = o.lat_cell AND p.lng_cell = o.lng_cell),
+firsts AS ({FIRST_SQL.format(points="(SELECT * FROM named_points WHERE name IS NULL)")}),
+sourced AS (
+  SELECT p.id, p.ts, p.lat_cell, p.lng_cell, p.name, f.locality, f.city, f.countryName, f.countryCode,
+    CASE WHEN p.name IS NOT NULL THEN 'override'
+      WHEN f.first_ts < p.ts OR (f.first_ts = p.ts AND f.first_id < p.id) THEN 'cache'
+      WHEN f.first_id = p.id THEN 'upstream' END AS source
+  FROM named_points p LEFT JOIN firsts f ON p.lat_cell = f.lat_cell AND p.lng_cell = f.lng_cell)"""
+SERVED_SQL = f"""RECURSIVE {GEO_SQL}, {WINDOW_STEPS}, {REACHING_SQL}, {SOURCED_SQL},
+served AS (
+  SELECT id FROM labelled WHERE cache = 'HIT'
+  UNION ALL SELECT id FROM sourced WHERE source IN ('override', 'cache')),
+served_requests AS (
+  SELECT r.* REPLACE (CASE WHEN s.id IS NOT NULL THEN 200 ELSE r.status_code END AS status_code,
+    CASE WHEN s.id IS NOT NULL THEN '' ELSE r.error_type END AS error_type)
+  FROM requests r LEFT JOIN served s ON r.id = s.id)"""
 
 NUMBER_TEXT_SQL = f"""{ACCESS_LOG_SQL},
 texts AS (
@@ -332,7 +353,7 @@ CHECKS: dict[str, str] = {
     "time_window_align": f"""WITH {WINDOW_SQL}
       SELECT id, start_s, least(end_hour_s, start_s + 604800) AS end_s FROM aligned""",
     "extract_coords": f"""WITH {FACTS_SQL}
-      SELECT id, raw_lat AS lat, raw_lng AS lng FROM outcomes
+      SELECT id, CASE WHEN NOT isnan(raw_lat) THEN raw_lat END AS lat, raw_lng AS lng FROM outcomes
       UNION ALL
       SELECT id, CAST(lat_text AS DOUBLE), CAST(lng_text AS DOUBLE) FROM access_log
       WHERE family = 'none' OR method <> 'GET'""",
@@ -345,11 +366,11 @@ CHECKS: dict[str, str] = {
         f"SELECT id, {_epoch('start_text')} AS start_s, {_epoch('end_text')} AS end_s FROM access_log"
     ),
     "epoch_to_rfc3339": _on_parts(
-        """SELECT id, CASE WHEN k % 4 = 1 THEN strftime(make_timestamp(epoch_s * 1000000), '%Y-%m-%dT%H:%M:%SZ')
+        """SELECT id, CASE WHEN kt % 4 = 1 THEN strftime(make_timestamp(epoch_s * 1000000), '%Y-%m-%dT%H:%M:%SZ')
           END AS start_time,
-        CASE WHEN k % 6 = 1 THEN strftime(make_timestamp((epoch_s + 18000) * 1000000), '%Y-%m-%dT%H:%M:%SZ')
-          WHEN k % 6 = 2 THEN strftime(make_timestamp((epoch_s + 864000) * 1000000), '%Y-%m-%dT%H:%M:%SZ')
-          WHEN k % 6 = 5 THEN strftime(make_timestamp((epoch_s - 7200) * 1000000), '%Y-%m-%dT%H:%M:%SZ')
+        CASE WHEN kt % 6 = 1 THEN strftime(make_timestamp((epoch_s + 18000) * 1000000), '%Y-%m-%dT%H:%M:%SZ')
+          WHEN kt % 6 = 2 THEN strftime(make_timestamp((epoch_s + 864000) * 1000000), '%Y-%m-%dT%H:%M:%SZ')
+          WHEN kt % 6 = 5 THEN strftime(make_timestamp((epoch_s - 7200) * 1000000), '%Y-%m-%dT%H:%M:%SZ')
           END AS end_time FROM access_log"""
     ),
     "bool_to_label": _on_parts(
@@ -359,7 +380,7 @@ CHECKS: dict[str, str] = {
         f"SELECT *, CAST(greatest(5, least(20, count)) AS BIGINT) AS radius FROM ({LIFETIME_SQL})"
     ),
     "valid_coordinate": _on_parts(
-        f"""SELECT id, CASE WHEN lat_text IS NULL THEN FALSE WHEN regexp_full_match(lat_text, {FLOAT})
+        f"""SELECT id, CASE WHEN lat_text IS NULL OR lat_text = 'nan' THEN FALSE WHEN regexp_full_match(lat_text, {FLOAT})
           THEN abs(TRY_CAST(lat_text AS DOUBLE)) <= 180 ELSE TRUE END AS valid FROM access_log"""
     ),
     "authorize_app": _on_parts(
@@ -420,16 +441,7 @@ CHECKS: dict[str, str] = {
         CAST(NULL AS VARCHAR) AS "countryName", CAST(NULL AS VARCHAR) AS "countryCode"
       FROM points p LEFT JOIN overrides o ON p.lat_cell = o.lat_cell AND p.lng_cell = o.lng_cell""",
     "geocode_resolve": f"""WITH {GEO_SQL},
-      named_points AS (
-        SELECT p.*, o.name FROM points p
-        LEFT JOIN overrides o ON p.lat_cell = o.lat_cell AND p.lng_cell = o.lng_cell),
-      firsts AS ({FIRST_SQL.format(points="(SELECT * FROM named_points WHERE name IS NULL)")}),
-      sourced AS (
-        SELECT p.id, p.ts, p.lat_cell, p.lng_cell, p.name, f.locality, f.city, f.countryName, f.countryCode,
-          CASE WHEN p.name IS NOT NULL THEN 'override'
-            WHEN f.first_ts < p.ts OR (f.first_ts = p.ts AND f.first_id < p.id) THEN 'cache'
-            WHEN f.first_id = p.id THEN 'upstream' END AS source
-        FROM named_points p LEFT JOIN firsts f ON p.lat_cell = f.lat_cell AND p.lng_cell = f.lng_cell)
+      {SOURCED_SQL}
       SELECT id, ts, lat_cell, lng_cell, source,
         CASE source WHEN 'override' THEN name WHEN 'cache' THEN locality WHEN 'upstream' THEN locality
           END AS locality,
@@ -441,12 +453,10 @@ CHECKS: dict[str, str] = {
         "SELECT id, path, route_backend AS backend, kind, family = 'stormglass' AS needs_key FROM named"
     ),
     "ttl_dedup": f"WITH {TTL_SQL} SELECT * FROM labelled",
-    "ttl_dedup_requests": f"""WITH RECURSIVE {FACTS_SQL}, {WINDOW_STEPS},
-      keys AS ({KEYS_SQL}),
-      reaching AS (
-        SELECT o.id, o.ts, keys.cache_key, o.status_code = 200 AS success
-        FROM outcomes o JOIN keys ON o.id = keys.id WHERE o.status_code <> 400 AND o.backend <> 'Unknown'),
-      {CHAIN_SQL} SELECT * FROM labelled""",
+    "ttl_dedup_requests": f"WITH {TTL_SQL} SELECT * FROM labelled",
+    "served_request_fact": f"WITH {SERVED_SQL} SELECT * FROM served_requests",
+    "served_backend_stats": f"WITH {SERVED_SQL} "
+    f"{STATS_SQL.replace('FROM requests', 'FROM served_requests')} GROUP BY backend",
     "ttl_upstream_calls": f"""WITH {TTL_SQL}
       SELECT cache_key, count(*) AS requests, count(*) FILTER (WHERE cache = 'HIT') AS hits,
         count(*) FILTER (WHERE cache = 'MISS') AS upstream_calls
@@ -488,6 +498,9 @@ CHECKS: dict[str, str] = {
           CASE WHEN id % 3 = 0 THEN lat END AS lat, CASE WHEN id % 3 = 0 THEN lng END AS lng FROM requests"""
     ),
     "stream_requests": _on_facts("SELECT * FROM requests"),
+    "stream_retention": _on_facts(
+        "SELECT id, ts, status_code FROM requests WHERE ts >= TIMESTAMP '2024-01-11 12:30:00'"
+    ),
     "stream_errors": _on_facts("SELECT * FROM errors"),
     "stream_locations": _on_facts(LIFETIME_SQL),
     "stream_ttl_dedup": f"WITH {TTL_SQL} SELECT id, cache_key, success, cache FROM labelled",

@@ -2,7 +2,8 @@
 
 ``ACCESS_LOG_SQL`` is in the part of SQL that Spark and DuckDB share, so that the checked
 queries and the SQL that checks them start from the same rows. The number ``k`` in an
-event's props decides which oddity its request has.
+event's props decides which oddity its request has. ``regular`` requests ask for one place
+over and over, so that their cache keys repeat; ``kt`` is ``k`` for what goes into a key.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ base AS (
       + EXTRACT(MINUTE FROM ts) * 60 + floor(EXTRACT(SECOND FROM ts)) AS BIGINT) AS epoch_s,
     substr(CAST(ts AS STRING), 1, 10) || 'T' || substr(CAST(ts AS STRING), 12, 8) AS clock
   FROM events),
+kinds AS (
+  SELECT *, u % 5 <> 1 AND k >= 22 AS regular,
+    CASE WHEN u % 5 <> 1 AND k >= 22 THEN 0 ELSE k END AS kt
+  FROM base),
 placed AS (
   SELECT *,
     CASE WHEN k = 77 THEN '/dashboard/api/stats'
@@ -38,36 +43,36 @@ placed AS (
       WHEN event_type = 'signup' AND k % 2 = 0 THEN '/tides/timeline'
       WHEN event_type = 'signup' THEN '/tides/extremes'
       ELSE '/data/reverse-geocode-client' END AS path,
-    (u % 25) * 370 - 4500 + k % 10 AS lat_m,
-    ((u % 6) * 31 - 75) * 1000 + k % 7 AS lng_m
-  FROM base),
+    CASE WHEN regular THEN 1200 ELSE (u % 25) * 370 - 4500 + k % 10 END AS lat_m,
+    CASE WHEN regular THEN 8000 ELSE ((u % 6) * 31 - 75) * 1000 + k % 7 END AS lng_m
+  FROM kinds),
 parts AS (
   SELECT *,
     CASE WHEN path LIKE '/v2/%' THEN 'stormglass'
       WHEN path LIKE '/tides/%' THEN 'openwaters'
       WHEN path LIKE '/data/%' THEN 'geocode' ELSE 'none' END AS family,
     CASE WHEN k = 3 THEN NULL WHEN k = 0 THEN '0' WHEN k = 2 THEN '200' WHEN k = 4 THEN 'abc'
-      WHEN k = 5 THEN '1.5d' WHEN k = 13 THEN '' WHEN k = 14 THEN ' 1.5'
+      WHEN k = 5 THEN '1.5d' WHEN k = 12 THEN '1.5' || chr(10) WHEN k = 15 AND path LIKE '/tides/%' THEN 'nan' WHEN k = 13 THEN '' WHEN k = 14 THEN ' 1.5'
       ELSE {_DECIMAL.format(m='lat_m')} END AS lat_text,
     CASE WHEN k = 3 THEN NULL WHEN k IN (0, 1) THEN '0'
       ELSE {_DECIMAL.format(m='lng_m')} END AS lng_text,
     CASE WHEN path <> '/v2/weather/point' THEN NULL
-      WHEN k % 5 = 0 THEN 'swellHeight,swellPeriod'
-      WHEN k % 5 = 1 THEN 'swellHeight,windSpeed,bogus'
-      WHEN k % 5 = 2 THEN 'windDirection, secondarySwellHeight,secondarySwellPeriod'
-      WHEN k % 5 = 3 AND k % 2 = 1 THEN 'bogus,'
-      WHEN k % 5 = 3 THEN 'windSpeed,swellHeight,windSpeed'
+      WHEN kt % 5 = 0 THEN 'swellHeight,swellPeriod'
+      WHEN kt % 5 = 1 THEN 'swellHeight,windSpeed,bogus'
+      WHEN kt % 5 = 2 THEN 'windDirection, secondarySwellHeight,secondarySwellPeriod'
+      WHEN kt % 5 = 3 AND kt % 2 = 1 THEN 'bogus,'
+      WHEN kt % 5 = 3 THEN 'windSpeed,swellHeight,windSpeed'
       ELSE 'swellHeight,swellDirection,swellPeriod,secondarySwellHeight,secondarySwellDirection,'
         || 'secondarySwellPeriod,windDirection,windSpeed' END AS params,
     CASE WHEN path <> '/v2/weather/point' THEN NULL WHEN k = 7 THEN 'icon' WHEN k = 17 THEN ''
       WHEN k % 3 = 0 THEN 'noaa' ELSE NULL END AS source,
-    CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN CAST(epoch_s AS STRING)
-      WHEN k % 4 = 2 THEN clock || '.5Z' ELSE 'garbage' END AS start_text,
-    CASE WHEN k % 6 = 0 THEN NULL WHEN k % 6 = 1 THEN CAST(epoch_s + 18000 AS STRING)
-      WHEN k % 6 = 2 THEN CAST(epoch_s + 864000 AS STRING) WHEN k % 6 = 3 THEN clock || '-02:30'
-      WHEN k % 6 = 4 THEN 'soon' ELSE CAST(epoch_s - 7200 AS STRING) END AS end_text,
+    CASE WHEN kt % 4 = 0 THEN NULL WHEN kt % 4 = 1 THEN CAST(epoch_s AS STRING)
+      WHEN kt % 4 = 2 THEN clock || '.5Z' ELSE 'garbage' END AS start_text,
+    CASE WHEN kt % 6 = 0 THEN NULL WHEN kt % 6 = 1 THEN CAST(epoch_s + 18000 AS STRING)
+      WHEN kt % 6 = 2 THEN CAST(epoch_s + 864000 AS STRING) WHEN kt % 6 = 3 THEN clock || '-02:30'
+      WHEN kt % 6 = 4 THEN 'soon' ELSE CAST(epoch_s - 7200 AS STRING) END AS end_text,
     CASE WHEN path = '/v2/weather/point' OR path LIKE '/data/%' THEN NULL
-      WHEN k = 11 THEN 'bad' WHEN k % 3 = 1 THEN 'MLLW' WHEN k % 3 = 2 THEN '' ELSE NULL END AS datum,
+      WHEN k = 11 THEN 'bad' WHEN kt % 3 = 1 THEN 'MLLW' WHEN kt % 3 = 2 THEN '' ELSE NULL END AS datum,
     CASE WHEN k = 19 THEN NULL WHEN k % 10 = 9 THEN 'intruder' WHEN u % 3 = 0 THEN 'app1'
       WHEN u % 3 = 1 THEN NULL ELSE 'app2' END AS app_id_header,
     CASE WHEN k = 19 THEN NULL WHEN u % 3 = 1 THEN 'app2' WHEN u % 3 = 2 THEN 'zzz'
@@ -80,7 +85,7 @@ parts AS (
 access_log AS (
   SELECT *, CASE WHEN k = 78 THEN 'POST' ELSE 'GET' END AS method,
     COALESCE(CASE WHEN family = 'stormglass' THEN 'lat=' ELSE 'latitude=' END
-        || replace(lat_text, ' ', '%20') || '&', '')
+        || replace(replace(lat_text, ' ', '%20'), chr(10), '%0A') || '&', '')
       || COALESCE(CASE WHEN family = 'stormglass' THEN 'lng=' ELSE 'longitude=' END || lng_text, '')
       || CASE WHEN k = 31 THEN '&lat=99.5' ELSE '' END
       || COALESCE('&params=' || replace(replace(params, ', ', ',+'), 'Speed,', 'Speed%2C'), '')
@@ -95,6 +100,7 @@ access_log AS (
       WHEN k = 62 THEN '{{"hours":[{{"time":7}}],"data":[{{"time":7}}],"extremes":[{{"time":7}}],'
         || '"timeline":[{{"time":7}}],"city":7}}'
       WHEN k = 63 THEN ''
+      WHEN k = 65 THEN '{{}}],"x":[1'
       WHEN k = 64 THEN 'null'
       WHEN family = 'geocode' THEN '{{"locality":"Bay ' || CAST(u % 7 AS STRING) || '","city":"City '
         || CAST(id % 3 AS STRING) || '","countryName":"","countryCode":"ID"}}'

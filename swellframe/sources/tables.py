@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from swellframe.functions.times import RETENTION_DAYS, cutoff, cutoff_date
+from swellframe.sources.workspace import delete_folder
 
 REQUESTS = (
     "id BIGINT, ts TIMESTAMP_NTZ, backend STRING, status_code INT, error_type STRING, "
@@ -18,6 +20,7 @@ ERROR_LOGS = (
     "upstream_response STRING, backend STRING, error_type STRING, dt DATE"
 )
 LOCATIONS = "lat DOUBLE, lng DOUBLE, count BIGINT"
+BACKEND_DAYS = "dt DATE, backend STRING, success BIGINT, failed BIGINT"
 
 
 def append_by_day(rows: DataFrame, path: str) -> None:
@@ -38,6 +41,63 @@ def read_by_day(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def missing_rows(rows: DataFrame, path: str, schema: str) -> DataFrame:
+    """Rows whose id a day table does not have on their day; only their days are read."""
+    spark = rows.sparkSession
+    if not exists(spark, path):
+        return rows
+    span = rows.agg(F.min("dt").alias("first"), F.max("dt").alias("last")).first()
+    table = read_by_day(spark, path, schema).filter(F.col("dt").between(span["first"], span["last"]))
+    return rows.join(table.select("id", "dt"), ["id", "dt"], "left_anti")
+
+
+def append_missing(rows: DataFrame, path: str, schema: str) -> None:
+    """Append the rows that the table does not have yet, so that a rerun adds nothing."""
+    names = [column.split()[0] for column in schema.split(", ")]
+    append_by_day(missing_rows(rows, path, schema).select(names), path)
+
+
+def merge_sums(counts: DataFrame, more: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Two tables of counts as one. Both are added up before the shuffle."""
+    return counts.unionByName(more).groupBy(*keys).agg(*[F.sum(name).alias(name) for name in sums])
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
+    """Finished versions of a table as (number, source, folder), the newest last."""
+    found = []
+    for folder, name in list_folders(spark, path):
+        kind, number, source = [*name.split("-", 2), "", ""][:3]
+        if kind == "version" and exists(spark, f"{folder}/_SUCCESS"):
+            found.append((int(number), source, folder))
+    return sorted(found)
+
+
+def read_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest version of a table written by :func:`merge_version`; empty without one."""
+    versions = _versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(versions[-1][2])
+
+
+def merge_version(
+    spark: SparkSession, path: str, schema: str, source: str, merge: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Write ``merge`` of the table as its next version.
+
+    ``source`` names what is merged. Merged again, it starts from the version before it, so
+    that a step which is repeated counts nothing twice. Older versions are deleted.
+    """
+    versions = _versions(spark, path)
+    bases = [version for version in versions if version[1] != source]
+    base = spark.read.schema(schema).parquet(bases[-1][2]) if bases else spark.createDataFrame([], schema)
+    number = versions[-1][0] + 1 if versions else 1
+    merge(base).write.parquet(f"{path}/version-{number:09d}-{source}")
+    for version in versions:
+        if not bases or version != bases[-1]:
+            delete_folder(spark, version[2])
+
+
 def merge_locations(counters: DataFrame, batch: DataFrame) -> DataFrame:
     """Counters with the cells of a batch of countable requests added.
 
@@ -92,7 +152,21 @@ def drop_expired(
     bound = (as_of.replace(microsecond=0) - timedelta(days=days)).strftime("%Y-%m-%d")
     for folder, day in _day_folders(spark, path):
         if day < bound or (day == bound and not rewritten):
-            _delete_folder(spark, folder)
+            delete_folder(spark, folder)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, hadoop = _files(spark, path)
+    return files.exists(hadoop)
+
+
+def list_folders(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(folder, name) of the folders in a folder, none if it is missing."""
+    files, hadoop = _files(spark, path)
+    if not files.exists(hadoop):
+        return []
+    folders = [status.getPath() for status in files.listStatus(hadoop) if status.isDirectory()]
+    return sorted((str(folder), folder.getName()) for folder in folders)
 
 
 def _files(spark: SparkSession, path: str):
@@ -102,12 +176,5 @@ def _files(spark: SparkSession, path: str):
 
 def _day_folders(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """(folder, day) of every partition: one entry a day, file names are not listed."""
-    files, hadoop = _files(spark, path)
-    folders = [status.getPath() for status in files.listStatus(hadoop) if status.isDirectory()]
-    named = [(str(folder), folder.getName()) for folder in folders]
-    return [(folder, name[3:]) for folder, name in named if name.startswith("dt=2") or name.startswith("dt=1")]
-
-
-def _delete_folder(spark: SparkSession, folder: str) -> None:
-    files, hadoop = _files(spark, folder)
-    files.delete(hadoop, True)
+    named = list_folders(spark, path)
+    return [(folder, name[3:]) for folder, name in named if name.startswith(("dt=1", "dt=2"))]

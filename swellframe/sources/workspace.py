@@ -16,13 +16,18 @@ def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
     folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+# Folders that this process has given out and not deleted.
+_GIVEN: set[str] = set()
+
+
 def fresh_folder(spark: SparkSession, name: str, folder: str | None = None) -> str:
     """A new, unused path under the shared folder."""
-    return f"{shared_folder(spark, folder)}/swellframe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark, folder)}/swellframe/{name}-{uuid.uuid4().hex}"
+    _GIVEN.add(path)
+    return path
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
@@ -35,6 +40,16 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
+def delete_working_tables(spark: SparkSession) -> None:
+    """Deletes every folder that :func:`fresh_folder` gave to this process.
+
+    Results are lazy and read these tables, so call it once they have been written or read.
+    """
+    for path in sorted(_GIVEN):
+        delete_folder(spark, path)
+    _GIVEN.clear()
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Deletes a working table that this library has written, on any file system."""
     jvm = spark.sparkContext._jvm

@@ -1,88 +1,46 @@
-"""The request pipeline as streams.
-
-The stateless streams append to files. Each has a checkpoint of its own, so a restarted
-query goes on where it stopped and its file sink keeps every row once.
-"""
+"""The request pipeline as streams: classified once, then loaded into its tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame
 
 from swellframe.operators.facts import classify, countable, error_rows, request_facts
-from swellframe.operators.reports import backend_stats
-
-
-def append_stream(rows: DataFrame, path: str, checkpoint: str, by_day: bool = False) -> StreamingQuery:
-    """Start a query that appends a stream to Parquet until all given input is read."""
-    writer = (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-    )
-    return (writer.partitionBy("dt") if by_day else writer).start()
-
-
-def stream_requests(
-    access_log: DataFrame, allowed_apps: Sequence[str] = (), default_key: str = ""
-) -> DataFrame:
-    """Access log stream as a stream of request facts."""
-    return request_facts(classify(access_log, allowed_apps, default_key))
+from swellframe.operators.reports import backend_days
+from swellframe.sources import tables
 
 
-def stream_errors(
+def classified_stream(
     access_log: DataFrame, allowed_apps: Sequence[str] = (), default_key: str = ""
 ) -> DataFrame:
-    """Access log stream as a stream of error rows."""
-    return error_rows(classify(access_log, allowed_apps, default_key))
-
+    """Access log stream as a stateless stream of classified requests."""
+    return classify(access_log, allowed_apps, default_key)
 
-def stream_backend_stats(facts: DataFrame) -> DataFrame:
-    """Running report per backend; to be written in complete mode (a row per backend)."""
-    return backend_stats(facts, None)
 
+def load_requests(landed: DataFrame, path: str) -> None:
+    """Adds the request facts that the day table does not have yet."""
+    tables.append_missing(request_facts(landed), path, tables.REQUESTS)
 
-def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.groupby(["lat", "lng"], as_index=False).size().rename(columns={"size": "count"})
 
+def load_errors(landed: DataFrame, path: str) -> None:
+    """Adds the error rows that the day table does not have yet."""
+    tables.append_missing(error_rows(landed), path, tables.ERROR_LOGS)
 
-def _add_up(
-    key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    before = state.get[0] if state.exists else 0
-    total = before + sum(int(chunk["count"].sum()) for chunk in chunks)
-    state.update((total,))
-    yield pd.DataFrame({"lat": [key[0]], "lng": [key[1]], "count": [total]})
 
-
-def stream_locations(
-    access_log: DataFrame, allowed_apps: Sequence[str] = (), default_key: str = ""
-) -> DataFrame:
-    """Access log stream as a stream of running counts per cell.
-
-    An aggregate in update mode has no file sink, so the counts are kept in state here
-    and every change is appended. Counts only grow: the current count of a cell is the
-    largest one written, see :func:`current_locations`. Cells are counted per Arrow
-    batch before the shuffle, so a hot cell sends one row per batch.
-    """
-    cells = countable(classify(access_log, allowed_apps, default_key)).select("lat", "lng")
-    counted = cells.mapInPandas(_count_batches, "lat DOUBLE, lng DOUBLE, count BIGINT")
-    return counted.groupBy("lat", "lng").applyInPandasWithState(
-        _add_up,
-        "lat DOUBLE, lng DOUBLE, count BIGINT",
-        "total BIGINT",
-        "append",
-        GroupStateTimeout.NoTimeout,
+def load_locations(landed: DataFrame, path: str, source: str) -> None:
+    """Merges the countable requests of one landing folder into the location counters."""
+    tables.merge_version(
+        landed.sparkSession, path, tables.LOCATIONS, source,
+        lambda counters: tables.merge_locations(counters, countable(landed)),
     )
 
 
-def current_locations(changes: DataFrame) -> DataFrame:
-    """Current count per cell from the changes written by :func:`stream_locations`."""
-    return changes.groupBy("lat", "lng").agg(F.max("count").alias("count"))
+def load_backend_days(landed: DataFrame, path: str, source: str) -> None:
+    """Merges the requests of one landing folder into the counts per day and backend."""
+    tables.merge_version(
+        landed.sparkSession, path, tables.BACKEND_DAYS, source,
+        lambda counts: tables.merge_sums(
+            counts, backend_days(request_facts(landed)), ["dt", "backend"], ["success", "failed"]
+        ),
+    )

@@ -1,98 +1,82 @@
-"""Response lifetimes on a stream of requests."""
+"""Response lifetimes on requests that arrive in steps.
+
+A stateless stream brings the narrow requests; a batch step labels the new ones. Labels and
+stored responses are one table: a successful MISS has stored a response. New requests that a
+stored response covers are HITs, late ones included. What is left is labelled by the batch
+operator, which splits hot keys. On requests that arrive in order the labels equal those of
+the batch operator. No request is ever dropped, and labels that were given out stay.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from swellframe.functions.times import epoch_micros
-from swellframe.operators.response_cache import LIFETIME_SECONDS
-
-# Rows handed back to Spark at once.
-OUTPUT_ROWS = 100_000
-
-OUTPUT = "id BIGINT, cache_key STRING, at BIGINT, success BOOLEAN, cache STRING"
+from swellframe.operators.facts import cache_requests, classify
+from swellframe.operators.response_cache import LIFETIME_SECONDS, ttl_labels
+from swellframe.sources import tables
+from swellframe.sources.workspace import written
 
+LABELS = (
+    "id BIGINT, ts TIMESTAMP_NTZ, cache_key STRING, success BOOLEAN, cache STRING, dt DATE"
+)
 
-def _labeller(lifetime: int):
-    def label(
-        key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # Of every Arrow chunk only three narrow columns are kept.
-        columns = [
-            (chunk["at"].to_numpy(), chunk["id"].to_numpy(), (chunk["success"] == True).to_numpy())  # noqa: E712
-            for chunk in chunks
-        ]
-        at, ids, success = (np.concatenate(parts) for parts in zip(*columns))
-        order = np.lexsort((ids, at))
-        at, ids, success = at[order], ids[order], success[order]
-        stored_at = np.flatnonzero(success)
-        hit = np.zeros(len(at), dtype=bool)
-        written = state.get[0] if state.exists else None
-        position = 0
-        while position < len(at):
-            if written is not None:
-                fresh = np.searchsorted(at, written + lifetime, side="left")
-                hit[position:fresh] = True
-                position = max(position, fresh)
-            # The next success from here on stores a response.
-            following = np.searchsorted(stored_at, position, side="left")
-            if following == len(stored_at):
-                break
-            write = stored_at[following]
-            written = int(at[write])
-            position = write + 1
-        if written is not None:
-            state.update((written,))
-            expires = (written + lifetime) // 1000
-            if expires > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(expires)
-            else:
-                state.remove()
-        for start in range(0, len(at), OUTPUT_ROWS):
-            part = slice(start, start + OUTPUT_ROWS)
-            yield pd.DataFrame(
-                {
-                    "id": ids[part],
-                    "cache_key": key[0],
-                    "at": at[part],
-                    "success": success[part],
-                    "cache": np.where(hit[part], "HIT", "MISS"),
-                }
-            )
 
-    return label
+def cache_request_stream(
+    access_log: DataFrame, allowed_apps: Sequence[str] = (), default_key: str = ""
+) -> DataFrame:
+    """Access log stream as a stateless stream of the requests that reach the cache."""
+    return cache_requests(classify(access_log, allowed_apps, default_key))
 
 
-def stream_ttl_labels(
-    requests: DataFrame, lifetime_seconds: int = LIFETIME_SECONDS, late: str = "1 day"
-) -> DataFrame:
-    """Stream of ``id, ts, cache_key, success`` labelled HIT or MISS.
+def _covered(requests: DataFrame, stored: DataFrame, lifetime: int) -> DataFrame:
+    """Ids of requests that fall into the lifetime of a stored response.
 
-    The state of a key is the time of its last stored response, compared with the time
-    of the requests. It is dropped once the watermark passes the end of the lifetime.
-    Requests of a key within a micro-batch are put in order of time and id; the size
-    of a micro-batch is bounded at the source. Requests that arrive after a later one
-    of their key was handled may be labelled differently from the batch operator.
+    A response covers at most the bucket of its time and the next, so this is an equi-join.
     """
-    timed = requests.select(
-        "id",
+    bucket = lambda at: F.floor(at / F.lit(lifetime))
+    at = F.col("at")
+    responses = stored.select(
         "cache_key",
-        "success",
-        epoch_micros(F.col("ts")).alias("at"),
-        F.timestamp_micros(epoch_micros(F.col("ts"))).alias("event_time"),
-    ).withWatermark("event_time", late)
-    return timed.groupBy("cache_key").applyInPandasWithState(
-        _labeller(lifetime_seconds * 1_000_000),
-        OUTPUT,
-        "written BIGINT",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+        F.col("at").alias("stored_at"),
+        F.col("id").alias("stored_id"),
+        F.explode(F.array(bucket(at), bucket(at) + 1)).alias("bucket"),
     )
+    asked = requests.select("id", "cache_key", "at", bucket(at).alias("bucket"))
+    after = (at > F.col("stored_at")) | ((at == F.col("stored_at")) & (F.col("id") > F.col("stored_id")))
+    covering = after & (at < F.col("stored_at") + lifetime)
+    return asked.join(responses, ["cache_key", "bucket"]).filter(covering).select("id").distinct()
+
+
+def label_arrivals(arrivals: DataFrame, path: str, lifetime_seconds: int = LIFETIME_SECONDS) -> None:
+    """Labels the requests that the label table does not have yet, and adds them to it.
+
+    Every id ends up in the table once, however often a step is run.
+    """
+    spark, lifetime = arrivals.sparkSession, lifetime_seconds * 1_000_000
+    at = epoch_micros(F.col("ts"))
+    dated = arrivals.withColumn("dt", F.col("ts").cast("date"))
+    new = written(tables.missing_rows(dated, path, LABELS).withColumn("at", at), "arrivals")
+    first = new.agg(F.min("ts").alias("ts")).first()["ts"]
+    if first is None:
+        return
+    # Older responses cover none of the new requests; the day limit prunes folders.
+    since = F.lit(first).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(lifetime_seconds)} SECOND")
+    known = tables.read_by_day(spark, path, LABELS) if tables.exists(spark, path) else None
+    if known is None:
+        rest = new
+        hits = None
+    else:
+        stored = known.filter((F.col("dt") >= since.cast("date")) & (F.col("ts") >= since))
+        stored = stored.filter(F.col("success") & (F.col("cache") == "MISS")).withColumn("at", at)
+        covered = written(_covered(new, stored, lifetime), "covered-arrivals")
+        hits = new.join(covered, "id", "left_semi").withColumn("cache", F.lit("HIT"))
+        rest = new.join(covered, "id", "left_anti")
+    labelled = ttl_labels(rest.select("id", "ts", "cache_key", "success"), lifetime_seconds)
+    labelled = labelled.withColumn("dt", F.col("ts").cast("date"))
+    columns = ["id", "ts", "cache_key", "success", "cache", "dt"]
+    if hits is not None:
+        labelled = labelled.unionByName(hits.select(columns))
+    tables.append_by_day(written(labelled.select(columns), "new-labels"), path)

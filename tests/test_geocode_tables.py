@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pytest
+
 from swellframe.operators import geocode
 from swellframe.sources import custom_locations, tables
+from swellframe.streaming import landing
 from swellframe.streaming import requests as streams
 
 TS = datetime(2024, 3, 5, 10, 30)
@@ -112,15 +115,66 @@ def test_location_stream_goes_on_after_a_restart(spark, log_rows, tmp_path):
         ]
         log_rows(*rows).write.mode("append").parquet(source)
 
-    def run():
+    table = str(tmp_path / "counters")
+
+    def run(load=streams.load_locations):
         from swellframe.sources.access_log import stream_access_log
 
-        changes = streams.stream_locations(stream_access_log(spark, source))
-        streams.append_stream(changes, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-        written = spark.read.schema(tables.LOCATIONS).parquet(str(tmp_path / "out"))
-        return sorted(tuple(row) for row in streams.current_locations(written).collect())
+        rows = streams.classified_stream(stream_access_log(spark, source))
+        landing.load_stream(
+            rows, str(tmp_path / "landing"), str(tmp_path / "state"),
+            lambda landed, step: load(landed, table, step),
+        )
+        return sorted(tuple(row) for row in tables.read_version(spark, table, tables.LOCATIONS).collect())
 
     add(1.0, 1.001, 3.0)
     assert run() == [(1.0, 2.0, 2), (3.0, 2.0, 1)]
     add(1.0)
+
+    def stopped(landed, folder, step):
+        streams.load_locations(landed, folder, step)
+        raise RuntimeError("stopped after loading")
+
+    with pytest.raises(RuntimeError):
+        run(stopped)
+    # The step is repeated with the same rows, and counts them once.
+    assert run() == [(1.0, 2.0, 3), (3.0, 2.0, 1)]
     assert run() == [(1.0, 2.0, 3), (3.0, 2.0, 1)]
+    assert len(tables.list_folders(spark, table)) <= 2
+
+
+def test_retention_and_appends_on_a_streamed_table(spark, log_rows, tmp_path):
+    from swellframe.sources.access_log import stream_access_log
+
+    source, table = str(tmp_path / "log"), str(tmp_path / "requests")
+    rows = [
+        {"id": 100 * day + i, "ts": datetime(2024, 3, day, i % 24), "path": "/tides/timeline",
+         "upstream_status": 200, "upstream_body": "{}", "query": "latitude=1&longitude=2"}
+        for day in (1, 2, 3) for i in range(30)
+    ]
+    log_rows(*rows).repartition(4).write.parquet(source)
+    landing.load_stream(
+        streams.classified_stream(stream_access_log(spark, source)),
+        str(tmp_path / "landing"), str(tmp_path / "state"),
+        lambda landed, step: streams.load_requests(landed, table),
+    )
+    read = lambda: tables.read_by_day(spark, table, tables.REQUESTS)
+    assert read().count() == 90 and len(read().inputFiles()) <= 6
+    tables.drop_expired(spark, table, tables.REQUESTS, datetime(2024, 4, 1, 12))
+    assert sorted({row.dt.day for row in read().collect()}) == [2, 3]
+    before = read().count()
+    tables.append_missing(fact_rows(spark, datetime(2024, 3, 9, 1)), table, tables.REQUESTS)
+    tables.append_missing(fact_rows(spark, datetime(2024, 3, 9, 1)), table, tables.REQUESTS)
+    assert read().count() == before + 1
+
+
+def test_backend_days_are_kept(spark, tmp_path):
+    table = str(tmp_path / "days")
+    day = TS.date()
+    for step, success in (("a", 2), ("b", 3), ("b", 4)):
+        more = spark.createDataFrame([(day, "b", success, 1)], tables.BACKEND_DAYS)
+        tables.merge_version(
+            spark, table, tables.BACKEND_DAYS, step,
+            lambda counts, more=more: tables.merge_sums(counts, more, ["dt", "backend"], ["success", "failed"]),
+        )
+    assert [tuple(r) for r in tables.read_version(spark, table, tables.BACKEND_DAYS).collect()] == [(day, "b", 6, 2)]

@@ -144,3 +144,32 @@ def test_a_body_is_parsed_once(spark):
     rows = payloads.dense_rows(bodies(spark, "{}"), "weather", ["id"])
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json(") == 1 and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("body", ['{}],"x":[1', '{"data":[]}],"z":[0', '{}],"d":[{}', "{},{}"])
+def test_text_after_the_document(spark, body):
+    rows = spark.createDataFrame([(1, body, "tide_extremes")], "id INT, body STRING, kind STRING")
+    assert payloads.corrupt_payloads(rows, ["id"]).count() == 1
+    assert payloads.corrupt_rows(rows, "tide_extremes", ["id"]).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("value", "text"),
+    [(100.0, "100"), (0.0, "0"), (-2.5, "-2.5"), (1e-5, "0.00001"), (12345678.5, "12345678.5"), (1e-7, "1e-7"),
+     (1.5e-9, "1.5e-9"), (1e20, "100000000000000000000"), (1e21, "1e+21"), (-1.25e300, "-1.25e+300"),
+     (123456789012345678.0, "123456789012345680"), (0.1, "0.1"), (1.2345678901234567e-6, "0.0000012345678901234567")],
+)
+def test_json_number(spark, value, text):
+    from swellframe.functions.numbers import json_number
+
+    df = spark.createDataFrame([(value,)], "x DOUBLE")
+    assert df.select(json_number(df["x"])).first()[0] == text
+
+
+def test_packed_weather_leaves_out_what_was_not_asked(spark):
+    hours = ",".join(
+        f'{{"time":"2024-03-05T{h:02d}:00:00Z","swellHeight":{{"noaa":{h}.0}},"windSpeed":{{"noaa":1.25}}}}' for h in range(24)
+    )
+    rows = spark.createDataFrame([(1, f'{{"hours":[{",".join([hours] * 7)}]}}', "swellHeight,swellPeriod")], "id INT, body STRING, params STRING")
+    document = payloads.pack_dense(rows, "weather", ["id"]).first().document
+    assert document.count('"ts"') == 168 and '"h1":23,"p1":0}' in document and "ws" not in document

@@ -201,3 +201,44 @@ def test_requests_that_reach_the_cache(log_rows):
     reaching = facts.cache_requests(facts.classify(rows)).orderBy("id").collect()
     assert [(row.id, row.success) for row in reaching] == [(0, True), (1, False), (2, False)]
     assert reaching[0].cache_key == "tides:1.01:2.00:1709632800:1709636400:MSL"
+
+
+@pytest.mark.parametrize("text", ["lat=1.5%0A&lng=2", "lat=1&lng=2%0A"])
+def test_a_line_break_is_no_number(spark, log_rows, text):
+    rows = log_rows({"path": TIDES, "query": text, "ts": TS, "authorization_header": "k"})
+    assert facts.classify(rows).first().status_code == 400
+
+
+def test_requests_that_never_asked_upstream(spark, log_rows):
+    rows = log_rows(*[{"path": TIMELINE, "query": "latitude=1&longitude=2", "ts": TS}] * 3)
+    called = F.element_at(F.array(F.lit(True), F.lit(False), F.lit(None).cast("boolean")), (F.col("id") + 1).cast("int"))
+    found = facts.classify(rows.withColumn("upstream_called", called)).collect()
+    assert {r.id: r.status_code for r in found} == {0: 500, 1: 200, 2: 500}
+
+
+def test_served_requests_are_successes(spark):
+    from swellframe.operators import served
+    from swellframe.plans import catalog
+    from swellframe.sources.workspace import written
+
+    sf_dir = "/root/testdata/sf0.01"
+    rows = written(catalog.classified(spark, sf_dir), "classified")
+    overrides = catalog.override_names(spark, sf_dir)
+    ids = served.served_ids(rows, overrides)
+    result = served.service_facts(rows, overrides)
+    plain = served.service_facts(rows, overrides, use_cache=False)
+    assert result.count() == plain.count()
+    assert result.join(ids, "id").filter("status_code >= 400 OR error_type <> ''").count() == 0
+    assert plain.join(ids, "id").filter("status_code >= 400").count() > 0
+    labels = catalog.ttl_dedup(spark, sf_dir)
+    assert labels.filter("cache = 'HIT'").count() >= 0.2 * labels.count()
+
+
+@pytest.mark.parametrize(("text", "days"), [("7", 7), ("+7", 7), ("-1", -1), ("1_0", 0), (" 7 ", 0), ("\u0667", 0), (None, 0)])
+def test_days_requested(text, days):
+    assert reports.days_requested(text) == days
+
+
+def test_not_a_number_is_stored_as_null(spark, log_rows):
+    rows = log_rows({"path": TIMELINE, "query": "latitude=nan&longitude=5", "ts": TS, "upstream_status": 200, "upstream_body": "{}"})
+    assert tuple(facts.request_facts(facts.classify(rows)).select("lat", "lng").first()) == (None, 5.0)

@@ -9,8 +9,8 @@ import pytest
 
 from swellframe.operators.response_cache import ttl_labels, upstream_calls
 from swellframe.plans import catalog
-from swellframe.streaming.requests import append_stream
-from swellframe.streaming.response_cache import OUTPUT, stream_ttl_labels
+from swellframe.streaming.landing import load_stream
+from swellframe.streaming.response_cache import LABELS, label_arrivals
 
 START = datetime(2024, 3, 5, 9, 59, 30)
 SCHEMA = "id BIGINT, ts TIMESTAMP_NTZ, cache_key STRING, success BOOLEAN"
@@ -81,20 +81,76 @@ def test_no_requests_and_no_successes(spark):
     assert set(labels_of(ttl_labels(spark.createDataFrame(rows, SCHEMA))).values()) == {"MISS"}
 
 
-def test_stream_in_batches_equals_the_loop(spark, tmp_path):
-    rows = sorted(random_rows(6, 400, 5, 60_000, 0.6), key=lambda row: (row[1], row[0]))
-    source = str(tmp_path / "in")
-    for start in range(0, len(rows), 100):
-        part = spark.createDataFrame(rows[start : start + 100], SCHEMA).coalesce(1)
-        part.write.mode("append").parquet(source)
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-    query = append_stream(stream_ttl_labels(stream), str(tmp_path / "out"), str(tmp_path / "state"))
-    query.awaitTermination()
-    got = spark.read.schema(OUTPUT).parquet(str(tmp_path / "out"))
+def arrivals(spark, folder, parts):
+    """Labels after requests have arrived in parts, each of several files and micro-batches."""
+    source, table = str(folder / "in"), str(folder / "labels")
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).repartition(3).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 2).parquet(source)
+        load_stream(
+            stream, str(folder / "landing"), str(folder / "state"),
+            lambda landed, step: label_arrivals(landed, table),
+        )
+    return spark.read.schema(LABELS).parquet(table)
+
+
+def test_ordered_arrivals_equal_the_loop(spark, tmp_path):
+    rows = sorted(random_rows(6, 500, 5, 60_000, 0.6), key=lambda row: (row[1], row[0]))
+    # The third key holds most of the requests.
+    rows = [(i, ts, "k2" if i % 3 else key, ok) for i, ts, key, ok in rows]
+    got = arrivals(spark, tmp_path, [rows[:150], rows[150:160], rows[160:]])
+    assert got.count() == len(rows)
     assert labels_of(got) == brute_force(rows, timedelta(hours=1))
 
 
+def test_late_requests_are_labelled(spark, tmp_path):
+    at = lambda minutes: START + timedelta(minutes=minutes)
+    first = [(1, at(0), "k", True), (2, at(30), "k", True), (3, at(6000), "k", True)]
+    late = [
+        (4, at(20), "k", True), (5, at(-600), "k", True), (6, at(-590), "k", False),
+        (7, at(6010), "k", False), (8, at(9000), "k", False), (9, at(50), "other", True),
+    ]
+    got = arrivals(spark, tmp_path, [first, late])
+    assert labels_of(got) == {
+        1: "MISS", 2: "HIT", 3: "MISS", 4: "HIT", 5: "MISS", 6: "HIT", 7: "HIT", 8: "MISS", 9: "MISS",
+    }
+
+
+def test_a_repeated_step_adds_nothing(spark, tmp_path):
+    rows = random_rows(8, 60, 3, 9_000, 0.7)
+    table = str(tmp_path / "labels")
+    df = spark.createDataFrame(rows, SCHEMA)
+    for _ in range(2):
+        label_arrivals(df, table)
+    assert labels_of(spark.read.schema(LABELS).parquet(table)) == brute_force(rows, timedelta(hours=1))
+    assert spark.read.schema(LABELS).parquet(table).count() == 60
+
+
 def test_given_table_counts(spark):
     """Counts of the smallest given table, with every run solved by joins as well."""
-    requests = catalog.cache_requests(catalog.parts(spark, "/root/testdata/sf0.001"))
+    requests = catalog.stored_cache_requests(spark, "/root/testdata/sf0.001")
     assert labels_of(ttl_labels(requests)) == labels_of(ttl_labels(requests, folded_run=0))
+
+
+def test_working_tables_can_be_deleted(spark):
+    from swellframe.sources import tables
+    from swellframe.sources.workspace import delete_working_tables, shared_folder
+
+    delete_working_tables(spark)
+    rows = random_rows(9, 200, 1, 30_000, 0.6)
+    labels_of(ttl_labels(spark.createDataFrame(rows, SCHEMA), folded_run=0))
+    folder = f"{shared_folder(spark)}/swellframe"
+    assert len(tables.list_folders(spark, folder)) > 1
+    delete_working_tables(spark)
+    assert tables.list_folders(spark, folder) == []
+
+
+def test_folder_without_a_setting(spark):
+    from types import SimpleNamespace
+
+    from swellframe.sources.workspace import shared_folder
+
+    assert shared_folder(spark, "/given/") == "/given"
+    settings = {"spark.sql.warehouse.dir": "file:/shared/warehouse/"}
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: settings.get(name, default)))
+    assert shared_folder(unset) == "file:/shared/warehouse/_work"
