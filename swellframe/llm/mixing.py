@@ -201,7 +201,9 @@ def block_spans(sized: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORD
 def mixture(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """The mix: ``shard``, ``slot``, ``pass``, and the words that fill the slot: ``row``,
     ``doc_id``, ``first_word``, ``n_words``. Documents without words fill none."""
-    return drawn_slots(plan).join(block_spans(sized, plan), ["rank", "block"]).drop("rank", "block")
+    # Spark takes drawn slots for as small as the range of groups that they are made from.
+    slots = drawn_slots(plan).hint("merge")
+    return slots.join(block_spans(sized, plan), ["rank", "block"]).drop("rank", "block")
 
 
 def stored_sizes(docs: DataFrame) -> DataFrame:
