@@ -26,6 +26,9 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 FIT_ROWS = 8192
 TREES = 100
 SUBSAMPLE = 256
+# Bad documents in the fit, as a share of the good ones: a forest sets rows apart only where
+# they are few.
+BAD_SHARE = 0.01
 # At most this share of good labelled documents may be rejected.
 GOOD_LOSS = 0.002
 SEED = 20240131
@@ -93,17 +96,12 @@ def with_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataF
 
 
 def features(rows: dict[str, np.ndarray]) -> np.ndarray:
-    """Shares and log sizes, so that long documents are not anomalies by themselves."""
+    """Shares, so that long documents are not anomalies by themselves. Repeated lines are left
+    out: good and bad documents have as many."""
     words = np.maximum(rows["n_words"], 1).astype(float)
     chars = np.maximum(rows["word_chars"], 1).astype(float)
     return np.column_stack(
-        [
-            np.minimum(np.log(words), np.log(200.0)),
-            rows["word_chars"] / words,
-            rows["n_symbols"] / chars,
-            rows["n_dup_lines"] / words,
-            rows["n_repeat_words"] / words,
-        ]
+        [rows["word_chars"] / words, rows["n_symbols"] / chars, rows["n_repeat_words"] / words]
     )
 
 
@@ -189,7 +187,8 @@ def fit(statistics: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int
     """Forest and threshold from labelled documents that pass the fixed rules.
 
     ``labels`` has ``key`` and ``quality`` (1 good, 0 bad); null labels are left out. Fitted
-    on at most ``rows`` documents, chosen by the hash of their ids whatever the input size.
+    on at most ``rows`` documents, chosen by the hash of their ids whatever the input size;
+    of the bad ones the trees see few, the threshold all.
     """
     known = labels.filter(F.col("quality").isNotNull()).select(
         F.col(key).alias("_key"), (F.col("quality") == 1).alias("_good")
@@ -200,8 +199,11 @@ def fit(statistics: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int
     if sample.empty:
         return fit_forest(np.zeros((0, len(STATISTICS))))
     x = features({name: sample[name].to_numpy() for name in STATISTICS})
-    forest = fit_forest(x)
-    forest.threshold = calibrated(forest.scores(x), sample["_good"].to_numpy(bool))
+    good = sample["_good"].to_numpy(bool)
+    fine, bad = np.flatnonzero(good), np.flatnonzero(~good)
+    few = bad[: max(1, int(BAD_SHARE * len(fine)))] if len(fine) else bad
+    forest = fit_forest(x[np.concatenate([fine, few])])
+    forest.threshold = calibrated(forest.scores(x), good)
     return forest
 
 

@@ -53,6 +53,8 @@ def test_labelled_good_documents_are_kept(spark):
     labels = queries.table(spark, sf_dir, "labels")
     good = rows.join(labels, "doc_id").filter("quality = 1 and not base_failed")
     assert good.filter("not kept").count() <= 0.01 * good.count()
+    bad = rows.join(labels, "doc_id").filter("quality = 0 and not base_failed")
+    assert bad.filter("not kept").count() >= 0.5 * bad.count()
 
 
 def test_outliers_have_short_paths():
