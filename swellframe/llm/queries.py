@@ -127,6 +127,60 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(secrets.reported(spans))
 
 
+def _check_op7() -> str:
+    """Matches and gaps as lists, their positions as sums, and complements by a plain join."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    kinds = ", ".join(
+        f"({place}, {quoted(kind)}, {quoted(role)}, {str(kind in secrets.STRONG).lower()}, {quoted(pattern)})"
+        for place, (kind, (pattern, role)) in enumerate(secrets.KINDS.items())
+    )
+    chars = lambda name: f"list_sum(list_transform({name}[1:i], lambda x: length(x)))"
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS place, doc_id, coalesce(text, '') AS text FROM documents),
+kinds(number, kind, role, strong, pattern) AS (VALUES {kinds}),
+found AS (
+  SELECT place, number, kind, role, strong,
+    regexp_extract_all(text, pattern, 0) AS m, string_split_regex(text, pattern) AS g
+  FROM texts, kinds),
+numbered AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+spans AS (
+  SELECT place, number, kind, role, strong, m[i] AS hit,
+    CAST({chars('g')} + {chars('m')} - length(m[i]) AS BIGINT) AS s,
+    CAST({chars('g')} + {chars('m')} AS BIGINT) AS e
+  FROM numbered),
+parts AS (
+  SELECT * FROM spans WHERE CASE kind
+    WHEN 'assign' THEN length(regexp_extract(hit, {quoted(secrets.ASSIGN)}, 2)) >= {secrets.SHORTEST_VALUE}
+    WHEN 'token' THEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]')
+    ELSE true END),
+near AS (
+  SELECT w.place, w.number, w.kind, w.s, w.e,
+    bool_or(p.role = 'identifier' AND p.kind <> 'endpoint' AND greatest(p.s - w.e, w.s - p.e) >= 0) AS identifier,
+    bool_or(p.role = 'secret' AND greatest(p.s - w.e, w.s - p.e) >= 0) AS secret,
+    bool_or(p.strong AND greatest(p.s - w.e, w.s - p.e) < 0) AS covered
+  FROM parts w JOIN parts p ON w.place = p.place AND NOT w.strong
+    AND greatest(p.s - w.e, w.s - p.e) <= {secrets.SCOPE}
+  GROUP BY ALL),
+reported AS (
+  SELECT place, number, kind, s, e, true AS strong FROM parts WHERE strong
+  UNION ALL SELECT place, number, kind, s, e, false FROM near
+  WHERE NOT covered AND CASE kind WHEN 'login' THEN secret WHEN 'token' THEN identifier
+    ELSE identifier AND secret END),
+lines AS (
+  SELECT place, count(*) FILTER (WHERE kind = 'assign') AS n_assign,
+    count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, number, e) FILTER (WHERE strong) AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, number, e) AS spans
+  FROM reported GROUP BY place)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN lines ON texts.place = lines.place
+"""
+
+
+CHECK_OP7 = _check_op7()
+
+
 # One vector in so many is a query.
 QUERY_STEP, BEST = 20, 20
 
@@ -191,4 +245,4 @@ QUERIES: dict[str, Query] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-CHECKS: dict[str, str] = {"op4_jaccard_join": CHECK_OP4, "op5_warc": CHECK_OP5, "op8_top_k": CHECK_OP8}
+CHECKS: dict[str, str] = {"op4_jaccard_join": CHECK_OP4, "op5_warc": CHECK_OP5, "op7_secrets": CHECK_OP7, "op8_top_k": CHECK_OP8}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+from compare import connection, differences
+
 from swellframe.llm import queries, secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -50,7 +52,9 @@ def check(spark, df):
 
 
 def test_query(spark):
-    check(spark, queries.table(spark, "/root/testdata/sf0.001", "documents"))
+    sf_dir = "/root/testdata/sf0.01"
+    check(spark, queries.table(spark, sf_dir, "documents"))
+    assert differences(queries.op7_secrets(spark, sf_dir), connection(sf_dir), queries.CHECK_OP7) == []
 
 
 KEY = "AKIA" + "A1" * 10
