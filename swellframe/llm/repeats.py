@@ -5,9 +5,12 @@ a smaller id, or further up in the same one. All documents together would make o
 array; it is built in shards that hold only what can repeat:
 
 1. Anchors. In every ``MATCH`` bytes the grams with the smallest hash are anchors, so equal
-   strings have equal anchors at equal places. Anchors whose hash occurs once are done.
-2. Contexts. An anchor's context is all that strings over it can hold. Of equal contexts only
-   the earliest goes on; the strings of the others are repeated.
+   strings have equal anchors at equal places. Equal strings over a gram also agree in half
+   of their other bytes before it or behind it; anchors that have this in common with no
+   other one are done.
+2. Contexts. Each string belongs to the first of its smallest grams, and an anchor's context
+   is all that its strings hold. Of equal contexts only the earliest goes on; the strings of
+   the others are repeated.
 3. Shard arrays. Different contexts of the same anchor come together in a shard. Its suffix
    array is induced, permuted common prefixes tell which strings are equal, and all but the
    earliest are repeated.
@@ -21,6 +24,7 @@ hash in Spark instead, however many they are.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +39,11 @@ from swellframe.llm.wanted import Seen, is_wanted, wanted_table
 from swellframe.sources.workspace import written
 
 MATCH = 100
-GRAM = 32
+GRAM = 16
+# Bytes before or behind a gram that equal strings over it must have in common.
+HALF = (MATCH - GRAM) // 2
+# Rows of one gram that are compared in memory; of longer groups all rows go on.
+GROUP_ROWS = 200_000
 # Bytes of contexts in a shard's array, and contexts of one anchor that a shard may hold.
 SHARD_BYTES = 1 << 20
 SHARD_CONTEXTS = 8192
@@ -71,23 +79,60 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - length)], values[width - length :]) if width > length else values
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are smallest in some ``MATCH`` bytes."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Grams that are smallest in some ``MATCH`` bytes: their places, their hashes, the first
+    and last start of the strings in which they are the first of the smallest grams, and
+    hashes of what stands before and behind them (32 bits each, 0 where that is too short)."""
     width = MATCH - GRAM + 1
     if len(data) < MATCH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return tuple(np.zeros(0, kind) for kind in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
     hashes = gram_hashes(data)
     least = _sliding(hashes, width, np.minimum)
     edge = np.zeros(width - 1, np.uint64)
     # The largest minimum among the strings over a gram is its own hash if it is an anchor.
     best = _sliding(np.concatenate([edge, least, edge]), width, np.maximum)
     at = np.flatnonzero(best == hashes)
-    return at, hashes[at]
+    starts = np.arange(len(least))
+    owner = np.searchsorted(at, starts)
+    todo = starts
+    while len(todo := todo[hashes[at[owner[todo]]] != least[todo]]):
+        owner[todo] += 1
+    used, first = np.unique(owner, return_index=True)
+    last = np.append(first[1:], len(owner)) - 1
+    at = at[used]
+    before = _side(hashes, at, [-HALF, -HALF + GRAM, -GRAM])
+    behind = _side(hashes, at, [GRAM, HALF - GRAM, HALF])
+    return at, hashes[at], first, last, before << np.uint64(32) | behind
+
+
+def _side(hashes: np.ndarray, at: np.ndarray, steps: list[int]) -> np.ndarray:
+    """32-bit hashes of grams that stand ``steps`` away, 0 where the text ends before."""
+    out = np.zeros(len(at), np.uint64)
+    inside = np.flatnonzero((at + min(steps) >= 0) & (at + max(steps) < len(hashes)))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(inside), np.uint64)
+        for step in steps:
+            total = (total ^ hashes[at[inside] + step]) * _GRAM_FACTOR
+    out[inside] = (total >> np.uint64(32)) | np.uint64(1)
+    return out
+
+
+# A context as one number: its start in the text, how many strings it has besides the first,
+# and where its gram is.
+SHORT = 7
+
 
+def packed(first: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return ((first << SHORT) + last - first << SHORT) + place - first
 
-def context(place: int, size: int) -> tuple[int, int]:
-    """Where the strings over an anchor begin and end at most."""
-    return max(0, place - (MATCH - GRAM)), min(size, place + MATCH)
+
+def unpacked(span):
+    """First and last start of a context's strings and the place of its gram; also of columns."""
+    first = F.shiftright(span, 2 * SHORT) if hasattr(span, "cast") else span >> 2 * SHORT
+    more = F.shiftright(span, SHORT) if hasattr(span, "cast") else span >> SHORT
+    low = (1 << SHORT) - 1
+    mask = (lambda x: x.bitwiseAND(F.lit(low))) if hasattr(span, "cast") else lambda x: x & low
+    return first, first + mask(more), first + mask(span)
 
 
 def text_facts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,11 +154,11 @@ def text_facts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def anchor_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``gram``, ``context`` (both hashes), ``name`` and ``place`` of all anchors.
+    """``gram``, ``context``, ``sides`` (hashes), ``name`` and ``span`` of all anchors.
 
     Equal texts are cut up once per task.
     """
-    names = ["gram", "context", "name", "place"]
+    names = ["gram", "context", "sides", "name", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
@@ -124,45 +169,79 @@ def anchor_rows(docs: DataFrame, text: str = "text") -> DataFrame:
                     data = (body or "").encode()
                     if len(data) < MATCH or not seen.first(name := fingerprint(data)):
                         continue
-                    places, hashes = anchors(np.frombuffer(data, np.uint8))
-                    spans = [context(p, len(data)) for p in places.tolist()]
+                    places, hashes, first, last, sides = anchors(np.frombuffer(data, np.uint8))
                     # The place within the context is part of what must be equal.
                     contexts = [
-                        xxhash.xxh3_64_intdigest(data[a:b], p - a)
-                        for p, (a, b) in zip(places.tolist(), spans, strict=True)
+                        xxhash.xxh3_64_intdigest(data[a : b + MATCH], p)
+                        for a, b, p in zip(first.tolist(), last.tolist(), (places - first).tolist(), strict=True)
                     ]
                     columns[0].append(hashes.view(np.int64))
                     columns[1].append(np.array(contexts, np.uint64).view(np.int64))
-                    columns[2].append(np.full(len(places), name, np.int64))
-                    columns[3].append(places)
+                    columns[2].append(sides.view(np.int64))
+                    columns[3].append(np.full(len(places), name, np.int64))
+                    columns[4].append(packed(first, last, places))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names)
 
-    schema = "gram long, context long, name long, place long"
+    schema = "gram long, context long, sides long, name long, span long"
     return docs.select(docs[text].alias("_text")).mapInArrow(run, schema)
 
 
+def _shared(gram: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether another row has the same gram and side, for sides that are there."""
+    with np.errstate(over="ignore"):
+        keys = (gram.view(np.uint64) ^ side) * _GRAM_FACTOR ^ side
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    out = np.empty(len(keys), bool)
+    out[order] = np.append(False, same) | np.append(same, False)
+    return out & (side != 0)
+
+
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """The rows whose gram occurs twice or more. Sorted rows pass by one at a time."""
-    names = rows.columns
+    """The rows, without ``sides``, that share a side with another row of their gram.
+
+    Sorted rows pass by; the rows of one gram are compared in memory up to ``GROUP_ROWS``.
+    """
+    names = [name for name in rows.columns if name != "sides"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # the row before, and whether it was given out
+        held: dict[str, np.ndarray] = {}
+        long = None  # a gram whose rows all go on
+
+        def given(columns: dict[str, np.ndarray], whole: bool) -> pa.RecordBatch:
+            sides = columns["sides"].view(np.uint64)
+            keep = np.full(len(sides), whole)
+            if not whole:
+                halves = (sides >> np.uint64(32), sides & np.uint64(0xFFFFFFFF))
+                keep = _shared(columns["gram"], halves[0]) | _shared(columns["gram"], halves[1])
+            return pa.RecordBatch.from_arrays([pa.array(columns[name][keep]) for name in names], names)
+
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(len(names))]
-            if not len(columns[0]):
+            columns = {name: batch.column(name).to_numpy() for name in batch.schema.names}
+            if held:
+                columns = {name: np.append(held[name], column) for name, column in columns.items()}
+            if not len(columns["gram"]):
                 continue
-            if last is not None:
-                columns = [np.append(a, b) for a, b in zip(last[0], columns, strict=True)]
-            same = columns[0][1:] == columns[0][:-1]
-            keep = np.append(False, same) | np.append(same, False)
-            out = keep.copy()
-            out[0] &= not (last and last[1])
-            last = ([c[-1] for c in columns], bool(keep[-1]))
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], names)
+            if long is not None:
+                end = int(np.searchsorted(columns["gram"], long, side="right"))
+                yield given({name: column[:end] for name, column in columns.items()}, True)
+                columns = {name: column[end:] for name, column in columns.items()}
+                if not len(columns["gram"]):
+                    held = {}
+                    continue
+                long = None
+            start = int(np.searchsorted(columns["gram"], columns["gram"][-1]))
+            yield given({name: column[:start] for name, column in columns.items()}, False)
+            held = {name: column[start:] for name, column in columns.items()}
+            if len(held["gram"]) > GROUP_ROWS:
+                long = held["gram"][-1]
+                yield given(held, True)
+                held = {}
+        if held:
+            yield given(held, False)
 
-    ordered = rows.repartition("gram").sortWithinPartitions("gram")
-    return ordered.mapInArrow(run, rows.schema)
+    schema = ", ".join(f"{name} long" for name in names)
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, schema)
 
 
 def with_texts(docs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
@@ -187,17 +266,18 @@ def with_texts(docs: DataFrame, rows: DataFrame, text: str = "text") -> DataFram
     return texts.join(rows, "name")
 
 
-CONTEXTS = "gram long, contexts long, owner long, name long, start long, data binary"
+CONTEXTS = "gram long, contexts long, owner long, name long, start long, place long, data binary"
 
 
 def context_rows(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """The bytes of the contexts of anchors: see CONTEXTS; ``start`` is in the document.
+    """The bytes of the contexts of anchors: see CONTEXTS; ``start`` is in the document
+    and ``place``, that of the gram, in the context.
 
     ``wanted`` has ``gram``, ``contexts`` (how many the gram has), ``owner`` (the smallest id
-    of the text), ``name`` and ``place``.
+    of the text), ``name`` and ``span``.
     """
     by_text = wanted.groupBy("name").agg(
-        F.first("owner").alias("owner"), F.collect_set(F.struct("gram", "contexts", "place")).alias("places")
+        F.first("owner").alias("owner"), F.collect_set(F.struct("gram", "contexts", "span")).alias("spans")
     )
     names = [part.split()[0] for part in CONTEXTS.split(", ")]
 
@@ -207,9 +287,10 @@ def context_rows(docs: DataFrame, wanted: DataFrame, text: str = "text") -> Data
                 rows = []
                 for row in part.to_pylist():
                     data = row["data"]
-                    for at in row["places"]:
-                        a, b = context(at["place"], len(data))
-                        rows.append((at["gram"], at["contexts"], row["owner"], row["name"], a, data[a:b]))
+                    for at in row["spans"]:
+                        first, last, place = unpacked(at["span"])
+                        fixed = (at["gram"], at["contexts"], row["owner"], row["name"], first, place - first)
+                        rows.append((*fixed, data[first : last + MATCH]))
                 columns = list(zip(*rows, strict=True)) or [[]] * len(names)
                 arrays = [pa.array(c, pa.int64()) for c in columns[:-1]] + [pa.array(columns[-1], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names)
@@ -220,8 +301,25 @@ def context_rows(docs: DataFrame, wanted: DataFrame, text: str = "text") -> Data
 MARKS = "name long, first long, last long"
 
 
+def with_mates(rows: list[dict]) -> list[dict]:
+    """The contexts of a shard that can have a string in common with another one.
+
+    Equal strings over a gram agree in half of their other bytes before it or behind it.
+    """
+    sides = []
+    for row in rows:
+        data, at = row["data"], row["place"]
+        before = (row["gram"], True, data[at - HALF : at]) if at >= HALF else None
+        behind = (row["gram"], False, data[at + GRAM : at + GRAM + HALF])
+        sides.append((before, behind if len(behind[2]) == HALF else None))
+    counts = Counter(side for pair in sides for side in pair if side)
+    return [row for row, pair in zip(rows, sides, strict=True) if any(side and counts[side] > 1 for side in pair)]
+
+
 def shard_marks(owner: np.ndarray, name: np.ndarray, start: np.ndarray, data: list[bytes]) -> list[np.ndarray]:
     """Strings of a shard's contexts that also start earlier, as runs of starts: see MARKS."""
+    if not data:
+        return [np.zeros(0, np.int64)] * 3
     size = np.array([len(d) for d in data])
     # Contexts stand apart by a symbol below all bytes; the last symbol is below that.
     text = np.frombuffer(b"".join(d + b"\0" for d in data), np.uint8).astype(np.int16) + 2
@@ -267,8 +365,9 @@ def array_marks(contexts: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            column = lambda key: np.array([row[key] for row in held], np.int64)
-            marks = shard_marks(column("owner"), column("name"), column("start"), [row["data"] for row in held])
+            rows = with_mates(held)
+            column = lambda key: np.array([row[key] for row in rows], np.int64)
+            marks = shard_marks(column("owner"), column("name"), column("start"), [row["data"] for row in rows])
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in marks], names)
 
@@ -329,15 +428,14 @@ def marked_starts(docs: DataFrame, owners: DataFrame, text: str = "text") -> Dat
 
     ``owners`` has ``name`` and ``owner``, the smallest id of the rows with that text.
     """
-    found = written(repeated_anchors(anchor_rows(docs, text)), "repeat-anchors")
-    known = found.join(owners, "name")
-    place = F.struct("owner", "name", "place")
+    found = repeated_anchors(anchor_rows(docs, text))
+    known = written(found.join(owners.select("name", "owner").hint("merge"), "name"), "repeat-anchors")
+    place = F.struct("owner", "name", "span")
     first = written(known.groupBy("gram", "context").agg(F.min(place).alias("first")), "repeat-contexts")
     copies = known.join(first, ["gram", "context"]).filter(place > F.col("first"))
     # All strings of a context that occurs earlier are repeated.
-    left = F.least("place", F.lit(MATCH - GRAM))
-    right = F.least(F.col("place"), F.col("n_bytes") - MATCH)
-    whole = copies.select("name", (F.col("place") - left).alias("first"), right.alias("last"))
+    start, end, _ = unpacked(F.col("span"))
+    whole = copies.select("name", start.alias("first"), end.alias("last"))
     counts = first.groupBy("gram").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     others = first.select("gram", "first.*").join(counts, "gram")
     contexts = written(context_rows(docs, others, text), "repeat-context-bytes")

@@ -55,6 +55,7 @@ def test_query(spark):
 def test_planted(spark, monkeypatch, most, shard):
     monkeypatch.setattr(repeats, "SHARD_CONTEXTS", most)
     monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
+    monkeypatch.setattr(repeats, "GROUP_ROWS", 2 * most)
     rng = random.Random(most)
     letters = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     passage, other = letters(150), letters(99)
@@ -97,7 +98,9 @@ def test_equal_strings_have_equal_anchors():
     found = []
     for n in (0, 40, 300):
         data = np.concatenate([rng.integers(0, 256, n, dtype=np.uint8), string, rng.integers(0, 256, 200, dtype=np.uint8)])
-        at, hashes = repeats.anchors(data)
+        at, hashes, first, last, _ = repeats.anchors(data)
+        assert first[0] == 0 and last[-1] == len(data) - repeats.MATCH and (first[1:] == last[:-1] + 1).all()
+        assert ((first <= at) & (at <= first + 127) & (at >= last)).all()
         inside = (at >= n) & (at <= n + repeats.MATCH - repeats.GRAM)
         found.append(set(zip((at[inside] - n).tolist(), hashes[inside].tolist(), strict=True)))
     assert set.intersection(*found)
