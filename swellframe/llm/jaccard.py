@@ -5,6 +5,9 @@ differ at, so linked sets agree on all shingles of some position. An index list
 sets with equal content at one position; a set looks into the lists of its own positions
 only, and lists of one set are dropped. Sets of very different sizes use different cuts.
 
+Sketches. One byte for each position tells sets apart before they are sent: linked sets agree
+in more positions than they can differ at, and equal content never gives different bytes.
+
 Answers from related sets. In each list the set that shares most lists is the leader. Every
 other set of the list is compared with the leader alone, and sets that link with it need no
 comparison with each other. Only where a list still falls apart are its sets compared among
@@ -129,6 +132,47 @@ def size_classes(link: Link, size: int) -> range:
     return range(own, int(np.searchsorted(edges, link.den * size // link.num, side="right")))
 
 
+def _contents(positions: int, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions that a set fills, and a hash of what it has there."""
+    at = np.sort(spread)
+    place = (at >> np.uint64(32)) * np.uint64(positions) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return place[first], _mix(np.add.reduceat(_mix(at), first))
+
+
+def sketch(link: Link, shingles: np.ndarray) -> bytes:
+    """A byte per position for each size class of a set, 0 where it has nothing."""
+    out = []
+    for size_class in size_classes(link, len(shingles)):
+        positions, _ = cut(link, size_class)
+        if positions:
+            bytes_ = np.zeros(positions, np.uint8)
+            place, content = _contents(positions, shingles)
+            bytes_[place.astype(np.int64)] = content % np.uint64(255) + np.uint64(1)
+            out.append(bytes_)
+    return np.concatenate(out).tobytes() if out else b""
+
+
+def part_of_sketch(link: Link, size: int, data: bytes, size_class: int) -> np.ndarray | None:
+    """What a set's sketch holds for one size class."""
+    start = 0
+    for own in size_classes(link, size):
+        positions, _ = cut(link, own)
+        if own == size_class:
+            return np.frombuffer(data, np.uint8, positions, start) if positions else None
+        start += positions
+    return None
+
+
+def may_link(link: Link, size_a: int, a: bytes, size_b: int, b: bytes) -> bool:
+    """Whether sketches agree in as many positions as those of linked sets do."""
+    size_class = size_classes(link, max(size_a, size_b))[0]
+    left, right = (part_of_sketch(link, n, x, size_class) for n, x in ((size_a, a), (size_b, b)))
+    if left is None or right is None:
+        return False
+    return int((left == right).sum()) > cut(link, size_class)[1]
+
+
 def signatures(link: Link, shingles: np.ndarray) -> np.ndarray:
     """Names of the lists that a set is in: size class, cut, position and content there.
 
@@ -141,17 +185,14 @@ def signatures(link: Link, shingles: np.ndarray) -> np.ndarray:
         positions, spare = cut(link, size_class)
         for number in range(CUTS if positions else 0):
             spread = _mix(shingles + np.uint64(number)) if number else shingles
-            at = np.sort(spread)
-            place = (at >> np.uint64(32)) * np.uint64(positions) >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            content, place = np.add.reduceat(_mix(at), first), place[first]
-            few = positions - len(first) <= spare
+            place, content = _contents(positions, spread)
+            few = positions - len(place) <= spare
             if not few and number == CUTS - 1:
                 empty = np.setdiff1d(np.arange(positions, dtype=np.uint64), place)
                 content = np.concatenate([content, np.zeros(len(empty), np.uint64)])
                 place = np.concatenate([place, empty])
             tag = np.uint64(size_class * CUTS + number)
-            out.append(_mix(_mix(content) + (place + np.uint64(1) << np.uint64(20)) + tag))
+            out.append(_mix(content + (place + np.uint64(1) << np.uint64(20)) + tag))
             if few:
                 break
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
@@ -223,8 +264,13 @@ def shared_lists(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "list long, class long")
 
 
-def wanted_sets(docs: DataFrame, names: DataFrame, link: Link, text: str = "text") -> DataFrame:
-    """``class`` and ``shingles`` of all documents whose class is in ``names``, perhaps more.
+def set_bytes(link: Link, shingles: np.ndarray) -> bytes:
+    return shingles.tobytes()
+
+
+def wanted_sets(docs: DataFrame, names: DataFrame, link: Link, text: str, form) -> DataFrame:
+    """``class``, ``size`` and ``data`` of all documents whose class is in ``names``, perhaps
+    more. ``form`` makes the data from a set: ``set_bytes`` or ``sketch``.
 
     Equal sets are sent once per task. The sets are computed again rather than kept.
     """
@@ -241,13 +287,13 @@ def wanted_sets(docs: DataFrame, names: DataFrame, link: Link, text: str = "text
                         continue
                     name = fingerprint(shingles)
                     if is_wanted(table, name) and seen.first(name):
-                        found.append((name, shingles.tobytes()))
+                        found.append((name, len(shingles), form(link, shingles)))
                 if found:
-                    columns = zip(*found, strict=True)
-                    arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()), strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, ["class", "shingles"])
+                    types = (pa.int64(), pa.int64(), pa.binary())
+                    arrays = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["class", "size", "data"])
 
-    return docs.select(docs[text].alias("_text")).mapInArrow(run, "class long, shingles binary")
+    return docs.select(docs[text].alias("_text")).mapInArrow(run, "class long, size long, data binary")
 
 
 def leaders(lists: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -265,14 +311,24 @@ def leaders(lists: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def linked_to_leaders(docs: DataFrame, led: DataFrame, link: Link, text: str = "text") -> DataFrame:
-    """Edges ``a``, ``b`` between classes and the leaders that they are linked with.
-
-    A leader with many members meets them in several tasks.
-    """
+def pairs_with_leaders(led: DataFrame, link: Link) -> DataFrame:
+    """``class`` and ``leader`` of all pairs whose sizes allow a link."""
     small, large = F.least("n_shingles", "leader_size"), F.greatest("n_shingles", "leader_size")
     pairs = led.filter((F.col("class") != F.col("leader")) & (link.den * small >= link.num * large))
-    pairs = written(pairs.select("class", "leader").distinct(), "leader-pairs")
+    return pairs.select("class", "leader").distinct()
+
+
+def _sets_link(link: Link, size_a: int, a: bytes, size_b: int, b: bytes) -> bool:
+    head, shingles = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    at = np.minimum(np.searchsorted(head, shingles), len(head) - 1)
+    return link.linked(int((head[at] == shingles).sum()), size_a, size_b)
+
+
+def compared(docs: DataFrame, pairs: DataFrame, link: Link, text: str, form, test) -> DataFrame:
+    """The rows of ``pairs`` (a stored table) that pass ``test`` on the ``form`` of both sets.
+
+    A leader with many members meets them in several tasks, one at a time.
+    """
     tasks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_ROWS).alias("tasks"))
     members = pairs.join(tasks, "leader").select(
         "class", "leader", F.pmod(F.xxhash64("class"), F.col("tasks")).alias("part"), F.lit(1).alias("member")
@@ -284,31 +340,38 @@ def linked_to_leaders(docs: DataFrame, led: DataFrame, link: Link, text: str = "
         F.lit(0).alias("member"),
     )
     roles = members.unionByName(heads)
-    sets = wanted_sets(docs, roles.select("class"), link, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, head, last = None, np.zeros(0, np.uint64), None
+        group, head, last = None, None, None
         for batch in batches:
-            edges = []
-            for row in batch.to_pylist():
-                if (row["leader"], row["part"]) != group:
-                    group, last = (row["leader"], row["part"]), None
-                if row["class"] == last:
-                    continue
-                last, shingles = row["class"], np.frombuffer(row["shingles"], np.uint64)
-                if not row["member"]:
-                    head = shingles
-                    continue
-                at = np.minimum(np.searchsorted(head, shingles), len(head) - 1)
-                if link.linked(int((head[at] == shingles).sum()), len(head), len(shingles)):
-                    edges.append((row["class"], row["leader"]))
-            if edges:
-                arrays = [pa.array(c, pa.int64()) for c in zip(*edges, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, ["a", "b"])
-
-    rows = sets.join(roles, "class").select("leader", "part", "member", "class", "shingles")
+            for part in slices(batch, 1024):
+                passed = []
+                for row in part.to_pylist():
+                    if (row["leader"], row["part"]) != group:
+                        group, last = (row["leader"], row["part"]), None
+                    if row["class"] == last:
+                        continue
+                    last = row["class"]
+                    if not row["member"]:
+                        head = (row["size"], row["data"])
+                    elif test(link, *head, row["size"], row["data"]):
+                        passed.append((row["class"], row["leader"]))
+                if passed:
+                    arrays = [pa.array(c, pa.int64()) for c in zip(*passed, strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["class", "leader"])
+
+    sets = wanted_sets(docs, roles.select("class"), link, text, form)
+    rows = sets.join(roles, "class").select("leader", "part", "member", "class", "size", "data")
     ordered = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "member", "class")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "class long, leader long")
+
+
+def linked_to_leaders(docs: DataFrame, led: DataFrame, link: Link, text: str = "text") -> DataFrame:
+    """Edges ``a``, ``b`` between classes and the leaders that they are linked with."""
+    pairs = written(pairs_with_leaders(led, link), "leader-pairs")
+    likely = written(compared(docs, pairs, link, text, sketch, may_link), "likely-pairs")
+    edges = compared(docs, likely, link, text, set_bytes, _sets_link)
+    return edges.select(F.col("class").alias("a"), F.col("leader").alias("b"))
 
 
 def block_links(link: Link, left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -344,30 +407,58 @@ def block_links(link: Link, left: list[np.ndarray], right: list[np.ndarray]) ->
         yield i, np.flatnonzero(link.linked(counts, len(shingles), sizes))
 
 
-def linked_in_blocks(docs: DataFrame, led: DataFrame, labels: DataFrame, link: Link, text: str = "text") -> DataFrame:
-    """Edges that join classes of lists which their leader has not made one.
-
-    ``labels`` are the components so far. Classes that share such lists, directly or by way
-    of others, are compared in a grid of blocks; only edges that join two components leave it.
+def sketch_links(link: Link, left: list[tuple], right: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left (size, sketch) in order, the right ones that it may be linked with."""
+    own = [np.array([size_classes(link, size)[0] for size, _ in side]) for side in (left, right)]
+    groups = {}
+    for size_class in np.union1d(*own).tolist():
+        parts = [part_of_sketch(link, size, data, size_class) for size, data in right]
+        at = np.array([j for j, part in enumerate(parts) if part is not None], np.int64)
+        if len(at):
+            groups[size_class] = (at, np.stack([parts[j] for j in at.tolist()]))
+    for i, (size, data) in enumerate(left):
+        mates = []
+        for size_class, (at, table) in groups.items():
+            part = part_of_sketch(link, size, data, size_class)
+            if part is not None:
+                fits = np.maximum(own[1][at], own[0][i]) == size_class
+                mates.append(at[fits & ((table == part).sum(1) > cut(link, size_class)[1])])
+        yield i, np.concatenate(mates) if mates else np.zeros(0, np.int64)
+
+
+def _set_links(link: Link, left: list[tuple], right: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+    body = lambda side: [np.frombuffer(data, np.uint64) for _, data in side]
+    return block_links(link, body(left), body(right))
+
+
+def grid_edges(
+    docs: DataFrame, sets: DataFrame, link: Link, text: str, form, links, unite: str
+) -> DataFrame:
+    """Edges that ``links`` finds between the classes of each ``family``, in a grid of blocks.
+
+    ``sets`` (a stored table) has ``class``, ``n_shingles``, ``label`` and ``family``. Only
+    pairs of different labels count, so the blocks of a family's largest label meet those of
+    the others and not each other. Of edges that would close a circle between values of the
+    column ``unite`` in a block, one is left out.
     """
-    known = labels.withColumnRenamed("node", "class")
-    rest = led.filter(F.col("class") != F.col("leader")).join(known, "class", "left")
-    rest = rest.select("list", "class", "n_shingles", F.coalesce("label", "class").alias("label"))
-    split = rest.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("class").alias("first"))
-    split = split.filter("low <> high").select("list", "first")
-    open_rows = written(rest.join(split, "list").select("class", "n_shingles", "label", "first"), "open-lists")
-    families = components(open_rows.select(F.col("class").alias("a"), F.col("first").alias("b")))
-    sets = open_rows.select("class", "n_shingles", "label").distinct()
-    sets = sets.join(families.select(F.col("node").alias("class"), F.col("label").alias("family")), "class")
-    sets = written(sets, "open-sets")
-    blocks = sets.groupBy("family").agg(
-        F.greatest(
-            F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)
-        ).alias("blocks")
+    counts = sets.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    families = counts.groupBy("family").agg(
+        F.max(F.struct("n", "label", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")
     )
-    block = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    grid = sets.join(blocks, "family").withColumn("block", block).withColumn("other", other).select(
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK_SETS, s / BLOCK_SHINGLES))
+    families = families.select(
+        "family",
+        F.col("main.label").alias("main"),
+        blocks(F.col("main.n"), F.col("main.s")).alias("of_main"),
+        blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("of_rest"),
+    ).filter("of_rest > 0")
+    is_main, spread = F.col("label") == F.col("main"), F.xxhash64("class")
+    block = F.when(is_main, F.pmod(spread, F.col("of_main"))).otherwise(
+        F.col("of_main") + F.pmod(spread, F.col("of_rest"))
+    )
+    first = F.when(is_main, F.col("of_main")).otherwise(F.lit(0).cast("long"))
+    other = F.explode(F.sequence(first, F.col("of_main") + F.col("of_rest") - 1))
+    grid = sets.join(families, "family").withColumn("block", block).withColumn("other", other).select(
         "class",
         "label",
         "family",
@@ -375,28 +466,29 @@ def linked_in_blocks(docs: DataFrame, led: DataFrame, labels: DataFrame, link: L
         F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"),
     )
-    bodies = wanted_sets(docs, sets.select("class"), link, text).join(grid, "class")
+    bodies = wanted_sets(docs, sets.select("class"), link, text, form).join(grid, "class")
 
     def run(table: pa.Table) -> pa.Table:
         rows = {row["class"]: row for row in table.to_pylist()}
         ordered = sorted(rows.values(), key=lambda row: (row["label"], row["class"]))
-        bodies = {name: np.frombuffer(row["shingles"], np.uint64) for name, row in rows.items()}
         low, high = ordered[0]["low"], ordered[0]["high"]
         left = [row for row in ordered if row["block"] == low]
         right = [row for row in ordered if row["block"] == high]
         root: dict[int, int] = {}
 
-        def find(label: int) -> int:
-            while label in root:
-                label = root[label]
-            return label
+        def find(name: int) -> int:
+            while name in root:
+                name = root[name]
+            return name
 
         edges = []
         if left and right:
-            body = lambda part: [bodies[row["class"]] for row in part]
-            for i, mates in block_links(link, body(left), body(right)):
+            body = lambda side: [(row["size"], row["data"]) for row in side]
+            for i, mates in links(link, body(left), body(right)):
                 for j in mates.tolist():
-                    a, b = find(left[i]["label"]), find(right[j]["label"])
+                    if left[i]["label"] == right[j]["label"]:
+                        continue
+                    a, b = find(left[i][unite]), find(right[j][unite])
                     if a != b:
                         root[a] = b
                         edges.append((left[i]["class"], right[j]["class"]))
@@ -406,6 +498,31 @@ def linked_in_blocks(docs: DataFrame, led: DataFrame, labels: DataFrame, link: L
     return bodies.groupBy("family", "low", "high").applyInArrow(run, "a long, b long")
 
 
+def linked_in_blocks(docs: DataFrame, led: DataFrame, labels: DataFrame, link: Link, text: str = "text") -> DataFrame:
+    """Edges that join classes of lists which their leader has not made one.
+
+    ``labels`` are the components so far. Classes that share such lists, directly or by way
+    of others, are first compared by their sketches; those that may be linked, directly or by
+    way of others, then by their sets.
+    """
+    known = labels.withColumnRenamed("node", "class")
+    rest = led.filter(F.col("class") != F.col("leader")).join(known, "class", "left")
+    rest = rest.select("list", "class", "n_shingles", F.coalesce("label", "class").alias("label"))
+    split = rest.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("class").alias("first"))
+    split = split.filter("low <> high").select("list", "first")
+    open_rows = written(rest.join(split, "list").select("class", "n_shingles", "label", "first"), "open-lists")
+    sets = open_rows.select("class", "n_shingles", "label").distinct()
+
+    def in_families(edges: DataFrame, members: DataFrame) -> DataFrame:
+        named = components(edges).select(F.col("node").alias("class"), F.col("label").alias("family"))
+        return written(members.join(named, "class"), "open-sets")
+
+    shared = open_rows.select(F.col("class").alias("a"), F.col("first").alias("b"))
+    wide = in_families(shared, sets)
+    likely = written(grid_edges(docs, wide, link, text, sketch, sketch_links, "class"), "likely-links")
+    return grid_edges(docs, in_families(likely, sets), link, text, set_bytes, _set_links, "label")
+
+
 def labelled_classes(docs: DataFrame, sizes: DataFrame, link: Link, text: str = "text") -> DataFrame:
     """``node`` and ``label`` of all classes that link with another one.
 

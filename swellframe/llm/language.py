@@ -36,7 +36,7 @@ BUCKETS = 1 << 16
 SEED = 20240131
 # Words whose weights a task remembers, and rows whose chains run side by side.
 CACHED_WORDS = 200_000
-SIDE_BY_SIDE = 1024
+SIDE_BY_SIDE = 512
 
 
 def feature_names(word: str) -> list[str]:
@@ -112,9 +112,9 @@ class Chains:
                 left = ahead[self.start[i - 1] : self.start[i - 1] + width]
                 joint = step * (left.T @ (after / np.maximum(((left @ step) * after).sum(1, keepdims=True), 1e-30)))
                 pairs += joint
-        both = ahead * back
-        both /= np.maximum(both.sum(1, keepdims=True), 1e-30)
-        return both[self.place], pairs
+        ahead *= back
+        ahead /= np.maximum(ahead.sum(1, keepdims=True), 1e-30)
+        return ahead[self.place], pairs
 
 
 def spliced(samples: dict[str, list[list[str]]], rng: np.random.Generator):
@@ -242,11 +242,11 @@ def label_texts(fitted: Field, texts: list[str | None], emissions: _Emissions |
     if not fitted.languages or not lengths.any():
         return names, scores, np.zeros((0, len(fitted.languages)))
     at = np.flatnonzero(lengths)
-    posteriors, _ = Chains(lengths[at]).posteriors(
-        emissions.of([word for words in found for word in words]), fitted.transitions
-    )
+    scored = emissions.of([word for words in found for word in words])
+    found.clear()
+    posteriors, _ = Chains(lengths[at]).posteriors(scored, fitted.transitions)
     sizes = lengths[at]
-    share = np.add.reduceat(posteriors.astype(float), np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+    share = np.add.reduceat(posteriors, np.cumsum(sizes) - sizes, axis=0, dtype=float) / sizes[:, None]
     best = share.argmax(1)
     for i, place, value in zip(at, best, share.max(1), strict=True):
         names[i], scores[i] = fitted.languages[place], min(1.0, value)

@@ -117,6 +117,9 @@ def test_linked_sets_share_a_list(link):
             if shared and link.linked(shared, len(base), len(other)) and shared < max(len(base), len(other)):
                 lists = set(jaccard.signatures(link, base).tolist())
                 assert lists & set(jaccard.signatures(link, other).tolist())
+                sketches = [(len(x), jaccard.sketch(link, x)) for x in (base, other)]
+                assert jaccard.may_link(link, *sketches[0], *sketches[1])
+                assert all(1 in mates for _, mates in jaccard.sketch_links(link, sketches[:1], sketches))
 
 
 def test_block_links():
