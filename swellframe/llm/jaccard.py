@@ -498,29 +498,80 @@ def grid_edges(
     return bodies.groupBy("family", "low", "high").applyInArrow(run, "a long, b long")
 
 
+def likely_in_lists(docs: DataFrame, rows: DataFrame, link: Link, text: str) -> DataFrame:
+    """Edges between the classes of each list whose labels differ and whose sketches agree.
+
+    ``rows`` has ``list``, ``class`` and ``label`` of lists of up to ``BLOCK_SETS`` classes,
+    which pass by one list at a time.
+    """
+
+    def edges_of(held: list[dict]) -> list[tuple[int, int]]:
+        if len({row["label"] for row in held}) < 2:
+            return []
+        root: dict[int, int] = {}
+
+        def find(at: int) -> int:
+            while at in root:
+                at = root[at]
+            return at
+
+        out, side = [], [(row["size"], row["data"]) for row in held]
+        for i, mates in sketch_links(link, side, side):
+            for j in mates[mates < i].tolist():
+                a, b = find(i), find(j)
+                if a != b and held[i]["label"] != held[j]["label"]:
+                    root[a] = b
+                    out.append((held[i]["class"], held[j]["class"]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for part in slices(batch, 4096):
+                edges: list[tuple[int, int]] = []
+                for row in part.to_pylist():
+                    if held and row["list"] != held[0]["list"]:
+                        edges += edges_of(held)
+                        held = []
+                    if not held or row["class"] != held[-1]["class"]:
+                        held.append(row)
+                if edges:
+                    arrays = [pa.array(c, pa.int64()) for c in zip(*edges, strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["a", "b"])
+        if held and (edges := edges_of(held)):
+            arrays = [pa.array(c, pa.int64()) for c in zip(*edges, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["a", "b"])
+
+    sets = wanted_sets(docs, rows.select("class"), link, text, sketch).join(rows, "class")
+    ordered = sets.select("list", "class", "label", "size", "data").repartition("list")
+    return ordered.sortWithinPartitions("list", "class").mapInArrow(run, "a long, b long")
+
+
 def linked_in_blocks(docs: DataFrame, led: DataFrame, labels: DataFrame, link: Link, text: str = "text") -> DataFrame:
     """Edges that join classes of lists which their leader has not made one.
 
-    ``labels`` are the components so far. Classes that share such lists, directly or by way
-    of others, are first compared by their sketches; those that may be linked, directly or by
-    way of others, then by their sets.
+    ``labels`` are the components so far. Of lists with the same classes one is looked at. Its
+    classes are first compared by their sketches, in a grid of blocks if they are many; those
+    that may be linked, directly or by way of others, then by their sets.
     """
     known = labels.withColumnRenamed("node", "class")
     rest = led.filter(F.col("class") != F.col("leader")).join(known, "class", "left")
     rest = rest.select("list", "class", "n_shingles", F.coalesce("label", "class").alias("label"))
-    split = rest.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("class").alias("first"))
-    split = split.filter("low <> high").select("list", "first")
-    open_rows = written(rest.join(split, "list").select("class", "n_shingles", "label", "first"), "open-lists")
+    name = F.xxhash64("class").cast("decimal(38,0)")
+    split = rest.groupBy("list").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum(name).alias("names")
+    )
+    split = split.filter("low <> high").groupBy("n", "names").agg(F.min("list").alias("list"))
+    open_rows = written(rest.join(split.select("list", "n"), "list"), "open-lists")
+    short, long = open_rows.filter(F.col("n") <= BLOCK_SETS), open_rows.filter(F.col("n") > BLOCK_SETS)
+    likely = likely_in_lists(docs, short.select("list", "class", "label"), link, text)
+    if not long.isEmpty():
+        grid = written(long.select("class", "n_shingles", "label", F.col("list").alias("family")), "long-lists")
+        likely = likely.unionByName(grid_edges(docs, grid, link, text, sketch, sketch_links, "class"))
+    families = components(likely).select(F.col("node").alias("class"), F.col("label").alias("family"))
     sets = open_rows.select("class", "n_shingles", "label").distinct()
-
-    def in_families(edges: DataFrame, members: DataFrame) -> DataFrame:
-        named = components(edges).select(F.col("node").alias("class"), F.col("label").alias("family"))
-        return written(members.join(named, "class"), "open-sets")
-
-    shared = open_rows.select(F.col("class").alias("a"), F.col("first").alias("b"))
-    wide = in_families(shared, sets)
-    likely = written(grid_edges(docs, wide, link, text, sketch, sketch_links, "class"), "likely-links")
-    return grid_edges(docs, in_families(likely, sets), link, text, set_bytes, _set_links, "label")
+    sets = written(sets.join(families, "class"), "open-sets")
+    return grid_edges(docs, sets, link, text, set_bytes, _set_links, "label")
 
 
 def labelled_classes(docs: DataFrame, sizes: DataFrame, link: Link, text: str = "text") -> DataFrame:
