@@ -1,9 +1,12 @@
 """Chat conversations formatted into windows of a token budget.
 
-Prefix sums of turn tokens choose the windows. The line of a conversation's tokens is cut
-into stretches of half a budget: turns inside one stretch share a window, a turn across a
-border has its own. A window also holds the system turn (a quarter of the budget at most)
-and the turns just before it (another quarter). Only a window's own assistant turns are
+Prefix sums of turn tokens choose the windows. The system turn of a conversation, the first
+with that role wherever it stands, is held by every window after it, whatever its length.
+What it leaves of the budget is for the other turns: the line of the conversation's tokens is
+cut into stretches of half of that. Turns inside one stretch share a window, a turn across a
+border has its own. A window also holds the turns just before it, up to a quarter of the
+budget. A system turn that fills the budget alone leaves its windows over budget; their own
+turns are then cut as if it were not there. Only a window's own assistant turns are
 under the loss mask, so a repeated turn is never learned twice. Every step is a join or a
 window over a bounded piece of a conversation, so one huge conversation spreads over tasks.
 
@@ -92,32 +95,48 @@ def formatted_windows(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One row per window of ``turns`` (a stored result of ``with_prefix_sums``).
 
     Columns: ``key``, ``conv_id``, ``window``, ``formatted``, ``n_tokens``, ``over_budget``
-    (a single turn beyond the budget), and ``turns``: start and length of each turn's text
-    in ``formatted`` in code points, with ``repeated`` and ``loss``.
+    (a single turn beyond what the system turn leaves of the budget), and ``turns``: start
+    and length of each turn's text in ``formatted`` in code points, with ``repeated`` and
+    ``loss``.
     """
-    stretch, quarter = budget // 2, budget // 4
-    bin_of = lambda token: F.floor(token / F.lit(stretch))
-    first_bin, last_bin = bin_of(F.col("first_token")), bin_of(F.col("end_token") - 1)
-    placed = turns.withColumn(
-        "window", 2 * first_bin + (first_bin != last_bin).cast("long")
-    ).withColumn(
-        "retained",
-        (F.col("position") == 0) & (F.col("role") == "system") & (F.col("cost") <= quarter),
+    bin_of = lambda token: F.floor(token / F.col("stretch"))
+    systems = turns.filter(F.col("role") == "system").groupBy("key").agg(
+        F.min(F.struct("position", "first_token", "cost")).alias("system")
     )
+    reserved = F.coalesce(F.col("system.cost"), F.lit(0))
+    left = F.when(reserved < budget, F.lit(budget) - reserved).otherwise(F.lit(budget))
+    placed = turns.join(systems, "key", "left").withColumns(
+        {
+            "stretch": F.greatest(F.lit(1), F.floor(left / 2)),
+            "quarter": F.least(F.lit(budget // 4), left),
+            "reserved": reserved,
+            "retained": F.coalesce(F.col("position") == F.col("system.position"), F.lit(False)),
+            "system_token": F.col("system.first_token"),
+        }
+    ).drop("system")
+    first_bin, last_bin = bin_of(F.col("first_token")), bin_of(F.col("end_token") - 1)
+    placed = placed.withColumn("window", 2 * first_bin + (first_bin != last_bin).cast("long"))
+    limits = ("stretch", "quarter", "reserved", "system_token")
     spans = placed.groupBy("key", "window").agg(
-        F.min("first_token").alias("start"), F.sum("cost").alias("own")
+        F.min("first_token").alias("start"),
+        F.sum("cost").alias("own"),
+        *(F.first(name).alias(name) for name in limits),
     )
-    room = F.greatest(F.lit(0), F.least(F.lit(quarter), F.lit(budget - quarter) - F.col("own")))
-    spans = spans.withColumns({"room": room, "bin": bin_of(F.col("start"))})
+    # Windows that start behind the system turn repeat it; null without one.
+    behind = F.coalesce(F.col("start") > F.col("system_token"), F.lit(False))
+    spans = spans.withColumns({"behind": behind, "bin": bin_of(F.col("start"))})
+    free = F.lit(budget) - F.when(F.col("behind"), F.col("reserved")).otherwise(0) - F.col("own")
+    spans = spans.withColumn("room", F.greatest(F.lit(0), F.least(F.col("quarter"), free)))
+    spans = spans.select("key", "window", "bin", "start", "room", "behind")
 
     shape = lambda df, kind: df.select(
         "key", "conv_id", "window", F.lit(kind).alias("kind"), "position", "role", "text", "cost"
     )
-    near = placed.filter(~F.col("retained") & (F.col("cost") <= quarter)).drop("window")
+    near = placed.filter(~F.col("retained") & (F.col("cost") <= F.col("quarter"))).drop("window")
     near = near.withColumn(
         "bin",
         F.explode(
-            F.sequence(bin_of(F.col("end_token")), bin_of(F.col("first_token") + quarter))
+            F.sequence(bin_of(F.col("end_token")), bin_of(F.col("first_token") + F.col("quarter")))
         ),
     )
     history = near.join(spans, ["key", "bin"]).filter(
@@ -125,9 +144,9 @@ def formatted_windows(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
         & (F.col("start") - F.col("first_token") <= F.col("room"))
     )
     system = placed.filter("retained").drop("window").join(
-        spans.filter(F.col("start") > 0).select("key", "window"), "key"
+        spans.filter("behind").select("key", "window"), "key"
     )
-    rows = shape(placed, 2).unionByName(shape(history, 1)).unionByName(shape(system, 0))
+    rows = shape(placed, 2).unionByName(shape(history, 1)).unionByName(shape(system, 1))
 
     before = F.concat(
         F.lit(OPEN), escaped(F.col("role")), F.lit("\n" + SEPARATE)

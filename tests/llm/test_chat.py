@@ -83,6 +83,35 @@ def test_long_conversation_keeps_the_budget(spark):
         assert at == sorted(at)
 
 
+def test_long_system_turn_stays_in_every_window(spark):
+    said = lambda conv_id, first: [
+        (conv_id, i, ("user", "assistant")[i % 2], f"c{conv_id}w{i} " * (1 + i % 30)) for i in range(first, first + 300)
+    ]
+    # One far beyond a quarter of the budget, one that is not the first turn, one beyond the
+    # budget, and two system turns of which the first counts.
+    rules = {1: "rule " * 400, 2: "late " * 300, 3: "law " * 900, 4: "first " * 200}
+    rows = [(1, 0, "system", rules[1]), *said(1, 1)]
+    rows += [*said(2, -300), (2, 0, "system", rules[2]), *said(2, 1)]
+    rows += [(3, 0, "system", rules[3]), *said(3, 1)]
+    rows += [(4, 0, "system", rules[4]), *said(4, 1), (4, 400, "system", "second")]
+    windows = windows_of(spark, rows).orderBy("conv_id", "window").collect()
+    assert found(windows_of(spark, rows)) == expected(rows)
+    for conv_id, rule in rules.items():
+        own = [w for w in windows if w.conv_id == conv_id]
+        assert len(own) > 10
+        turns = [chat.read_turns(w.formatted) for w in own]
+        first = next(i for i, t in enumerate(turns) if ("system", rule) in t)
+        assert (first > 5) == (conv_id == 2)
+        assert all(t.count(("system", rule)) == 1 for t in turns[first:])
+        assert all(w.over_budget for w in own) if conv_id == 3 else not any(w.over_budget for w in own)
+        for window, parts in zip(own, turns, strict=True):
+            assert window.n_tokens == sum(len(text.split()) + chat.TURN_COST for _, text in parts)
+            assert not any(t.repeated and t.loss for t in window.turns)
+            # Repeated turns stand in the order of the conversation.
+            words = [int(text.split("w")[1].split()[0]) for role, text in parts if role != "system"]
+            assert words == sorted(words)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert chat.digests(chat.formatted_windows(chat.with_prefix_sums(empty))).collect() == []
