@@ -1,9 +1,10 @@
 """Quality rules and an isolation forest over their statistics.
 
 Each document gets rule statistics from its whole text. Documents that break a fixed rule
-fail. The others get an anomaly score from an isolation forest: random splits of random
-subsamples, where rows that few splits set apart have short paths. The score above which a
-document is rejected is calibrated on labelled documents.
+fail. The others get anomaly scores from isolation forests: random splits of random
+subsamples, where rows that few splits set apart have short paths. One forest sees words and
+symbols, another lines and length; the scores above which they reject a document are
+calibrated on labelled documents.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from swellframe.llm.batches import map_batches
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+# The statistics, and what the forest needs to take shares of them.
+MEASURES = (*STATISTICS, "n_lines")
 
 # The forest is fitted on at most this many labelled documents, those whose ids have the
 # smallest hashes, and each tree on a subsample of them.
@@ -29,7 +32,10 @@ SUBSAMPLE = 256
 # Bad documents in the fit, as a share of the good ones: a forest sets rows apart only where
 # they are few.
 BAD_SHARE = 0.01
-# At most this share of good labelled documents may be rejected.
+# Feature columns of each forest. A forest over all of them tells fewer bad documents apart:
+# splits by length and by lines, in which most do not differ, hide the others.
+VIEWS = ((0, 1, 2), (3, 4))
+# At most this share of good labelled documents may be rejected, by all forests together.
 GOOD_LOSS = 0.002
 SEED = 20240131
 
@@ -62,9 +68,9 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
-def rule_statistics(text: str | None) -> tuple[int, int, int, int, int]:
+def measures(text: str | None) -> tuple[int, int, int, int, int, int]:
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     words = _words(text)
     spaces = sum(map(text.count, " \t\n\x0b\x0c\r"))
     lines = [line for line in text.split("\n") if line.encode().strip()]
@@ -74,34 +80,45 @@ def rule_statistics(text: str | None) -> tuple[int, int, int, int, int]:
         sum(map(text.count, SYMBOLS)),
         len(lines) - len(set(lines)),
         repeated_words(words),
+        len(lines),
     )
 
 
+def rule_statistics(text: str | None) -> tuple[int, int, int, int, int]:
+    return measures(text)[:5]
+
+
 def with_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns, the rule statistics, and ``base_failed``.
+    """``keep`` columns, the rule statistics, ``n_lines``, and ``base_failed``.
 
     Null and empty texts have only zeros and fail. Repeated rows stay repeated.
     """
 
     def make():
         def work(texts):
-            columns = zip(*map(rule_statistics, texts), strict=True)
+            columns = zip(*map(measures, texts), strict=True)
             return [pa.array(column, pa.int64()) for column in columns]
 
         return work
 
-    added = [StructField(name, LongType()) for name in STATISTICS]
+    added = [StructField(name, LongType()) for name in MEASURES]
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return map_batches(df, keep, [text], added, make).withColumn("base_failed", failed)
 
 
 def features(rows: dict[str, np.ndarray]) -> np.ndarray:
-    """Shares, so that long documents are not anomalies by themselves. Repeated lines are left
-    out: good and bad documents have as many."""
+    """Shares and the log length, so that long documents are not anomalies by themselves."""
     words = np.maximum(rows["n_words"], 1).astype(float)
     chars = np.maximum(rows["word_chars"], 1).astype(float)
+    lines = np.maximum(rows["n_lines"], 1).astype(float)
     return np.column_stack(
-        [rows["word_chars"] / words, rows["n_symbols"] / chars, rows["n_repeat_words"] / words]
+        [
+            rows["word_chars"] / words,
+            rows["n_symbols"] / chars,
+            rows["n_repeat_words"] / words,
+            rows["n_dup_lines"] / lines,
+            np.log(words),
+        ]
     )
 
 
@@ -164,27 +181,45 @@ def fit_forest(x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, se
     return Forest(feature, split, length, depth, float(_mean_path(size)))
 
 
+def _threshold(values: np.ndarray, fine: np.ndarray, bad: np.ndarray, limit: float) -> float:
+    """The best of ``values`` (ascending scores) by their counts of good and bad rows."""
+    if not bad.sum():
+        return np.inf
+    lost, caught = fine[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
+    gain = caught / bad.sum() - lost / max(fine.sum(), 1)
+    gain = np.where(lost <= limit, gain, 0.0)
+    at = int(gain.argmax())
+    return float(values[at]) if gain[at] > 0 else np.inf
+
+
 def calibrated(scores: np.ndarray, good: np.ndarray, good_loss: float = GOOD_LOSS) -> float:
     """The score at which rejecting parts bad from good rows best.
 
     Among the thresholds that reject at most ``good_loss`` of the good rows, the one with
     the largest gain; without bad rows nothing is rejected.
     """
-    bad = np.sort(scores[~good])
-    fine = np.sort(scores[good])
-    if not len(bad):
-        return np.inf
-    best, threshold = 0.0, np.inf
-    for value in np.unique(scores):
-        lost = (len(fine) - np.searchsorted(fine, value)) / max(len(fine), 1)
-        caught = (len(bad) - np.searchsorted(bad, value)) / len(bad)
-        if lost <= good_loss and caught - lost > best:
-            best, threshold = caught - lost, float(value)
-    return threshold
+    values, at = np.unique(scores, return_inverse=True)
+    fine, bad = (np.bincount(at[rows], minlength=len(values)) for rows in (good, ~good))
+    return _threshold(values, fine, bad, good_loss * good.sum())
 
 
-def fit(statistics: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT_ROWS) -> Forest:
-    """Forest and threshold from labelled documents that pass the fixed rules.
+@dataclass
+class Forests:
+    """A forest per view, each with its threshold."""
+
+    forests: list[Forest]
+
+    def view_scores(self, x: np.ndarray) -> list[np.ndarray]:
+        return [f.scores(x[:, list(view)]) for f, view in zip(self.forests, VIEWS, strict=True)]
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """The largest score as a part of its forest's threshold: rejected from 1 on."""
+        pairs = zip(self.view_scores(x), self.forests, strict=True)
+        return np.max([scores / forest.threshold for scores, forest in pairs], axis=0)
+
+
+def fit(statistics: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT_ROWS) -> Forests:
+    """Forests and thresholds from labelled documents that pass the fixed rules.
 
     ``labels`` has ``key`` and ``quality`` (1 good, 0 bad); null labels are left out. Fitted
     on at most ``rows`` documents, chosen by the hash of their ids whatever the input size;
@@ -193,37 +228,44 @@ def fit(statistics: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int
     known = labels.filter(F.col("quality").isNotNull()).select(
         F.col(key).alias("_key"), (F.col("quality") == 1).alias("_good")
     )
-    rules = statistics.filter(~F.col("base_failed")).select(F.col(key).alias("_key"), *STATISTICS)
-    order = [F.xxhash64("_key"), F.col("_key"), *STATISTICS, F.col("_good")]
+    rules = statistics.filter(~F.col("base_failed")).select(F.col(key).alias("_key"), *MEASURES)
+    order = [F.xxhash64("_key"), F.col("_key"), *MEASURES, F.col("_good")]
     sample = rules.join(known, "_key").orderBy(*order).limit(rows).toPandas()
     if sample.empty:
-        return fit_forest(np.zeros((0, len(STATISTICS))))
-    x = features({name: sample[name].to_numpy() for name in STATISTICS})
+        return Forests([])
+    x = features({name: sample[name].to_numpy() for name in MEASURES})
     good = sample["_good"].to_numpy(bool)
     fine, bad = np.flatnonzero(good), np.flatnonzero(~good)
     few = bad[: max(1, int(BAD_SHARE * len(fine)))] if len(fine) else bad
-    forest = fit_forest(x[np.concatenate([fine, few])])
-    forest.threshold = calibrated(forest.scores(x), good)
-    return forest
-
-
-def judge(statistics: DataFrame, forest: Forest, keep: list[str]) -> DataFrame:
+    chosen = x[np.concatenate([fine, few])]
+    fitted = Forests([fit_forest(chosen[:, list(view)]) for view in VIEWS])
+    limit, still = GOOD_LOSS * len(fine), np.ones(len(x), bool)
+    for forest, scores in zip(fitted.forests, fitted.view_scores(x), strict=True):
+        left = good[still]
+        forest.threshold = calibrated(scores[still], left, limit / max(left.sum(), 1))
+        rejected = still & (scores >= forest.threshold)
+        limit -= (rejected & good).sum()
+        still &= ~rejected
+    return fitted
+
+
+def judge(statistics: DataFrame, forest: Forests, keep: list[str]) -> DataFrame:
     """``keep`` columns, the statistics, ``base_failed``, ``score`` and ``kept``.
 
-    Rows that fail a fixed rule are not kept; others are kept unless their score reaches
-    the threshold.
+    Rows that fail a fixed rule are not kept; others are kept unless the score of a forest
+    reaches its threshold. ``score`` is the largest part of a threshold that is reached.
     """
 
     def make():
         def work(*columns):
-            if not len(forest.feature) or not forest.normal:
+            if not forest.forests:
                 return (pa.array(np.zeros(len(columns[0]))),)
-            rows = {n: np.asarray(c, float) for n, c in zip(STATISTICS, columns, strict=True)}
+            rows = {n: np.asarray(c, float) for n, c in zip(MEASURES, columns, strict=True)}
             return (pa.array(forest.scores(features(rows)), pa.float64()),)
 
         return work
 
-    kept = ~F.col("base_failed") & (F.col("score") < forest.threshold)
+    kept = ~F.col("base_failed") & (F.col("score") < 1.0)
     names = [*keep, *STATISTICS, "base_failed"]
     added = [StructField("score", DoubleType())]
-    return map_batches(statistics, names, STATISTICS, added, make, rows=8192).withColumn("kept", kept)
+    return map_batches(statistics, names, MEASURES, added, make, rows=8192).withColumn("kept", kept)

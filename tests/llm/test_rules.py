@@ -83,3 +83,27 @@ def test_edge_rows(spark):
     ]
     empty = rules.with_statistics(df.limit(0), ["doc_id"])
     assert rules.judge(empty, rules.fit(empty, labels), ["doc_id"]).collect() == []
+
+
+def test_repeated_short_lines_are_set_apart(spark):
+    rng = np.random.default_rng(3)
+    line = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 5000, n))
+
+    def ordinary(i):
+        lines = [line(int(rng.integers(4, 9))) for _ in range(int(rng.integers(8, 30)))]
+        return "\n".join(lines + lines[:1] * (i % 25 == 0))
+
+    def repeating(i):
+        # Lines of three words between changing ones: no window of five words repeats. Words are
+        # as long as the others.
+        return "\n".join(part for _ in range(12) for part in ("w4711 w4242 w815", line(6)))
+
+    rows = [(i, ordinary(i)) for i in range(600)] + [(i, repeating(i)) for i in range(600, 641)]
+    statistics = rules.with_statistics(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"])
+    labels = spark.createDataFrame([(i, int(i < 600)) for i in range(640)], "doc_id long, quality long")
+    found = {r.doc_id: r for r in rules.judge(statistics, rules.fit(statistics, labels), ["doc_id"]).collect()}
+    planted = found[640]
+    assert planted.n_repeat_words == 0 and planted.n_dup_lines == 11 and not planted.base_failed
+    assert not planted.kept
+    assert sum(not found[i].kept for i in range(600)) <= 0.002 * 600
+    assert sum(not found[i].kept for i in range(600, 640)) >= 38
