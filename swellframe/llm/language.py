@@ -34,6 +34,9 @@ SEQUENCES, SEQUENCE_WORDS, STRETCH_WORDS = 3000, 40, 12
 EPOCHS, BATCH, RATE, DECAY = 4, 100, 0.4, 1e-6
 BUCKETS = 1 << 16
 SEED = 20240131
+# Words of a language in a piece of text that certainty is calibrated on, pieces remembered
+# per language, and the steps that certainty is counted in (a power of two, so exact).
+PIECE_WORDS, PIECES, CERTAINTY_STEPS = 3, 50, 1 << 12
 # Words whose weights a task remembers, and rows whose chains run side by side.
 CACHED_WORDS = 200_000
 SIDE_BY_SIDE = 512
@@ -54,6 +57,7 @@ class Field:
     weights: np.ndarray
     transitions: np.ndarray
     lexicon: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    pieces: list[list[str]] = field(default_factory=list)
 
     def features(self, word: str) -> list[int]:
         names = feature_names(word)
@@ -208,7 +212,15 @@ def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS, chars: int = FIT_CHARS)
     for row in sorted(rows, key=lambda row: (row["lang"], row["doc_id"], row["text"])):
         if words := letters.findall(row["text"].lower()):
             samples.setdefault(row["lang"], []).append(words)
-    return train(samples)
+    fitted = train(samples)
+    fitted.pieces = [piece(words) for language in sorted(samples) for words in samples[language][:PIECES]]
+    return fitted
+
+
+def piece(words: list[str]) -> list[str]:
+    """A few words from the middle."""
+    at = max(0, (len(words) - PIECE_WORDS) // 2)
+    return words[at : at + PIECE_WORDS]
 
 
 class _Emissions:
@@ -230,26 +242,37 @@ class _Emissions:
         return self.scores[np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))]
 
 
-def label_texts(fitted: Field, texts: list[str | None], emissions: _Emissions | None = None):
-    """Languages, scores, and the word posteriors of each text."""
+def _word_lists(texts: list[str | None]) -> list[list[str]]:
     import regex
 
     letters = regex.compile(LETTERS)
-    emissions = emissions or _Emissions(fitted)
-    found = [letters.findall(text.lower()) if text else [] for text in texts]
+    return [letters.findall(text.lower()) if text else [] for text in texts]
+
+
+def _labelled(fitted: Field, found: list[list[str]], emissions: _Emissions):
+    """Languages, scores, certainties and word posteriors of word lists, which are emptied."""
     lengths = np.fromiter(map(len, found), np.int64, len(found))
-    names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    names, scores, certain = [UNDETERMINED] * len(found), np.zeros(len(found)), np.zeros(len(found))
     if not fitted.languages or not lengths.any():
-        return names, scores, np.zeros((0, len(fitted.languages)))
+        return names, scores, certain, np.zeros((0, len(fitted.languages)))
     at = np.flatnonzero(lengths)
     scored = emissions.of([word for words in found for word in words])
     found.clear()
     posteriors, _ = Chains(lengths[at]).posteriors(scored, fitted.transitions)
     sizes = lengths[at]
-    share = np.add.reduceat(posteriors, np.cumsum(sizes) - sizes, axis=0, dtype=float) / sizes[:, None]
+    starts = np.cumsum(sizes) - sizes
+    share = np.add.reduceat(posteriors, starts, axis=0, dtype=float) / sizes[:, None]
+    certain[at] = np.add.reduceat(posteriors.max(1), starts, dtype=float) / sizes
     best = share.argmax(1)
     for i, place, value in zip(at, best, share.max(1), strict=True):
         names[i], scores[i] = fitted.languages[place], min(1.0, value)
+    return names, scores, certain, posteriors
+
+
+def label_texts(fitted: Field, texts: list[str | None], emissions: _Emissions | None = None):
+    """Languages, scores, and the word posteriors of each text."""
+    emissions = emissions or _Emissions(fitted)
+    names, scores, _, posteriors = _labelled(fitted, _word_lists(texts), emissions)
     return names, scores, posteriors
 
 
@@ -271,3 +294,48 @@ def predict(docs: DataFrame, fitted: Field, keep: list[str], text: str = "text")
 
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
     return map_batches(docs, keep, [text], added, make, rows=SIDE_BY_SIDE)
+
+
+def predict_certainty(docs: DataFrame, fitted: Field, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, ``lang_pred``, ``certainty`` and ``hard_certainty`` from the text alone.
+
+    ``certainty`` is the mean over the words of their largest posterior: words in any mix of
+    languages are certain, words of none are not. ``hard_certainty`` is the least one of the
+    text, a few of its words by themselves, and these words before pieces of two other texts.
+    """
+
+    def make():
+        emissions = _Emissions(fitted)
+
+        def work(texts):
+            found = _word_lists(texts)
+            pieces = [piece(words) for words in found]
+            mixed = []
+            for words in pieces:
+                at = zlib.crc32(" ".join(words).encode())
+                others = [fitted.pieces[(at >> shift) % len(fitted.pieces)] for shift in (0, 12)]
+                mixed.append(words + others[0] + others[1] if words else [])
+            names, _, certain, _ = _labelled(fitted, found, emissions)
+            alone = _labelled(fitted, pieces, emissions)[2]
+            hard = np.minimum(np.minimum(certain, alone), _labelled(fitted, mixed, emissions)[2])
+            return pa.array(names, pa.string()), pa.array(certain, pa.float64()), pa.array(hard, pa.float64())
+
+        return work
+
+    added = [StructField("lang_pred", StringType())]
+    added += [StructField(name, DoubleType()) for name in ("certainty", "hard_certainty")]
+    return map_batches(docs, keep, [text], added, make, rows=SIDE_BY_SIDE)
+
+
+def least_certainty(predicted: DataFrame, loss: float, label: str = "lang") -> float:
+    """The largest certainty that at most ``loss`` of all labelled rows fall short of, even by
+    their ``hard_certainty``; 0 without any. A bounded number of counts is collected."""
+    step = F.floor(F.col("hard_certainty") * CERTAINTY_STEPS).alias("step")
+    known = predicted.filter(F.col(label).isNotNull() & (F.col("lang_pred") != UNDETERMINED))
+    counts = sorted((r["step"], r["count"]) for r in known.groupBy(step).count().collect())
+    allowed = loss * sum(count for _, count in counts)
+    for value, count in counts:
+        if count > allowed:
+            return value / CERTAINTY_STEPS
+        allowed -= count
+    return 0.0

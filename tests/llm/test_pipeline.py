@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
@@ -133,3 +134,29 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF_DIR), "test-empty")
     assert docs.count() == 0
+
+
+def test_mixed_and_short_documents_stay(spark):
+    docs = queries.table(spark, SF_DIR, "documents")
+    given = [r for r in docs.orderBy("doc_id").collect() if r.lang and len((r.text or "").split()) >= 60]
+    by_lang = {}
+    for r in given:
+        by_lang.setdefault(r.lang, []).append(r.text.split())
+    langs = sorted(by_lang)[:3]
+    assert len(langs) == 3
+    planted = []
+    for i in range(10):
+        parts = [by_lang[lang][i % len(by_lang[lang])] for lang in langs]
+        planted.append((20_000 + i, " ".join(" ".join(p[:30]) for p in parts), None, "src0", 0))
+        planted.append((21_000 + i, " ".join(parts[i % 3][30:36]), None, "src0", 0))
+    planted += [(22_000, "12 34 -- 56", None, "src0", 0), (22_001, None, None, "src0", 0)]
+    planted = [dict(zip(("doc_id", "text", "lang", "source", "n_chars"), p, strict=True)) for p in planted]
+    more = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, more, SF_DIR).select("doc_id").collect()}
+    assert {20_000 + i for i in range(10)} | {21_000 + i for i in range(10)} <= kept
+    assert not kept & {22_000, 22_001}
+
+
+def test_without_known_languages_everything_stays(spark):
+    docs = queries.table(spark, SF_DIR, "documents").withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_stage(spark, docs, SF_DIR).count() == docs.count()
