@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
 from swellframe.llm.batches import map_batches
+from swellframe.sources.workspace import written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -37,6 +38,8 @@ BAD_SHARE = 0.01
 VIEWS = ((0, 1, 2), (3, 4))
 # At most this share of good labelled documents may be rejected, by all forests together.
 GOOD_LOSS = 0.002
+# Scores are counted in so many steps; a power of two, so that thresholds are exact.
+SCORE_STEPS = 1 << 14
 SEED = 20240131
 
 
@@ -221,16 +224,17 @@ class Forests:
 def fit(statistics: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FIT_ROWS) -> Forests:
     """Forests and thresholds from labelled documents that pass the fixed rules.
 
-    ``labels`` has ``key`` and ``quality`` (1 good, 0 bad); null labels are left out. Fitted
-    on at most ``rows`` documents, chosen by the hash of their ids whatever the input size;
-    of the bad ones the trees see few, the threshold all.
+    ``labels`` has ``key`` and ``quality`` (1 good, 0 bad); null labels are left out. Trees
+    are fitted on at most ``rows`` documents, chosen by the hash of their ids whatever the
+    input size, few of them bad. Thresholds are calibrated on all.
     """
     known = labels.filter(F.col("quality").isNotNull()).select(
         F.col(key).alias("_key"), (F.col("quality") == 1).alias("_good")
     )
     rules = statistics.filter(~F.col("base_failed")).select(F.col(key).alias("_key"), *MEASURES)
     order = [F.xxhash64("_key"), F.col("_key"), *MEASURES, F.col("_good")]
-    sample = rules.join(known, "_key").orderBy(*order).limit(rows).toPandas()
+    labelled = written(rules.join(known, "_key"), "rule-labelled")
+    sample = labelled.orderBy(*order).limit(rows).toPandas()
     if sample.empty:
         return Forests([])
     x = features({name: sample[name].to_numpy() for name in MEASURES})
@@ -239,16 +243,43 @@ def fit(statistics: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int
     few = bad[: max(1, int(BAD_SHARE * len(fine)))] if len(fine) else bad
     chosen = x[np.concatenate([fine, few])]
     fitted = Forests([fit_forest(chosen[:, list(view)]) for view in VIEWS])
-    limit, still = GOOD_LOSS * len(fine), np.ones(len(x), bool)
-    for forest, scores in zip(fitted.forests, fitted.view_scores(x), strict=True):
-        left = good[still]
-        forest.threshold = calibrated(scores[still], left, limit / max(left.sum(), 1))
-        rejected = still & (scores >= forest.threshold)
-        limit -= (rejected & good).sum()
-        still &= ~rejected
+    _calibrate(fitted, labelled)
     return fitted
 
 
+def _calibrate(fitted: Forests, labelled: DataFrame) -> None:
+    """Sets the thresholds, from counts of all labelled rows per step of the scores.
+
+    A forest is held against the rows that those before it leave, within the loss that they
+    leave.
+    """
+    steps = [f"_step{i}" for i in range(len(fitted.forests))]
+
+    def make():
+        def work(*columns):
+            rows = {n: np.asarray(c, float) for n, c in zip(MEASURES, columns, strict=True)}
+            found = fitted.view_scores(features(rows))
+            return [pa.array((scores * SCORE_STEPS).astype(np.int64)) for scores in found]
+
+        return work
+
+    added = [StructField(name, LongType()) for name in steps]
+    scored = map_batches(labelled, ["_good"], MEASURES, added, make, rows=8192)
+    left = written(scored.groupBy("_good", *steps).count(), "rule-scores")
+    limit = None
+    for forest, step in zip(fitted.forests, steps, strict=True):
+        found = left.groupBy(step).agg(
+            F.sum(F.when(F.col("_good"), F.col("count")).otherwise(0)).alias("fine"),
+            F.sum(F.when(F.col("_good"), 0).otherwise(F.col("count"))).alias("bad"),
+        ).orderBy(step).toPandas()
+        fine, bad = (found[name].to_numpy(np.int64) for name in ("fine", "bad"))
+        limit = GOOD_LOSS * fine.sum() if limit is None else limit
+        values = found[step].to_numpy(float) / SCORE_STEPS
+        forest.threshold = _threshold(values, fine, bad, limit)
+        limit -= fine[values >= forest.threshold].sum()
+        left = left.filter(F.col(step) / SCORE_STEPS < forest.threshold)
+
+
 def judge(statistics: DataFrame, forest: Forests, keep: list[str]) -> DataFrame:
     """``keep`` columns, the statistics, ``base_failed``, ``score`` and ``kept``.
 

@@ -107,3 +107,22 @@ def test_repeated_short_lines_are_set_apart(spark):
     assert not planted.kept
     assert sum(not found[i].kept for i in range(600)) <= 0.002 * 600
     assert sum(not found[i].kept for i in range(600, 640)) >= 38
+
+
+def test_thresholds_hold_for_all_labels(spark):
+    rng = np.random.default_rng(4)
+    symbols = np.concatenate([rng.gamma(2.0, 20.0, 3000), rng.gamma(2.0, 60.0, 1000)]).astype(int)
+    rows = [(i, 200, 1000, int(n), 0, 0, 10, False) for i, n in enumerate(symbols)]
+    names = ", ".join(f"{name} long" for name in rules.MEASURES)
+    statistics = spark.createDataFrame(rows, f"doc_id long, {names}, base_failed boolean")
+    labels = spark.createDataFrame([(i, int(i < 3000)) for i in range(4000)], "doc_id long, quality long")
+    # Trees from 64 rows; what good rows may be lost counts among all.
+    forest = rules.fit(statistics, labels, rows=64)
+    found = rules.judge(statistics, forest, ["doc_id"]).collect()
+    assert sum(not r.kept for r in found if r.doc_id < 3000) <= rules.GOOD_LOSS * 3000
+    # No other step of the scores would have parted them better.
+    measures = {n: np.array([r[n] for r in found]) for n in rules.STATISTICS}
+    x = rules.features(measures | {"n_lines": np.full(len(found), 10)})
+    score = np.floor(forest.view_scores(x)[0] * rules.SCORE_STEPS) / rules.SCORE_STEPS
+    good = np.array([r.doc_id < 3000 for r in found])
+    assert forest.forests[0].threshold == rules.calibrated(score, good)
