@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,11 +35,46 @@ def fresh_folder(spark: SparkSession, name: str, folder: str | None = None) -> s
 def written(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` written as a table under the shared folder and read back.
 
-    This cuts the lineage, survives lost executors, and tells the planner the true size.
+    This cuts the lineage, survives lost executors, and tells the planner the true size. The
+    shuffle files behind the table are deleted as soon as it stands.
     """
-    folder = fresh_folder(rows.sparkSession, name)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+    spark = rows.sparkSession
+    folder = fresh_folder(spark, name)
+    with _shuffles_freed(spark):
+        rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREED)
+        else:
+            spark.conf.set(_FREED, before)
+
+
+@contextmanager
+def only_kept(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function like :func:`written`; at the end every other folder that was given
+    out meanwhile is deleted, so what is lazy and reads one must be written by then."""
+    before, kept = set(_GIVEN), set()
+
+    def keep(rows: DataFrame, name: str) -> DataFrame:
+        known = set(_GIVEN)
+        table = written(rows, name)
+        kept.update(_GIVEN - known)
+        return table
+
+    yield keep
+    delete_given(spark, _GIVEN - before - kept)
 
 
 def delete_working_tables(spark: SparkSession) -> None:
@@ -45,9 +82,19 @@ def delete_working_tables(spark: SparkSession) -> None:
 
     Results are lazy and read these tables, so call it once they have been written or read.
     """
-    for path in sorted(_GIVEN):
+    delete_given(spark, set(_GIVEN))
+
+
+def given_folders() -> set[str]:
+    """The folders that this process has given out and not deleted."""
+    return set(_GIVEN)
+
+
+def delete_given(spark: SparkSession, folders: set[str]) -> None:
+    """Deletes some of the folders that :func:`fresh_folder` gave to this process."""
+    for path in sorted(folders & _GIVEN):
         delete_folder(spark, path)
-    _GIVEN.clear()
+    _GIVEN.difference_update(folders)
 
 
 def delete_folder(spark: SparkSession, folder: str) -> None:
