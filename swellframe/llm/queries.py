@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from swellframe.llm import (
     byte_bpe,
     chat,
+    debruijn,
     jaccard,
     language,
     mixing,
@@ -232,6 +233,33 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = debruijn.without_repeated_words(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+CHECK_OP13 = r"""
+WITH words AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS place, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+windows AS (
+  SELECT place, s, list_aggregate(w[s:s + 19], 'string_agg', ' ') AS words
+  FROM (SELECT place, w, unnest(range(1, len(w) - 18)) AS s FROM words)),
+repeated AS (
+  SELECT place, s FROM windows
+  QUALIFY row_number() OVER (PARTITION BY words ORDER BY place, s) > 1),
+gone AS (SELECT DISTINCT place, unnest(range(s, s + 20)) AS i FROM repeated),
+numbered AS (SELECT place, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words),
+kept AS (
+  SELECT place, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+  FROM numbered ANTI JOIN gone USING (place, i) GROUP BY place)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (place)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -243,6 +271,13 @@ QUERIES: dict[str, Query] = {
     "op8_top_k": op8_top_k,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_debruijn_dedup": op13_debruijn_dedup,
 }
 
-CHECKS: dict[str, str] = {"op4_jaccard_join": CHECK_OP4, "op5_warc": CHECK_OP5, "op7_secrets": CHECK_OP7, "op8_top_k": CHECK_OP8}
+CHECKS: dict[str, str] = {
+    "op4_jaccard_join": CHECK_OP4,
+    "op5_warc": CHECK_OP5,
+    "op7_secrets": CHECK_OP7,
+    "op8_top_k": CHECK_OP8,
+    "op13_debruijn_dedup": CHECK_OP13,
+}
