@@ -178,7 +178,8 @@ def candidate_spans(docs: DataFrame, text: str) -> DataFrame:
     rows = anchor_rows(docs, text)
     place = F.xxhash64("short", "first")
     twice = rows.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b")
-    shared = rows.join(twice.select("anchor"), "anchor")
+    # Stored, so that a hot anchor's rows can be split over tasks in the join.
+    shared = rows.join(written(twice.select("anchor"), "word-anchors"), "anchor")
     return shared.groupBy("short").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 

@@ -16,6 +16,7 @@ from swellframe.llm import (
     repeats,
     rules,
     secrets,
+    spelling,
     topk,
     warc,
 )
@@ -233,6 +234,63 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+# SQL for the unsigned CRC-32 of an ASCII or UTF-8 text: {text} is replaced.
+CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+    range(CAST(octet_length(encode({text})) AS BIGINT)),
+    lambda i: CAST(('0x' || substring(hex(encode({text})), 2 * i + 1, 2)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, crc_table.v[xor(c, b) % 256 + 1])), 4294967295)"""
+CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, x: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))) AS v)"""
+
+CHECK_OP11 = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run
+    FROM documents)
+  WHERE length(run) >= {spelling.SHORTEST} GROUP BY ALL),
+hashed AS (SELECT run, n, {CRC32.format(text="(id || ':' || run)")} AS h FROM runs, crc_table),
+slipped AS (
+  SELECT CASE WHEN h % {spelling.SLIPS} <> 0 THEN run
+    ELSE run[1:h % length(run)] || run[h % length(run) + 2:length(run)] END AS word, n
+  FROM hashed),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped
+  WHERE length(word) >= {spelling.SHORTEST} GROUP BY word HAVING sum(n) >= {spelling.RAREST}),
+-- Words one edit apart are equal, or one is the other, without some code point.
+holes AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i, word[1:i - 1] || word[i + 1:length(word)] AS rest
+  FROM words),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b
+    ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, min(ROW(-other_n, other)) AS b FROM near GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN -b[1] >= {spelling.RATIO} * n THEN b[2] END AS form,
+    CASE WHEN -b[1] >= {spelling.RATIO} * n THEN -b[1] END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+steps AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT steps.word, formed.form FROM steps JOIN formed ON formed.word = steps.root
+  WHERE formed.form IS NOT NULL)
+SELECT formed.word, form, root, n, n_near, form_n
+FROM formed JOIN (
+  SELECT steps.word, root FROM steps JOIN formed ON formed.word = steps.root WHERE formed.form IS NULL
+) USING (word)
+"""
+
+
 def op13_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = debruijn.without_repeated_words(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -271,6 +329,7 @@ QUERIES: dict[str, Query] = {
     "op8_top_k": op8_top_k,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_debruijn_dedup": op13_debruijn_dedup,
 }
 
@@ -279,5 +338,6 @@ CHECKS: dict[str, str] = {
     "op5_warc": CHECK_OP5,
     "op7_secrets": CHECK_OP7,
     "op8_top_k": CHECK_OP8,
+    "op11_spelling_variants": CHECK_OP11,
     "op13_debruijn_dedup": CHECK_OP13,
 }
