@@ -13,6 +13,7 @@ from swellframe.llm import (
     jaccard,
     language,
     mixing,
+    repair,
     repeats,
     rules,
     secrets,
@@ -291,6 +292,88 @@ FROM formed JOIN (
 """
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair_report(conversations, repair.damaged(conversations))
+
+
+def _check_op12() -> str:
+    """The same choices forwards, turn by turn: the least (cost, edits) of every state."""
+    step = lambda v, cost, letter, line=None: (
+        f"CASE WHEN {v} IS NOT NULL THEN {{'c': {v}.c + {cost}, 'a': {v}.a || '{letter}', "
+        f"'l': {f'list_append({v}.l, {line})' if line else f'{v}.l'}}} END"
+    )
+    least = lambda *values: "list_min(list_filter([" + ", ".join(values) + "], lambda x: x IS NOT NULL))"
+    insert = lambda v, role: step(v, repair.INSERT, "I", f"'{role}:'")
+    user, assistant = "('user:' || text)", "('assistant:' || text)"
+    delete = lambda v: step(v, repair.DELETE, "D")
+    keep = lambda v, role: f"CASE WHEN may AND initial = '{role}' THEN {step(v, 'more', 'K', line='line')} END"
+    rerole = lambda v, line: f"CASE WHEN may THEN {step(v, f'{repair.REROLE} + more', 'R', line)} END"
+    text = "(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))"
+    inserted = lambda source: f"""(
+      SELECT *, {least('v3', insert('u2', 'assistant'))} AS u3 FROM (
+        SELECT *, {least('v2', insert('v0', 'user'), insert('v1', 'user'), insert('v3', 'user'))} AS u2
+        FROM {source}))"""
+    empty = "CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, l VARCHAR[]))"
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+fated AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC32.format(text=text)} % 20 AS fate
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE fate WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM fated WHERE fate <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth
+  FROM damaged),
+marked AS (
+  SELECT *, left(role, 1) AS initial, role || ':' || text AS line, CASE
+      WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+      WHEN nth > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated'
+      ELSE '' END AS fault
+  FROM numbered),
+turns AS (
+  SELECT *, fault NOT IN ('blank', 'duplicate') AS may, CASE fault WHEN 'truncated' THEN {repair.TRUNCATED} ELSE 0 END AS more,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM marked),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+states AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 'l': CAST([] AS VARCHAR[])}} AS v0,
+    {empty} AS v1, {empty} AS v2, {empty} AS v3
+  FROM ids
+  UNION ALL
+  SELECT s.conv_id, s.i + 1,
+    {delete('v0')},
+    {least(delete('v1'), keep('v0', 's'))},
+    {least(delete('u2'), keep('v0', 'u'), keep('v1', 'u'), keep('u3', 'u'),
+           rerole('v0', user), rerole('v1', user), rerole('u3', user))},
+    {least(delete('u3'), keep('u2', 'a'), rerole('u2', assistant))}
+  FROM {inserted('states')} s JOIN turns t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = s.i + 1),
+ended AS (
+  SELECT conv_id, {least('v0', 'u3')} AS best
+  FROM {inserted('states')} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+counted AS (
+  SELECT conv_id, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+    max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps
+  FROM turns GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(array_to_string(best.l, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+CHECK_OP12 = _check_op12()
+
+
 def op13_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = debruijn.without_repeated_words(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -330,6 +413,7 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_debruijn_dedup": op13_debruijn_dedup,
 }
 
@@ -339,5 +423,6 @@ CHECKS: dict[str, str] = {
     "op7_secrets": CHECK_OP7,
     "op8_top_k": CHECK_OP8,
     "op11_spelling_variants": CHECK_OP11,
+    "op12_conversation_repair": CHECK_OP12,
     "op13_debruijn_dedup": CHECK_OP13,
 }
