@@ -36,11 +36,12 @@ ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 # Bytes of an archive's records, taken evenly over them, that its dictionary is built from.
 DICTIONARY_SAMPLE = 2 << 20
+PIECE_BYTES = 4 << 10
 LEVEL = 3
 REVISIT_BYTES = 1000
 DATE = "2024-01-31T00:00:00Z"
 
-MANIFEST = "archive string, n_records long, raw_bytes long"
+MANIFEST = "archive string, n_records long, raw_bytes long, offsets array<long>"
 RECORDS = (
     "page_id long, url string, payload_bytes long, payload_digest string, "
     "record_type string, refers_to long"
@@ -108,30 +109,37 @@ def record_bytes(row: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def built_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records taken evenly; none if they are too few or too small."""
-    step = max(1, sum(map(len, records)) // DICTIONARY_SAMPLE)
-    chosen = [record[: 32 << 10] for record in records[::step]]
-    size = min(DICTIONARY_BYTES, sum(map(len, chosen)) // 8)
-    if len(chosen) < 8 or size < 1024:
-        return None
-    try:
-        return zstandard.train_dictionary(size, chosen, k=512, d=8, level=LEVEL)
-    except zstandard.ZstdError:
-        return None
-
+def built_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from pieces taken evenly over the whole of all records.
 
-def archive_bytes(records: list[bytes]) -> bytes:
+    Where the pieces are too few or too alike to train on, it is some of them as raw content.
+    """
+    step = max(1, sum(map(len, records)) // DICTIONARY_SAMPLE)
+    pieces = [record[at : at + PIECE_BYTES] for record in records for at in range(0, len(record), PIECE_BYTES)][::step]
+    total = sum(map(len, pieces))
+    size = min(DICTIONARY_BYTES, total // 8)
+    if len(pieces) >= 8 and size >= 1024:
+        try:
+            return zstandard.train_dictionary(size, pieces, k=512, d=8, level=LEVEL)
+        except zstandard.ZstdError:
+            pass
+    share = max(1, -(-total // DICTIONARY_BYTES))
+    raw = b"".join(pieces[::share])[:DICTIONARY_BYTES]
+    return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def archive_bytes(records: list[bytes]) -> tuple[bytes, list[int]]:
+    """The archive, and where each record's frame starts in it."""
     dictionary = built_dictionary(records)
-    out = bytearray()
-    if dictionary is not None:
-        content = dictionary.as_bytes()
-        out += struct.pack("<II", SKIPPABLE_DICTIONARY, len(content)) + content
-        dictionary.precompute_compress(level=LEVEL)
+    content = dictionary.as_bytes()
+    out = bytearray(struct.pack("<II", SKIPPABLE_DICTIONARY, len(content)) + content)
+    dictionary.precompute_compress(level=LEVEL)
     compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary)
+    offsets = []
     for record in records:
+        offsets.append(len(out))
         out += compressor.compress(record)
-    return bytes(out)
+    return bytes(out), offsets
 
 
 def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -144,7 +152,8 @@ def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def write_archives(typed: DataFrame, folder: str, archive_size: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes ``with_record_types`` rows as archives under ``folder``; returns the manifest.
+    """Writes ``with_record_types`` rows as archives under ``folder``; returns the manifest,
+    which tells where each record's frame starts.
 
     The manifest is stored under ``folder`` too. An empty table has no archive.
     """
@@ -155,12 +164,14 @@ def write_archives(typed: DataFrame, folder: str, archive_size: int = ARCHIVE_BY
         def stored(records: list[bytes]) -> pa.RecordBatch:
             name = f"{uuid.uuid4().hex}.warc.zst"
             system.create_dir(f"{base}/archives", recursive=True)
-            with system.open_output_stream(f"{base}/archives/{name}") as out:
-                out.write(archive_bytes(records))
-            row = [[f"{folder}/archives/{name}"], [len(records)], [sum(map(len, records))]]
-            types = (pa.string(), pa.int64(), pa.int64())
+            data, offsets = archive_bytes(records)
+            # By its name the stream would compress the archive once more.
+            with system.open_output_stream(f"{base}/archives/{name}", compression=None) as out:
+                out.write(data)
+            row = [[f"{folder}/archives/{name}"], [len(records)], [sum(map(len, records))], [offsets]]
+            types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             arrays = [pa.array(v, t) for v, t in zip(row, types, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, ["archive", "n_records", "raw_bytes"])
+            return pa.RecordBatch.from_arrays(arrays, ["archive", "n_records", "raw_bytes", "offsets"])
 
         records: list[bytes] = []
         held = 0
@@ -180,12 +191,25 @@ def write_archives(typed: DataFrame, folder: str, archive_size: int = ARCHIVE_BY
     return typed.sparkSession.read.schema(MANIFEST).parquet(manifest)
 
 
+def _dictionary(start: bytes, stream) -> zstandard.ZstdCompressionDict | None:
+    """The dictionary of the leading frame whose first 8 bytes were read."""
+    if len(start) == 8 and struct.unpack("<II", start)[0] == SKIPPABLE_DICTIONARY:
+        return zstandard.ZstdCompressionDict(stream.read(struct.unpack("<II", start)[1]))
+    return None
+
+
+def record_at(stream, offset: int) -> bytes:
+    """One record of an archive, by its offset: only the dictionary and its frame are read."""
+    dictionary = _dictionary(stream.read(8), stream)
+    stream.seek(offset)
+    return zstandard.ZstdDecompressor(dict_data=dictionary).stream_reader(stream).readall()
+
+
 def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """WARC headers and blocks of an archive, one after the other."""
     start = stream.read(8)
-    dictionary = None
-    if len(start) == 8 and struct.unpack("<II", start)[0] == SKIPPABLE_DICTIONARY:
-        dictionary = zstandard.ZstdCompressionDict(stream.read(struct.unpack("<II", start)[1]))
+    dictionary = _dictionary(start, stream)
+    if dictionary is not None:
         start = b""
     rest = io.BufferedReader(_Joined(start, stream), 1 << 20)
     plain = zstandard.ZstdDecompressor(dict_data=dictionary).stream_reader(rest, read_across_frames=True)
@@ -244,7 +268,10 @@ def facts_of(headers: dict[str, str], block: bytes) -> tuple:
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """One row per record of the manifest's archives, each read from start to end in a task."""
+    """One row per record of the manifest's archives, each read from start to end in a task.
+
+    There are as many tasks as archives, whose names are too short to tell how much work they are.
+    """
     names = [part.split()[0] for part in RECORDS.split(", ")]
     types = [pa.string() if part.endswith("string") else pa.int64() for part in RECORDS.split(", ")]
 
@@ -257,7 +284,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for archive in batch.column(0).to_pylist():
                 system, path = _file_system(archive)
                 rows = []
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     for headers, block in read_records(stream):
                         rows.append(facts_of(headers, block))
                         if len(rows) == 4096:
@@ -266,7 +293,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return manifest.select("archive").repartition("archive").mapInArrow(run, RECORDS)
+    tasks = max(1, manifest.count())
+    return manifest.select("archive").repartition(tasks, "archive").mapInArrow(run, RECORDS)
 
 
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
