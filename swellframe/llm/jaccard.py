@@ -29,21 +29,23 @@ from math import ceil, exp, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField
 
-from swellframe.llm.batches import map_batches, slices
+from swellframe.llm.batches import map_batches, slices, unused
 from swellframe.llm.graph import components
-from swellframe.llm.wanted import Seen, is_wanted, wanted_table
-from swellframe.sources.workspace import written
+from swellframe.llm.wanted import Seen
+from swellframe.sources.workspace import only_kept, written
 
 # Sizes in one class differ by this factor at most. Sets of a class are cut alike.
 CLASS_RATIO = 1.3
 # Other cuts for sets that leave too many positions of one cut empty.
 CUTS = 8
-# Members of a leader that one task compares, and sets and shingles of a block of the grid.
+# Members of a leader that one task compares, classes of a list that are compared by themselves,
+# and sets and shingles of a block of the grid: what a task holds, some 20 MB.
 LEADER_ROWS = 4096
-BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
+LIST_SETS = 512
+BLOCK_SETS, BLOCK_SHINGLES = 8192, 2_500_000
 
 
 @dataclass(frozen=True)
@@ -198,38 +200,52 @@ def signatures(link: Link, shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def sized_documents(docs: DataFrame, link: Link, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_shingles`` and ``class`` (null for empty sets)."""
+@dataclass(frozen=True)
+class Texts:
+    """Documents, their column of text, and for each class the ``source`` of one of its texts."""
 
-    def make():
-        def work(texts):
-            sets = [shingle_set(body, link.words) for body in texts]
-            names = [fingerprint(x) if len(x) else None for x in sets]
-            return pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.int64())
+    docs: DataFrame
+    text: str
+    link: Link
+    sources: DataFrame | None = None
 
-        return work
 
-    added = [StructField("n_shingles", LongType()), StructField("class", LongType())]
-    return map_batches(docs, [key], [text], added, make)
+def source_of(docs: DataFrame, text: str) -> Column:
+    """A name of the text itself, which needs no shingles."""
+    return F.xxhash64(docs[text])
 
 
-def index_rows(docs: DataFrame, link: Link, text: str = "text") -> DataFrame:
-    """``list`` and ``class``: the lists that each class is in, once per task."""
+def set_facts(docs: DataFrame, link: Link, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id`` (the key), ``source``, ``n_shingles``, ``class`` (null for empty sets) and
+    ``lists``, the lists that the class is in, once per task. Every text is cut up once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         seen = Seen()
-        for batch in batches:
-            for part in slices(batch):
-                names, lists = [], [np.zeros(0, np.int64)]
-                for body in part.column(0).to_pylist():
-                    shingles = shingle_set(body, link.words)
-                    if len(shingles) and seen.first(name := fingerprint(shingles)):
-                        lists.append(signatures(link, shingles))
-                        names.append(np.full(len(lists[-1]), name, np.int64))
-                arrays = [pa.array(np.concatenate(lists)), pa.array(np.concatenate([lists[0], *names]))]
-                yield pa.RecordBatch.from_arrays(arrays, ["list", "class"])
 
-    return docs.select(docs[text].alias("_text")).mapInArrow(run, "list long, class long")
+        def work(texts):
+            sizes, names, lists = [], [], []
+            for body in texts:
+                shingles = shingle_set(body, link.words)
+                sizes.append(len(shingles))
+                names.append(fingerprint(shingles) if len(shingles) else None)
+                first = len(shingles) and seen.first(names[-1])
+                lists.append(signatures(link, shingles) if first else None)
+            return pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(lists, pa.list_(pa.int64()))
+
+        return work
+
+    added = [
+        StructField("n_shingles", LongType()),
+        StructField("class", LongType()),
+        StructField("lists", ArrayType(LongType())),
+    ]
+    rows = docs.select(docs[key].alias("id"), source_of(docs, text).alias("source"), docs[text].alias("text"))
+    return map_batches(rows, ["id", "source"], ["text"], added, make)
+
+
+def index_rows(facts: DataFrame) -> DataFrame:
+    """``list`` and ``class``: the lists that each class is in, once per task or so."""
+    return facts.select(F.explode("lists").alias("list"), "class")
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
@@ -268,13 +284,18 @@ def set_bytes(link: Link, shingles: np.ndarray) -> bytes:
     return shingles.tobytes()
 
 
-def wanted_sets(docs: DataFrame, names: DataFrame, link: Link, text: str, form) -> DataFrame:
-    """``class``, ``size`` and ``data`` of all documents whose class is in ``names``, perhaps
-    more. ``form`` makes the data from a set: ``set_bytes`` or ``sketch``.
+def wanted_sets(texts: Texts, names: DataFrame, form) -> DataFrame:
+    """``class``, ``size`` and ``data`` of the classes in ``names``, perhaps of more or more often.
 
-    Equal sets are sent once per task. The sets are computed again rather than kept.
+    ``form`` makes the data from a set: ``set_bytes`` or ``sketch``. The sets are computed
+    again rather than kept, of one text per class. Texts are chosen before they are cut up, by
+    a join whose small side is a stored table, so that the planner broadcasts it only if its
+    size allows.
     """
-    table = wanted_table(names, "class")
+    docs, link = texts.docs, texts.link
+    wanted = written(names.select("class").distinct().join(texts.sources, "class").select("source"), "wanted-texts")
+    chosen = docs.select(docs[texts.text].alias("text"), source_of(docs, texts.text).alias("source"))
+    chosen = chosen.join(wanted, "source", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
@@ -283,17 +304,14 @@ def wanted_sets(docs: DataFrame, names: DataFrame, link: Link, text: str, form)
                 found = []
                 for body in part.column(0).to_pylist():
                     shingles = shingle_set(body, link.words)
-                    if not len(shingles):
-                        continue
-                    name = fingerprint(shingles)
-                    if is_wanted(table, name) and seen.first(name):
+                    if len(shingles) and seen.first(name := fingerprint(shingles)):
                         found.append((name, len(shingles), form(link, shingles)))
                 if found:
                     types = (pa.int64(), pa.int64(), pa.binary())
                     arrays = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, ["class", "size", "data"])
 
-    return docs.select(docs[text].alias("_text")).mapInArrow(run, "class long, size long, data binary")
+    return chosen.mapInArrow(run, "class long, size long, data binary")
 
 
 def leaders(lists: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -324,7 +342,7 @@ def _sets_link(link: Link, size_a: int, a: bytes, size_b: int, b: bytes) -> bool
     return link.linked(int((head[at] == shingles).sum()), size_a, size_b)
 
 
-def compared(docs: DataFrame, pairs: DataFrame, link: Link, text: str, form, test) -> DataFrame:
+def compared(texts: Texts, pairs: DataFrame, form, test) -> DataFrame:
     """The rows of ``pairs`` (a stored table) that pass ``test`` on the ``form`` of both sets.
 
     A leader with many members meets them in several tasks, one at a time.
@@ -340,6 +358,7 @@ def compared(docs: DataFrame, pairs: DataFrame, link: Link, text: str, form, tes
         F.lit(0).alias("member"),
     )
     roles = members.unionByName(heads)
+    link = texts.link
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, head, last = None, None, None
@@ -360,17 +379,17 @@ def compared(docs: DataFrame, pairs: DataFrame, link: Link, text: str, form, tes
                     arrays = [pa.array(c, pa.int64()) for c in zip(*passed, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, ["class", "leader"])
 
-    sets = wanted_sets(docs, roles.select("class"), link, text, form)
+    sets = wanted_sets(texts, roles, form)
     rows = sets.join(roles, "class").select("leader", "part", "member", "class", "size", "data")
     ordered = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "member", "class")
     return ordered.mapInArrow(run, "class long, leader long")
 
 
-def linked_to_leaders(docs: DataFrame, led: DataFrame, link: Link, text: str = "text") -> DataFrame:
+def linked_to_leaders(texts: Texts, led: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` between classes and the leaders that they are linked with."""
-    pairs = written(pairs_with_leaders(led, link), "leader-pairs")
-    likely = written(compared(docs, pairs, link, text, sketch, may_link), "likely-pairs")
-    edges = compared(docs, likely, link, text, set_bytes, _sets_link)
+    pairs = written(pairs_with_leaders(led, texts.link), "leader-pairs")
+    likely = written(compared(texts, pairs, sketch, may_link), "likely-pairs")
+    edges = compared(texts, likely, set_bytes, _sets_link)
     return edges.select(F.col("class").alias("a"), F.col("leader").alias("b"))
 
 
@@ -431,9 +450,7 @@ def _set_links(link: Link, left: list[tuple], right: list[tuple]) -> Iterator[tu
     return block_links(link, body(left), body(right))
 
 
-def grid_edges(
-    docs: DataFrame, sets: DataFrame, link: Link, text: str, form, links, unite: str
-) -> DataFrame:
+def grid_edges(texts: Texts, sets: DataFrame, form, links, unite: str) -> DataFrame:
     """Edges that ``links`` finds between the classes of each ``family``, in a grid of blocks.
 
     ``sets`` (a stored table) has ``class``, ``n_shingles``, ``label`` and ``family``. Only
@@ -466,7 +483,8 @@ def grid_edges(
         F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"),
     )
-    bodies = wanted_sets(docs, sets.select("class"), link, text, form).join(grid, "class")
+    bodies = wanted_sets(texts, sets, form).join(grid, "class")
+    link = texts.link
 
     def run(table: pa.Table) -> pa.Table:
         rows = {row["class"]: row for row in table.to_pylist()}
@@ -498,12 +516,13 @@ def grid_edges(
     return bodies.groupBy("family", "low", "high").applyInArrow(run, "a long, b long")
 
 
-def likely_in_lists(docs: DataFrame, rows: DataFrame, link: Link, text: str) -> DataFrame:
+def likely_in_lists(texts: Texts, rows: DataFrame) -> DataFrame:
     """Edges between the classes of each list whose labels differ and whose sketches agree.
 
-    ``rows`` has ``list``, ``class`` and ``label`` of lists of up to ``BLOCK_SETS`` classes,
+    ``rows`` has ``list``, ``class`` and ``label`` of lists of up to ``LIST_SETS`` classes,
     which pass by one list at a time.
     """
+    link = texts.link
 
     def edges_of(held: list[dict]) -> list[tuple[int, int]]:
         if len({row["label"] for row in held}) < 2:
@@ -542,12 +561,12 @@ def likely_in_lists(docs: DataFrame, rows: DataFrame, link: Link, text: str) ->
             arrays = [pa.array(c, pa.int64()) for c in zip(*edges, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["a", "b"])
 
-    sets = wanted_sets(docs, rows.select("class"), link, text, sketch).join(rows, "class")
+    sets = wanted_sets(texts, rows, sketch).join(rows, "class")
     ordered = sets.select("list", "class", "label", "size", "data").repartition("list")
     return ordered.sortWithinPartitions("list", "class").mapInArrow(run, "a long, b long")
 
 
-def linked_in_blocks(docs: DataFrame, led: DataFrame, labels: DataFrame, link: Link, text: str = "text") -> DataFrame:
+def linked_in_blocks(texts: Texts, led: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges that join classes of lists which their leader has not made one.
 
     ``labels`` are the components so far. Of lists with the same classes one is looked at. Its
@@ -563,27 +582,27 @@ def linked_in_blocks(docs: DataFrame, led: DataFrame, labels: DataFrame, link: L
     )
     split = split.filter("low <> high").groupBy("n", "names").agg(F.min("list").alias("list"))
     open_rows = written(rest.join(split.select("list", "n"), "list"), "open-lists")
-    short, long = open_rows.filter(F.col("n") <= BLOCK_SETS), open_rows.filter(F.col("n") > BLOCK_SETS)
-    likely = likely_in_lists(docs, short.select("list", "class", "label"), link, text)
+    short, long = open_rows.filter(F.col("n") <= LIST_SETS), open_rows.filter(F.col("n") > LIST_SETS)
+    likely = likely_in_lists(texts, short.select("list", "class", "label"))
     if not long.isEmpty():
         grid = written(long.select("class", "n_shingles", "label", F.col("list").alias("family")), "long-lists")
-        likely = likely.unionByName(grid_edges(docs, grid, link, text, sketch, sketch_links, "class"))
+        likely = likely.unionByName(grid_edges(texts, grid, sketch, sketch_links, "class"))
     families = components(likely).select(F.col("node").alias("class"), F.col("label").alias("family"))
     sets = open_rows.select("class", "n_shingles", "label").distinct()
     sets = written(sets.join(families, "class"), "open-sets")
-    return grid_edges(docs, sets, link, text, set_bytes, _set_links, "label")
+    return grid_edges(texts, sets, set_bytes, _set_links, "label")
 
 
-def labelled_classes(docs: DataFrame, sizes: DataFrame, link: Link, text: str = "text") -> DataFrame:
+def labelled_classes(texts: Texts, facts: DataFrame, sizes: DataFrame) -> DataFrame:
     """``node`` and ``label`` of all classes that link with another one.
 
-    ``sizes`` has ``class`` and ``n_shingles`` of all classes of ``docs``.
+    ``facts`` are those of the texts, ``sizes`` has ``class`` and ``n_shingles``.
     """
-    lists = written(shared_lists(index_rows(docs, link, text)), "index-lists")
+    lists = written(shared_lists(index_rows(facts)), "index-lists")
     led = written(leaders(lists, sizes.select("class", "n_shingles")), "index-leaders")
-    edges = written(linked_to_leaders(docs, led, link, text), "leader-links")
+    edges = written(linked_to_leaders(texts, led), "leader-links")
     labels = written(components(edges), "leader-components")
-    more = written(linked_in_blocks(docs, led, labels, link, text), "block-links")
+    more = written(linked_in_blocks(texts, led, labels), "block-links")
     if more.isEmpty():
         return labels
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
@@ -599,62 +618,73 @@ def similar_documents(docs: DataFrame, link: Link | None = None, key: str = "doc
     Repeated rows stay. An empty table gives an empty result.
     """
     link = link or Link()
-    documents = written(sized_documents(docs, link, key, text), "shingle-sets")
-    sizes = documents.filter(F.col("class").isNotNull()).groupBy("class").agg(
-        F.max("n_shingles").alias("n_shingles"), F.min(key).alias("smallest")
-    )
-    sizes = written(sizes, "set-classes")
-    labels = labelled_classes(docs, sizes, link, text)
-    named = sizes.join(labels.withColumnRenamed("node", "class"), "class", "left")
-    named = named.select("class", "smallest", F.coalesce("label", "class").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    by_class = named.join(smallest, "label").select("class", "component_id")
-    joined = documents.join(by_class, "class", "left")
-    own = F.when(F.col("class").isNull(), F.col(key)).otherwise(F.col("component_id"))
-    return joined.select(key, "n_shingles", own.alias("component_id"))
+    with only_kept(docs.sparkSession) as keep:
+        facts = written(set_facts(docs, link, key, text), "shingle-sets")
+        sizes = facts.filter(F.col("class").isNotNull()).groupBy("class").agg(
+            F.max("n_shingles").alias("n_shingles"), F.min("id").alias("smallest"), F.min("source").alias("source")
+        )
+        sizes = written(sizes, "set-classes")
+        labels = labelled_classes(Texts(docs, text, link, sizes.select("class", "source")), facts, sizes)
+        named = sizes.join(labels.withColumnRenamed("node", "class"), "class", "left")
+        named = named.select("class", "smallest", F.coalesce("label", "class").alias("label"))
+        smallest = named.groupBy("label").agg(F.min("smallest").alias("component_id"))
+        by_class = named.join(smallest, "label").select("class", "component_id")
+        joined = facts.select("id", "n_shingles", "class").join(by_class, "class", "left")
+        own = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
+        result = joined.select(F.col("id").alias(key), "n_shingles", own.alias("component_id"))
+        return keep(result, "similar-documents")
 
 
 def one_of_each(docs: DataFrame, link: Link | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of linked rows, that with the smallest key.
 
     Null keys come last; of several rows with that key, one of those whose set has the
-    smallest fingerprint stays. Rows without words all stay. Only rows that have a copy or a
-    link are moved; the others pass straight through.
+    smallest fingerprint stays. Rows without words all stay. Rows are judged by key and text
+    together, so no other row goes for a hash that it shares. Columns may have any names.
     """
     link = link or Link()
-    documents = written(sized_documents(docs, link, key, text), "shingle-sets")
-    sets = documents.filter(F.col("class").isNotNull())
-    order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col("class").alias("class"))
-    sizes = written(
-        sets.groupBy("class").agg(
-            F.max("n_shingles").alias("n_shingles"), F.min(order).alias("first"), F.count("*").alias("n")
-        ),
-        "set-classes",
-    )
-    labels = labelled_classes(docs, sizes, link, text).withColumnRenamed("node", "class")
-    named = sizes.join(labels, "class", "left").filter((F.col("n") > 1) | F.col("label").isNotNull())
-    named = written(named.withColumn("label", F.coalesce("label", "class")), "set-groups")
-    stay = named.groupBy("label").agg(F.min("first").alias("first"))
-    stay = stay.select(
-        F.col("first.class").alias("_class"), F.col("first.key").alias("_key"), F.lit(True).alias("_stays")
+    with only_kept(docs.sparkSession) as keep:
+        facts = written(set_facts(docs, link, key, text), "shingle-sets")
+        sets = facts.filter(F.col("class").isNotNull())
+        order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("key"), F.col("class").alias("class"))
+        sizes = written(
+            sets.groupBy("class").agg(
+                F.max("n_shingles").alias("n_shingles"),
+                F.min(order).alias("first"),
+                F.count("*").alias("n"),
+                F.min("source").alias("source"),
+            ),
+            "set-classes",
+        )
+        labels = labelled_classes(Texts(docs, text, link, sizes.select("class", "source")), facts, sizes)
+        named = sizes.join(labels.withColumnRenamed("node", "class"), "class", "left")
+        named = named.filter((F.col("n") > 1) | F.col("label").isNotNull())
+        named = written(named.select("class", "first", F.coalesce("label", "class").alias("label")), "set-groups")
+        first = named.groupBy("label").agg(F.min("first").alias("first"))
+        grouped = named.select("class", "label").join(first, "label")
+        stays = (F.col("class") == F.col("first.class")) & F.col("id").eqNullSafe(F.col("first.key"))
+        rows = sets.select("id", "source", "class").join(grouped, "class")
+        # One row per key and text: how many rows there are, and whether one of them stays.
+        verdicts = rows.groupBy("id", "source").agg(
+            F.max(stays.cast("int")).alias("stays"), F.max("class").alias("class")
+        )
+        several = rows.filter(stays).groupBy("class").agg(F.count("*").alias("rows"))
+        verdicts = verdicts.join(several, "class", "left").select("id", "source", "stays", "class", "rows")
+        verdicts = keep(verdicts, "set-verdicts")
+        several = not verdicts.filter("stays = 1 AND rows > 1").isEmpty()
+
+    source, verdict, name = unused(docs.columns, "_source", "_stays", "_class")
+    marks = verdicts.select(
+        F.col("id").alias("_id"),
+        F.col("source").alias("_text"),
+        F.when(F.col("stays") == 0, 0).when(F.col("rows") > 1, 1).otherwise(2).alias(verdict),
+        F.col("class").alias(name),
     )
-    table = wanted_table(named, "class")
-    columns = docs.columns
-
-    def make():
-        def work(texts):
-            sets = [shingle_set(body, link.words) for body in texts]
-            names = [fingerprint(x) if len(x) else None for x in sets]
-            found = [name if name is not None and is_wanted(table, name) else None for name in names]
-            return (pa.array(found, pa.int64()),)
-
-        return work
-
-    added = [StructField("_class", LongType())]
-    marked = map_batches(docs, columns, [text], added, make)
-    # Names that only share a bit with a wanted one belong to rows without copies.
-    grouped = named.select(F.col("class").alias("_class"), F.lit(True).alias("_grouped"))
-    moved = marked.filter(F.col("_class").isNotNull()).join(grouped.join(stay, "_class", "left"), "_class", "left")
-    stays = F.col("_stays") & F.col(key).eqNullSafe(F.col("_key"))
-    moved = moved.filter(F.col("_grouped").isNull() | stays).dropDuplicates(["_class"])
-    return marked.filter(F.col("_class").isNull()).select(*columns).unionByName(moved.select(*columns))
+    asked = docs.withColumn(source, source_of(docs, text))
+    same = asked[key].eqNullSafe(marks["_id"]) & (asked[source] == marks["_text"])
+    marked = asked.join(marks, same, "left")
+    plain = marked.filter(marks[verdict].isNull() | (marks[verdict] == 2)).select(*[asked[c] for c in docs.columns])
+    if not several:
+        return plain
+    one = marked.filter(marks[verdict] == 1).dropDuplicates([name]).select(*[asked[c] for c in docs.columns])
+    return plain.unionByName(one)

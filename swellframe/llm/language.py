@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
 from swellframe.llm.batches import map_batches
@@ -25,9 +25,10 @@ LETTERS = r"\p{L}+"
 UNDETERMINED = "und"
 
 # The field is fitted on at most so many documents per language, those whose ids have the
-# smallest hashes, and so many characters of each.
+# smallest hashes, and of each a number of stretches, evenly over the whole text, that have
+# so many characters together.
 FIT_DOCUMENTS = 400
-FIT_CHARS = 4000
+FIT_CHARS, FIT_STRETCHES = 4000, 4
 LEXICON_WORDS = 300
 # Code-switched training sequences: words in a sequence, and in a stretch of one language.
 SEQUENCES, SEQUENCE_WORDS, STRETCH_WORDS = 3000, 40, 12
@@ -40,6 +41,7 @@ PIECE_WORDS, PIECES, CERTAINTY_STEPS = 3, 50, 1 << 12
 # Words whose weights a task remembers, and rows whose chains run side by side.
 CACHED_WORDS = 200_000
 SIDE_BY_SIDE = 512
+SIDE_BYTES = 2 << 20
 
 
 def feature_names(word: str) -> list[str]:
@@ -194,19 +196,27 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(True))
 
 
+def stretches(text: Column, chars: int, number: int = FIT_STRETCHES) -> Column:
+    """A text of at most ``chars`` characters, or stretches of that many from all over it."""
+    long = F.char_length(text)
+    size = chars // number
+    parts = [F.substring(text, F.floor((long - size) * i / (number - 1)).cast("int") + 1, F.lit(size)) for i in range(number)]
+    return F.when(long <= chars, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS, chars: int = FIT_CHARS) -> Field:
     """Field from a bounded sample of documents that have a language and are not held out.
 
     Rows without text, language or id are not learned from. Without any, no language is known.
+    Repeated rows are rows of the sample, which never holds more than its bound.
     """
     import regex
 
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    ranks = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang", F.row_number().over(ranks).alias("place"))
-    ids = ids.filter(F.col("place") <= documents).select("doc_id", "lang").distinct()
-    chosen = usable.join(F.broadcast(ids), ["doc_id", "lang"])
-    rows = chosen.select("doc_id", "lang", F.substring("text", 1, chars).alias("text")).collect()
+    ranks = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    sampled = usable.select("doc_id", "lang", stretches(F.col("text"), chars).alias("text"))
+    chosen = sampled.withColumn("place", F.row_number().over(ranks)).filter(F.col("place") <= documents)
+    rows = chosen.select("doc_id", "lang", "text").collect()
     letters = regex.compile(LETTERS)
     samples: dict[str, list[list[str]]] = {}
     for row in sorted(rows, key=lambda row: (row["lang"], row["doc_id"], row["text"])):
@@ -293,11 +303,17 @@ def predict(docs: DataFrame, fitted: Field, keep: list[str], text: str = "text")
         return work
 
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
-    return map_batches(docs, keep, [text], added, make, rows=SIDE_BY_SIDE)
+    return map_batches(docs, keep, [text], added, make, rows=SIDE_BY_SIDE, most=SIDE_BYTES)
+
+
+CERTAINTIES = ("lang_pred", "certainty", "hard_certainty")
 
 
-def predict_certainty(docs: DataFrame, fitted: Field, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns, ``lang_pred``, ``certainty`` and ``hard_certainty`` from the text alone.
+def predict_certainty(
+    docs: DataFrame, fitted: Field, keep: list[str], text: str = "text", names=CERTAINTIES
+) -> DataFrame:
+    """``keep`` columns, ``lang_pred``, ``certainty`` and ``hard_certainty`` from the text alone,
+    under other ``names`` where these are taken.
 
     ``certainty`` is the mean over the words of their largest posterior: words in any mix of
     languages are certain, words of none are not. ``hard_certainty`` is the least one of the
@@ -322,16 +338,15 @@ def predict_certainty(docs: DataFrame, fitted: Field, keep: list[str], text: str
 
         return work
 
-    added = [StructField("lang_pred", StringType())]
-    added += [StructField(name, DoubleType()) for name in ("certainty", "hard_certainty")]
-    return map_batches(docs, keep, [text], added, make, rows=SIDE_BY_SIDE)
+    added = [StructField(names[0], StringType()), *(StructField(name, DoubleType()) for name in names[1:])]
+    return map_batches(docs, keep, [text], added, make, rows=SIDE_BY_SIDE, most=SIDE_BYTES)
 
 
-def least_certainty(predicted: DataFrame, loss: float, label: str = "lang") -> float:
+def least_certainty(predicted: DataFrame, loss: float, label: str = "lang", names=CERTAINTIES) -> float:
     """The largest certainty that at most ``loss`` of all labelled rows fall short of, even by
     their ``hard_certainty``; 0 without any. A bounded number of counts is collected."""
-    step = F.floor(F.col("hard_certainty") * CERTAINTY_STEPS).alias("step")
-    known = predicted.filter(F.col(label).isNotNull() & (F.col("lang_pred") != UNDETERMINED))
+    step = F.floor(F.col(names[2]) * CERTAINTY_STEPS).alias("step")
+    known = predicted.filter(F.col(label).isNotNull() & (F.col(names[0]) != UNDETERMINED))
     counts = sorted((r["step"], r["count"]) for r in known.groupBy(step).count().collect())
     allowed = loss * sum(count for _, count in counts)
     for value, count in counts:

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from swellframe.llm.batches import map_batches, slices
+from swellframe.llm.batches import map_batches, slices, unused
 from swellframe.sources.workspace import written
 
 WEIGHTS = (5, 2, 1)
@@ -36,12 +37,19 @@ SEED = 20240131
 
 
 def with_sizes(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and ``size``, the words of the whole text; null and empty have 0."""
+    """``keep`` columns, ``size``, the words of the whole text (null and empty have 0), and
+    ``tie``, a hash of the text that orders rows of one id."""
 
     def make():
-        return lambda texts: (pa.array([len(t.encode().split()) if t else 0 for t in texts], pa.int64()),)
+        def work(texts):
+            sizes = [len(t.encode().split()) if t else 0 for t in texts]
+            ties = [xxhash.xxh3_64_intdigest(t or "") - (1 << 63) for t in texts]
+            return pa.array(sizes, pa.int64()), pa.array(ties, pa.int64())
 
-    return map_batches(df, keep, [text], [StructField("size", LongType())], make)
+        return work
+
+    added = [StructField(name, LongType()) for name in ("size", "tie")]
+    return map_batches(df, keep, [text], added, make)
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, share=TOTAL_SHARE, most=MOST_PASSES) -> np.ndarray:
@@ -168,18 +176,18 @@ def drawn_slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
 def block_spans(sized: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Pieces of documents in the blocks of their source.
 
-    ``sized`` has ``row`` (unique), ``doc_id``, ``source`` and ``size``. Documents of a source
+    ``sized`` has ``row`` (unique), ``doc_id``, ``source``, ``size`` and ``tie``. Documents of a source
     follow each other by a hash of their id, so that the order does not depend on storage.
     """
     ranks = F.broadcast(plan.select(F.col("source").alias("_source"), "rank"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_PARTS))
     rows = sized.filter(F.col("size") > 0).join(ranks, F.col("source").eqNullSafe(F.col("_source")))
-    rows = rows.select("row", "doc_id", "size", "rank", part.alias("part"))
+    rows = rows.select("row", "doc_id", "size", "tie", "rank", part.alias("part"))
     earlier = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("rank", "part").agg(F.sum("size").alias("words")).select(
         "rank", "part", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before")
     )
-    inside = Window.partitionBy("rank", "part").orderBy("doc_id", "size")
+    inside = Window.partitionBy("rank", "part").orderBy("doc_id", "size", "tie")
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("upto", upto).join(starts, ["rank", "part"])
     placed = placed.withColumn("end", F.col("before") + F.col("upto"))
@@ -254,13 +262,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Documents of which nothing is taken are gone; documents without words are never taken.
     """
     columns = docs.columns
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
-    sized = with_sizes(keyed, ["_row", "doc_id", "source"]).withColumnRenamed("_row", "row")
-    sized = written(sized, "mix-sizes")
+    row_name, taken_name = unused(columns, "_row", "_pieces")
+    keyed = written(docs.withColumn(row_name, F.monotonically_increasing_id()), "mix-documents")
+    narrow = keyed.select(F.col(row_name).alias("row"), "doc_id", "source", "text")
+    sized = written(with_sizes(narrow, ["row", "doc_id", "source"]), "mix-sizes")
     pieces = mixture(sized, source_plan(sized)).groupBy("row").agg(
-        F.collect_list(F.struct("pass", "first_word", "n_words")).alias("_pieces")
+        F.collect_list(F.struct("pass", "first_word", "n_words")).alias(taken_name)
     )
-    joined = keyed.join(pieces, keyed["_row"] == pieces["row"]).select(*columns, "_pieces")
+    joined = keyed.join(pieces, keyed[row_name] == pieces["row"])
+    joined = joined.select(*[keyed[c] for c in columns], pieces[taken_name])
     schema = StructType([docs.schema[name] for name in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +278,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             for part in slices(batch, 64):
                 rows = []
                 for row in part.to_pylist():
-                    taken = [(p["pass"], p["first_word"], p["n_words"]) for p in row.pop("_pieces")]
+                    taken = [(p["pass"], p["first_word"], p["n_words"]) for p in row.pop(taken_name)]
                     for _, first, words in runs(taken):
                         text = span_text(row["text"], first, words)
                         rows.append(row | {"text": text} | ({"n_chars": len(text)} if "n_chars" in row else {}))

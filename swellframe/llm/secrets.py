@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from swellframe.llm.batches import unused
 from swellframe.sources.workspace import written
 
 # A part of a credential may be so many code points away from its complement.
@@ -200,10 +201,11 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     ``n_chars``, if there, becomes the new length where a text changed.
     """
     columns = docs.columns
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "secret-documents")
-    found = written(candidate_spans(keyed, key, text, "_row"), "secret-spans")
-    spans = merged_spans(reported(found)).withColumnRenamed("row", "_row").withColumnRenamed("spans", "_spans")
-    body, edges = F.col(text), F.col("_spans")
+    row, found_spans = unused(columns, "_row", "_spans")
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "secret-documents")
+    found = written(candidate_spans(keyed, key, text, row), "secret-spans")
+    spans = merged_spans(reported(found)).select(F.col("row").alias("_at"), F.col("spans").alias(found_spans))
+    body, edges = F.col(text), F.col(found_spans)
     pieces = F.transform(
         edges,
         lambda span, i: F.concat(
@@ -213,7 +215,7 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         ),
     )
     rest = F.substring(body, F.element_at(edges, -1)["end"] + 1, F.char_length(body).cast("long"))
-    joined = keyed.join(spans, "_row", "left")
+    joined = keyed.join(spans, keyed[row] == spans["_at"], "left").select(*[keyed[c] for c in columns], found_spans)
     out = joined.withColumn(text, F.when(edges.isNull(), body).otherwise(F.concat(F.array_join(pieces, ""), rest)))
     if "n_chars" in columns:
         length = F.char_length(text).cast(docs.schema["n_chars"].dataType)

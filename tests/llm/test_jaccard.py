@@ -69,6 +69,7 @@ def family(rng, words, copies, changes):
 @pytest.mark.parametrize(("link", "seed"), [(queries.WORD_TRIPLES, 1), (jaccard.Link(), 2)])
 def test_families(spark, monkeypatch, link, seed):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    monkeypatch.setattr(jaccard, "LIST_SETS", 16)
     monkeypatch.setattr(jaccard, "LEADER_ROWS", 8)
     rng = random.Random(seed)
     texts = []

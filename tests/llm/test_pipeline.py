@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
-import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -21,6 +21,14 @@ from test_secrets import brute as brute_spans
 SF_DIR = "/root/testdata/sf0.001"
 
 
+def junk():
+    """Texts in no language of the corpus: other scripts, and no letters."""
+    rng = random.Random(1)
+    scripts = ["АБВГДЕЖЗИЙКЛМНОПРСТУ", "日本語中文字", "αβγδεζηθικλμνξοπ"]
+    words = lambda script: ["".join(rng.choices(script, k=rng.randrange(3, 8))) for _ in range(80)]
+    return [" ".join(words(script)) for script in scripts for _ in range(3)] + ["", "12 34 ...", None]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     """The given documents, and some with credentials."""
@@ -31,6 +39,7 @@ def folder(spark, tmp_path_factory):
         (10_000 + i, f"password: hunter{i}{i} {t} AKIA{'Q7' * 9} near token {'aB3' * 8} {t[::-1]}", "en", "src0", 0)
         for i, t in enumerate(texts)
     ]
+    planted += [(20_000 + i, text, None, "src0", 0) for i, text in enumerate(junk())]
     docs.unionByName(spark.createDataFrame(planted, docs.schema)).write.parquet(f"{path}/documents.parquet")
     return path
 
@@ -55,13 +64,35 @@ def test_columns(steps):
 
 
 def test_language(steps):
+    """Planted junk goes, labelled documents stay, and the cut decides over all others."""
     before, after = rows(steps[0]), rows(steps[1])
     fitted = language.fit(steps[0])
-    names, scores, _ = language.label_texts(fitted, [r["text"] for r in before])
-    kept = [r for r, n, s in zip(before, names, scores, strict=True) if n != "und" and s >= corpus_pipeline.LEAST_SHARE]
+    least = language.least_certainty(
+        language.predict_certainty(steps[0], fitted, ["lang"]), corpus_pipeline.CERTAINTY_LOSS
+    )
+    assert 0.5 < least < 0.95
+    emissions = language._Emissions(fitted)
+    found = language._labelled(fitted, language._word_lists([r["text"] for r in before]), emissions)
+    kept = [r for r, name, sure in zip(before, found[0], found[2], strict=True) if name != "und" and sure >= least]
     assert Counter(map(str, kept)) == Counter(map(str, after))
-    assert all(regex.search(r"\p{L}", r["text"]) for r in after)
-    assert len(after) >= 0.95 * len(before)
+    assert not any(20_000 <= r["doc_id"] < 30_000 for r in after)
+    labelled = [r for r in before if r["lang"] is not None]
+    assert len([r for r in after if r["lang"] is not None]) >= 0.998 * len(labelled)
+
+
+def test_clashing_names(spark, folder):
+    """Columns named like those that the stages add come back with their values."""
+    names = (
+        "_row row _spans spans _pieces pieces _class class _key key _stays _source _id id _text lang_pred "
+        "certainty hard_certainty _at size tie rank block source_size kind start end"
+    ).split()
+    docs = queries.table(spark, folder, "documents").filter("doc_id % 3 = 0 or doc_id >= 10000")
+    marked = docs.select("*", *[F.concat(F.lit(name), F.col("doc_id")).alias(name) for name in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        marked = written(stage(spark, marked, folder), f"clash-{name}")
+        assert marked.columns == [*docs.columns, *names]
+        kept = marked.collect()
+        assert kept and all(r[name] == f"{name}{r.doc_id}" for r in kept for name in names)
 
 
 def test_near_duplicates(steps):
