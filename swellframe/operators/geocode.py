@@ -60,13 +60,25 @@ def first_seen_cell(answers: DataFrame) -> DataFrame:
     )
 
 
+def merge_first_answers(stored: DataFrame, more: DataFrame) -> DataFrame:
+    """First answers of two tables as one: per cell the earliest by ``first_ts, first_id``, so
+    that a late but earlier answer takes the stored one's place."""
+    answer = F.struct("first_ts", "first_id", F.struct(*PLACE).alias("place"))
+    merged = stored.unionByName(more).groupBy(*CELL).agg(F.min(answer).alias("first"))
+    return merged.select(
+        *CELL, "first.first_ts", "first.first_id", *[F.col(f"first.place.{name}").alias(name) for name in PLACE]
+    )
+
+
 def _place(prefix: str) -> Column:
     return F.struct(*[F.col(f"{prefix}{name}").alias(name) for name in PLACE])
 
 
-def geocode_resolve(requests: DataFrame, overrides: DataFrame) -> DataFrame:
+def geocode_resolve(requests: DataFrame, overrides: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
     """Place of every geocode request and where it came from.
 
+    ``firsts`` are the cells' first answers where they are stored; else those of ``requests``.
+
     Order: override of the cell, then the first answer seen for the cell, then the
     request's own answer. ``requests`` has ``answered`` and the own place fields; the
     request that brings a cell's first answer has source ``upstream``, and one without
@@ -76,7 +88,9 @@ def geocode_resolve(requests: DataFrame, overrides: DataFrame) -> DataFrame:
     named = overrides.select(*CELL, F.col("name").alias("override_name"))
     marked = cells.join(named, CELL, "left")
     # Cells with an override never reach the upstream service.
-    first = first_seen_cell(marked.filter("answered AND override_name IS NULL")).select(
+    if firsts is None:
+        firsts = first_seen_cell(marked.filter("answered AND override_name IS NULL"))
+    first = firsts.select(
         *CELL, "first_ts", "first_id", _place("").alias("first_place")
     )
     seen_before = F.struct("ts", "id") > F.struct("first_ts", "first_id")

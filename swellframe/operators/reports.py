@@ -54,6 +54,42 @@ def windowed_locations(facts: DataFrame, as_of: datetime, days: int) -> DataFram
     )
 
 
+def cell_days(facts: DataFrame) -> DataFrame:
+    """Requests per day and cell, whatever their status, to be added up over the days."""
+    placed = facts.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    return placed.groupBy("dt", "lat", "lng").agg(F.count("*").alias("count"))
+
+
+def reason_days(facts: DataFrame) -> DataFrame:
+    """Failures per day and error type, to be added up over the days."""
+    failed = facts.filter((F.col("status_code") >= 400) & (F.col("error_type") != ""))
+    return failed.groupBy("dt", F.col("error_type").alias("reason")).agg(F.count("*").alias("count"))
+
+
+def _added_up(daily: DataFrame, facts: DataFrame, roll_up, as_of: datetime, days: int, keys: list[str]) -> DataFrame:
+    """Counts of the last days: whole days from ``daily``, the day of the cut-off from its rows."""
+    if days > 0:
+        border = cutoff_date(as_of, days)
+        cut = facts.filter((F.col("dt") == border) & (F.col("ts") >= cutoff(as_of, days)))
+        daily = daily.filter(F.col("dt") > border).unionByName(roll_up(cut))
+    return daily.groupBy(*keys).agg(F.sum("count").alias("count"))
+
+
+def windowed_locations_by_day(daily: DataFrame, facts: DataFrame, as_of: datetime, days: int) -> DataFrame:
+    """:func:`windowed_locations` from stored :func:`cell_days` and day-partitioned facts, of
+    which one day is read."""
+    return _added_up(daily, facts, cell_days, as_of, days, ["lat", "lng"])
+
+
+def failure_reasons_by_day(
+    daily: DataFrame, facts: DataFrame, as_of: datetime, days: int = 0, top: int = TOP_REASONS
+) -> DataFrame:
+    """:func:`failure_reasons` from stored :func:`reason_days` and day-partitioned facts, of
+    which one day is read."""
+    counts = _added_up(daily, facts, reason_days, as_of, days, ["reason"])
+    return counts.orderBy(F.desc("count"), F.asc("reason")).limit(top)
+
+
 def location_report(
     facts: DataFrame, counters: DataFrame, as_of: datetime, days: int
 ) -> DataFrame:

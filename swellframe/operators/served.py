@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from swellframe.operators.facts import cache_requests, request_facts
-from swellframe.operators.geocode import PLACE, geocode_coordinates, geocode_resolve
+from swellframe.operators.geocode import CELL, PLACE, geocode_coordinates, geocode_resolve, with_cell
 from swellframe.operators.payloads import decode
 from swellframe.operators.response_cache import ttl_labels
 from swellframe.operators.upstream import BIGDATACLOUD
@@ -47,19 +47,36 @@ def served_ids(classified: DataFrame, overrides: DataFrame) -> DataFrame:
     return places.select("id").unionByName(hits.select("id"))
 
 
-def service_facts(classified: DataFrame, overrides: DataFrame, use_cache: bool = True) -> DataFrame:
-    """Request facts as the service logs them: served requests are successes.
+def override_ids(classified: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``id`` of the requests answered by an override, which needs no cache."""
+    named = overrides.select(*CELL)
+    return with_cell(geocode_points(classified)).join(named, CELL, "left_semi").select("id")
+
+
+def as_served(classified: DataFrame, served: DataFrame) -> DataFrame:
+    """``classified`` with the requests in ``served`` (``id``) as successes.
 
-    Without ``use_cache`` every admitted request asks upstream, as in ``request_facts``.
+    Facts, error rows, countable requests and all reports follow from the result.
     """
-    rows = request_facts(classified)
-    if not use_cache:
-        return rows
-    served = served_ids(classified, overrides).withColumn("_served", F.lit(True))
+    marked = classified.join(served.select("id", F.lit(True).alias("_served")), "id", "left")
     by_cache = F.col("_served").isNotNull()
-    return rows.join(served, "id", "left").withColumns(
+    return marked.withColumns(
         {
             "status_code": F.when(by_cache, F.lit(200)).otherwise(F.col("status_code")),
             "error_type": F.when(by_cache, F.lit("")).otherwise(F.col("error_type")),
         }
     ).drop("_served")
+
+
+def service_rows(classified: DataFrame, overrides: DataFrame, use_cache: bool = True) -> DataFrame:
+    """Classified requests as the service logs them: served requests are successes.
+
+    Without ``use_cache`` only overrides are answered without asking upstream.
+    """
+    ids = served_ids(classified, overrides) if use_cache else override_ids(classified, overrides)
+    return as_served(classified, ids)
+
+
+def service_facts(classified: DataFrame, overrides: DataFrame, use_cache: bool = True) -> DataFrame:
+    """Request facts of :func:`service_rows`."""
+    return request_facts(service_rows(classified, overrides, use_cache))

@@ -27,12 +27,15 @@ from swellframe.sources.workspace import fresh_folder, written
 from swellframe.streaming import landing
 from swellframe.streaming import requests as request_streams
 from swellframe.streaming import response_cache as cache_stream
+from swellframe.streaming import served as served_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Retention runs at a time that puts its cut-off inside the given month.
 RETENTION_AS_OF = datetime(2024, 2, 10, 12, 30)
 WINDOW_DAYS = 7
+# A report time that cuts a day in two.
+MIDDAY = datetime(2024, 1, 31, 12)
 
 
 # ---- inputs ------------------------------------------------------------------
@@ -367,6 +370,48 @@ def served_backend_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.backend_stats(served_rows(spark, sf_dir), AS_OF)
 
 
+def service_rows(spark: SparkSession, sf_dir: str, use_cache: bool = True) -> DataFrame:
+    rows = written(classified(spark, sf_dir), "classified")
+    return written(served.service_rows(rows, override_names(spark, sf_dir), use_cache), "service-rows")
+
+
+def uncached_request_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of a service without a cache: overrides alone are answered from what is stored."""
+    return facts.request_facts(service_rows(spark, sf_dir, use_cache=False)).drop("dt")
+
+
+def served_lifetime_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.lifetime_locations(facts.countable(service_rows(spark, sf_dir)))
+
+
+def served_windowed_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts.request_facts(service_rows(spark, sf_dir))
+    return reports.windowed_locations(rows, AS_OF, WINDOW_DAYS)
+
+
+def served_failure_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.failure_reasons(facts.request_facts(service_rows(spark, sf_dir)), AS_OF)
+
+
+def served_recent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = facts.error_rows(service_rows(spark, sf_dir))
+    return reports.error_view(reports.recent_errors(errors, AS_OF, WINDOW_DAYS))
+
+
+def first_seen_cell_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First answers kept as a table, into which answers come in any order and some twice."""
+    answers = served.geocode_answers(classified(spark, sf_dir)).filter("answered")
+    answers = written(geocode.with_cell(answers), "geocode-answers")
+    folder, part = fresh_folder(spark, "first-answers"), F.pmod(F.xxhash64("id"), F.lit(3))
+    for number in (2, 0, 2, 1, 0):
+        more = geocode.first_seen_cell(answers.filter(part == number))
+        tables.merge_version(
+            spark, folder, tables.FIRST_ANSWERS, f"answers/step-{number}",
+            lambda stored, more=more: geocode.merge_first_answers(stored, more),
+        )
+    return tables.read_version(spark, folder, tables.FIRST_ANSWERS)
+
+
 # ---- reports, retention, schema ----------------------------------------------
 
 def lifetime_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,6 +452,49 @@ def recent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.error_view(reports.recent_errors(errors, AS_OF, WINDOW_DAYS))
 
 
+def _stored_days(spark: SparkSession, sf_dir: str, roll_up, schema: str) -> tuple[DataFrame, DataFrame]:
+    """A roll-up by day kept with the day table of the facts."""
+    folder, daily = fresh_folder(spark, "requests"), fresh_folder(spark, "daily")
+    tables.append_by_day(request_rows(spark, sf_dir), folder)
+    rows = tables.read_by_day(spark, folder, tables.REQUESTS)
+    tables.merge_version(
+        spark, daily, schema, "facts",
+        lambda counts: tables.merge_sums(counts, roll_up(rows), [c for c in counts.columns if c != "count"], ["count"]),
+    )
+    return tables.read_version(spark, daily, schema), rows
+
+
+def windowed_locations_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily, rows = _stored_days(spark, sf_dir, reports.cell_days, tables.CELL_DAYS)
+    return reports.windowed_locations_by_day(daily, rows, MIDDAY, WINDOW_DAYS)
+
+
+def failure_reasons_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily, rows = _stored_days(spark, sf_dir, reports.reason_days, tables.REASON_DAYS)
+    return reports.failure_reasons_by_day(daily, rows, MIDDAY, WINDOW_DAYS)
+
+
+def recent_errors_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest errors of a day table, read from the newest day back."""
+    folder = fresh_folder(spark, "error-logs")
+    tables.append_by_day(facts.error_rows(classified(spark, sf_dir)), folder)
+    newest = tables.recent_days(spark, folder, tables.ERROR_LOGS, reports.RECENT_ERRORS)
+    return reports.error_view(reports.recent_errors(newest, AS_OF))
+
+
+def evolve_error_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error logs of three ages, the older ones without the upstream answer, the oldest without
+    times; these get the load time."""
+    rows = written(facts.error_rows(classified(spark, sf_dir)).drop("dt"), "errors-of-ages")
+    age = F.col("id") % 3
+    united = tables.evolve_schema(
+        rows.filter(age == 0),
+        rows.filter(age == 1).drop("upstream_response"),
+        rows.filter(age == 2).drop("ts", "upstream_response"),
+    )
+    return tables.backfill_timestamp(united, AS_OF).drop("dt")
+
+
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both logs after retention: what is left, by table and day."""
     both = written(classified(spark, sf_dir), "classified")
@@ -454,10 +542,8 @@ def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _loaded(rows: DataFrame, name: str, load) -> str:
     """Run a stream over all given input and load it; the folder of its table."""
     spark = rows.sparkSession
-    folder = fresh_folder(spark, name)
-    landing.load_stream(
-        rows, f"{folder}-landing", f"{folder}-state", lambda landed, source: load(landed, folder, source)
-    )
+    folder, landed_in, state = (fresh_folder(spark, f"{name}{part}") for part in ("", "-landing", "-state"))
+    landing.load_stream(rows, landed_in, state, lambda landed, source: load(landed, folder, source))
     return folder
 
 
@@ -494,14 +580,15 @@ def stream_ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An access log of several files that arrives in two parts, each in micro-batches."""
     log = written(mapping.access_log(spark, sf_dir), "arriving-log")
     half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    source, labels = fresh_folder(spark, "log-files"), fresh_folder(spark, "stream-labels")
+    names = ("log-files", "stream-labels", "stream-labels-landing", "stream-labels-state")
+    source, labels, landed_in, state = (fresh_folder(spark, name) for name in names)
     for part in (F.col("ts") < half, F.col("ts") >= half):
         log.filter(part).repartition(2).write.mode("append").parquet(source)
         files = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
         landing.load_stream(
             cache_stream.cache_request_stream(files, ALLOWED_APPS),
-            f"{labels}-landing",
-            f"{labels}-state",
+            landed_in,
+            state,
             lambda landed, name: cache_stream.label_arrivals(landed, labels),
         )
     return tables.read_by_day(spark, labels, cache_stream.LABELS).select(
@@ -517,6 +604,48 @@ def stream_backend_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.groupBy("backend").agg(F.sum("success").alias("success"), F.sum("failed").alias("failed"))
 
 
+def _served_tables(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of all tables after a log has arrived in two parts, each in micro-batches."""
+    log = written(mapping.access_log(spark, sf_dir), "arriving-log")
+    overrides = written(override_names(spark, sf_dir), "overrides")
+    half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    names = ("log-files", "served-tables", "served-landing", "served-state")
+    source, folder, landed_in, state = (fresh_folder(spark, name) for name in names)
+    for part in (F.col("ts") < half, F.col("ts") >= half):
+        log.filter(part).repartition(2).write.mode("append").parquet(source)
+        files = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        landing.load_stream(
+            request_streams.classified_stream(files, ALLOWED_APPS),
+            landed_in,
+            state,
+            lambda landed, step: served_stream.load_served(landed, overrides, folder, step),
+        )
+    return folder
+
+
+def stream_served_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _served_tables(spark, sf_dir)
+    return tables.read_by_day(spark, f"{folder}/{served_stream.REQUESTS}", tables.REQUESTS).drop("dt")
+
+
+def stream_served_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _served_tables(spark, sf_dir)
+    return tables.read_by_day(spark, f"{folder}/{served_stream.ERRORS}", tables.ERROR_LOGS).drop("dt")
+
+
+def stream_served_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _served_tables(spark, sf_dir)
+    return tables.read_version(spark, f"{folder}/{served_stream.LOCATIONS}", tables.LOCATIONS)
+
+
+def stream_served_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failure reasons from the roll-up that the stream keeps."""
+    folder = _served_tables(spark, sf_dir)
+    daily = tables.read_version(spark, f"{folder}/{served_stream.REASONS}", tables.REASON_DAYS)
+    rows = tables.read_by_day(spark, f"{folder}/{served_stream.REQUESTS}", tables.REQUESTS)
+    return reports.failure_reasons_by_day(daily, rows, MIDDAY, WINDOW_DAYS)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -580,6 +709,20 @@ QUERIES: dict[str, Query] = {
         stream_locations,
         stream_ttl_dedup,
         stream_backend_stats,
+        uncached_request_fact,
+        served_lifetime_locations,
+        served_windowed_locations,
+        served_failure_reasons,
+        served_recent_errors,
+        first_seen_cell_stored,
+        windowed_locations_by_day,
+        failure_reasons_by_day,
+        recent_errors_by_day,
+        evolve_error_logs,
+        stream_served_requests,
+        stream_served_errors,
+        stream_served_locations,
+        stream_served_reasons,
     )
 } | {
     "dense_weather": _dense("weather"),

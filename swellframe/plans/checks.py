@@ -507,3 +507,47 @@ CHECKS: dict[str, str] = {
     "stream_backend_stats": _on_facts(f"{STATS_SQL} GROUP BY backend"),
 }
 CHECKS["authorize_app_by_table"] = CHECKS["authorize_app"]
+
+SERVED_ERRORS = "(SELECT * FROM errors WHERE id NOT IN (SELECT id FROM served))"
+SERVED_CELLS = f"""SELECT lat, lng, count(*) AS count FROM (
+  SELECT o.id, {_cell('raw_lat')} AS lat, {_cell('raw_lng')} AS lng
+  FROM outcomes o LEFT JOIN served s ON o.id = s.id
+  WHERE (o.status_code < 400 OR s.id IS NOT NULL) AND raw_lat <> 0 AND raw_lng <> 0
+    AND raw_lat BETWEEN -180 AND 180 AND raw_lng BETWEEN -180 AND 180)
+GROUP BY lat, lng"""
+SHOWN_ERRORS = """SELECT * REPLACE (COALESCE(NULLIF(request_body, ''), 'N/A') AS request_body,
+    COALESCE(NULLIF(upstream_response, ''), 'N/A') AS upstream_response)
+  FROM {errors} {where} ORDER BY ts DESC, id DESC LIMIT 50"""
+MIDDAY_WEEK = "ts >= TIMESTAMP '2024-01-24 12:00:00'"
+WINDOWED_SQL = """SELECT lat, lng, count(*) AS count FROM {facts} WHERE {week}
+  AND lat IS NOT NULL AND lng IS NOT NULL GROUP BY lat, lng"""
+
+
+def _on_served(query: str) -> str:
+    return f"WITH {SERVED_SQL} {query}"
+
+
+CHECKS |= {
+    "uncached_request_fact": f"""WITH {GEO_SQL}, {SOURCED_SQL}
+      SELECT r.* REPLACE (CASE WHEN s.id IS NOT NULL THEN 200 ELSE r.status_code END AS status_code,
+        CASE WHEN s.id IS NOT NULL THEN '' ELSE r.error_type END AS error_type)
+      FROM requests r LEFT JOIN (SELECT id FROM sourced WHERE source = 'override') s ON r.id = s.id""",
+    "served_lifetime_locations": _on_served(SERVED_CELLS),
+    "served_windowed_locations": _on_served(WINDOWED_SQL.format(facts="served_requests", week=WEEK)),
+    "served_failure_reasons": _on_served(REASONS_SQL.format(more="").replace("FROM requests", "FROM served_requests")),
+    "served_recent_errors": _on_served(SHOWN_ERRORS.format(errors=SERVED_ERRORS, where=f"WHERE {WEEK}")),
+    "first_seen_cell_stored": CHECKS["first_seen_cell"],
+    "windowed_locations_by_day": _on_facts(WINDOWED_SQL.format(facts="requests", week=MIDDAY_WEEK)),
+    "failure_reasons_by_day": _on_facts(REASONS_SQL.format(more=f" AND {MIDDAY_WEEK}")),
+    "recent_errors_by_day": _on_facts(SHOWN_ERRORS.format(errors="errors", where="")),
+    "evolve_error_logs": _on_facts(
+        """SELECT * REPLACE (CASE WHEN id % 3 = 2 THEN TIMESTAMP '2024-01-31 00:00:00' ELSE ts END AS ts,
+          CASE WHEN id % 3 = 0 THEN upstream_response END AS upstream_response) FROM errors"""
+    ),
+    "stream_served_requests": _on_served("SELECT * FROM served_requests"),
+    "stream_served_errors": _on_served(f"SELECT * FROM {SERVED_ERRORS}"),
+    "stream_served_locations": _on_served(SERVED_CELLS),
+    "stream_served_reasons": _on_served(
+        REASONS_SQL.format(more=f" AND {MIDDAY_WEEK}").replace("FROM requests", "FROM served_requests")
+    ),
+}

@@ -21,6 +21,14 @@ ERROR_LOGS = (
 )
 LOCATIONS = "lat DOUBLE, lng DOUBLE, count BIGINT"
 BACKEND_DAYS = "dt DATE, backend STRING, success BIGINT, failed BIGINT"
+CELL_DAYS = "dt DATE, lat DOUBLE, lng DOUBLE, count BIGINT"
+REASON_DAYS = "dt DATE, reason STRING, count BIGINT"
+FIRST_ANSWERS = (
+    "lat_cell DOUBLE, lng_cell DOUBLE, first_ts TIMESTAMP_NTZ, first_id BIGINT, "
+    "locality STRING, city STRING, countryName STRING, countryCode STRING"
+)
+# Steps that a version holds, as ranges of numbers per landing.
+LEDGER = "landing STRING, first BIGINT, last BIGINT"
 
 
 def append_by_day(rows: DataFrame, path: str) -> None:
@@ -46,8 +54,8 @@ def missing_rows(rows: DataFrame, path: str, schema: str) -> DataFrame:
     spark = rows.sparkSession
     if not exists(spark, path):
         return rows
-    span = rows.agg(F.min("dt").alias("first"), F.max("dt").alias("last")).first()
-    table = read_by_day(spark, path, schema).filter(F.col("dt").between(span["first"], span["last"]))
+    days = [row["dt"] for row in rows.select("dt").distinct().collect()]
+    table = read_by_day(spark, path, schema).filter(F.col("dt").isin(days))
     return rows.join(table.select("id", "dt"), ["id", "dt"], "left_anti")
 
 
@@ -62,22 +70,53 @@ def merge_sums(counts: DataFrame, more: DataFrame, keys: list[str], sums: list[s
     return counts.unionByName(more).groupBy(*keys).agg(*[F.sum(name).alias(name) for name in sums])
 
 
-def _versions(spark: SparkSession, path: str) -> list[tuple[int, str, str]]:
-    """Finished versions of a table as (number, source, folder), the newest last."""
+Steps = list[tuple[str, int, int]]
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Finished versions of a table as (number, folder), the newest last."""
     found = []
     for folder, name in list_folders(spark, path):
-        kind, number, source = [*name.split("-", 2), "", ""][:3]
-        if kind == "version" and exists(spark, f"{folder}/_SUCCESS"):
-            found.append((int(number), source, folder))
+        if name.startswith("version-") and exists(spark, f"{folder}/applied/_SUCCESS"):
+            found.append((int(name.removeprefix("version-")), folder))
     return sorted(found)
 
 
+def _applied(spark: SparkSession, version: tuple[int, str] | None) -> Steps:
+    """The steps that a version holds. Numbers of a landing follow each other, so they are few
+    ranges however many steps there were."""
+    if version is None:
+        return []
+    return [tuple(row) for row in spark.read.schema(LEDGER).parquet(f"{version[1]}/applied").collect()]
+
+
+def _step(source: str) -> tuple[str, int]:
+    """Landing and number of a step named ``<landing>/step-<number>``; other names are their own."""
+    landing, _, number = source.rpartition("/step-")
+    return (landing, int(number)) if landing and number.isdigit() else (source, 0)
+
+
+def _holds(steps: Steps, landing: str, number: int) -> bool:
+    return any(name == landing and first <= number <= last for name, first, last in steps)
+
+
+def with_step(steps: Steps, landing: str, number: int) -> Steps:
+    """The ranges with one more number, neighbouring ones joined."""
+    out: Steps = []
+    for name, first, last in sorted([*steps, (landing, number, number)]):
+        if out and out[-1][0] == name and first <= out[-1][2] + 1:
+            out[-1] = (name, out[-1][1], max(last, out[-1][2]))
+        else:
+            out.append((name, first, last))
+    return out
+
+
 def read_version(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The newest version of a table written by :func:`merge_version`; empty without one."""
     versions = _versions(spark, path)
     if not versions:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(versions[-1][2])
+    return spark.read.schema(schema).parquet(f"{versions[-1][1]}/rows")
 
 
 def merge_version(
@@ -85,17 +124,29 @@ def merge_version(
 ) -> None:
     """Write ``merge`` of the table as its next version.
 
-    ``source`` names what is merged. Merged again, it starts from the version before it, so
-    that a step which is repeated counts nothing twice. Older versions are deleted.
+    ``source`` names the step that is merged. Every version keeps the set of the steps that it
+    holds, so whatever the order and however often, each counts once: the step of the newest
+    version is merged anew into the version before it, an older one is left out. The newest
+    version and its base stay, others are deleted.
     """
     versions = _versions(spark, path)
-    bases = [version for version in versions if version[1] != source]
-    base = spark.read.schema(schema).parquet(bases[-1][2]) if bases else spark.createDataFrame([], schema)
-    number = versions[-1][0] + 1 if versions else 1
-    merge(base).write.parquet(f"{path}/version-{number:09d}-{source}")
+    newest = versions[-1] if versions else None
+    base, steps = newest, _applied(spark, newest)
+    landing, number = _step(source)
+    if _holds(steps, landing, number):
+        base = versions[-2] if len(versions) > 1 else None
+        steps = _applied(spark, base)
+        if _holds(steps, landing, number) or (base is None and newest[0] > 1):
+            return
+    rows = spark.read.schema(schema).parquet(f"{base[1]}/rows") if base else spark.createDataFrame([], schema)
+    folder = f"{path}/version-{newest[0] + 1 if newest else 1:09d}"
+    delete_folder(spark, folder)  # what an attempt that was stopped has left
+    merge(rows).write.parquet(f"{folder}/rows")
+    ledger = spark.createDataFrame(with_step(steps, landing, number), LEDGER)
+    ledger.coalesce(1).write.parquet(f"{folder}/applied")
     for version in versions:
-        if not bases or version != bases[-1]:
-            delete_folder(spark, version[2])
+        if version != base:
+            delete_folder(spark, version[1])
 
 
 def merge_locations(counters: DataFrame, batch: DataFrame) -> DataFrame:
@@ -112,6 +163,19 @@ def merge_locations(counters: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def recent_days(spark: SparkSession, path: str, schema: str, rows: int, first_day: str | None = None) -> DataFrame:
+    """The newest days of a day table that have ``rows`` rows together, or all from ``first_day``
+    (as text) on. Days are counted from the newest back; older ones are not read."""
+    days, found = [], 0
+    for folder, day in reversed(_day_folders(spark, path)):
+        if found >= rows or (first_day and day < first_day):
+            break
+        found += spark.read.parquet(folder).limit(rows - found).count()
+        days.append(day)
+    table = read_by_day(spark, path, schema)
+    return table.filter(F.col("dt").isin([F.lit(day).cast("date") for day in days]) if days else F.lit(False))
+
+
 def backfill_timestamp(rows: DataFrame, as_of: datetime) -> DataFrame:
     """Rows with the load time where ``ts`` is null."""
     return rows.withColumn("ts", F.coalesce("ts", cutoff(as_of, 0))).withColumn(
@@ -169,6 +233,14 @@ def list_folders(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return sorted((str(folder), folder.getName()) for folder in folders)
 
 
+def list_files(spark: SparkSession, path: str) -> set[str]:
+    """Names of the files in a folder, none if it is missing."""
+    files, hadoop = _files(spark, path)
+    if not files.exists(hadoop):
+        return set()
+    return {status.getPath().getName() for status in files.listStatus(hadoop) if status.isFile()}
+
+
 def _files(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
