@@ -61,27 +61,27 @@ def test_whole_body_is_rejected_for_one_wrong_value(spark):
 def test_dense_weather(spark):
     body = json.dumps(
         {"hours": [
-            {"time": "2024-03-05T10:00:00+00:00", "swellHeight": {"noaa": 1.45},
-             "swellDirection": {"noaa": 185.2}, "windSpeed": {"noaa": 3}},
+            {"time": "2024-03-05T10:00:00+00:00", "swellHeight": {"noaa": 2.35},
+             "swellDirection": {"noaa": 271.6}, "windSpeed": {"noaa": 3}},
             {"time": "never", "swellHeight": None},
         ]}
     )
     rows = payloads.dense_rows(bodies(spark, body, params="swellHeight, swellPeriod,x"), "weather", ["id"])
     got = [(r.pos, r.ts, r.h1, r.p1, r.d1, r.ws) for r in rows.orderBy("pos").collect()]
-    assert got == [(0, TEN, 1.45, 0.0, None, None), (1, ZERO_TIME_EPOCH, 0.0, 0.0, None, None)]
+    assert got == [(0, TEN, 2.35, 0.0, None, None), (1, ZERO_TIME_EPOCH, 0.0, 0.0, None, None)]
 
 
 def test_packed_documents(spark):
     rows = bodies(
         spark,
-        '{"data":[{"height":0.45,"time":"2024-03-05T10:00:00Z","type":""},'
-        '{"height":1.2,"time":"2024-03-05T16:00:00Z","type":"high"}]}',
+        '{"data":[{"height":0.83,"time":"2024-03-05T10:00:00Z","type":""},'
+        '{"height":1.7,"time":"2024-03-05T16:00:00Z","type":"high"}]}',
         "{}",
         "[",
     )
     packed = payloads.pack_dense(rows, "tide_extremes", ["id"]).orderBy("id").collect()
     assert [(r.id, json.loads(r.document)) for r in packed] == [
-        (0, {"data": [{"ts": TEN, "h": 0.45}, {"ts": TEN + 21600, "h": 1.2, "t": "high"}]}),
+        (0, {"data": [{"ts": TEN, "h": 0.83}, {"ts": TEN + 21600, "h": 1.7, "t": "high"}]}),
         (1, {"data": []}),
     ]
 
@@ -132,11 +132,11 @@ def test_timeline_keeps_one_point_an_hour(spark, points):
 def test_geocode_fields(spark):
     rows = bodies(
         spark,
-        '{"locality":"Waikiki","city":"","countryName":"United States","countryCode":"US","x":1}',
+        '{"locality":"Old Quay","city":"","countryName":"Northland","countryCode":"NL","x":1}',
         '{"city":5}',
     )
     got = [tuple(r) for r in payloads.geocode_rows(rows, ["id"]).collect()]
-    assert got == [(0, "Waikiki", None, "United States", "US")]
+    assert got == [(0, "Old Quay", None, "Northland", "NL")]
     assert payloads.corrupt_rows(rows, "geocode", ["id"]).first().upstream_response == '{"city":5}'
 
 
