@@ -35,6 +35,11 @@ FOLDED_RUN = 8192
 # Slots per lifetime in which a long run's times are matched with their successors.
 SLOTS_PER_LIFETIME = 3600
 
+# Slots of a run are scanned in blocks of 2 ** BLOCK_BITS, and blocks in blocks of blocks.
+# Three levels of them hold more slots than there are seconds in 2,000 years.
+BLOCK_BITS = 12
+BLOCK_LEVELS = 3
+
 RUN = ["cache_key", "run"]
 
 
@@ -174,8 +179,9 @@ def _successors(in_run: DataFrame, lifetime: int) -> DataFrame:
 
     That is the first success at least one lifetime later. Times and the points to look
     up are matched within short slots of a run; where a slot has no later success, the
-    first one of the next slot that has any is taken. Slots hold at most two rows per
-    microsecond, and the slot table a row per slot, however many requests there are.
+    first one of the next slot that has any is taken (:func:`_first_in_later_slots`). Slots
+    hold at most two rows per microsecond, and the slot table a row per slot, however many
+    requests there are.
     """
     slot_length = max(1, lifetime // SLOTS_PER_LIFETIME)
     success = F.struct(
@@ -195,15 +201,8 @@ def _successors(in_run: DataFrame, lifetime: int) -> DataFrame:
         .orderBy(F.desc("point"), F.col("asks").isNotNull())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    above = (
-        Window.partitionBy(*RUN)
-        .orderBy(F.desc("slot"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    slots = (
-        points.groupBy(*RUN, "slot")
-        .agg(F.min("found").alias("first_found"))
-        .select(*RUN, "slot", F.last("first_found", ignorenulls=True).over(above).alias("later"))
+    slots = _first_in_later_slots(
+        points.groupBy(*RUN, "slot").agg(F.min("found").alias("first_found"))
     )
     asked = points.withColumn("in_slot", F.last("found", ignorenulls=True).over(seen)).filter(
         F.col("asks").isNotNull()
@@ -213,6 +212,45 @@ def _successors(in_run: DataFrame, lifetime: int) -> DataFrame:
     )
 
 
+def _first_in_later_slots(slots: DataFrame) -> DataFrame:
+    """``slots`` with ``later``, the first success of the next slot of the run that has any.
+
+    A scan by blocks: a block's summary is its first success, and so is that of a block of
+    blocks. From the highest level down, a row takes the next success of its own block, or
+    else what its block has taken on the level above. No task orders more than one block of
+    a run, whatever time the run covers.
+    """
+    levels = [slots.withColumnRenamed("slot", "place")]
+    for _ in range(BLOCK_LEVELS - 1):
+        levels.append(
+            levels[-1]
+            .groupBy(*RUN, F.shiftright("place", BLOCK_BITS).alias("place"))
+            .agg(F.min("first_found").alias("first_found"))
+        )
+    carried = None
+    for level in reversed(levels):
+        block = F.shiftright("place", BLOCK_BITS)
+        higher = (
+            Window.partitionBy(*RUN, "block")
+            .orderBy(F.desc("place"))
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        in_block = F.last("first_found", ignorenulls=True).over(higher)
+        scanned = level.withColumn("block", block).withColumn("later", in_block)
+        if carried is None:
+            # Blocks of the highest level follow each other as rows do; a run has one or two.
+            over_blocks = Window.partitionBy(*RUN).orderBy(F.desc("block"))
+            ends = scanned.groupBy(*RUN, "block").agg(F.min("first_found").alias("end"))
+            before = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
+            carry = ends.withColumn("carry", F.last("end", ignorenulls=True).over(before)).drop("end")
+        else:
+            carry = carried.select(*RUN, F.col("place").alias("block"), F.col("later").alias("carry"))
+        carried = scanned.join(carry, [*RUN, "block"]).select(
+            *RUN, "place", F.coalesce("later", "carry").alias("later")
+        )
+    return carried.withColumnRenamed("place", "slot")
+
+
 def _long_run_writes(in_run: DataFrame, last_bucket: int, lifetime: int) -> DataFrame:
     """Writes of long runs, found with joins whose number grows with log(buckets).
 

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from swellframe.operators import response_cache
 from swellframe.operators.response_cache import ttl_labels, upstream_calls
 from swellframe.plans import catalog
 from swellframe.streaming.landing import load_stream
@@ -61,6 +62,38 @@ def test_labels_equal_the_loop(spark, name, folded_run):
     assert labels_of(got) == brute_force(rows, timedelta(seconds=seconds))
 
 
+@pytest.mark.parametrize("bits", [1, 3])
+def test_small_blocks_change_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(response_cache, "BLOCK_BITS", bits)
+    for name in ("one hot key", "few successes"):
+        rows, seconds = CASES[name]
+        got = ttl_labels(spark.createDataFrame(rows, SCHEMA), seconds, folded_run=0)
+        assert labels_of(got) == brute_force(rows, timedelta(seconds=seconds))
+
+
+def test_next_success_over_a_year_of_one_key(spark, monkeypatch):
+    """Slots over more than a year, most of them without a success, against a loop."""
+    pick = random.Random(11)
+    monkeypatch.setattr(response_cache, "BLOCK_BITS", 8)
+    slots = {pick.randrange(-20_000_000, 20_000_000): pick.random() < 0.02 for _ in range(3000)}
+    rows = [("k", 5, slot, slot * 10 + 3 if found else None) for slot, found in slots.items()]
+    table = spark.createDataFrame(rows, "cache_key STRING, run BIGINT, slot BIGINT, first_found BIGINT")
+    got = {row.slot: row.later for row in response_cache._first_in_later_slots(table).collect()}
+    found = sorted(slot for slot, has in slots.items() if has)
+    later = lambda slot: next((f * 10 + 3 for f in found if f > slot), None)
+    assert got == {slot: later(slot) for slot in slots}
+
+
+def test_no_window_holds_a_run_of_slots(spark):
+    """Windows over rows are by slot or by block; only blocks of the highest level are by run."""
+    rows = spark.createDataFrame([], "cache_key STRING, run BIGINT, slot BIGINT, first_found BIGINT")
+    plan = response_cache._first_in_later_slots(rows)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    by_block = [line for line in windows if "block#" in line.rsplit("], [", 2)[1]]
+    assert len(windows) == response_cache.BLOCK_LEVELS + 1
+    assert len(by_block) == response_cache.BLOCK_LEVELS
+
+
 def test_gap_of_exactly_one_lifetime_misses(spark):
     rows = [(i, START + timedelta(seconds=s), "k", True) for i, s in enumerate((0, 3599, 3600, 7199, 7200))]
     expected = {0: "MISS", 1: "HIT", 2: "MISS", 3: "HIT", 4: "MISS"}
