@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -84,6 +84,28 @@ def src_custom_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return custom_locations.read_custom_locations(spark, folder)
 
 
+def src_custom_locations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files of supplier places, of which the ragged ones load nothing.
+
+    Files differ in their number of fields: three, four, two, or not the same in all rows.
+    """
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    key, file = F.col("s_suppkey"), F.col("s_suppkey") % 6
+    place = F.concat_ws(", ", key % 40 * 125 - 900, key % 3 - 1)
+    named = F.concat(place, F.lit(',"'), F.col("s_name"), F.lit(', ""sea"" "'))
+    line = (
+        F.when((file == 1) & (key % 5 == 0), place)
+        .when((file == 2) & (key % 5 == 0), F.concat(named, F.lit(",more")))
+        .when(file == 3, place)
+        .when(file == 4, F.concat(named, F.lit(",more")))
+        .otherwise(named)
+    )
+    folder = fresh_folder(spark, "custom-locations")
+    rows = suppliers.select(key, file.alias("file"), line.alias("line")).repartition("file")
+    rows.sortWithinPartitions("file", "s_suppkey").select("line", "file").write.partitionBy("file").text(folder)
+    return custom_locations.read_whole_files(spark, folder)
+
+
 def src_access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "access-log")
     mapping.access_log(spark, sf_dir).write.parquet(folder)
@@ -307,6 +329,11 @@ def pack_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pack_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weather documents of up to a week of hours, with the fields that were asked for."""
+    return payloads.pack_dense(mapping.long_weather(spark, sf_dir), "weather", ["id"])
+
+
 def route_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undecodable bodies of every kind of payload."""
     bodies = written(mapping.payloads(spark, sf_dir, *payloads.PAYLOADS), "bodies")
@@ -511,6 +538,23 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left[0].unionByName(left[1])
 
 
+def retention_by_cut_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both logs after their cut-off has moved in two steps; no day is written again."""
+    both = written(classified(spark, sf_dir), "classified")
+    kept = []
+    for name, rows, schema in (
+        ("requests", facts.request_facts(both), tables.REQUESTS),
+        ("error_logs", facts.error_rows(both), tables.ERROR_LOGS),
+    ):
+        folder = fresh_folder(spark, name)
+        tables.append_by_day(rows, folder)
+        for as_of in (RETENTION_AS_OF - timedelta(days=5), RETENTION_AS_OF):
+            tables.move_cut_off(spark, folder, schema, as_of)
+        left = tables.read_kept(spark, folder, schema)
+        kept.append(left.select(F.lit(name).alias("log"), "id", "ts", "status_code"))
+    return kept[0].unionByName(kept[1])
+
+
 def backfill_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = request_rows(spark, sf_dir).withColumn(
         "ts", F.when(F.col("id") % 7 != 0, F.col("ts"))
@@ -723,6 +767,9 @@ QUERIES: dict[str, Query] = {
         stream_served_errors,
         stream_served_locations,
         stream_served_reasons,
+        src_custom_locations_whole,
+        pack_weather,
+        retention_by_cut_off,
     )
 } | {
     "dense_weather": _dense("weather"),

@@ -508,6 +508,28 @@ CHECKS: dict[str, str] = {
 }
 CHECKS["authorize_app_by_table"] = CHECKS["authorize_app"]
 
+def _number(x: str) -> str:
+    """Text of a number in a document: whole ones without a fraction."""
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
+WEATHER_SQL = f"""WITH {ACCESS_LOG_SQL},
+answers AS (SELECT * FROM access_log WHERE k % 25 NOT IN (22, 24)),
+hours AS (
+  SELECT *, CASE WHEN k = 23 THEN {ZERO_TIME} ELSE epoch_s + i * 3600 END AS hour_s FROM (
+    SELECT id, k, value, epoch_s,
+      unnest(range(0, CASE WHEN k = 33 THEN 168 WHEN k % 10 = 7 THEN 24 ELSE k % 4 END)) AS i
+    FROM answers WHERE k <> 40)),
+points AS (
+  SELECT id, i, CASE WHEN k % 2 = 0 THEN '{{"ts":' || hour_s || ',"h1":' || {_number('(value + i)')} || ',"p1":'
+      || {_number('(CASE WHEN (k + i) % 5 <> 0 THEN value / 4 ELSE 0 END)')} || ',"ws":' || {_number('value')} || '}}'
+    ELSE '{{"ts":' || hour_s || ',"d1":' || {_number('(value * 2)')} || ',"h2":' || {_number('(value - i)')}
+      || ',"d2":' || CASE WHEN (k + i) % 3 <> 0 THEN i ELSE 0 END || ',"p2":' || i || '.5,"wd":' || i || '}}' END AS point
+  FROM hours),
+packed AS (SELECT id, string_agg(point, ',' ORDER BY i) AS points FROM points GROUP BY id)
+SELECT a.id, '{{"data":[' || COALESCE(p.points, '') || ']}}' AS document
+FROM answers a LEFT JOIN packed p ON a.id = p.id"""
+
 SERVED_ERRORS = "(SELECT * FROM errors WHERE id NOT IN (SELECT id FROM served))"
 SERVED_CELLS = f"""SELECT lat, lng, count(*) AS count FROM (
   SELECT o.id, {_cell('raw_lat')} AS lat, {_cell('raw_lng')} AS lng
@@ -550,4 +572,19 @@ CHECKS |= {
     "stream_served_reasons": _on_served(
         REASONS_SQL.format(more=f" AND {MIDDAY_WEEK}").replace("FROM requests", "FROM served_requests")
     ),
+    "src_custom_locations_whole": """
+      WITH lines AS (
+        SELECT *, s_suppkey % 6 AS file,
+          CASE s_suppkey % 6 WHEN 3 THEN 2 WHEN 4 THEN 4
+            WHEN 1 THEN CASE WHEN s_suppkey % 5 = 0 THEN 2 ELSE 3 END
+            WHEN 2 THEN CASE WHEN s_suppkey % 5 = 0 THEN 4 ELSE 3 END ELSE 3 END AS fields
+        FROM supplier)
+      SELECT CAST(s_suppkey % 40 * 125 - 900 AS DOUBLE) AS lat_cell,
+        CAST(s_suppkey % 3 - 1 AS DOUBLE) AS lng_cell,
+        arg_max(s_name || ', "sea"', file * 1000000000000 + s_suppkey) AS name
+      FROM lines WHERE fields >= 3
+        AND file IN (SELECT file FROM lines GROUP BY file HAVING min(fields) = max(fields))
+      GROUP BY 1, 2""",
+    "pack_weather": WEATHER_SQL,
+    "retention_by_cut_off": CHECKS["retention"],
 }

@@ -8,6 +8,7 @@ over and over, so that their cache keys repeat; ``kt`` is ``k`` for what goes in
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -184,10 +185,19 @@ def _up_to(count: Column) -> Column:
     )
 
 
-def _body(kind: str) -> Column:
+def _few(k: Column) -> Column:
+    return k % 4
+
+
+def _day_or_week(k: Column) -> Column:
+    """Hours of an answer: a week for some, a day for others, a few for the rest."""
+    return F.when(k == 33, 168).when(k % 10 == 7, 24).otherwise(_few(k))
+
+
+def _body(kind: str, steps_of: Callable[[Column], Column] = _few) -> Column:
     """The body of one kind of payload, made from the parts of an event."""
     k, value, epoch = F.col("k"), F.col("value"), F.col("epoch_s")
-    steps = _up_to(k % 4)
+    steps = _up_to(steps_of(k))
     if kind == "weather":
         hour = lambda i: F.struct(
             _time_text(k, epoch + i * 3600).alias("time"),
@@ -252,10 +262,19 @@ def _body(kind: str) -> Column:
 
 def payloads(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     """A body of each of ``kinds`` per event: ``id, k, params, kind, body``."""
+    return _payloads(spark, sf_dir, {kind: _body(kind) for kind in kinds})
+
+
+def long_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weather bodies as of :func:`payloads`, of up to a week of hours."""
+    return _payloads(spark, sf_dir, {"weather": _body("weather", _day_or_week)})
+
+
+def _payloads(spark: SparkSession, sf_dir: str, made: dict[str, Column]) -> DataFrame:
     k = F.col("k")
     rows = mapped(events(spark, sf_dir)).select("id", "k", "u", "value", "epoch_s")
-    bodies = [F.struct(F.lit(kind).alias("kind"), _body(kind).alias("body")) for kind in kinds]
-    each = bodies[0].alias("each") if len(kinds) == 1 else F.explode(F.array(*bodies)).alias("each")
+    bodies = [F.struct(F.lit(kind).alias("kind"), body.alias("body")) for kind, body in made.items()]
+    each = bodies[0].alias("each") if len(bodies) == 1 else F.explode(F.array(*bodies)).alias("each")
     return rows.select("id", "k", each).select(
         "id",
         "k",

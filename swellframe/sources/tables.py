@@ -27,6 +27,7 @@ FIRST_ANSWERS = (
     "lat_cell DOUBLE, lng_cell DOUBLE, first_ts TIMESTAMP_NTZ, first_id BIGINT, "
     "locality STRING, city STRING, countryName STRING, countryCode STRING"
 )
+CUT_OFFS = "kept_from TIMESTAMP_NTZ"
 # Steps that a version holds, as ranges of numbers per landing.
 LEDGER = "landing STRING, first BIGINT, last BIGINT"
 
@@ -219,6 +220,58 @@ def drop_expired(
             delete_folder(spark, folder)
 
 
+def _cut_offs(spark: SparkSession, path: str) -> list[tuple[datetime, str]]:
+    """Finished cut-offs of a day table as (time, folder), the newest last."""
+    found = []
+    for folder, name in list_folders(spark, f"{path}/_kept"):
+        if name.startswith("from-") and exists(spark, f"{folder}/_SUCCESS"):
+            found.append((datetime.strptime(name.removeprefix("from-"), "%Y%m%dT%H%M%S"), folder))
+    return sorted(found)
+
+
+def read_kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a day table from the cut-off of :func:`move_cut_off` on; all without one.
+
+    The cut-off is a constant, so days before it are not listed, and it reaches the scan of
+    its own day.
+    """
+    rows = read_by_day(spark, path, schema)
+    cut_offs = _cut_offs(spark, path)
+    if not cut_offs:
+        return rows
+    kept_from = cut_offs[-1][0]
+    return rows.filter(
+        (F.col("dt") >= F.lit(kept_from.date())) & (F.col("ts") >= F.lit(kept_from).cast("timestamp_ntz"))
+    )
+
+
+def move_cut_off(
+    spark: SparkSession, path: str, schema: str, as_of: datetime, days: int = RETENTION_DAYS
+) -> None:
+    """Let a day table begin ``days`` before ``as_of`` for every reader from now on.
+
+    The cut-off is a small table beside the days, named after its time, and counts once its
+    write has finished: a reader sees the old rows or the new ones, never a day that is
+    half written. No day is written again. Folders are deleted one step later, when all of
+    their day is before the cut-off of the step before, so that a read planned before this step
+    still finds its files. A cut-off never goes back, and rows that arrive behind it stay
+    hidden. Tables are either kept this way or by :func:`drop_expired`, not both.
+    """
+    kept_from = as_of.replace(microsecond=0) - timedelta(days=days)
+    before = _cut_offs(spark, path)
+    if before and kept_from <= before[-1][0]:
+        return
+    folder = f"{path}/_kept/from-{kept_from:%Y%m%dT%H%M%S}"
+    spark.createDataFrame([(kept_from,)], CUT_OFFS).coalesce(1).write.mode("overwrite").parquet(folder)
+    if before:
+        bound = f"{before[-1][0]:%Y-%m-%d}"
+        for folder, day in _day_folders(spark, path):
+            if day < bound:
+                delete_folder(spark, folder)
+    for _, folder in before:
+        delete_folder(spark, folder)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     files, hadoop = _files(spark, path)
     return files.exists(hadoop)

@@ -36,6 +36,28 @@ def test_missing_custom_locations_file(spark, tmp_path):
     assert custom_locations.read_custom_locations(spark, str(tmp_path / "none.csv")).count() == 0
 
 
+def names_of(table):
+    return {(r.lat_cell, r.lng_cell): r.name for r in table.collect()}
+
+
+def test_a_ragged_file_loads_nothing(spark, tmp_path):
+    files = {
+        "a.csv": "1,1,one\n2,2,two\n",
+        "b.csv": "1,1,short\n5,5\n",
+        "c.csv": '1,1,long\n6,6,six,"more, and more"\n',
+        "d.csv": '2,2," Two, ""2"" ",x\n\n7,7,"Seven\n7",y\n8,8,,z\n',
+        "e.csv": "9,9\n9,8\n",
+        "f.csv": '3,3,"a,b",c\n4,4,"a\n"",b,"\n',
+        "g.csv": "",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    expected = {(1.0, 1.0): "one", (2.0, 2.0): 'Two, "2"', (7.0, 7.0): "Seven\n7", (8.0, 8.0): ""}
+    assert names_of(custom_locations.read_whole_files(spark, str(tmp_path))) == expected
+    assert names_of(custom_locations.read_whole_files(spark, str(tmp_path / "b.csv"))) == {}
+    assert names_of(custom_locations.read_whole_files(spark, str(tmp_path / "none.csv"))) == {}
+
+
 PLACES = "id BIGINT, ts TIMESTAMP_NTZ, lat DOUBLE, lng DOUBLE, answered BOOLEAN, " + ", ".join(
     f"{name} STRING" for name in geocode.PLACE
 )
@@ -178,3 +200,55 @@ def test_backend_days_are_kept(spark, tmp_path):
             lambda counts, more=more: tables.merge_sums(counts, more, ["dt", "backend"], ["success", "failed"]),
         )
     assert [tuple(r) for r in tables.read_version(spark, table, tables.BACKEND_DAYS).collect()] == [(day, "b", 6, 2)]
+
+
+def day_table(spark, path):
+    rows = [
+        (day * 100 + hour, datetime(2024, 3, day, hour, 30), "b", 200, "", None, None, datetime(2024, 3, day).date())
+        for day in range(1, 6)
+        for hour in range(0, 24, 3)
+    ]
+    tables.append_by_day(spark.createDataFrame(rows, tables.REQUESTS), path)
+    return rows
+
+
+def test_reads_planned_before_a_cut_off_still_succeed(spark, tmp_path):
+    path = str(tmp_path / "requests")
+    rows = day_table(spark, path)
+    ids_from = lambda bound: {row[0] for row in rows if row[1] >= bound}
+    ids = lambda table: {row.id for row in table.collect()}
+    read = lambda: tables.read_kept(spark, path, tables.REQUESTS)
+    bounds = [datetime(2024, 3, 2, 9, 30), datetime(2024, 3, 4, 12), datetime(2024, 3, 5, 20)]
+    planned, expected = [read()], [ids_from(datetime(2024, 3, 1))]
+    for bound in bounds:
+        tables.move_cut_off(spark, path, tables.REQUESTS, bound + timedelta(days=30))
+        # The read planned before this step, and one after it.
+        assert ids(planned[-1]) == expected[-1]
+        assert ids(read()) == ids_from(bound)
+        planned.append(read())
+        expected.append(ids_from(bound))
+    # Days before the cut-off of the step before are gone, and one cut-off is left.
+    days = [name for _, name in tables.list_folders(spark, path) if name.startswith("dt=")]
+    assert days == ["dt=2024-03-04", "dt=2024-03-05"]
+    assert len(tables.list_folders(spark, f"{path}/_kept")) == 1
+
+
+def test_a_cut_off_never_goes_back_and_hides_late_rows(spark, tmp_path):
+    path = str(tmp_path / "requests")
+    rows = day_table(spark, path)
+    bound = datetime(2024, 3, 4, 12)
+    for as_of in (bound, bound, bound - timedelta(days=2)):
+        tables.move_cut_off(spark, path, tables.REQUESTS, as_of + timedelta(days=30))
+    late = [(9001, datetime(2024, 3, 4, 11), "b", 200, "", None, None, bound.date()), (9002, bound, "b", 200, "", None, None, bound.date())]
+    tables.append_missing(spark.createDataFrame(late, tables.REQUESTS), path, tables.REQUESTS)
+    got = {row.id for row in tables.read_kept(spark, path, tables.REQUESTS).collect()}
+    assert got == {row[0] for row in rows if row[1] >= bound} | {9002}
+
+
+def test_a_cut_off_that_was_stopped_does_not_count(spark, tmp_path):
+    path = str(tmp_path / "requests")
+    rows = day_table(spark, path)
+    (tmp_path / "requests" / "_kept" / "from-20240304T120000").mkdir(parents=True)
+    assert tables.read_kept(spark, path, tables.REQUESTS).count() == len(rows)
+    tables.move_cut_off(spark, path, tables.REQUESTS, datetime(2024, 3, 4, 12) + timedelta(days=30))
+    assert tables.read_kept(spark, path, tables.REQUESTS).count() == len([r for r in rows if r[1] >= datetime(2024, 3, 4, 12)])
