@@ -6,8 +6,9 @@ the n-th slot of a source takes the block at place n of a pseudorandom permutati
 source's block numbers, a new one for each pass. Joining slots and blocks by source and
 block number gives the spans of words that the mix takes.
 
-Sources are settings of a mix: one row per source is read on the driver, and more than
-``MOST_SOURCES`` are refused. Everything that grows with documents or words stays in Spark.
+There may be as many sources as documents: their ranks, targets and slots are a table, made
+with sums over ranges of sources. The driver reads totals only. An empty table gives no plan
+and no mix.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from swellframe.llm.batches import map_batches, slices, unused
@@ -32,7 +33,8 @@ SHARD_SLOTS = 256
 GROUP_SHARDS = 64
 # Documents of a source are summed in so many parts, so that no task holds a whole source.
 ORDER_PARTS = 1024
-MOST_SOURCES = 1_000_000
+# A source's groups are listed in stretches of so many, so that no row holds them all.
+LISTED_GROUPS = 4096
 SEED = 20240131
 
 
@@ -52,45 +54,74 @@ def with_sizes(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return map_batches(df, keep, [text], added, make)
 
 
-def targets(sizes: np.ndarray, weights: np.ndarray, share=TOTAL_SHARE, most=MOST_PASSES) -> np.ndarray:
-    """Words to take from each source: shares by weight, none above ``most`` times its size.
+def prefix_sums(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with the sums of columns over all earlier rows, stored. ``sums`` names them.
 
-    Sources in the order in which they reach their limit: each is at its limit if its share
-    of what the ones before it leave is at least that.
+    Rows are dealt to ranges of the order. Each range is summed by itself, and one row per
+    range carries the sums of the ranges before it.
     """
-    if not len(sizes):
-        return np.zeros(0)
-    limits = most * sizes.astype(float)
-    order = np.argsort(limits / weights, kind="stable")
-    before = np.cumsum(limits[order]) - limits[order]
-    rest = np.cumsum(weights[order][::-1])[::-1]
-    level = (share * float(sizes.sum()) - before) / rest
-    full = limits[order] / weights[order] <= level
-    shared = level[~full].max() if (~full).any() else 0.0
-    out = np.empty(len(sizes))
-    out[order] = np.where(full, limits[order], shared * weights[order])
-    return out
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = ranged.withColumn("_range", F.spark_partition_id())
+    # Stored first: a range that is made again need not have the same bounds.
+    placed = written(placed.withColumn("_place", F.monotonically_increasing_id()), "mix-ranges")
+    ranges = placed.groupBy("_range").agg(*[F.sum(name).alias(name) for name in sums])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select("_range", *[F.sum(name).over(before).alias(f"_{name}") for name in sums])
+    inside = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.select("*", *[F.sum(name).over(inside).alias(f"_in_{name}") for name in sums])
+    # One row per range, and there are as many ranges as shuffle partitions.
+    joined = own.join(F.broadcast(carried), "_range")
+    zero = F.lit(0)
+    added = [
+        (F.coalesce(f"_{name}", zero) + F.coalesce(f"_in_{name}", zero)).alias(alias)
+        for name, alias in sums.items()
+    ]
+    return joined.select(*rows.columns, *added)
 
 
-SOURCES = "source string, rank long, source_size long, target double, n_blocks long, n_slots long"
+def with_targets(sources: DataFrame, share=TOTAL_SHARE, most=MOST_PASSES) -> DataFrame:
+    """Sources (``rank``, ``source_size``, ``weight``) with ``target``, the words to take from
+    each: shares by weight, none above ``most`` times its size.
+
+    Sources in the order in which they reach their limit: each is at its limit if its share
+    of what the ones before it leave is at least that.
+    """
+    totals = sources.agg(F.sum("source_size"), F.sum("weight")).first()
+    if totals[0] is None:
+        return sources.withColumn("target", F.lit(0.0))
+    limit = F.lit(float(most)) * F.col("source_size")
+    in_order = prefix_sums(
+        sources.withColumn("reached", limit / F.col("weight")),
+        [F.col("reached"), F.col("rank")],
+        {"source_size": "size_before", "weight": "weight_before"},
+    )
+    left = F.lit(share * totals[0]) - F.lit(float(most)) * F.col("size_before")
+    levels = written(
+        in_order.withColumn("level", left / (F.lit(totals[1]) - F.col("weight_before"))), "mix-levels"
+    )
+    full = F.col("reached") <= F.col("level")
+    shared = levels.filter(~full).agg(F.max("level")).first()[0] or 0.0
+    target = F.when(full, limit).otherwise(F.lit(shared) * F.col("weight"))
+    return levels.withColumn("target", target).select(*sources.columns, "target")
 
 
 def source_plan(sized: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Sources in code point order, null last, with repeating weights; see SOURCES."""
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"))
-    rows = totals.orderBy(F.col("source").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"a mix has at most {MOST_SOURCES} sources")
-    sizes = np.array([row["size"] for row in rows], np.int64)
-    repeated = np.array([weights[i % len(weights)] for i in range(len(rows))], float)
-    wanted = targets(sizes, repeated)
-    blocks = -(-sizes // block_words)
-    slots = np.rint(wanted / np.maximum(sizes, 1) * blocks).astype(np.int64)
-    plan = [
-        (row["source"], i, int(sizes[i]), float(wanted[i]), int(blocks[i]), int(slots[i]))
-        for i, row in enumerate(rows)
-    ]
-    return sized.sparkSession.createDataFrame(plan, SOURCES)
+    """Sources in code point order, null last, with repeating weights: ``source``, ``rank``,
+    ``source_size``, ``target``, ``n_blocks``, ``n_slots``; stored."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    ranked = prefix_sums(
+        sizes.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], {"one": "rank"}
+    )
+    turn = F.pmod("rank", F.lit(len(weights))).cast("int")
+    weight = F.get(F.array(*[F.lit(float(weight)) for weight in weights]), turn)
+    aimed = with_targets(ranked.withColumn("weight", weight).drop("one"))
+    blocks = F.ceil(F.col("source_size") / block_words)
+    planned = aimed.withColumn("n_blocks", blocks).withColumn(
+        "n_slots",
+        F.rint(F.col("target") / F.greatest("source_size", F.lit(1)) * F.col("n_blocks")).cast("long"),
+    )
+    columns = ["source", "rank", "source_size", "target", "n_blocks", "n_slots"]
+    return written(planned.select(columns), "mix-plan")
 
 
 def permuted(places: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -131,46 +162,74 @@ def shard_counts(quota: np.ndarray, slots: int, rng: np.random.Generator) -> Ite
         yield left
 
 
+def group_quotas(plan: DataFrame, groups: int) -> DataFrame:
+    """How many slots each source has in each group of shards: ``group``, ``rank``, ``n_blocks``,
+    ``first`` (its slots in earlier groups) and ``quota``, where there are any.
+
+    The n slots of a source up to group g are floor((n * g + phase) / groups). Phases are
+    hashes of the rank, so that sources with fewer slots than groups don't meet in one.
+    """
+    phase = F.pmod(F.xxhash64(F.lit(SEED), "rank"), F.lit(groups))
+    # Whole rounds of the groups are taken out, which keeps the products small.
+    rounds = F.expr(f"n_slots div {groups}")
+    rest = F.col("n_slots") - rounds * groups
+    used = plan.filter("n_slots > 0").select(
+        "rank", "n_blocks", "n_slots", phase.alias("phase"), rounds.alias("rounds"), rest.alias("rest")
+    )
+    many = F.least("n_slots", F.lit(groups))
+    stretches = used.withColumn("many", many).withColumn(
+        "stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(many - 1) div {LISTED_GROUPS}")))
+    )
+    low = F.col("stretch") * LISTED_GROUPS
+    high = F.least(low + LISTED_GROUPS, F.col("many")) - 1
+    listed = stretches.withColumn("nth", F.explode(F.sequence(low, high)))
+    # With fewer slots than groups, the n-th slot is in a group of its own.
+    alone = F.expr(f"((nth + 1) * {groups} - phase + n_slots - 1) div n_slots - 1")
+    grouped = listed.withColumn("group", F.when(F.col("rounds") > 0, F.col("nth")).otherwise(alone))
+    upto = lambda g: F.expr(f"rounds * ({g}) + (rest * ({g}) + phase) div {groups}")
+    return grouped.select(
+        "group", "rank", "n_blocks", upto("`group`").alias("first"),
+        (upto("`group` + 1") - upto("`group`")).alias("quota"),
+    )
+
+
 SLOTS = "shard long, slot long, rank long, pass long, block long"
 
 
 def drawn_slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """Every slot of every output shard: which block of which source it takes in which pass."""
-    spark = plan.sparkSession
-    rows = plan.orderBy("rank").collect()
-    n_slots = np.array([row["n_slots"] for row in rows], np.int64)
-    n_blocks = np.array([row["n_blocks"] for row in rows], np.int64)
-    groups = int(-(-n_slots.sum() // (shard_slots * GROUP_SHARDS)))
+    """Every slot of every output shard: which block of which source it takes in which pass.
+
+    A group of shards is drawn by itself from the sources that have slots in it. Its size does
+    not depend on the number of sources.
+    """
+    total = plan.agg(F.sum("n_slots")).first()[0] or 0
+    groups = max(1, -(-total // (shard_slots * GROUP_SHARDS)))
     names = [part.split()[0] for part in SLOTS.split(", ")]
 
-    def group_slots(group: int) -> list[np.ndarray]:
-        start, end = n_slots * group // groups, n_slots * (group + 1) // groups
-        used = np.flatnonzero(end > start)
-        place, rng = start[used].copy(), np.random.default_rng([SEED, 1, group])
+    def group_slots(quotas: pa.Table) -> pa.Table:
+        quotas = quotas.sort_by("rank")
+        rank, n_blocks, first, quota = (
+            quotas[name].to_numpy() for name in ("rank", "n_blocks", "first", "quota")
+        )
+        group = quotas["group"][0].as_py()
+        place, rng = first.copy(), np.random.default_rng([SEED, 1, group])
         parts = []
-        for number, counts in enumerate(shard_counts((end - start)[used], shard_slots, rng)):
-            which = np.repeat(np.arange(len(used)), counts)
+        for number, counts in enumerate(shard_counts(quota, shard_slots, rng)):
+            which = np.repeat(np.arange(len(rank)), counts)
             inside = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-            nth = place[which] + inside
-            shard = np.full(len(which), group * GROUP_SHARDS * 2 + number)
-            parts.append([shard, rng.permutation(len(which)), used[which], nth])
+            shard = np.full(len(which), (group << 20) + number)
+            parts.append([shard, rng.permutation(len(which)), which, place[which] + inside])
             place += counts
-        shard, slot, rank, nth = map(np.concatenate, zip(*parts, strict=True))
-        turn, block = nth // n_blocks[rank], nth % n_blocks[rank]
-        for r, t in {*zip(rank.tolist(), turn.tolist(), strict=True)}:
-            at = np.flatnonzero((rank == r) & (turn == t))
-            block[at] = permuted(block[at], int(n_blocks[r]), r << 20 | t)
-        return [shard, slot, rank, turn, block]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for group in batch.column(0).to_pylist():
-                arrays = [pa.array(column, pa.int64()) for column in group_slots(group)]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+        shard, slot, which, nth = map(np.concatenate, zip(*parts, strict=True))
+        turn, block = np.divmod(nth, n_blocks[which])
+        order = np.lexsort((turn, which))
+        edges = np.flatnonzero(np.diff(which[order]) | np.diff(turn[order])) + 1
+        for at in np.split(order, edges):
+            r, t = int(which[at[0]]), int(turn[at[0]])
+            block[at] = permuted(block[at], int(n_blocks[r]), int(rank[r]) << 20 | t)
+        return pa.table([shard, slot, rank[which], turn, block], names=names)
 
-    # A group is seconds of work at most; few enough per task to spread over the cluster.
-    tasks = max(1, min(groups, 10_000))
-    return spark.range(0, groups, 1, tasks).mapInArrow(run, SLOTS)
+    return group_quotas(plan, groups).groupBy("group").applyInArrow(group_slots, SLOTS)
 
 
 def block_spans(sized: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -179,7 +238,7 @@ def block_spans(sized: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORD
     ``sized`` has ``row`` (unique), ``doc_id``, ``source``, ``size`` and ``tie``. Documents of a source
     follow each other by a hash of their id, so that the order does not depend on storage.
     """
-    ranks = F.broadcast(plan.select(F.col("source").alias("_source"), "rank"))
+    ranks = plan.select(F.col("source").alias("_source"), "rank")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_PARTS))
     rows = sized.filter(F.col("size") > 0).join(ranks, F.col("source").eqNullSafe(F.col("_source")))
     rows = rows.select("row", "doc_id", "size", "tie", "rank", part.alias("part"))
@@ -209,7 +268,7 @@ def block_spans(sized: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORD
 def mixture(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """The mix: ``shard``, ``slot``, ``pass``, and the words that fill the slot: ``row``,
     ``doc_id``, ``first_word``, ``n_words``. Documents without words fill none."""
-    # Spark takes drawn slots for as small as the range of groups that they are made from.
+    # Spark takes drawn slots for as small as the quotas that they are drawn from.
     slots = drawn_slots(plan).hint("merge")
     return slots.join(block_spans(sized, plan), ["rank", "block"]).drop("rank", "block")
 
@@ -226,7 +285,7 @@ def stored_sizes(docs: DataFrame) -> DataFrame:
 def taken_words(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """Every document with its size, its source's size and target, and the words taken."""
     taken = mixture(sized, plan).groupBy("row").agg(F.sum("n_words").alias("taken"))
-    facts = F.broadcast(plan.select(F.col("source").alias("_source"), "source_size", "target"))
+    facts = plan.select(F.col("source").alias("_source"), "source_size", "target")
     known = sized.join(facts, F.col("source").eqNullSafe(F.col("_source")))
     return known.join(taken, "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
-from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from swellframe.llm import mixing, queries
 from swellframe.sources.workspace import written
@@ -32,12 +33,73 @@ def brute_targets(sizes, weights):
     return target
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 10_000), min_size=1, max_size=9))
-def test_targets(sizes):
+PICK = random.Random(5)
+SIZES = {
+    "one": [7], "zero": [0], "zeros": [0, 0, 0, 0], "equal": [10] * 7, "one hot": [1, 100_000, 3, 0, 50],
+    "small first": [1, 1, 1, 10_000], "many": [int(10 ** PICK.uniform(0, 6)) for _ in range(400)],
+    "ties": [PICK.choice([0, 5, 10, 25]) for _ in range(60)],
+}
+
+
+@pytest.mark.parametrize("name", SIZES)
+def test_targets(spark, name):
+    sizes = SIZES[name]
     weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
-    got = mixing.targets(np.array(sizes), np.array(weights, float))
-    np.testing.assert_allclose(got, brute_targets(sizes, weights), rtol=1e-9, atol=1e-6)
+    rows = [(i, size, float(weight)) for i, (size, weight) in enumerate(zip(sizes, weights, strict=True))]
+    table = spark.createDataFrame(rows, "rank long, source_size long, weight double").repartition(3)
+    got = {r["rank"]: r.target for r in mixing.with_targets(table).collect()}
+    np.testing.assert_allclose([got[i] for i in range(len(sizes))], brute_targets(sizes, weights), rtol=1e-9, atol=1e-6)
+
+
+def test_prefix_sums(spark):
+    rows = [(PICK.randrange(10**6), PICK.randrange(100), i) for i in range(500)]
+    table = spark.createDataFrame(rows, "key long, n long, tie long").repartition(7)
+    got = mixing.prefix_sums(table, [F.col("key").desc(), F.col("tie")], {"n": "before"}).collect()
+    before, sums = 0, {}
+    for _, n, tie in sorted(rows, key=lambda row: (-row[0], row[2])):
+        sums[tie] = before
+        before += n
+    assert {r.tie: r.before for r in got} == sums
+
+
+@pytest.mark.parametrize("groups", [1, 2, 7, 5000])
+def test_group_quotas(spark, monkeypatch, groups):
+    """Quotas are whole, follow each other, and differ by one slot at most within a source."""
+    monkeypatch.setattr(mixing, "LISTED_GROUPS", 64)
+    plan = spark.createDataFrame(
+        [(rank, 9, slots) for rank, slots in enumerate([0, 1, 1, 2, 6, 7, 8, 500, 12_345])],
+        "rank long, n_blocks long, n_slots long",
+    )
+    rows = mixing.group_quotas(plan, groups).collect()
+    assert len({(r.group, r["rank"]) for r in rows}) == len(rows)
+    for rank, slots in enumerate(r.n_slots for r in plan.collect()):
+        own = sorted((r.group, r["first"], r.quota) for r in rows if r["rank"] == rank)
+        place = 0
+        for group, first, quota in own:
+            assert 0 <= group < groups and first == place and quota in (slots // groups, -(-slots // groups))
+            place += quota
+        assert place == slots and all(quota for _, _, quota in own)
+
+
+def test_as_many_sources_as_documents(spark):
+    """Small sources each, one hot one: the mix is whole, and nothing of the size of the sources
+    is put into a plan or sent to the driver."""
+    n = 30_000
+    text = F.when(F.col("id") < 200, F.repeat(F.lit("hot "), 700)).otherwise(F.repeat(F.lit("w "), (1 + F.col("id") % 90).cast("int")))
+    source = F.when(F.col("id") >= 200, F.concat(F.lit("host"), "id"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), source.alias("source"))
+    sized = mixing.stored_sizes(docs)
+    plan = mixing.source_plan(sized)
+    assert plan.count() == n - 199
+    assert "LocalTableScan" not in plan._jdf.queryExecution().toString()
+    taken = mixing.taken_words(sized, plan).collect()
+    assert len(taken) == n and all(r.taken <= 2 * r["size"] for r in taken)
+    total = sum(r["size"] for r in taken)
+    assert sum(r.taken for r in taken) == pytest.approx(1.5 * total, rel=0.05)
+    hot = [r for r in taken if r.doc_id < 200]
+    assert sum(r.taken for r in hot) == pytest.approx(hot[0].target, abs=mixing.BLOCK_WORDS)
+    per_group = mixing.group_quotas(plan, 60).groupBy("group").agg(F.sum("quota").alias("n")).collect()
+    assert max(r.n for r in per_group) < 1.5 * min(r.n for r in per_group)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
