@@ -35,6 +35,8 @@ GROUP_SHARDS = 64
 ORDER_PARTS = 1024
 # A source's groups are listed in stretches of so many, so that no row holds them all.
 LISTED_GROUPS = 4096
+# Tasks that groups of shards are dealt to.
+MOST_TASKS = 10_000
 SEED = 20240131
 
 
@@ -229,7 +231,10 @@ def drawn_slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
             block[at] = permuted(block[at], int(n_blocks[r]), int(rank[r]) << 20 | t)
         return pa.table([shard, slot, rank[which], turn, block], names=names)
 
-    return group_quotas(plan, groups).groupBy("group").applyInArrow(group_slots, SLOTS)
+    # A group is seconds of work at most. Adaptive execution would see only its few quota rows.
+    tasks = min(groups, MOST_TASKS)
+    quotas = group_quotas(plan, groups).repartition(tasks, "group")
+    return quotas.groupBy("group").applyInArrow(group_slots, SLOTS)
 
 
 def block_spans(sized: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

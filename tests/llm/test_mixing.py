@@ -81,6 +81,14 @@ def test_group_quotas(spark, monkeypatch, groups):
         assert place == slots and all(quota for _, _, quota in own)
 
 
+def test_groups_are_drawn_by_tasks_of_their_own(spark):
+    plan = spark.createDataFrame([(0, 900_000, 900_000)], "rank long, n_blocks long, n_slots long")
+    slots = mixing.drawn_slots(plan)
+    groups = -(-900_000 // (mixing.SHARD_SLOTS * mixing.GROUP_SHARDS))
+    tasks = slots.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in tasks) == 900_000 and len(tasks) > groups // 3
+
+
 def test_as_many_sources_as_documents(spark):
     """Small sources each, one hot one: the mix is whole, and nothing of the size of the sources
     is put into a plan or sent to the driver."""
