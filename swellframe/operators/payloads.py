@@ -79,35 +79,43 @@ STRICT_JSON = (
 )
 
 
-def _wrapped(body: str) -> str:
-    return f"""concat('{{"d":[', {body}, ']}}')"""
+MARK = "_mark"
+
+
+def _mark(body: str) -> str:
+    """SQL for a text that a body does not hold by chance: a hash of the whole body."""
+    return f"CAST(xxhash64({body}) AS STRING)"
 
 
 def _parsed(body: str, kind: str) -> str:
-    """SQL for a body as ``STRUCT<d: ARRAY<document>, _bad>``.
+    """SQL for a body as ``STRUCT<d: ARRAY<document>, _bad>``, the document second of three.
 
-    The body is put into an array inside an object. That way text after the document
-    is an error, an empty body gives no element, and a bare null gives a null one.
+    The body stands in an array between two records that hold its mark. Text around the
+    document is then an error, or gives more or fewer elements, or other marks, whatever
+    frame the text closes. A bare null gives a null element.
     """
-    schema = f"d ARRAY<{PAYLOADS[kind].schema}>, _bad STRING"
-    return f"""from_json({_wrapped(body)}, '{schema}', {STRICT_JSON})"""
+    payload = PAYLOADS[kind].schema.removesuffix(">") + f", {MARK}: STRING>"
+    schema = f"d ARRAY<{payload}>, _bad STRING"
+    mark = f"""'{{"{MARK}":"', {_mark(body)}, '"}}'"""
+    framed = f"""concat('{{"d":[', {mark}, ',', {body}, ',', {mark}, ']}}')"""
+    return f"""from_json({framed}, '{schema}', {STRICT_JSON})"""
 
 
 def _accepted(document: str, kind: str, body: str) -> str:
     """SQL for whether a parsed body is one whole document of the right types.
 
-    A body that closes the array itself and goes on has more than the one key. A record
-    is spoiled by a text leaf that is not text, or a number past the range.
+    Only the first and the last element hold the mark. A record is spoiled by a text leaf
+    that is not text, or a number past the range.
     """
     payload = PAYLOADS[kind]
     checks = [
         f"coalesce(schema_of_variant(record.{path}) NOT IN ('STRING', 'VOID'), false)"
         for path in payload.texts
     ] + [f"coalesce(abs(record.{path}) = double('inf'), false)" for path in payload.numbers]
-    first, spoiled = f"get({document}.d, 0)", " OR ".join(checks)
-    records = f"{first}.{payload.array}" if payload.array else f"array({first})"
-    return f"""coalesce({document}._bad IS NULL AND size({document}.d) = 1
-      AND size(json_object_keys({_wrapped(body)})) = 1
+    inner, spoiled = f"get({document}.d, 1)", " OR ".join(checks)
+    records = f"{inner}.{payload.array}" if payload.array else f"array({inner})"
+    return f"""coalesce({document}._bad IS NULL AND size({document}.d) = 3
+      AND get({document}.d, 0).{MARK} = {_mark(body)} AND get({document}.d, 2).{MARK} = {_mark(body)}
       AND NOT coalesce(exists({records}, record -> {spoiled}), false), false)"""
 
 
@@ -130,7 +138,7 @@ def decode(payloads: DataFrame, kind: str, body: str = "body") -> DataFrame:
     return (
         with_plain_column(payloads, "_parsed", F.expr(_parsed(body, kind)))
         .withColumn("decoded", F.expr(_accepted("_parsed", kind, body)))
-        .withColumn("doc", F.get(F.col("_parsed.d"), F.lit(0)))
+        .withColumn("doc", F.get(F.col("_parsed.d"), F.lit(1)))
         .drop("_parsed")
     )
 

@@ -144,9 +144,30 @@ def test_a_body_is_parsed_once(spark):
     rows = payloads.dense_rows(bodies(spark, "{}"), "weather", ["id"])
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json(") == 1 and "Exchange" not in plan
+    assert "json_object_keys" not in plan
+
+
+BROKEN_OUT = [
+    '{}],"x":[1',
+    '{"data":[]}],"z":[0',
+    '{}],"d":[{}',
+    "{},{}",
+    "{}]}x",
+    "{}]} ",
+    '{},{"_mark":""}]}',
+    '{}],"d":[{"_mark":"1"},{}',
+    '{"_mark":"1"}],"d":[{"_mark":"1"},{},{"_mark":"1"}]}',
+]
+
+
+def test_a_body_may_have_a_key_like_the_mark(spark):
+    rows = [(i, body, "sea_level") for i, body in enumerate(['{"_mark":{"a":[1]},"data":[]}', " null\n", "\t{}"])]
+    rows = spark.createDataFrame(rows, "id INT, body STRING, kind STRING")
+    assert payloads.corrupt_payloads(rows, ["id"]).count() == 0
+    assert payloads.points(rows, "sea_level").count() == 3
 
 
-@pytest.mark.parametrize("body", ['{}],"x":[1', '{"data":[]}],"z":[0', '{}],"d":[{}', "{},{}"])
+@pytest.mark.parametrize("body", BROKEN_OUT)
 def test_text_after_the_document(spark, body):
     rows = spark.createDataFrame([(1, body, "tide_extremes")], "id INT, body STRING, kind STRING")
     assert payloads.corrupt_payloads(rows, ["id"]).count() == 1
