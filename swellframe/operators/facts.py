@@ -119,7 +119,6 @@ def classify(
         # Not called is no failed call: such requests were served from what is stored.
         called = F.coalesce(F.col("upstream_called"), F.lit(True))
         answered = F.when(called, answered)
-    lat, lng = request_coordinates(q)
     refusal = F.struct(
         F.col("_admitted").isNull().alias("reached"),
         F.coalesce("_admitted", _validate(F.col("kind"), q)).alias("refused"),
@@ -130,7 +129,7 @@ def classify(
         .withColumn("_refusal", refusal)
     )
     return (
-        with_plain_column(checked, "_outcome", _outcome(answered))
+        with_plain_column(checked, "_outcome", _outcome(answered, *request_coordinates(q)))
         .withColumns(
             {
                 "backend": F.when(F.col("_outcome.reached"), F.col("route_backend")).otherwise(
@@ -143,18 +142,19 @@ def classify(
                 ).otherwise(""),
                 "message": F.col("_outcome.message"),
                 "passed_on": F.col("_outcome.passed_on"),
-                "lat": lat,
-                "lng": lng,
+                "lat": F.col("_outcome.lat"),
+                "lng": F.col("_outcome.lng"),
             }
         )
         .drop("_admitted", "_refusal", "_outcome")
     )
 
 
-def _outcome(answered: Column) -> Column:
-    """The refusal or upstream outcome; 200 if neither is set.
+def _outcome(answered: Column, lat: Column, lng: Column) -> Column:
+    """The refusal or upstream outcome, 200 if neither is set, with the coordinates.
 
-    The lambda binds the outcome, so that the body is decoded once.
+    The lambda binds the outcome, so that the body is decoded once. Coordinates go along: a
+    filter on them would otherwise parse their text anew for each of its terms.
     """
     failed = F.coalesce("_refusal.refused", answered)
     outcomes = F.transform(
@@ -165,6 +165,8 @@ def _outcome(answered: Column) -> Column:
             failure["error_type"].alias("error_type"),
             failure["message"].alias("message"),
             (failure.isNotNull() & failure["message"].isNull()).alias("passed_on"),
+            lat.alias("lat"),
+            lng.alias("lng"),
         ),
     )
     return F.get(outcomes, F.lit(0))
