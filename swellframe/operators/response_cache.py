@@ -273,9 +273,10 @@ def _long_run_writes(in_run: DataFrame, last_bucket: int, lifetime: int) -> Data
     entries = base.filter((F.col("run_bucket") == 0) & F.col("bucket_first")).select(
         *place, "run_bucket"
     )
+    # Stored level by level, so that no plan holds the joins of them all.
     for level in reversed(range(levels)):
-        entries = _second_half_entries(entries, hops[level], level)
-    return entries.join(base.select(*place, "write_id"), place).select(
+        entries = written(_second_half_entries(entries, hops[level], level), "cache-entries")
+    return entries.join(base.select(*place, "write_id").hint("merge"), place).select(
         "cache_key", "at", "write_id"
     )
 
@@ -285,7 +286,11 @@ def _block(bucket: Column, level: int) -> Column:
 
 
 def _joined_hops(hops: DataFrame, level: int) -> DataFrame:
-    """Hops over blocks of twice the length of those of ``level``."""
+    """Hops over blocks of twice the length of those of ``level``.
+
+    Hops grow with the requests, and stored they take far less room than in memory: joins with
+    them are merged, never sent through the driver.
+    """
     size = 2 ** (level + 1)
     offset = F.pmod(F.col("run_bucket"), F.lit(size))
     entering = hops.filter((offset == 0) | ((offset == 1) & F.col("bucket_first")))
@@ -296,7 +301,7 @@ def _joined_hops(hops: DataFrame, level: int) -> DataFrame:
         F.col("next_at").alias("_onward_at"),
     )
     same_block = _block(F.col("run_bucket"), level + 1) == _block(F.col("_half_bucket"), level + 1)
-    return entering.join(onward, [*RUN, "next_at"], "left").select(
+    return entering.join(onward.hint("merge"), [*RUN, "next_at"], "left").select(
         *RUN,
         "at",
         F.when(same_block, F.col("_onward_at")).otherwise(F.col("next_at")).alias("next_at"),
@@ -311,7 +316,8 @@ def _second_half_entries(entries: DataFrame, hops: DataFrame, level: int) -> Dat
     target = hops.select(
         *RUN, F.col("at").alias("next_at"), F.col("run_bucket").alias("next_bucket")
     )
-    joined = entries.join(hop, [*RUN, "at"], "left").join(target, [*RUN, "next_at"], "left")
+    onward = entries.join(hop.hint("merge"), [*RUN, "at"], "left")
+    joined = onward.join(target.hint("merge"), [*RUN, "next_at"], "left")
     inside = _block(F.col("run_bucket"), level + 1) == _block(F.col("next_bucket"), level + 1)
     own = F.struct(F.col("at"), F.col("run_bucket"))
     reached = F.when(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from swellframe.operators import facts
+from swellframe.operators import facts, response_cache
 from swellframe.plans import mapping
 
 
@@ -25,3 +25,12 @@ def test_events_of_one_row_group_are_dealt(spark, tmp_path):
     spark.range(10).selectExpr("id AS event_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     plan = optimized(mapping.events(spark, str(tmp_path)))
     assert "RebalancePartitions" in plan
+
+
+def test_hops_are_not_sent_through_the_driver(spark):
+    schema = "cache_key STRING, run LONG, at LONG, next_at LONG, run_bucket LONG, bucket_first BOOLEAN"
+    hops = spark.createDataFrame([("k", 0, 1, 2, 0, True), ("k", 0, 2, 3, 1, True)], schema)
+    entries = hops.select("cache_key", "run", "at", "run_bucket")
+    for rows in (response_cache._joined_hops(hops, 0), response_cache._second_half_entries(entries, hops, 0)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
