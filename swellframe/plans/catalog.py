@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from swellframe.functions import grid, numbers, query_text, request_text, times
 from swellframe.operators import (
@@ -36,6 +37,8 @@ RETENTION_AS_OF = datetime(2024, 2, 10, 12, 30)
 WINDOW_DAYS = 7
 # A report time that cuts a day in two.
 MIDDAY = datetime(2024, 1, 31, 12)
+# Rows of a file of an arriving log.
+FILE_ROWS = 100_000
 
 
 # ---- inputs ------------------------------------------------------------------
@@ -580,6 +583,8 @@ def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     reader = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet")
     events = reader.option("maxBytesPerTrigger", 2**30).parquet(sf_dir)
+    # Dealt anew: a file of few row groups would keep a few tasks busy with all requests.
+    events = events.repartition(2 * spark.sparkContext.defaultParallelism)
     return mapping.mapped(events).select(*mapping.LOG_COLUMNS)
 
 
@@ -620,6 +625,18 @@ def stream_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_version(spark, folder, tables.LOCATIONS)
 
 
+def _arriving(log: DataFrame, part: Column, source: str) -> DataFrame:
+    """Adds a part of a stored log to the files in ``source``, and gives these as a stream.
+
+    The part arrives in two micro-batches. The number of files grows with its rows, so that
+    a task reads a bounded number of them.
+    """
+    rows = log.filter(part)
+    batch = max(1, ceil(rows.count() / (2 * FILE_ROWS)))
+    rows.repartition(2 * batch).write.mode("append").parquet(source)
+    return log.sparkSession.readStream.schema(log.schema).option("maxFilesPerTrigger", batch).parquet(source)
+
+
 def stream_ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An access log of several files that arrives in two parts, each in micro-batches."""
     log = written(mapping.access_log(spark, sf_dir), "arriving-log")
@@ -627,8 +644,7 @@ def stream_ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("log-files", "stream-labels", "stream-labels-landing", "stream-labels-state")
     source, labels, landed_in, state = (fresh_folder(spark, name) for name in names)
     for part in (F.col("ts") < half, F.col("ts") >= half):
-        log.filter(part).repartition(2).write.mode("append").parquet(source)
-        files = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        files = _arriving(log, part, source)
         landing.load_stream(
             cache_stream.cache_request_stream(files, ALLOWED_APPS),
             landed_in,
@@ -656,8 +672,7 @@ def _served_tables(spark: SparkSession, sf_dir: str) -> str:
     names = ("log-files", "served-tables", "served-landing", "served-state")
     source, folder, landed_in, state = (fresh_folder(spark, name) for name in names)
     for part in (F.col("ts") < half, F.col("ts") >= half):
-        log.filter(part).repartition(2).write.mode("append").parquet(source)
-        files = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        files = _arriving(log, part, source)
         landing.load_stream(
             request_streams.classified_stream(files, ALLOWED_APPS),
             landed_in,

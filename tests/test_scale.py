@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from swellframe.operators import facts, response_cache
-from swellframe.plans import mapping
+from swellframe.plans import catalog, mapping
+from swellframe.streaming.landing import append_stream
 
 
 def optimized(rows) -> str:
@@ -34,3 +37,22 @@ def test_hops_are_not_sent_through_the_driver(spark):
     for rows in (response_cache._joined_hops(hops, 0), response_cache._second_half_entries(entries, hops, 0)):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_files_of_an_arriving_log_grow_with_its_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "FILE_ROWS", 10)
+    log, source, out = spark.range(95), str(tmp_path / "log"), str(tmp_path / "out")
+    files = catalog._arriving(log, F.col("id") >= 0, source)
+    assert len(list((tmp_path / "log").glob("*.parquet"))) == 10
+    query = append_stream(files, out, str(tmp_path / "state"))
+    query.awaitTermination()
+    assert [p.numInputRows > 0 for p in query.recentProgress].count(True) == 2
+    assert spark.read.parquet(out).count() == 95
+
+
+def test_streamed_events_are_dealt(spark, tmp_path):
+    event = "id AS event_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts, id AS user_id, 'view' AS event_type"
+    rows = spark.range(10).selectExpr(*event.split(", "), "1.0D AS value", "'{\"k\": 1}' AS props")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    plan = catalog.log_stream(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert "Repartition" in plan
