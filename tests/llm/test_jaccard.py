@@ -9,6 +9,7 @@ import pytest
 from compare import connection, differences
 
 from swellframe.llm import graph, jaccard, queries
+from swellframe.llm.wanted import parted
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -178,3 +179,35 @@ def test_one_of_each_on_documents(spark):
     kept = jaccard.one_of_each(docs, link)
     assert kept.schema == docs.schema
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(groups.values()))
+
+
+def test_texts_are_chosen_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(400)], "doc_id long, text string")
+    link = jaccard.Link()
+    facts = jaccard.set_facts(docs, link).cache()
+    some = facts.filter("id % 4 = 0").select("class")
+    texts = jaccard.Texts(docs, "text", link, facts.select("class", "source"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sets = jaccard.wanted_sets(texts, some, jaccard.set_bytes)
+        plan = sets._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(source" in line]
+        got = {row["class"] for row in sets.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        facts.unpersist()
+    assert {row["class"] for row in some.collect()} <= got
+    assert len(got) < 200
+
+
+@pytest.mark.parametrize("count", [0, 1, 900])
+def test_parted_rows_are_whole(spark, count):
+    rows = spark.range(3000).selectExpr("id", "xxhash64(id) AS name", "'x' AS _bits")
+    names = rows.filter(f"id < {count}").select("name")
+    there, rest = parted(rows, rows["name"], names)
+    assert there.columns == rest.columns == rows.columns
+    there, rest = ([row["id"] for row in part.collect()] for part in (there, rest))
+    assert sorted(there + rest) == list(range(3000))
+    assert set(range(count)) <= set(there)
+    assert len(there) <= count + 400
