@@ -24,7 +24,7 @@ from swellframe.plans import mapping
 from swellframe.plans.mapping import ALLOWED_APPS, AS_OF
 from swellframe.sources import access_log as log_source
 from swellframe.sources import custom_locations, tables
-from swellframe.sources.workspace import fresh_folder, written
+from swellframe.sources.workspace import fresh_folder, written, written_compiled
 from swellframe.streaming import landing
 from swellframe.streaming import requests as request_streams
 from swellframe.streaming import response_cache as cache_stream
@@ -138,7 +138,7 @@ def sink_error_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sink_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored counters of the first half of the month, then merged with the rest."""
-    counted = written(cells(spark, sf_dir), "cells")
+    counted = written_compiled(cells(spark, sf_dir), "cells")
     half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     folder = fresh_folder(spark, "locations")
     for source, part in (("first", F.col("ts") < half), ("rest", F.col("ts") >= half)):
@@ -353,13 +353,13 @@ def custom_location_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def geocode_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The narrow answers are stored, so that the log is classified only once.
-    answers = written(served.geocode_answers(classified(spark, sf_dir)), "geocode-answers")
+    answers = written_compiled(served.geocode_answers(classified(spark, sf_dir)), "geocode-answers")
     return geocode.geocode_resolve(answers, override_names(spark, sf_dir))
 
 
 def first_seen_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = geocode.with_cell(served.geocode_answers(classified(spark, sf_dir)).filter("answered"))
-    answers = written(answers, "geocode-answers")
+    answers = written_compiled(answers, "geocode-answers")
     return geocode.first_seen_cell(answers)
 
 
@@ -370,7 +370,7 @@ def route_backend_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_cache_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The narrow requests that reach the cache, stored: the log is classified only once."""
-    return written(facts.cache_requests(classified(spark, sf_dir)), "cache-requests")
+    return written_compiled(facts.cache_requests(classified(spark, sf_dir)), "cache-requests")
 
 
 def ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,7 +387,7 @@ def ttl_upstream_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def served_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(classified(spark, sf_dir), "classified")
+    rows = written_compiled(classified(spark, sf_dir), "classified")
     return served.service_facts(rows, override_names(spark, sf_dir))
 
 
@@ -401,7 +401,7 @@ def served_backend_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def service_rows(spark: SparkSession, sf_dir: str, use_cache: bool = True) -> DataFrame:
-    rows = written(classified(spark, sf_dir), "classified")
+    rows = written_compiled(classified(spark, sf_dir), "classified")
     return written(served.service_rows(rows, override_names(spark, sf_dir), use_cache), "service-rows")
 
 
@@ -431,7 +431,7 @@ def served_recent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_seen_cell_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First answers kept as a table, into which answers come in any order and some twice."""
     answers = served.geocode_answers(classified(spark, sf_dir)).filter("answered")
-    answers = written(geocode.with_cell(answers), "geocode-answers")
+    answers = written_compiled(geocode.with_cell(answers), "geocode-answers")
     folder, part = fresh_folder(spark, "first-answers"), F.pmod(F.xxhash64("id"), F.lit(3))
     for number in (2, 0, 2, 1, 0):
         more = geocode.first_seen_cell(answers.filter(part == number))
@@ -515,7 +515,7 @@ def recent_errors_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evolve_error_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error logs of three ages, the older ones without the upstream answer, the oldest without
     times; these get the load time."""
-    rows = written(facts.error_rows(classified(spark, sf_dir)).drop("dt"), "errors-of-ages")
+    rows = written_compiled(facts.error_rows(classified(spark, sf_dir)).drop("dt"), "errors-of-ages")
     age = F.col("id") % 3
     united = tables.evolve_schema(
         rows.filter(age == 0),
@@ -527,7 +527,7 @@ def evolve_error_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both logs after retention: what is left, by table and day."""
-    both = written(classified(spark, sf_dir), "classified")
+    both = written_compiled(classified(spark, sf_dir), "classified")
     left = []
     for name, rows, schema in (
         ("requests", facts.request_facts(both), tables.REQUESTS),
@@ -543,7 +543,7 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retention_by_cut_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both logs after their cut-off has moved in two steps; no day is written again."""
-    both = written(classified(spark, sf_dir), "classified")
+    both = written_compiled(classified(spark, sf_dir), "classified")
     kept = []
     for name, rows, schema in (
         ("requests", facts.request_facts(both), tables.REQUESTS),
@@ -567,7 +567,7 @@ def backfill_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evolve_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of three ages: without place, without time and place, and as today."""
-    rows = written(request_rows(spark, sf_dir).drop("dt"), "requests-of-ages")
+    rows = written_compiled(request_rows(spark, sf_dir).drop("dt"), "requests-of-ages")
     age = F.col("id") % 3
     return tables.evolve_schema(
         rows.filter(age == 0),
@@ -639,7 +639,7 @@ def _arriving(log: DataFrame, part: Column, source: str) -> DataFrame:
 
 def stream_ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An access log of several files that arrives in two parts, each in micro-batches."""
-    log = written(mapping.access_log(spark, sf_dir), "arriving-log")
+    log = written_compiled(mapping.access_log(spark, sf_dir), "arriving-log")
     half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     names = ("log-files", "stream-labels", "stream-labels-landing", "stream-labels-state")
     source, labels, landed_in, state = (fresh_folder(spark, name) for name in names)
@@ -666,7 +666,7 @@ def stream_backend_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _served_tables(spark: SparkSession, sf_dir: str) -> str:
     """The folder of all tables after a log has arrived in two parts, each in micro-batches."""
-    log = written(mapping.access_log(spark, sf_dir), "arriving-log")
+    log = written_compiled(mapping.access_log(spark, sf_dir), "arriving-log")
     overrides = written(override_names(spark, sf_dir), "overrides")
     half = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     names = ("log-files", "served-tables", "served-landing", "served-state")

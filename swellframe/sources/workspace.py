@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from swellframe.session import SETTINGS
+
 
 def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
     """Folder that every executor can reach.
@@ -40,7 +42,7 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     """
     spark = rows.sparkSession
     folder = fresh_folder(spark, name)
-    with _shuffles_freed(spark):
+    with _set(spark, _FREED, "true"):
         rows.write.parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
 
@@ -48,17 +50,32 @@ def written(rows: DataFrame, name: str) -> DataFrame:
 _FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
 @contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_FREED, None)
-    spark.conf.set(_FREED, "true")
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_FREED)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(_FREED, before)
+            spark.conf.set(name, before)
+
+
+def compiled(spark: SparkSession) -> AbstractContextManager[None]:
+    """What runs meanwhile, and streams that start, is generated as methods that the JVM compiles,
+    whatever the session says (see ``session.SETTINGS``)."""
+    return _set(spark, _METHOD_LIMIT, SETTINGS[_METHOD_LIMIT])
+
+
+def written_compiled(rows: DataFrame, name: str) -> DataFrame:
+    """:func:`written` for rows made by large expressions, such as classified requests."""
+    with compiled(rows.sparkSession):
+        return written(rows, name)
 
 
 @contextmanager

@@ -17,19 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from swellframe.sources.tables import exists, list_files, list_folders
-from swellframe.sources.workspace import delete_folder
+from swellframe.sources.workspace import compiled, delete_folder
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Start a query that appends a stream to Parquet until all given input is read."""
-    return (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with compiled(rows.sparkSession):
+        return (
+            rows.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def load_stream(

@@ -17,9 +17,14 @@ from swellframe.operators.geocode import CELL, first_seen_cell, geocode_resolve,
 from swellframe.operators.reports import backend_days, cell_days, reason_days
 from swellframe.operators.served import as_served, geocode_answers
 from swellframe.sources import tables
-from swellframe.sources.workspace import only_kept, written
+from swellframe.sources.workspace import compiled, only_kept, written
 from swellframe.streaming.response_cache import LABELS, label_arrivals
 
+# What the tables are made of, of a classified request with the outcome that the service gave it.
+LOGGED = (
+    "id", "ts", "method", "path", "query", "request_body", "upstream_body", "kind",
+    "backend", "status_code", "error_type", "message", "passed_on", "lat", "lng",
+)
 FIRSTS, REQUEST_LABELS = "first-answers", "labels"
 REQUESTS, ERRORS, LOCATIONS, BACKENDS = "requests", "errors", "locations", "backend-days"
 CELLS, REASONS = "cell-days", "reason-days"
@@ -49,7 +54,7 @@ def _merge_counts(path: str, schema: str, step: str, counts: DataFrame, sums: li
 def load_served(landed: DataFrame, overrides: DataFrame, folder: str, step: str) -> None:
     """Loads classified requests that have landed into all tables under ``folder``."""
     spark = landed.sparkSession
-    with only_kept(spark):
+    with only_kept(spark), compiled(spark):
         answers = written(geocode_answers(landed), "arriving-answers")
         firsts = load_first_answers(answers, overrides, f"{folder}/{FIRSTS}", step)
         places = geocode_resolve(answers, overrides, firsts).filter(F.col("source").isin("override", "cache"))
@@ -63,7 +68,9 @@ def load_served(landed: DataFrame, overrides: DataFrame, folder: str, step: str)
             hits = hits.join(labels, ["id", "dt"], "left_semi")
         else:
             hits = hits.limit(0)
-        rows = written(as_served(landed, places.select("id").unionByName(hits.select("id"))), "arriving-served")
+        served = places.select("id").unionByName(hits.select("id"))
+        # Narrow, as the join sends every request.
+        rows = written(as_served(landed.select(*LOGGED), served), "arriving-served")
         facts = request_facts(rows)
         tables.append_missing(facts, f"{folder}/{REQUESTS}", tables.REQUESTS)
         tables.append_missing(error_rows(rows), f"{folder}/{ERRORS}", tables.ERROR_LOGS)
