@@ -10,8 +10,8 @@ Bruijn graph whose nodes are the runs of one word less:
 2. Edges. The windows left are grouped by their two nodes, added up in each task before the
    shuffle. Edges that occur once are dropped. The others know how often they occur, where
    first, and checksums of all their places and of the places one word before.
-3. Junctions. Nodes with one edge in and one edge out are found by a join. Two edges are
-   joined there if the source coordinates verify it: both occur equally often, and every
+3. Junctions. Nodes with one edge in and one edge out are found by grouping the ends of all
+   edges. Two edges are joined there if the source coordinates verify it: both occur equally often, and every
    place of the second is a place of the first moved on by one word. Such edges compact into
    paths, numbered along the document in which they occur first.
 4. Spans. Only the places of a path's first edge are looked up. All that they start, but for
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from swellframe.llm.batches import map_batches, slices
-from swellframe.llm.wanted import Seen
+from swellframe.llm.wanted import Seen, parted
 from swellframe.sources.workspace import only_kept, written
 
 WINDOW = 20
@@ -175,12 +175,15 @@ def anchor_rows(docs: DataFrame, text: str) -> DataFrame:
 
 def candidate_spans(docs: DataFrame, text: str) -> DataFrame:
     """``short`` and ``spans`` (first, last) of the windows whose anchor stands elsewhere too."""
-    rows = anchor_rows(docs, text)
-    place = F.xxhash64("short", "first")
-    twice = rows.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b")
-    # Stored, so that a hot anchor's rows can be split over tasks in the join.
-    shared = rows.join(written(twice.select("anchor"), "word-anchors"), "anchor")
-    return shared.groupBy("short").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    with only_kept(docs.sparkSession) as keep:
+        # Stored, as texts are cut up once then, for both steps.
+        rows = written(anchor_rows(docs, text), "word-anchor-rows")
+        place = F.xxhash64("short", "first")
+        twice = rows.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b")
+        # Stored, so that a hot anchor's rows can be split over tasks in the join.
+        twice = written(twice.select("anchor"), "word-anchors")
+        shared = parted(rows, F.col("anchor"), twice)[0].join(twice, "anchor")
+        return keep(shared.groupBy("short").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "word-candidates")
 
 
 def with_words(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -247,35 +250,42 @@ def repeated_edges(windows: DataFrame) -> DataFrame:
 
 def continuing(edges: DataFrame) -> DataFrame:
     """``place`` and ``start`` of the edges that every source reaches from one edge alone."""
-    edge = F.struct("place", "start", "n", "here", "before")
+    columns = ["place", "start", "n", "here", "before"]
 
-    def lone(node: str, name: str) -> DataFrame:
-        grouped = edges.groupBy(F.col(node).alias("node")).agg(F.count("*").alias("edges"), F.min(edge).alias(name))
-        return grouped.filter("edges = 1").select("node", name)
+    def ends(node: str, comes: bool) -> DataFrame:
+        return edges.select(F.col(node).alias("node"), F.lit(comes).alias("comes"), *columns)
 
-    def same(a: str, b: str) -> Column:
-        return F.col(f"from.{a}") == F.col(f"to.{b}")
+    def lone(name: str, comes: bool) -> Column:
+        return F.min(F.when(F.col("comes") == F.lit(comes), F.col(name)))
 
-    joined = lone("tail", "from").join(lone("head", "to"), "node")
-    verified = same("n", "n") & same("here", "before") & same("place", "place")
-    verified = verified & (F.col("from.start") + 1 == F.col("to.start"))
-    return joined.filter(verified).select("to.place", "to.start")
+    # Where a node has one edge in and one out, the least values are those of these edges.
+    # Numbers alone, so that tasks add up in a hash table what they send.
+    nodes = ends("tail", True).unionAll(ends("head", False)).groupBy("node").agg(
+        F.count_if("comes").alias("n_in"),
+        F.count_if(~F.col("comes")).alias("n_out"),
+        *[lone(name, True).alias(f"in_{name}") for name in ("place", "start", "n", "here")],
+        *[lone(name, False).alias(name) for name in ("place", "start", "n", "before")],
+    )
+    verified = "in_n = n AND in_here = before AND in_place = place AND in_start + 1 = start"
+    return nodes.filter(f"n_in = 1 AND n_out = 1 AND {verified}").select("place", "start")
 
 
 def paths(edges: DataFrame) -> DataFrame:
     """Compacted paths: nodes of the first edge, its first ``place`` and ``start``, and
     ``edges``, how many edges it has.
 
-    Junctions are joins. Edges of a path follow each other in the document that they occur in
-    first, so they are numbered along that, a document at most at once.
+    Edges of a path follow each other in the document that they occur in first, so they are
+    numbered along that, a document at most at once. An edge that goes on a path has a mark,
+    a row of its place and start without nodes, right before it.
     """
-    known = continuing(edges).withColumn("goes_on", F.lit(True))
-    marked = edges.join(known, ["place", "start"], "left")
-    along = Window.partitionBy("place").orderBy("start")
-    own = F.when(F.col("goes_on").isNull(), F.col("start"))
+    rows = edges.select("place", "start", "head", "tail").unionByName(continuing(edges), allowMissingColumns=True)
+    is_edge = F.col("head").isNotNull()
+    along = Window.partitionBy("place").orderBy("start", is_edge)
+    is_first = F.col("is_first")
+    marked = rows.withColumn("is_first", is_edge & F.coalesce(F.lag(is_edge).over(along), F.lit(True)))
+    own = F.when(is_first, F.col("start"))
     numbered = marked.withColumn("path", F.max(own).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    is_first = F.col("goes_on").isNull()
-    return numbered.groupBy("place", "path").agg(
+    return numbered.filter(is_edge).groupBy("place", "path").agg(
         F.max(F.when(is_first, F.col("head"))).alias("head"),
         F.max(F.when(is_first, F.col("tail"))).alias("tail"),
         F.count("*").alias("edges"),
@@ -287,7 +297,8 @@ def repeated_spans(windows: DataFrame, compact: DataFrame) -> DataFrame:
     firsts = compact.select(
         "head", "tail", "edges", F.col("place").alias("first_place"), F.col("start").alias("first_start")
     )
-    found = windows.join(firsts, ["head", "tail"])
+    edge = F.xxhash64("head", "tail")
+    found = parted(windows, edge, compact.select(edge))[0].join(firsts, ["head", "tail"])
     later = (F.col("place") != F.col("first_place")) | (F.col("start") != F.col("first_start"))
     return found.filter(later).select("place", F.col("start").alias("first"), (F.col("start") + F.col("edges") - 1).alias("last"))
 
@@ -336,13 +347,14 @@ def without_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "te
         placed = placed.repartitionByRange("id", "name").sortWithinPartitions("id", "name")
         placed = written(placed.withColumn("place", F.monotonically_increasing_id()), "word-places")
 
-        spans = written(candidate_spans(docs, text), "word-candidates")
+        spans = candidate_spans(docs, text)
         wanted = placed.select("name", "short", "place").join(spans, "short").drop("short")
-        windows = written(window_rows(with_words(docs, wanted, text)), "word-windows")
-        edges = written(repeated_edges(windows), "word-edges")
-        compact = written(paths(edges), "word-paths")
-        marks = repeated_spans(windows, compact).groupBy("place")
-        marks = written(marks.agg(F.collect_list(F.struct("first", "last")).alias("spans")), "word-marks")
+        with only_kept(docs.sparkSession) as keep_marks:
+            windows = written(window_rows(with_words(docs, wanted, text)), "word-windows")
+            edges = written(repeated_edges(windows), "word-edges")
+            compact = written(paths(edges), "word-paths")
+            marks = repeated_spans(windows, compact).groupBy("place")
+            marks = keep_marks(marks.agg(F.collect_list(F.struct("first", "last")).alias("spans")), "word-marks")
         texts = with_words(docs, placed.select("name", "place").join(marks, "place"), text)
         left = written(removed(texts), "word-removed")
 

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from swellframe.llm import debruijn, queries
+from swellframe.sources import workspace
 
 SF_DIR = "/root/testdata/sf0.001"
 SIZE = debruijn.WINDOW
@@ -86,6 +87,30 @@ def test_paths_follow_sources(spark):
     assert sum(r["last"] - r["first"] + 1 for r in debruijn.repeated_spans(windows, compact).collect()) == 3 * 41 + 11
 
 
+def test_texts_are_cut_up_once_for_candidates(spark):
+    """Both steps read stored rows, and these are deleted when the candidates stand."""
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, 60))) for i in range(3)], "doc_id long, text string")
+    before = workspace.given_folders()
+    spans = debruijn.candidate_spans(df, "text")
+    (left,) = workspace.given_folders() - before
+    assert "/word-candidates-" in left and "MapInArrow" not in spans._jdf.queryExecution().toString()
+    assert spans.count() == 3
+
+
+def test_paths_join_no_edges(spark):
+    """Edges go through one shuffle to their nodes and one along their documents."""
+    edges = spark.createDataFrame(
+        [(1, 2, 5, 0, 2, 70, 60), (2, 3, 5, 1, 2, 80, 70), (3, 4, 5, 2, 3, 90, 80), (9, 9, 6, 0, 2, 1, 1)],
+        "head long, tail long, place long, start long, n long, here long, before long",
+    )
+    compact = debruijn.paths(edges)
+    plan = compact._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+    # Two edges make a path; the third occurs more often, and the last leads to itself.
+    got = sorted((r.place, r.start, r.head, r.tail, r.edges) for r in compact.collect())
+    assert got == [(5, 0, 1, 2, 2), (5, 2, 3, 4, 1), (6, 0, 9, 9, 1)]
+
+
 def test_empty(spark):
     assert found(spark.createDataFrame([], "doc_id long, text string")) == []
 
