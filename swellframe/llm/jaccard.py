@@ -10,9 +10,11 @@ in more positions than they can differ at, and equal content never gives differe
 
 Answers from related sets. In each list the set that shares most lists is the leader. Every
 other set of the list is compared with the leader alone, and sets that link with it need no
-comparison with each other. Only where a list still falls apart are its sets compared among
-themselves, in a grid of blocks: the answers of a block's first set come from the postings of
-all its shingles, those of a similar set from these by the postings of the difference.
+comparison with each other. Only where a list still falls apart are its sets told apart by
+their sketches, each compared with those that no set before it has met, and then by themselves,
+in a grid of blocks: the answers of a block's first set come from the postings of all its
+shingles, those of a similar set from these by the postings of the difference. Postings of
+shingles that most sets have name the sets without them.
 
 Equal sets count once, as a class with a 64-bit fingerprint. Nothing is sampled or capped:
 long lists cost one comparison per set, and blocks only bound what a task holds.
@@ -21,7 +23,7 @@ long lists cost one comparison per set, and blocks only bound what a task holds.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 from functools import lru_cache
@@ -398,22 +400,33 @@ def block_links(link: Link, left: list[np.ndarray], right: list[np.ndarray]) ->
     """For each left set in order, the right sets that it is linked with.
 
     The shared counts of a set come from those of the set before it where the two are alike:
-    only the postings of the shingles in which they differ are read.
+    only the postings of the shingles in which they differ are read. A shingle that most of
+    the right sets have is kept by the sets that lack it.
     """
     sizes = np.array([len(x) for x in right])
     values, place = np.unique(np.concatenate(right), return_inverse=True)
     owner = np.repeat(np.arange(len(right)), sizes)
+    common = 2 * np.bincount(place, minlength=len(values)) > len(right)
+    held = common[place]
+    lacks = np.ones((int(common.sum()), len(right)), bool)  # at most two bytes per shingle of a set
+    lacks[(np.cumsum(common) - 1)[place[held]], owner[held]] = False
+    row, lacking = np.nonzero(lacks)
+    place = np.concatenate([place[~held], np.flatnonzero(common)[row]])
     order = np.argsort(place, kind="stable")
-    owner = owner[order]
+    owner = np.concatenate([owner[~held], lacking])[order]
     start = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(values)))])
 
-    def counts_of(shingles: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(values, shingles), len(values) - 1)
-        at = at[values[at] == shingles]
+    def posted(at: np.ndarray) -> np.ndarray:
         length = start[at + 1] - start[at]
         inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
         return np.bincount(owner[np.repeat(start[at], length) + inside], minlength=len(right))
 
+    def counts_of(shingles: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(values, shingles), len(values) - 1)
+        at = at[values[at] == shingles]
+        most = common[at]
+        return posted(at[~most]) - posted(at[most]) + int(most.sum())
+
     before = counts = None
     for i, shingles in enumerate(left):
         if before is not None:
@@ -427,37 +440,114 @@ def block_links(link: Link, left: list[np.ndarray], right: list[np.ndarray]) ->
         yield i, np.flatnonzero(link.linked(counts, len(shingles), sizes))
 
 
+class Sketches:
+    """Some (size, sketch), asked for those that may be linked with another one."""
+
+    def __init__(self, link: Link, sets: list[tuple], classes: Iterable[int]):
+        self.link = link
+        self.own = np.array([size_classes(link, size)[0] for size, _ in sets], np.int64)
+        # For each size class of a pair: who has a sketch for it, and these, a row per position.
+        self.groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size_class in classes:
+            parts = [part_of_sketch(link, size, data, size_class) for size, data in sets]
+            at = np.array([j for j, part in enumerate(parts) if part is not None], np.int64)
+            if len(at):
+                self.groups[size_class] = (at, np.stack([parts[j] for j in at.tolist()], axis=1))
+
+    def mates(self, size: int, data: bytes) -> np.ndarray:
+        own, found = size_classes(self.link, size)[0], []
+        for size_class, (at, table) in self.groups.items():
+            part = part_of_sketch(self.link, size, data, size_class)
+            if part is not None:
+                fits = np.maximum(self.own[at], own) == size_class
+                equal = np.add.reduce(table == part[:, None], axis=0, dtype=np.int32)
+                found.append(at[fits & (equal > cut(self.link, size_class)[1])])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def keep(self, which: np.ndarray) -> None:
+        """Forgets those of which ``which`` is false."""
+        for size_class, (at, table) in self.groups.items():
+            self.groups[size_class] = (at[which[at]], np.ascontiguousarray(table[:, which[at]]))
+
+
 def sketch_links(link: Link, left: list[tuple], right: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
     """For each left (size, sketch) in order, the right ones that it may be linked with."""
-    own = [np.array([size_classes(link, size)[0] for size, _ in side]) for side in (left, right)]
-    groups = {}
-    for size_class in np.union1d(*own).tolist():
-        parts = [part_of_sketch(link, size, data, size_class) for size, data in right]
-        at = np.array([j for j, part in enumerate(parts) if part is not None], np.int64)
-        if len(at):
-            groups[size_class] = (at, np.stack([parts[j] for j in at.tolist()]))
+    sketches = Sketches(link, right, sorted({size_classes(link, size)[0] for size, _ in left + right}))
     for i, (size, data) in enumerate(left):
-        mates = []
-        for size_class, (at, table) in groups.items():
-            part = part_of_sketch(link, size, data, size_class)
-            if part is not None:
-                fits = np.maximum(own[1][at], own[0][i]) == size_class
-                mates.append(at[fits & ((table == part).sum(1) > cut(link, size_class)[1])])
-        yield i, np.concatenate(mates) if mates else np.zeros(0, np.int64)
+        yield i, sketches.mates(size, data)
 
 
-def _set_links(link: Link, left: list[tuple], right: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
-    body = lambda side: [np.frombuffer(data, np.uint64) for _, data in side]
-    return block_links(link, body(left), body(right))
+def sketch_families(link: Link, sets: list[tuple]) -> np.ndarray:
+    """One number for each (size, sketch), the same for those that may be linked, directly or
+    by way of others.
 
+    Each is compared only with those that have no family yet, so a large group of near copies
+    costs a few comparisons per member.
+    """
+    sketches = Sketches(link, sets, sorted({size_classes(link, size)[0] for size, _ in sets}))
+    family = np.full(len(sets), -1, np.int64)
+    left = held = len(sets)
+    for first in range(len(sets)):
+        if family[first] >= 0:
+            continue
+        family[first], todo = first, [first]
+        left -= 1
+        while todo and left:
+            mates = sketches.mates(*sets[todo.pop()])
+            mates = mates[family[mates] < 0]
+            family[mates] = first
+            todo += mates.tolist()
+            left -= len(mates)
+            if 2 * left < held:
+                sketches.keep(family < 0)
+                held = left
+    return family
+
+
+def sketch_edges(link: Link, rows: list[dict]) -> list[tuple[int, int]]:
+    """Edges that hold together the classes of each sketch family with several labels."""
+    family = sketch_families(link, [(row["size"], row["data"]) for row in rows]).tolist()
+    labels: dict[int, set[int]] = {}
+    for first, row in zip(family, rows, strict=True):
+        labels.setdefault(first, set()).add(row["label"])
+    return [
+        (rows[first]["class"], row["class"])
+        for i, (first, row) in enumerate(zip(family, rows, strict=True))
+        if first != i and len(labels[first]) > 1
+    ]
 
-def grid_edges(texts: Texts, sets: DataFrame, form, links, unite: str) -> DataFrame:
-    """Edges that ``links`` finds between the classes of each ``family``, in a grid of blocks.
+
+def block_sketch_edges(link: Link, left: list[dict], right: list[dict]) -> list[tuple[int, int]]:
+    """:func:`sketch_edges` of two blocks, or of one."""
+    return sketch_edges(link, left if left[0]["block"] == right[0]["block"] else left + right)
+
+
+def set_edges(link: Link, left: list[dict], right: list[dict]) -> list[tuple[int, int]]:
+    """Edges between linked classes that join different labels; of those that would close a
+    circle between labels, one is left out."""
+    names = np.array([row["label"] for row in left + right], np.int64)
+    _, root = np.unique(names, return_inverse=True)
+    own, other = root[: len(left)].copy(), root[len(left) :].copy()
+    body = lambda side: [np.frombuffer(row["data"], np.uint64) for row in side]
+    edges = []
+    for i, mates in block_links(link, body(left), body(right)):
+        mates = mates[other[mates] != own[i]]
+        while len(mates):
+            j = mates[0]
+            edges.append((left[i]["class"], right[j]["class"]))
+            joined = other[j]
+            for side in (own, other):
+                side[side == joined] = own[i]
+            mates = mates[other[mates] != own[i]]
+    return edges
+
+
+def grid_edges(texts: Texts, sets: DataFrame, form, edges_of) -> DataFrame:
+    """Edges that ``edges_of`` finds between the classes of each ``family``, in a grid of blocks.
 
     ``sets`` (a stored table) has ``class``, ``n_shingles``, ``label`` and ``family``. Only
     pairs of different labels count, so the blocks of a family's largest label meet those of
-    the others and not each other. Of edges that would close a circle between values of the
-    column ``unite`` in a block, one is left out.
+    the others and not each other. ``edges_of`` gets the rows of two blocks, or one block twice.
     """
     counts = sets.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     families = counts.groupBy("family").agg(
@@ -493,24 +583,7 @@ def grid_edges(texts: Texts, sets: DataFrame, form, links, unite: str) -> DataFr
         low, high = ordered[0]["low"], ordered[0]["high"]
         left = [row for row in ordered if row["block"] == low]
         right = [row for row in ordered if row["block"] == high]
-        root: dict[int, int] = {}
-
-        def find(name: int) -> int:
-            while name in root:
-                name = root[name]
-            return name
-
-        edges = []
-        if left and right:
-            body = lambda side: [(row["size"], row["data"]) for row in side]
-            for i, mates in links(link, body(left), body(right)):
-                for j in mates.tolist():
-                    if left[i]["label"] == right[j]["label"]:
-                        continue
-                    a, b = find(left[i][unite]), find(right[j][unite])
-                    if a != b:
-                        root[a] = b
-                        edges.append((left[i]["class"], right[j]["class"]))
+        edges = edges_of(link, left, right) if left and right else []
         arrays = [pa.array([edge[k] for edge in edges], pa.int64()) for k in (0, 1)]
         return pa.Table.from_arrays(arrays, ["a", "b"])
 
@@ -518,7 +591,7 @@ def grid_edges(texts: Texts, sets: DataFrame, form, links, unite: str) -> DataFr
 
 
 def likely_in_lists(texts: Texts, rows: DataFrame) -> DataFrame:
-    """Edges between the classes of each list whose labels differ and whose sketches agree.
+    """Edges that hold together the classes of each list whose sketches agree, where labels differ.
 
     ``rows`` has ``list``, ``class`` and ``label`` of lists of up to ``LIST_SETS`` classes,
     which pass by one list at a time.
@@ -526,23 +599,7 @@ def likely_in_lists(texts: Texts, rows: DataFrame) -> DataFrame:
     link = texts.link
 
     def edges_of(held: list[dict]) -> list[tuple[int, int]]:
-        if len({row["label"] for row in held}) < 2:
-            return []
-        root: dict[int, int] = {}
-
-        def find(at: int) -> int:
-            while at in root:
-                at = root[at]
-            return at
-
-        out, side = [], [(row["size"], row["data"]) for row in held]
-        for i, mates in sketch_links(link, side, side):
-            for j in mates[mates < i].tolist():
-                a, b = find(i), find(j)
-                if a != b and held[i]["label"] != held[j]["label"]:
-                    root[a] = b
-                    out.append((held[i]["class"], held[j]["class"]))
-        return out
+        return sketch_edges(link, held) if len({row["label"] for row in held}) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -587,11 +644,11 @@ def linked_in_blocks(texts: Texts, led: DataFrame, labels: DataFrame) -> DataFra
     likely = likely_in_lists(texts, short.select("list", "class", "label"))
     if not long.isEmpty():
         grid = written(long.select("class", "n_shingles", "label", F.col("list").alias("family")), "long-lists")
-        likely = likely.unionByName(grid_edges(texts, grid, sketch, sketch_links, "class"))
+        likely = likely.unionByName(grid_edges(texts, grid, sketch, block_sketch_edges))
     families = components(likely).select(F.col("node").alias("class"), F.col("label").alias("family"))
     sets = open_rows.select("class", "n_shingles", "label").distinct()
     sets = written(sets.join(families, "class"), "open-sets")
-    return grid_edges(texts, sets, set_bytes, _set_links, "label")
+    return grid_edges(texts, sets, set_bytes, set_edges)
 
 
 def labelled_classes(texts: Texts, facts: DataFrame, sizes: DataFrame) -> DataFrame:

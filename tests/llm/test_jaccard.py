@@ -138,6 +138,81 @@ def test_block_links():
         assert mates.tolist() == expected
 
 
+def joined(count, pairs):
+    """For each number below ``count`` the smallest one that the pairs join it with."""
+    label = list(range(count))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        label[b] = a
+    return [find(x) for x in range(count)]
+
+
+def near_copies(rng, size, copies, changes):
+    base = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+    sets = []
+    for _ in range(copies):
+        n = int(rng.integers(1, changes + 1))
+        sets.append(np.union1d(rng.permutation(base)[n:], rng.integers(0, 1 << 64, n, dtype=np.uint64)))
+    return sets
+
+
+@pytest.mark.parametrize("link", [queries.WORD_TRIPLES, jaccard.Link()])
+def test_sketch_families(link):
+    rng = np.random.default_rng(8)
+    sets = [x for size in (12, 90, 115, 118, 300) for x in near_copies(rng, size, 12, size // 3)]
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    sketches = [(len(x), jaccard.sketch(link, x)) for x in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard.may_link(link, *sketches[i], *sketches[j])]
+    assert joined(len(sets), enumerate(jaccard.sketch_families(link, sketches).tolist())) == joined(len(sets), pairs)
+
+
+def test_near_copies_are_not_compared_in_pairs(monkeypatch):
+    """The comparisons of a large group of near copies grow with its members, not their pairs."""
+    link, rng = queries.WORD_TRIPLES, np.random.default_rng(9)
+    rows = [
+        {"class": i, "label": i, "list": 1, "block": 0, "size": len(x), "data": jaccard.sketch(link, x)}
+        for i, x in enumerate(near_copies(rng, 200, 1500, 12))
+    ]
+    compared, mates = [], jaccard.Sketches.mates
+
+    def counted(self, size, data):
+        compared.append(sum(len(at) for at, _ in self.groups.values()))
+        return mates(self, size, data)
+
+    monkeypatch.setattr(jaccard.Sketches, "mates", counted)
+    edges = jaccard.block_sketch_edges(link, rows, rows)
+    assert joined(1500, edges) == [0] * 1500
+    assert len(edges) == 1499
+    assert sum(compared) < 20 * 1500
+
+
+@pytest.mark.parametrize("link", [queries.WORD_TRIPLES, jaccard.Link()])
+def test_set_edges(link):
+    rng = np.random.default_rng(10)
+    sets = near_copies(rng, 150, 60, 30) + near_copies(rng, 150, 60, 30)
+    labels = rng.integers(0, 60, len(sets)).tolist()
+    rows = [
+        {"class": i, "label": label, "size": len(x), "data": jaccard.set_bytes(link, x)}
+        for i, (label, x) in enumerate(zip(labels, sets, strict=True))
+    ]
+    for left, right in [(rows, rows), (rows[:50], rows[50:])]:
+        linked = [
+            (a["label"], b["label"])
+            for a in left
+            for b in right
+            if link.linked(len(np.intersect1d(sets[a["class"]], sets[b["class"]])), a["size"], b["size"])
+        ]
+        edges = jaccard.set_edges(link, left, right)
+        assert joined(60, [(labels[a], labels[b]) for a, b in edges]) == joined(60, linked)
+        assert len(edges) < 60
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
